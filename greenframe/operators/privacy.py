@@ -12,6 +12,8 @@ ENTITY_LABELS = [
     "email", "phone_international", "italian_tax_code", "iban", "ssn_usa", "nin_uk", "credit_card",
     "ipv4", "ipv6", "mac_address",
 ]
+# every pattern above asks for at least one of these characters
+ENTITY_CHARACTERS = "[0-9@:]"
 
 
 def _hits(name: str) -> list[tuple[Column, str]]:
@@ -46,14 +48,16 @@ def sensitive_names(names: DataFrame, name: str = "column") -> DataFrame:
 def entities(df: DataFrame, text: str, labels: list[str] | None = None) -> DataFrame:
     """(label, entity) for every word of ``text`` that is an e-mail address, IBAN and so on."""
     kept = [c for c in df.columns if c != text]
-    words = F.split(F.col(text), r"[^A-Za-z0-9@._%+:-]+")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"\A[.:]+|[.:]+\z", ""))
-    exploded = df.select(*kept, F.explode(bare).alias("entity")).filter(F.length("entity") > 0)
-    found = F.array_compact(F.array(*[
+    words = F.explode(F.split(F.col(text), r"[^A-Za-z0-9@._%+:-]+")).alias("entity")
+    exploded = df.select(*kept, words)
+    # most words are plain and need not be held against the patterns
+    likely = exploded.filter(F.col("entity").rlike(ENTITY_CHARACTERS)) if labels is None else exploded
+    bare = likely.withColumn("entity", F.regexp_replace("entity", r"\A[.:]+|[.:]+\z", ""))
+    found = F.array(*[
         F.when(F.col("entity").rlike(rf"\A(?:{fixed.SEMANTIC_PATTERNS[label]})\z"), F.lit(label))
         for label in labels or ENTITY_LABELS
-    ]))
-    return exploded.select(*kept, "entity", F.explode(found).alias("label"))
+    ])
+    return bare.select(*kept, "entity", F.explode(found).alias("label")).filter(F.col("label").isNotNull())
 
 
 def entity_sensitivity(found: DataFrame, examples: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["workload", "telemetry"]
+MODULES = ["workload", "telemetry", "profiling"]
 
 
 def _loaded():
