@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from greenframe.functions.numeric import bisect_right, literal_array
+from greenframe.operators.moments import pair_moments
 from greenframe.operators.profile import (
     INTEGRAL,
     columns_of,
@@ -104,17 +106,6 @@ REACHES = (0, 1, 4)
 CELL = ["dm", "s0", "s1", "s2", "c0", "c1", "c2"]
 
 
-def _bin(splits: Column, value: Column) -> Column:
-    """Number of split points at or below ``value``, by bisection over the sorted ``splits``."""
-    steps = F.array(*[F.lit(2**p) for p in reversed(range(12))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(splits)) & (F.get(splits, at + step - 1) <= value), at + step
-        ).otherwise(at),
-    )
-
-
 def _grid(donors: DataFrame, width: int, rows_per_cell: int) -> list[list[float]]:
     """Split points per coordinate, at quantiles, for cells of about ``rows_per_cell`` donors."""
     rows = donors.count()
@@ -143,7 +134,8 @@ class _Neighbours:
         donors = rows.filter(F.contains("m", F.lit("1"))).withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= k)
         self.donors = checkpointed(donors.drop("_r"))
         self.splits = _grid(self.donors, width, rows_per_cell)
-        self.split_array = F.array(*[F.array(*[F.lit(s) for s in cuts]).cast("array<double>") for cuts in self.splits])
+        self.longest = max(len(cuts) for cuts in self.splits)
+        self.split_array = F.array(*[literal_array(cuts) for cuts in self.splits])
         vectors = rows.filter(F.contains("m", F.lit("0"))).select("vk", "v", "m").distinct()
         units = vectors.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).filter(
             F.get("v", F.col("f")).isNull()
@@ -168,7 +160,7 @@ class _Neighbours:
 
     def _at(self, vector: Column, slot: Column, shift: Column | float = 0.0) -> Column:
         value = F.get(vector, slot) + shift
-        return F.when(slot < 0, -1).otherwise(_bin(F.get(self.split_array, slot), value))
+        return F.when(slot < 0, -1).otherwise(bisect_right(F.get(self.split_array, slot), value, self.longest))
 
     def _nearest(self, searches: DataFrame) -> DataFrame:
         """The k nearest donors per ``uid`` among the cells ``l0..h2``; (uid, f, distance, dv)."""
@@ -283,20 +275,13 @@ def _bayesian_ridge(n: int, cov_xx: np.ndarray, cov_xy: np.ndarray, var_y: float
 
 
 def _regression(rows: DataFrame, target: str, predictors: list[str], observed: Column) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients; only means and covariances come to the driver."""
-    pairs = [(a, b) for i, a in enumerate(predictors) for b in predictors[i:]]
-    stats = rows.filter(observed).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(target).alias("my"), F.var_pop(target).alias("vy"),
-        *[F.avg(p).alias(f"m_{p}") for p in predictors],
-        *[F.covar_pop(p, target).alias(f"c_{p}") for p in predictors],
-        *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-    ).first()
-    cov = np.zeros((len(predictors), len(predictors)))
-    for a, b in pairs:
-        i, j = predictors.index(a), predictors.index(b)
-        cov[i, j] = cov[j, i] = stats[f"c_{a}_{b}"]
-    coef = _bayesian_ridge(stats["n"], cov, np.array([stats[f"c_{p}"] for p in predictors]), stats["vy"])
-    return stats["my"] - float(coef @ np.array([stats[f"m_{p}"] for p in predictors])), coef
+    """Intercept and coefficients, from the moments of the rows where the target is observed."""
+    moments = pair_moments(rows.filter(observed).select(*predictors, target))
+    last = len(predictors)
+    coef = _bayesian_ridge(
+        int(moments.n[last, last]), moments.cov[:last, :last], moments.cov[:last, last], float(moments.cov[last, last])
+    )
+    return float(moments.mean_x[last, last] - coef @ np.diag(moments.mean_x)[:last]), coef
 
 
 def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tolerance: float = 1e-3) -> DataFrame:

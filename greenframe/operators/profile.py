@@ -9,12 +9,14 @@ costs one row per task.
 from __future__ import annotations
 
 from itertools import combinations
+from math import isnan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from greenframe.functions import fixed_values as fixed
+from greenframe.operators.moments import pair_moments
 from greenframe.operators.privacy import name_reasons, name_score
 from greenframe.operators.quantiles import DIRECT_ROWS, exact_quantiles
 
@@ -253,32 +255,19 @@ def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ).select("column", "count", "unique", F.col("t.value").alias("top"), (-F.col("t.minus")).alias("freq"), "avg_len")
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pairs_per_job: int = 200) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(a, b, corr) for every pair of numeric columns, a before b in the table; null without variance.
 
-    Rows where both values are present count. Wide tables are split into
-    several aggregates to keep the generated code small.
+    Rows where both values are present count.
     """
     names = columns or columns_of(df, "numeric")
-    pairs = list(combinations(names, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-
-    def pearson(a: str, b: str) -> Column:
-        x, y = present(df, a).cast("double"), present(df, b).cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    parts = []
-    for start in range(0, len(pairs), pairs_per_job):
-        some = pairs[start:start + pairs_per_job]
-        wide = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(some)])
-        entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(some)]
-        parts.append(wide.select(F.inline(F.array(*entries))))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    pairs = list(combinations(range(len(names)), 2))
+    found = []
+    if pairs:
+        values = df.select(*[present(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+        corr = pair_moments(values).correlation()
+        found = [(names[i], names[j], None if isnan(corr[i, j]) else float(corr[i, j])) for i, j in pairs]
+    return df.sparkSession.createDataFrame(found, "a string, b string, corr double")
 
 
 def top_correlations(df: DataFrame, k: int = 50, columns: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["workload", "telemetry", "profiling", "repair", "comparison"]
+MODULES = ["workload", "telemetry", "profiling", "repair", "comparison", "synthesis", "live"]
 
 
 def _loaded():

@@ -202,7 +202,7 @@ def _coded(spark, folder):
         F.format_string("+3906%07d", key).alias("phone"),
         F.when(key % 8 == 0, F.format_string("%09d", key)).otherwise(F.col("c_mktsegment")).alias("code"),
         F.concat(F.col("c_mktsegment"), F.lit("\n")).alias("broken"),
-        F.timestamp_seconds(key * 86400).cast("timestamp_ntz").alias("since"),
+        F.expr("timestampadd(DAY, c_custkey, TIMESTAMP_NTZ'1970-01-01')").alias("since"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from greenframe.functions import energy
 from greenframe.operators import telemetry as tm
+from greenframe.operators.ordered import epoch_micros
 from greenframe.plans.queries.support import (
     EVEN_SAMPLES_SQL,
     EVEN_TDP,
@@ -134,15 +135,15 @@ def smoothed_load(spark, folder):
     )
 
 
-def _by_minute(spark, folder):
+def _by_hour(spark, folder):
     """Telemetry with one short run per user and hour, many of a single sample."""
-    return telemetry(spark, folder).withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("string"))
+    return telemetry(spark, folder).withColumn("hour", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss"))
 
 
 def padded_runs(spark, folder):
-    samples = _by_minute(spark, folder).select("user_id", "hour", "ts", "cpu_percent")
+    samples = _by_hour(spark, folder).select("user_id", "hour", "ts", "cpu_percent")
     padded = tm.pad_single_sample(samples, ["user_id", "hour"], "ts")
-    return padded.select("user_id", "hour", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *_r(6, "cpu_percent"))
+    return padded.select("user_id", "hour", epoch_micros(padded, "ts").alias("t"), *_r(6, "cpu_percent"))
 
 
 def co2_equivalents(spark, folder):
