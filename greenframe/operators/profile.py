@@ -189,30 +189,48 @@ def column_category(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(named, "column string, category string")
 
 
+def _examples(df: DataFrame, key: list[str], names: list[str], head: int = 100) -> dict[str, str]:
+    """The first value by ``key`` of each column, cut to what a report shows.
+
+    The first rows have one for most columns; the others are searched in one scan.
+    """
+    order = [quoted(k) for k in key]
+    texts = {c: F.left(quoted(c).cast("string"), F.lit(81)) for c in names}
+    first = df.orderBy(*order).limit(head).select(
+        *[F.when(present(df, c).isNotNull(), texts[c]).alias(f"t{i}") for i, c in enumerate(names)]).collect()
+    found = {c: next((row[i] for row in first if row[i] is not None), None) for i, c in enumerate(names)}
+    rare = [c for c in names if found[c] is None]
+    if rare:
+        rest = df.agg(*[
+            F.min_by(texts[c], F.when(present(df, c).isNotNull(), F.struct(*order))).alias(f"t{i}") for i, c in enumerate(rare)
+        ]).first()
+        found.update({c: rest[i] for i, c in enumerate(rare)})
+    return found
+
+
 def schema_insights(df: DataFrame, key: list[str], exact: bool = True) -> DataFrame:
     """Per column: category, unique %, missing %, sensitivity of its name, first example by ``key``.
 
     ``exact=False`` estimates the distinct counts behind unique % in one pass
     without a shuffle of values.
     """
-    order = F.struct(*[quoted(k) for k in key])
     names = df.columns
-    stats = df.agg(*[
-        F.struct(
-            F.count(F.lit(1)).alias("rows"),
-            F.count(present(df, c)).alias("filled"),
-            F.min_by(quoted(c).cast("string"), F.when(present(df, c).isNotNull(), order)).alias("sample"),
-            F.approx_count_distinct(present(df, c), 0.02).alias("estimate"),
-        ).alias(c)
+    shape = [F.count(F.lit(1)).alias("rows"), *[F.count(present(df, c)).alias(f"filled_{c}") for c in names]]
+    if not exact:
+        shape += [F.approx_count_distinct(present(df, c), 0.02).alias(f"values_{c}") for c in names]
+    counts = df.agg(*shape).first()
+    examples = _examples(df, key, [c for c in names if counts[f"filled_{c}"]])
+    known = [
+        (c, counts["rows"], counts[f"filled_{c}"], None if exact else min(counts[f"values_{c}"], counts[f"filled_{c}"]), examples.get(c))
         for c in names
-    ])
-    base = stats.unpivot([], [quoted(c) for c in names], "column", "s").select("column", "s.*")
+    ]
+    base = df.sparkSession.createDataFrame(known, "column string, rows long, filled long, estimate long, sample string")
+    joined = base.join(column_category(df), "column")
     if exact:
         counted = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("values"))
-        categories = column_category(df)
-        joined = base.join(counted, "column", "left").join(categories, "column")
+        joined = joined.join(counted, "column", "left")
     else:
-        joined = base.withColumn("values", F.least("estimate", "filled")).join(column_category(df), "column")
+        joined = joined.withColumnRenamed("estimate", "values")
     unique = F.when(F.col("filled") > 0, F.coalesce("values", F.lit(0)) / F.col("filled") * 100.0).otherwise(0.0)
     long_sample = F.concat(F.left("sample", F.lit(77)), F.lit("…"))
     return joined.select(

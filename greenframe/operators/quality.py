@@ -94,21 +94,35 @@ def date_anomalies(df: DataFrame, as_of: datetime, min_year: int = 1900, future_
     return wide.unpivot([], [quoted(c) for c in names], "column", "s").select("column", "s.*")
 
 
+def _constant_texts(df: DataFrame) -> set[str]:
+    names = columns_of(df, "text")
+    if not names:
+        return set()
+    ends = df.agg(*[(F.min(quoted(c)) == F.max(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return {c for i, c in enumerate(names) if ends[f"c{i}"]}
+
+
 def anomaly_report(df: DataFrame, as_of: datetime, z: float = 3.0, min_year: int = 1900,
                    future_days: int = 1) -> DataFrame:
     """One row per column: missing share, constancy, outliers, shape, odd dates and their weighted severity.
 
-    Two scans: means and deviations first, everything else with these as constants.
+    Means and deviations come first, everything else with these as constants.
+    Text columns, whose extremes cannot be kept in the fast aggregation, are
+    compared on their own.
     """
     numeric = columns_of(df, "numeric")
     moments = _moments(df, numeric)
+    constant_texts = _constant_texts(df)
     nothing = F.lit(None).cast("double")
 
     def facts(field: T.StructField) -> Column:
         name = field.name
         value = present(df, name)
         missing = F.avg(F.when(_blank_or_missing(df, name), 1.0).otherwise(0.0))
-        constant = F.lit(False) if kind(field.dataType) == "other" else F.coalesce(F.min(value) == F.max(value), F.lit(False))
+        if kind(field.dataType) in ("text", "other"):
+            constant = F.lit(name in constant_texts)
+        else:
+            constant = F.coalesce(F.min(value) == F.max(value), F.lit(False))
         std = skew = kurt = outliers = future = ancient = nothing
         if name in moments:
             number = value.cast("double")

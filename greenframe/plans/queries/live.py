@@ -46,7 +46,7 @@ def stream_sessions(spark, folder):
 
 def stream_integrals(spark, folder):
     rates = {"co2_g": F.col("co2_gs"), "energy_j": F.col("power_w")}
-    updates = live.live_integrals(_stream(spark, folder), RUN, "ts", "event_id", rates, 86_400)
+    updates = live.live_integrals(_stream(spark, folder), RUN, "ts", "event_id", rates, 864_000)
     buckets = live.drain_updates(updates, scratch_path(spark, "integrals"), [*RUN, "bucket"])
     return live.finish_integrals(buckets, RUN, list(rates)).select("user_id", *_r(4, "co2_g"), *_r(2, "energy_j"), "samples")
 

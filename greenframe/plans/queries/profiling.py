@@ -26,7 +26,7 @@ def _big(*columns):
 def lines(spark, folder):
     """``lineitem`` with missing and blank values put in by key."""
     key = F.col("l_orderkey")
-    return table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber",
         F.when(key % 7 != 0, F.col("l_quantity")).alias("l_quantity"),
         "l_extendedprice",
@@ -224,7 +224,7 @@ def semantic_patterns(spark, folder):
 
 
 def semantic_patterns_of_texts(spark, folder):
-    texts = table(spark, folder, "documents").select("text", "lang", "source")
+    texts = table(spark, folder, "documents", spread=True).select("text", "lang", "source")
     return quality.semantic_profile(texts)
 
 
@@ -253,7 +253,7 @@ def sensitive_columns(spark, folder):
 
 
 def entity_sensitivity(spark, folder):
-    found = privacy.entities(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    found = privacy.entities(table(spark, folder, "documents", spread=True).select("doc_id", "text"), "text")
     return privacy.entity_sensitivity(found).select("label", *_big("entities", "sensitive"), "examples")
 
 
@@ -268,7 +268,7 @@ def part_keys(spark, folder):
 
 
 def foreign_keys(spark, folder):
-    a = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    a = table(spark, folder, "lineitem", spread=True).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     b = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return dep.inclusion_dependencies(a, b).select("a_column", "b_column", *_big("distinct_values", "included"), *_r(6, "coverage_pct"))
 

@@ -38,7 +38,7 @@ def made_up_customers_checked(spark, folder):
 
 def _lines(spark, folder):
     """Lines with a discount that follows the quantity, so that there is a correlation to keep."""
-    return table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem", spread=True).select(
         "l_quantity", "l_extendedprice", (F.col("l_extendedprice") * 0.1 + F.col("l_quantity") * 100).alias("l_cost"),
         F.when(F.col("l_orderkey") % 4 != 0, F.col("l_tax")).alias("l_tax"), "l_returnflag", "l_shipdate",
     )

@@ -106,8 +106,24 @@ def sniff_delimiter(spark: SparkSession, path: str, lines: int = 20) -> str | No
     return min(usable)[2] if usable else None
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+FEW_SPLITS = 16
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    A file with one row group is read by one task whatever its size in rows.
+    Inputs of more than a few splits, where dealing out would cost more than it
+    brings, are left alone.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
+
+
+def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table; ``spread`` deals a small one out to all cores, for work that is heavy per row."""
+    df = spark.read.parquet(path)
+    return spread_out(df) if spread else df
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "csv", sep: str = ";", mode: str = "overwrite") -> None:
