@@ -41,7 +41,7 @@ def green_score_by_phase(spark, folder):
     found = tm.phase_integrals(_samples(spark, folder), phases(spark, folder), RUN, "phase", "ts", TIE, _rates())
     score = energy.green_score(F.round("co2_g", 6), "samples", F.round("seconds", 6))
     return found.withColumn("score", score).select(
-        "user_id", "phase", "samples", *_r(4, "co2_g"), *_r(2, "energy_j"), *_r(4, "seconds"),
+        "user_id", "phase", "samples", *_r(4, "co2_g"), *_r(2, "energy_j"), *_r(6, "seconds"),
         "score", energy.score_zone("score").alias("zone"),
     )
 
@@ -91,7 +91,7 @@ def sample_spacing(spark, folder):
 
 def run_integrals(spark, folder):
     return tm.integrate(_samples(spark, folder), RUN, "ts", TIE, _rates()).select(
-        "user_id", "samples", *_r(4, "co2_g"), *_r(2, "energy_j"), *_r(4, "seconds")
+        "user_id", "samples", *_r(4, "co2_g"), *_r(2, "energy_j"), *_r(6, "seconds")
     )
 
 
@@ -159,7 +159,7 @@ def session_totals(spark, folder):
     runs = tm.integrate(_samples(spark, folder), RUN, "ts", TIE, _rates())
     exact = runs.select(F.round("co2_g", 6).alias("co2_g"), F.round("seconds", 6).alias("seconds"), F.col("samples").alias("rows"))
     return tm.session_metrics(exact).select(
-        *_r(3, "total_co2_g"), "queries_executed", *_r(6, "avg_green_score"), *_r(3, "session_duration_s")
+        *_r(3, "total_co2_g"), "queries_executed", *_r(6, "avg_green_score", "session_duration_s")
     )
 
 
@@ -189,7 +189,7 @@ def co2_by_phase(spark, folder):
 def best_and_worst_run(spark, folder):
     runs = tm.integrate(_samples(spark, folder), RUN, "ts", TIE, _rates())
     exact = runs.select("user_id", *_r(6, "co2_g", "seconds"), F.col("samples").alias("rows"))
-    return tm.best_worst_query(exact, "user_id").select("kind", "query", *_r(4, "co2_g", "seconds"), "score")
+    return tm.best_worst_query(exact, "user_id").select("kind", "query", *_r(4, "co2_g"), *_r(6, "seconds"), "score")
 
 
 def telemetry_from_json(spark, folder):
@@ -246,12 +246,12 @@ ORACLES = {
     "green_score_by_phase": f"""{PHASE_SUMS_SQL},
 scored AS (SELECT *, {_score_sql()} AS score FROM integrals)
 SELECT user_id, phase, samples, {rounded('co2_g', 4)} AS co2_g, {rounded('energy_j', 2)} AS energy_j,
-       {rounded('seconds', 4)} AS seconds, score, {ZONE_SQL} AS zone FROM scored""",
+       {rounded('seconds', 6)} AS seconds, score, {ZONE_SQL} AS zone FROM scored""",
     "power_columns": f"""WITH {EVEN_SAMPLES_SQL}
 SELECT event_id, {rounded('power_w', 6)} AS power_w, {rounded('co2_gs * 1000', 6)} AS co2_mg_per_s,
        {rounded('co2_gs * 3.6', 6)} AS co2_kg_per_h,
-       CASE WHEN power_w < 72.0 * 0.3 THEN 'low' WHEN power_w < 72.0 * 0.7 THEN 'medium' ELSE 'high' END AS band,
-       power_w >= 72.0 * 0.9 AS alarm FROM samples""",
+       CASE WHEN power_w < 72.0::DOUBLE * 0.3::DOUBLE THEN 'low' WHEN power_w < 72.0::DOUBLE * 0.7::DOUBLE THEN 'medium' ELSE 'high' END AS band,
+       power_w >= 72.0::DOUBLE * 0.9::DOUBLE AS alarm FROM samples""",
     "gpu_power": f"""WITH {SAMPLES_SQL}
 SELECT event_id, {rounded('CASE WHEN event_id % 3 <> 0 THEN cpu_percent * 1.7 ELSE cpu_percent / 100.0 * 150.0 END', 6)} AS gpu_w
 FROM samples""",
@@ -261,7 +261,7 @@ SELECT p_partkey, CAST(CASE WHEN mhz > 4000 AND cores >= 8 THEN 125 WHEN mhz > 4
 FROM hosts""",
     "sample_spacing": f"{_RUNS_SQL} SELECT event_id, user_id, {rounded('dt_s', 6)} AS dt_s FROM stepped",
     "run_integrals": f"""{_RUNS_SQL} SELECT user_id, samples, {rounded('co2_g', 4)} AS co2_g,
-  {rounded('energy_j', 2)} AS energy_j, {rounded('seconds', 4)} AS seconds FROM runs""",
+  {rounded('energy_j', 2)} AS energy_j, {rounded('seconds', 6)} AS seconds FROM runs""",
     "fixed_step_integrals": f"""WITH {EVEN_SAMPLES_SQL}
 SELECT user_id, {rounded('sum(co2_gs) * 0.5', 8)} AS co2_g, {rounded('sum(power_w) * 0.5 / 3600', 6)} AS energy_wh
 FROM samples GROUP BY user_id""",
@@ -303,7 +303,7 @@ SELECT user_id, {rounded('greatest(g, 0) / 8.22', 4)} AS phones, {rounded('great
   {rounded('greatest(g, 0) / 120 * 1000', 4)} AS car_m, {rounded('g * 100', 4)} AS led_hours FROM signed""",
     "session_totals": f"""{_RUNS_SQL}
 SELECT {rounded('sum(co2_g)', 3)} AS total_co2_g, count(*) AS queries_executed,
-  {rounded(f'avg({_score_sql()})', 6)} AS avg_green_score, {rounded('sum(seconds)', 3)} AS session_duration_s FROM runs""",
+  {rounded(f'avg({_score_sql()})', 6)} AS avg_green_score, {rounded('sum(seconds)', 6)} AS session_duration_s FROM runs""",
     "operation_history": f"""{_OPERATIONS_SQL}
 SELECT event_id, operation,
   {rounded('sum(co2_g) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)', 8)} AS total_co2_g,
@@ -313,9 +313,9 @@ SELECT event_id, operation, {rounded('co2_g', 8)} AS co2_g FROM operations ORDER
     "co2_by_phase": f"{PHASE_SUMS_SQL} SELECT phase, {rounded('sum(co2_g)', 3)} AS total_co2_g FROM integrals GROUP BY phase",
     "best_and_worst_run": f"""{_RUNS_SQL},
 scored AS (SELECT user_id AS query, {rounded('co2_g', 6)} AS co2_g, {rounded('seconds', 6)} AS seconds, {_score_sql()} AS score FROM runs)
-SELECT 'best' AS kind, query, {rounded('co2_g', 4)} AS co2_g, {rounded('seconds', 4)} AS seconds, score
+SELECT 'best' AS kind, query, {rounded('co2_g', 4)} AS co2_g, {rounded('seconds', 6)} AS seconds, score
 FROM (SELECT * FROM scored ORDER BY co2_g, query LIMIT 1)
-UNION ALL SELECT 'worst', query, {rounded('co2_g', 4)}, {rounded('seconds', 4)}, score
+UNION ALL SELECT 'worst', query, {rounded('co2_g', 4)}, {rounded('seconds', 6)}, score
 FROM (SELECT * FROM scored ORDER BY co2_g DESC, query LIMIT 1)""",
     "telemetry_from_json": f"""SELECT event_id, {rounded('least(value, 100.0)', 6)} AS cpu_percent,
   {rounded('CASE WHEN event_id % 3 <> 0 THEN value / 10 ELSE 0 END', 6)} AS gpu_percent,

@@ -140,9 +140,9 @@ def rewrite_prompts(spark, folder):
 
 def best_rewrites(spark, folder):
     """Every event is a rewrite of its user's query, whose duration is the user's mean value."""
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events").withColumn("cents", F.col("value").cast("decimal(18,2)"))
     originals = events.groupBy("user_id").agg(
-        F.round(F.avg("value"), 4).alias("duration"), F.round(F.sum("value") / 1000, 6).alias("co2_g")
+        F.avg("cents").cast("double").alias("duration"), (F.sum("cents").cast("double") / 1000).alias("co2_g")
     )
     candidates = events.select(
         "user_id", F.col("event_id").alias("position"), F.col("event_type").alias("sql"),
@@ -308,7 +308,8 @@ Original:
 ' || {_STATEMENT_SQL} || '
 SQL:' AS prompt FROM conversations""",
     "best_rewrites": f"""WITH originals AS (
-  SELECT user_id, {rounded('avg(value)', 4)} AS d, {rounded('sum(value) / 1000', 6)} AS g FROM events GROUP BY user_id),
+  SELECT user_id, {rounded('CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 6)} AS d,
+    CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / 1000 AS g FROM events GROUP BY user_id),
 priced AS (
   SELECT e.user_id, event_id AS position, event_type AS sql, length(props) AS rows, value AS duration, g * (value / d) AS est, g,
     row_number() OVER (PARTITION BY e.user_id ORDER BY value, event_id) AS rn

@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from greenframe.functions import fixed_values as fixed
 from greenframe.sources.naming import normalize_columns
 
-REPLACEMENT = "�"
-
 _LOAD = T.StructType([
     T.StructField("percent", T.DoubleType()),
     T.StructField("power_w", T.DoubleType()),
@@ -74,7 +72,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     """
     if fallback_encoding and encoding.upper() in ("UTF-8", "UTF8"):
         lines = spark.read.text(path)
-        if not lines.filter(F.col("value").contains(REPLACEMENT)).isEmpty():
+        if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
             encoding = fallback_encoding
     reader = spark.read.options(
         header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST",

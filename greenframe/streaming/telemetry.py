@@ -44,11 +44,16 @@ def power_windows(stream: DataFrame, run: list[str], time: str, length: str, sli
 
 
 def run_sessions(stream: DataFrame, run: list[str], time: str, gap: str, power: str = "power_w") -> DataFrame:
-    """Stretches of a run without a pause longer than ``gap``."""
+    """Stretches of a run without a pause longer than ``gap``.
+
+    Start and end are taken from the samples: a filter on the bounds of the
+    session column itself would be applied before the samples are merged.
+    """
     found = stream.groupBy(F.session_window(time, gap).alias("w"), *run).agg(
-        F.count(F.lit(1)).alias("samples"), F.max(power).alias("max_power_w")
+        F.min(time).alias("start"), (F.max(time) + F.expr(f"INTERVAL {gap}")).alias("end"),
+        F.count(F.lit(1)).alias("samples"), F.max(power).alias("max_power_w"),
     )
-    return found.select(*run, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "samples", "max_power_w")
+    return found.select(*run, "start", "end", "samples", "max_power_w")
 
 
 def phase_tags(stream: DataFrame, phases: DataFrame, run: list[str], time: str, start: str = "t_start",
