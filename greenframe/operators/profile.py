@@ -262,15 +262,40 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, direct_row
 
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per text column: count, unique, most frequent value (the smallest on ties), its count, mean length."""
+    """Per text column: count, unique, most frequent value (the smallest on ties), its count, mean length.
+
+    Long texts are counted by their beginning and a digest, so that no whole
+    text is shuffled. Only the winner's text has to be looked up again.
+    """
     names = columns or columns_of(df, "text")
-    long = long_rows([[F.lit(c).alias("column"), quoted(c).alias("value")] for c in names], df)
-    counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    top = F.min(F.struct((-F.col("n")).alias("minus"), "value"))
-    return counted.groupBy("column").agg(
+
+    def entry(name: str) -> list[Column]:
+        value = quoted(name)
+        digest = F.when(F.length(value) > SHORT_TEXT, F.sha2(value, 256))
+        return [F.lit(name).alias("column"), F.left(value, F.lit(SHORT_TEXT)).alias("start"), digest.alias("digest"),
+                F.length(value).alias("chars")]
+
+    long = long_rows([entry(c) for c in names], df).filter(F.col("start").isNotNull())
+    counted = long.groupBy("column", "start", "digest", "chars").agg(F.count(F.lit(1)).alias("n"))
+    # texts order as their beginnings do, a text that ends there first
+    top = F.min(F.struct((-F.col("n")).alias("minus"), "start", F.col("digest").isNotNull().alias("cut")))
+    stats = counted.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), top.alias("t"),
-        (F.sum(F.col("n") * F.length("value")) / F.sum("n")).alias("avg_len"),
-    ).select("column", "count", "unique", F.col("t.value").alias("top"), (-F.col("t.minus")).alias("freq"), "avg_len")
+        (F.sum(F.col("n") * F.col("chars")) / F.sum("n")).alias("avg_len"),
+    ).collect()
+
+    def winner(name: str, start: str, freq: int) -> str:
+        same = df.select(quoted(name).alias("v")).filter(F.left("v", F.lit(SHORT_TEXT)) == F.lit(start))
+        long_ones = same.filter(F.length("v") > SHORT_TEXT).groupBy(F.sha2("v", 256)).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        return long_ones.filter(F.col("n") == freq).agg(F.min("v")).first()[0]
+
+    found = [
+        (r["column"], r["count"], r["unique"],
+         winner(r["column"], r["t"]["start"], -r["t"]["minus"]) if r["t"]["cut"] else r["t"]["start"], -r["t"]["minus"], r["avg_len"])
+        for r in stats
+    ]
+    return df.sparkSession.createDataFrame(found, "column string, count long, unique long, top string, freq long, avg_len double")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

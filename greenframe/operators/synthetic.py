@@ -26,7 +26,6 @@ from greenframe.operators.profile import (
     describe_numeric,
     describe_text,
     kind,
-    missing_by_column,
     present,
     quoted,
 )
@@ -436,8 +435,9 @@ def generate_relational(tables: dict[str, DataFrame], keys: dict[str, str], fore
 def synthetic_report(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """(column, measure, real, synthetic): the two profiles side by side."""
     def measures(df: DataFrame, side: str) -> DataFrame:
-        missing = missing_by_column(df).join(df.agg(F.count(F.lit(1)).alias("rows")), F.lit(True)).select(
-            "column", F.explode(F.create_map(F.lit("missing_pct"), F.try_divide(F.col("missing") * 100.0, "rows"))).alias("measure", side))
+        shares = df.agg(*[(F.avg(present(df, c).isNull().cast("double")) * 100).alias(c) for c in df.columns])
+        missing = shares.unpivot([], [quoted(c) for c in df.columns], "column", side).select(
+            "column", F.lit("missing_pct").alias("measure"), side)
         parts = [missing]
         if any(kind(f.dataType) == "numeric" for f in df.schema.fields):
             stats = ["mean", "std", "min", "q25", "q50", "q75", "max"]

@@ -97,11 +97,16 @@ def cumulative_co2(df: DataFrame, run: list[str], time: str, tie: list[str], co2
     return runs.with_running_sums({"cumulative_g": grams})
 
 
-def _interval_slots(intervals: DataFrame, start: str, end: str) -> int:
-    """Slot width in microseconds that keeps an interval to a handful of slots on average."""
+MOST_SLOTS = 100_000
+
+
+def _slot_width(intervals: DataFrame, start: str, end: str) -> int:
+    """Slot width in microseconds: a few slots per interval on average and a bounded number for the longest."""
     length = epoch_micros(intervals, end) - epoch_micros(intervals, start)
-    mean = intervals.agg(F.avg(length)).first()[0]
-    return max(1, int((mean or 0) / 2)) if mean else 1_000_000
+    mean, longest = intervals.agg(F.avg(length), F.max(length)).first()
+    if not mean or mean <= 0:
+        return 1_000_000
+    return max(1, int(mean / 2), int(longest / MOST_SLOTS))
 
 
 def join_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], time: str,
@@ -112,7 +117,7 @@ def join_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], ti
     on (keys, slot): a long run with many intervals is spread over its slots
     instead of comparing all its samples with all its intervals.
     """
-    width = _interval_slots(intervals, start, end)
+    width = _slot_width(intervals, start, end)
     slot = F.floor(epoch_micros(samples, time) / width)
     first = F.floor(epoch_micros(intervals, start) / width)
     last = F.floor(epoch_micros(intervals, end) / width)
