@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from greenframe.functions.numeric import bisect_right, literal_array
-from greenframe.operators.moments import pair_moments
+from greenframe.operators.moments import PairMoments, moments_of, pair_sums
 from greenframe.operators.profile import (
     INTEGRAL,
     columns_of,
@@ -103,6 +103,7 @@ GRID_COLUMNS = 3
 ROWS_PER_CELL = 1000
 MOST_BINS = 4095
 REACHES = (0, 1, 4)
+PATTERN_PAIRS = 10_000
 CELL = ["dm", "s0", "s1", "s2", "c0", "c1", "c2"]
 
 
@@ -150,9 +151,11 @@ class _Neighbours:
                     slots = (shared[:GRID_COLUMNS] + [-1] * GRID_COLUMNS)[:GRID_COLUMNS]
                     plan.append((m, dm, *slots, len(shared)))
         spark = rows.sparkSession
-        # a row per pair of patterns of missing columns: its size does not depend on the data
         self.plan = spark.createDataFrame(plan, "m string, dm string, s0 int, s1 int, s2 int, shared int")
-        placed = self.donors.join(F.broadcast(self.plan.select("dm", "s0", "s1", "s2").distinct()), F.col("m") == F.col("dm"))
+        if len(plan) <= PATTERN_PAIRS:
+            # a row per pair of patterns of missing columns, however many rows there are
+            self.plan = F.broadcast(self.plan)
+        placed = self.donors.join(self.plan.select("dm", "s0", "s1", "s2").distinct(), F.col("m") == F.col("dm"))
         self.placed = placed.select(
             "dm", "s0", "s1", "s2", "id", F.col("v").alias("dv"),
             *[self._at(F.col("v"), F.col(f"s{i}")).alias(f"c{i}") for i in range(GRID_COLUMNS)],
@@ -181,7 +184,7 @@ class _Neighbours:
         )
 
     def _searches(self, units: DataFrame) -> DataFrame:
-        return units.join(F.broadcast(self.plan), "m").filter(F.substr("dm", F.col("f") + 1, F.lit(1)) == "1")
+        return units.join(self.plan, "m").filter(F.substr("dm", F.col("f") + 1, F.lit(1)) == "1")
 
     def _around(self, units: DataFrame, reach: int) -> DataFrame:
         rows = self._searches(units)
@@ -274,14 +277,15 @@ def _bayesian_ridge(n: int, cov_xx: np.ndarray, cov_xy: np.ndarray, var_y: float
     return basis @ (rotated / (eigen + weight / noise))
 
 
-def _regression(rows: DataFrame, target: str, predictors: list[str], observed: Column) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients, from the moments of the rows where the target is observed."""
-    moments = pair_moments(rows.filter(observed).select(*predictors, target))
-    last = len(predictors)
+def _regression(moments: PairMoments, target: int) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of column ``target`` on the others."""
+    others = [i for i in range(len(moments.n)) if i != target]
     coef = _bayesian_ridge(
-        int(moments.n[last, last]), moments.cov[:last, :last], moments.cov[:last, last], float(moments.cov[last, last])
+        int(moments.n[target, target]), moments.cov[np.ix_(others, others)], moments.cov[others, target],
+        float(moments.cov[target, target]),
     )
-    return float(moments.mean_x[last, last] - coef @ np.diag(moments.mean_x)[:last]), coef
+    means = np.diag(moments.mean_x)
+    return float(means[target] - coef @ means[others]), coef
 
 
 def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tolerance: float = 1e-3) -> DataFrame:
@@ -289,41 +293,53 @@ def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tole
 
     Columns go by ascending number of missing cells. The rounds end when no row
     changed by more than ``tolerance`` times the largest observed magnitude.
+    Rows without gaps never change: they are summed up once, and the rounds
+    read and keep only the rows with gaps.
     """
     _numeric_only(df, columns)
+    numbers = {c: present(df, c).cast("double") for c in columns}
     stats = df.agg(
-        *[F.avg(present(df, c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.count_if(present(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.max(F.abs(present(df, c).cast("double"))).alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.avg(numbers[c]).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(numbers[c].isNull()).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.max(F.abs(numbers[c])).alias(f"a{i}") for i, c in enumerate(columns)],
     ).first()
-    gaps = sorted((i for i in range(len(columns)) if stats[f"n{i}"] > 0), key=lambda i: (stats[f"n{i}"], i))
     usable = [i for i in range(len(columns)) if stats[f"m{i}"] is not None]
-    gaps = [i for i in gaps if i in usable]
+    gaps = sorted((i for i in usable if stats[f"n{i}"] > 0), key=lambda i: (stats[f"n{i}"], i))
     if not gaps or len(usable) < 2:
         return impute_mean(df, columns)
     names = {i: f"_x{i}" for i in usable}
-    state = df.withColumns({
-        **{f"_gap{i}": present(df, columns[i]).isNull() for i in gaps},
-        **{names[i]: F.coalesce(present(df, columns[i]).cast("double"), F.lit(stats[f"m{i}"])) for i in usable},
-    })
+    ordered, centers = [names[i] for i in usable], [stats[f"m{i}"] for i in usable]
+    any_gap = F.lit(False)
+    for i in gaps:
+        any_gap = any_gap | numbers[columns[i]].isNull()
+    complete = df.filter(~any_gap).withColumns({names[i]: numbers[columns[i]] for i in usable})
+    fixed_sums = pair_sums(complete.select(*ordered), centers)
+    state = checkpointed(df.filter(any_gap).withColumns({
+        **{f"_gap{i}": numbers[columns[i]].isNull() for i in gaps},
+        **{names[i]: F.coalesce(numbers[columns[i]], F.lit(stats[f"m{i}"])) for i in usable},
+    }))
     limit = tolerance * max(stats[f"a{i}"] for i in usable)
     for _ in range(max_iter):
         state = state.withColumns({f"_old{i}": F.col(names[i]) for i in gaps})
         for i in gaps:
-            predictors = [names[j] for j in usable if j != i]
-            intercept, coef = _regression(state, names[i], predictors, ~F.col(f"_gap{i}"))
+            observed = state.filter(~F.col(f"_gap{i}")).select(*ordered)
+            moments = moments_of(fixed_sums + pair_sums(observed, centers), centers)
+            intercept, coef = _regression(moments, usable.index(i))
             predicted = F.lit(intercept)
-            for p, weight in zip(predictors, coef):
-                predicted = predicted + F.lit(float(weight)) * F.col(p)
+            for name, weight in zip([n for n in ordered if n != names[i]], coef):
+                predicted = predicted + F.lit(float(weight)) * F.col(name)
             state = state.withColumn(names[i], F.when(F.col(f"_gap{i}"), predicted).otherwise(F.col(names[i])))
         state = checkpointed(state)
-        moved = sum((F.abs(F.col(names[i]) - F.col(f"_old{i}")) for i in gaps[1:]), F.abs(F.col(names[gaps[0]]) - F.col(f"_old{gaps[0]}")))
+        moved = F.lit(0.0)
+        for i in gaps:
+            moved = moved + F.abs(F.col(names[i]) - F.col(f"_old{i}"))
         change = state.agg(F.max(moved)).first()[0]
         state = state.drop(*[f"_old{i}" for i in gaps])
         if change is not None and change < limit:
             break
     by_name = {columns[i]: names[i] for i in usable}
-    return state.select(*[F.col(by_name[c]).alias(c) if c in by_name else quoted(c) for c in df.columns])
+    shown = [F.col(by_name[c]).alias(c) if c in by_name else quoted(c) for c in df.columns]
+    return complete.select(*shown).unionAll(state.select(*shown))
 
 
 # ---- review queue -----------------------------------------------------------

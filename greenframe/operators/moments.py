@@ -29,19 +29,19 @@ class PairMoments:
             return np.where(spread > 0, self.cov / spread, np.nan)
 
 
-def pair_moments(df: DataFrame, centers: list[float] | None = None) -> PairMoments:
-    """Moments of the columns of ``df`` (doubles, null where missing).
+def column_means(df: DataFrame) -> list[float]:
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    return [means[f"m{i}"] or 0.0 for i in range(len(df.columns))]
+
+
+def pair_sums(df: DataFrame, centers: list[float]) -> np.ndarray:
+    """Sums over all pairs of columns (doubles, null where missing), relative to ``centers``.
 
     Every task adds up its rows by matrix products and sends d x d sums, so one
-    scan serves any number of pairs. Values are taken relative to ``centers``,
-    by default the column means, to keep the digits; only the summed matrices
-    come to the driver.
+    scan serves any number of pairs; only the summed matrices come to the driver.
+    Sums of disjoint sets of rows may be added.
     """
-    d = len(df.columns)
-    if centers is None:
-        means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
-        centers = [means[f"m{i}"] or 0.0 for i in range(d)]
-    centers = np.array(centers)
+    d, offsets = len(df.columns), np.array(centers)
 
     def partial(batches):
         import pandas as pd
@@ -50,7 +50,7 @@ def pair_moments(df: DataFrame, centers: list[float] | None = None) -> PairMomen
         for batch in batches:
             raw = batch.to_numpy(dtype=float)
             here = (~np.isnan(raw)).astype(float)
-            x = np.where(here > 0, raw - centers, 0.0)
+            x = np.where(here > 0, raw - offsets, 0.0)
             squares = x * x
             sums += [here.T @ here, x.T @ here, here.T @ x, squares.T @ here, here.T @ squares, x.T @ x]
         flat = sums.reshape(len(SUMS), d * d)
@@ -58,15 +58,25 @@ def pair_moments(df: DataFrame, centers: list[float] | None = None) -> PairMomen
 
     schema = "at int, " + ", ".join(f"{name} double" for name in SUMS)
     rows = df.mapInPandas(partial, schema).groupBy("at").agg(*[F.sum(name).alias(name) for name in SUMS]).collect()
-    total = {name: np.zeros(d * d) for name in SUMS}
+    total = np.zeros((len(SUMS), d * d))
     for row in rows:
-        for name in SUMS:
-            total[name][row["at"]] = row[name]
-    n, sx, sy, sxx, syy, sxy = (total[name].reshape(d, d) for name in SUMS)
+        total[:, row["at"]] = [row[name] for name in SUMS]
+    return total.reshape(len(SUMS), d, d)
+
+
+def moments_of(sums: np.ndarray, centers: list[float]) -> PairMoments:
+    n, sx, sy, sxx, syy, sxy = sums
+    offsets = np.array(centers)
     with np.errstate(divide="ignore", invalid="ignore"):
         mean_x, mean_y = sx / n, sy / n
         var_x, var_y, cov = sxx / n - mean_x**2, syy / n - mean_y**2, sxy / n - mean_x * mean_y
         # what rounding leaves of the variance of equal values is no variance
         var_x = np.where(var_x > 1e-12 * sxx / n, var_x, 0.0)
         var_y = np.where(var_y > 1e-12 * syy / n, var_y, 0.0)
-    return PairMoments(n, mean_x + centers[:, None], mean_y + centers[None, :], var_x, var_y, cov)
+    return PairMoments(n, mean_x + offsets[:, None], mean_y + offsets[None, :], var_x, var_y, cov)
+
+
+def pair_moments(df: DataFrame, centers: list[float] | None = None) -> PairMoments:
+    """Moments of the columns of ``df``; sums are taken relative to the column means to keep the digits."""
+    centers = column_means(df) if centers is None else centers
+    return moments_of(pair_sums(df, centers), centers)

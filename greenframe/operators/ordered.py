@@ -9,12 +9,11 @@ partitioning the window already has.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+KEY = "_run_chunk"
 ROWS_PER_CHUNK = 500_000
 
 
@@ -26,11 +25,6 @@ def epoch_micros(df: DataFrame, time: str) -> Column:
     return F.unix_micros(F.col(time).cast("timestamp"))
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all ``keys``."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def chunk_width(df: DataFrame, group: list[str], time: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> int | None:
     """Microseconds per chunk, or None where every group is short enough for a plain window."""
     axis = epoch_micros(df, time)
@@ -53,17 +47,19 @@ class OrderedRuns:
         self.group, self.order = list(group), [time, *tie]
         self.width = width
         self.chunked = width is not None
-        chunk = F.floor(epoch_micros(df, time) / width).cast("long") if self.chunked else F.lit(0).cast("long")
-        self.df = df.withColumn(CHUNK, chunk)
-        self.keys = [*self.group, CHUNK] if self.chunked else self.group
+        if self.chunked:
+            # one key column for windows, totals and the join back, so that the long side is shuffled once
+            chunk = F.floor(epoch_micros(df, time) / width).cast("long").alias(CHUNK)
+            self.df, self.keys = df.withColumn(KEY, F.struct(*self.group, chunk)), [KEY]
+        else:
+            self.df, self.keys = df, self.group
         self.within = Window.partitionBy(*self.keys).orderBy(*self.order)
         self.across = Window.partitionBy(*self.group).orderBy(CHUNK)
 
-    def _join_chunks(self, rows: DataFrame, chunks: DataFrame) -> DataFrame:
-        carried = [c for c in chunks.columns if c not in self.keys]
-        return rows.join(chunks, same_key(rows, chunks, self.keys), "left").select(
-            *[rows[c] for c in rows.columns], *[chunks[c] for c in carried]
-        )
+    def per_chunk(self, *aggregates: Column) -> DataFrame:
+        """One row per chunk of the chunked rows: the key, its parts and ``aggregates``."""
+        totals = self.df.groupBy(KEY).agg(*aggregates)
+        return totals.select(KEY, f"{KEY}.*", *[c for c in totals.columns if c != KEY])
 
     def with_previous(self, value: Column, name: str) -> DataFrame:
         """Add ``name``: ``value`` of the row before, null for the first row of a group.
@@ -72,33 +68,29 @@ class OrderedRuns:
         """
         rows = self.df.withColumn(name, F.lag(value).over(self.within))
         if not self.chunked:
-            return rows.drop(CHUNK)
-        lasts = self.df.groupBy(*self.keys).agg(F.max(value).alias("_last"))
-        carry = lasts.select(*self.keys, F.lag("_last").over(self.across).alias("_carry"))
-        joined = self._join_chunks(rows, carry)
-        return joined.withColumn(name, F.coalesce(name, "_carry")).drop(CHUNK, "_carry")
+            return rows
+        lasts = self.per_chunk(F.max(value).alias("_last"))
+        carry = lasts.select(KEY, F.lag("_last").over(self.across).alias("_carry"))
+        joined = rows.join(carry, KEY, "left")
+        return joined.withColumn(name, F.coalesce(name, "_carry")).drop(KEY, "_carry")
 
     def with_running_sums(self, sums: dict[str, Column]) -> DataFrame:
         """Add one running total per entry of ``sums``."""
         upto = self.within.rowsBetween(Window.unboundedPreceding, 0)
         rows = self.df.withColumns({name: F.sum(value).over(upto) for name, value in sums.items()})
         if not self.chunked:
-            return rows.drop(CHUNK)
+            return rows
         before = self.across.rowsBetween(Window.unboundedPreceding, -1)
-        totals = self.df.groupBy(*self.keys).agg(
-            *[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()]
-        )
-        carry = totals.select(
-            *self.keys, *[F.sum(f"_t_{name}").over(before).alias(f"_c_{name}") for name in sums]
-        )
-        joined = self._join_chunks(rows, carry)
+        totals = self.per_chunk(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
+        carry = totals.select(KEY, *[F.sum(f"_t_{name}").over(before).alias(f"_c_{name}") for name in sums])
+        joined = rows.join(carry, KEY, "left")
         added = {
             name: F.coalesce(F.col(name) + F.col(f"_c_{name}"), F.col(name), F.col(f"_c_{name}"))
             for name in sums
         }
-        return joined.withColumns(added).drop(CHUNK, *[f"_c_{name}" for name in sums])
+        return joined.withColumns(added).drop(KEY, *[f"_c_{name}" for name in sums])
 
     def with_row_numbers(self, name: str) -> DataFrame:
         if not self.chunked:
-            return self.df.withColumn(name, F.row_number().over(self.within).cast("long")).drop(CHUNK)
+            return self.df.withColumn(name, F.row_number().over(self.within).cast("long"))
         return self.with_running_sums({name: F.lit(1).cast("long")})

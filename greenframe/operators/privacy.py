@@ -12,8 +12,9 @@ ENTITY_LABELS = [
     "email", "phone_international", "italian_tax_code", "iban", "ssn_usa", "nin_uk", "credit_card",
     "ipv4", "ipv6", "mac_address",
 ]
-# every pattern above asks for at least one of these characters
-ENTITY_CHARACTERS = "[0-9@:]"
+WORD_CHARACTERS = "A-Za-z0-9@._%+:-"
+# every pattern above asks for a digit, @ or : somewhere in the word
+LIKELY_WORD = f"(?<![{WORD_CHARACTERS}])[A-Za-z._%+-]*+[0-9@:][{WORD_CHARACTERS}]*+"
 
 
 def _hits(name: str) -> list[tuple[Column, str]]:
@@ -48,10 +49,12 @@ def sensitive_names(names: DataFrame, name: str = "column") -> DataFrame:
 def entities(df: DataFrame, text: str, labels: list[str] | None = None) -> DataFrame:
     """(label, entity) for every word of ``text`` that is an e-mail address, IBAN and so on."""
     kept = [c for c in df.columns if c != text]
-    words = F.explode(F.split(F.col(text), r"[^A-Za-z0-9@._%+:-]+")).alias("entity")
-    exploded = df.select(*kept, words)
-    # most words are plain and need not be held against the patterns
-    likely = exploded.filter(F.col("entity").rlike(ENTITY_CHARACTERS)) if labels is None else exploded
+    if labels is None:
+        # most words are plain: take only those that could fit out of the text
+        words = F.explode(F.regexp_extract_all(F.col(text), F.lit(LIKELY_WORD), F.lit(0)))
+    else:
+        words = F.explode(F.split(F.col(text), f"[^{WORD_CHARACTERS}]+"))
+    likely = df.select(*kept, words.alias("entity"))
     bare = likely.withColumn("entity", F.regexp_replace("entity", r"\A[.:]+|[.:]+\z", ""))
     found = F.array(*[
         F.when(F.col("entity").rlike(rf"\A(?:{fixed.SEMANTIC_PATTERNS[label]})\z"), F.lit(label))

@@ -137,20 +137,6 @@ def table_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def _category(df: DataFrame, rows: Column, limit: int = fixed.CATEGORICAL_LIMIT) -> Column:
-    """Category from (column, values, numeric_rows, numbers); see :func:`column_category`."""
-    is_numeric = F.col("numeric_rows") / rows >= fixed.NUMERIC_TEXT_SHARE
-    text = F.when(is_numeric & (F.col("numbers") <= limit), "categorical").when(is_numeric, "numeric").when(
-        F.col("values") <= limit, "categorical").otherwise("text")
-    number = F.when(F.col("values") <= limit, "categorical").otherwise("numeric")
-    by_kind = {"text": text, "numeric": number}
-    category = F.lit("other")
-    for field in df.schema.fields:
-        named = kind(field.dataType)
-        category = F.when(F.col("column") == field.name, by_kind.get(named, F.lit(named))).otherwise(category)
-    return category
-
-
 def column_category(df: DataFrame) -> DataFrame:
     """(column, category): boolean, datetime, numeric, categorical, text or other.
 

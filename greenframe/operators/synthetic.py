@@ -179,6 +179,7 @@ def generate_fake(spark: SparkSession, rows: int, columns: list[tuple[str, str]]
 
 KNOTS = 400
 MOST_CATEGORIES = 500
+MOST_DIGITS = 6
 
 
 @dataclass
@@ -213,6 +214,14 @@ def _number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
+def _decimals(value: Column) -> Column:
+    """Decimal places of a number; more than MOST_DIGITS count as one too many."""
+    found = F.when(F.rint(value) == value, 0)
+    for d in range(1, MOST_DIGITS + 1):
+        found = found.when(F.rint(value * 10.0**d) / 10.0**d == value, d)
+    return F.when(value.isNotNull(), found.otherwise(MOST_DIGITS + 1))
+
+
 def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
     numeric = [c for c in columns if kind(df.schema[c].dataType) in ("numeric", "datetime")]
     listed = [c for c in columns if c not in numeric]
@@ -223,7 +232,7 @@ def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
         *[F.count_if(present(df, c).isNull()).alias(f"missing_{c}") for c in columns],
         *[F.percentile_approx(_number(df, c), grid, KNOTS * 25).alias(f"grid_{c}") for c in numeric],
         *[F.struct(F.min(_number(df, c)), F.max(_number(df, c))).alias(f"ends_{c}") for c in numeric],
-        *[F.max(F.abs(_number(df, c) - F.round(_number(df, c), d))).alias(f"rest_{c}_{d}") for c in fractions for d in range(7)],
+        *[F.max(_decimals(_number(df, c))).alias(f"digits_{c}") for c in fractions],
         *[F.approx_count_distinct(quoted(c), 0.02).alias(f"values_{c}") for c in listed],
     ).first()
     rows = stats["rows"]
@@ -234,7 +243,7 @@ def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
             low, high = stats[f"ends_{c}"]
             margin.knots = [low, *stats[f"grid_{c}"][1:-1], high]
             if c in fractions:
-                margin.digits = next((d for d in range(7) if stats[f"rest_{c}_{d}"] < 1e-9), None)
+                margin.digits = stats[f"digits_{c}"] if stats[f"digits_{c}"] <= MOST_DIGITS else None
         elif c in listed and 0 < stats[f"values_{c}"] <= MOST_CATEGORIES:
             shares = df.filter(quoted(c).isNotNull()).groupBy(quoted(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").collect()
             total, so_far = sum(s["n"] for s in shares), 0

@@ -62,7 +62,8 @@ def _integrate(df: DataFrame, run: list[str], time: str, tie: list[str], rates:
             *inner, F.sum("_dt").alias("seconds"), F.count(F.lit(1)).alias("samples")
         )
     first = F.struct("_t", *runs.order[1:])
-    chunks = steps.groupBy(*runs.keys).agg(
+    runs.df = steps
+    chunks = runs.per_chunk(
         *inner,
         *[F.min_by(value, first).alias(f"_f_{name}") for name, value in values.items()],
         F.min("_t").alias("_start"),

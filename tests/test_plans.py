@@ -8,14 +8,19 @@ from greenframe.operators import telemetry as tm
 from greenframe.plans.queries.support import phases, table, telemetry
 
 QUERIES = entry.queries()
-STATIC = sorted(n for n in QUERIES if not n.startswith("stream_") and n not in ("workload_run", "csv_round_trip", "saved_tables"))
+JOINING = [
+    "green_score_by_phase", "phase_slices", "samples_in_calls", "co2_by_phase", "padded_runs", "best_rewrites", "result_differences",
+    "join_through_sql", "table_metrics", "schema_insights", "numeric_description", "semantic_summary", "entity_sensitivity",
+    "foreign_keys", "imputed_neighbours", "imputed_iteratively", "reviewed_values", "latency_distribution", "match_details",
+    "synthetic_lines_compared", "synthetic_orders_checked",
+]
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", STATIC)
+@pytest.mark.parametrize("name", JOINING)
 def test_no_cross_joins(spark, folder, name):
     text = plan(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
@@ -32,6 +37,14 @@ def test_intervals_join_on_equality(spark, folder):
     assert "_slot_at" in text and ("BroadcastHashJoin" in text or "SortMergeJoin" in text or "ShuffledHashJoin" in text)
 
 
+def test_a_long_run_is_shuffled_once(spark, folder):
+    """Beyond the shuffle of the samples there are only those of one row per chunk."""
+    chunked = tm.sample_dt(telemetry(spark, folder), ["user_id"], "ts", ["event_id"], rows_per_chunk=20)
+    exchanges = [line for line in plan(chunked).splitlines() if "Exchange hashpartitioning" in line]
+    big = [line for line in exchanges if "_run_chunk" in line]
+    assert len(exchanges) == 4 and len(big) == 3 and "SortMergeJoin" in plan(chunked) or "BroadcastHashJoin" in plan(chunked)
+
+
 def test_rank_limits_come_before_the_shuffle(spark, folder):
     from pyspark.sql import Window
 
