@@ -1 +1 @@
-"""Column expressions; nothing here runs a job."""
+"""Column expressions, prompt texts and fixed values."""
