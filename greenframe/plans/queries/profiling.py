@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from greenframe.functions import fixed_values as fixed
 from greenframe.operators import dependencies as dep
 from greenframe.operators import privacy, profile, quality
-from greenframe.plans.queries.support import TABLES, rounded, table
+from greenframe.plans.queries.support import TABLES, rounded, rounded_as_printed, table
 from greenframe.sources.tables import catalog_profile, load_folder
 
 AS_OF = datetime(1999, 6, 1)
@@ -497,7 +497,7 @@ SELECT a, b, {rounded('corr', 6)} AS corr, {rounded('abs(corr)', 6)} AS abs_corr
 SELECT "column", {rounded('missing * 100', 2)} AS missing_pct, is_constant, {rounded('o * 100', 2)} AS outlier_pct, {rounded('std', 4)} AS std,
   {rounded('skewness', 6)} AS skewness, {rounded('kurtosis', 6)} AS kurtosis, {rounded('f * 100', 2)} AS future_pct,
   {rounded('p * 100', 2)} AS ancient_pct,
-  {rounded('missing * 0.35 + coalesce(o, 0) * 0.35 + coalesce(abs(skewness) / 10, 0) * 0.15 + coalesce(abs(kurtosis) / 10, 0) * 0.15', 4)} AS severity
+  {rounded_as_printed('missing * 0.35::DOUBLE + coalesce(o, 0) * 0.35::DOUBLE + coalesce(abs(skewness) / 10, 0) * 0.15::DOUBLE + coalesce(abs(kurtosis) / 10, 0) * 0.15::DOUBLE', 4)} AS severity
 FROM facts""",
     "semantic_patterns": f"WITH {_CODED_SQL}, {_semantic_sql(CODED_COLUMNS, 'coded')} SELECT * FROM found",
     "semantic_patterns_of_texts": f"WITH {_semantic_sql(['text', 'lang', 'source'], 'documents')} SELECT * FROM found",

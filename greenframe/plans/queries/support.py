@@ -22,6 +22,11 @@ def rounded(sql: str, digits: int) -> str:
     return f"CAST(ROUND(CAST({sql} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
 
 
+def rounded_as_printed(sql: str, digits: int) -> str:
+    """As :func:`rounded`, for values that come close to a half: every printed digit counts."""
+    return f"CAST(ROUND(CAST(CAST({sql} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` read as CPU load samples: one run per user."""
     return table(spark, folder, "events").select(
