@@ -30,25 +30,20 @@ def exact_groups(
     """
     rows = id_and_text(df, id_col, text_col).withColumn("text", one_space(F.col("text")))
     rows = rows.select("doc_id", hash_of(F.col("text")).alias("h"), "text")
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    single = groups.filter("n = 1").select("h")
-    repeated = groups.filter("n > 1").select("h", "first_id")
-
-    light = rows.select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    alone = light.join(single, "h").select(
+    sha256 = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    # ids and hashes are kept, so that texts are read and hashed once for them and once for the groups
+    light = written(rows.select("doc_id", "h", sha256), "hashes")
+    groups = light.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    alone = light.join(groups.filter("n = 1").select("h"), "h").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
 
-    members = rows.join(repeated, "h")
+    # nothing that needs all rows of a hash together stands above this join, so a large group can be split
+    members = written(rows.join(groups.filter("n > 1").select("h", "first_id"), "h"), "members")
     stays = members.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("text").alias("stays"))
     compared = written(
-        members.join(stays, "h").select(
-            "doc_id", "h",
-            F.when(F.col("text") != F.col("stays"), F.col("text")).alias("other"),
-            F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-        ),
-        "exact",
-    )
+        members.join(stays, "h").select("doc_id", "h", F.when(F.col("text") != F.col("stays"), F.col("text")).alias("other"), sha256), "compared"
+    )
     sizes = compared.groupBy("h", "other").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     sizes = sizes.select(F.col("h").alias("gh"), F.col("other").alias("go"), "keep_id", "group_size")
     together = compared.join(sizes, (F.col("h") == F.col("gh")) & F.col("other").eqNullSafe(F.col("go"))).select(
