@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, exact, packing, records
+from . import counting, exact, language, leaks, packing, records
 from .common import documents
 
 
@@ -24,11 +24,21 @@ def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stored_tokens(documents(spark, sf_dir)).drop("ids")
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_languages(documents(spark, sf_dir))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op1_language_id": languages,
     "op5_minimum_bin_slack": packed,
     "op6_heap_token_counts": token_counts,
     "op7_exact_dedup": exact_copies,
     "op8_binary_records": binary_records,
+    "op9_benchmark_leaks": benchmark_leaks,
 }
 
 ORACLES = {
