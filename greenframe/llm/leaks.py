@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Placeholders: one private character each.
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 SLOTS = f"{NAME}-{UNIT}"
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs mph kmh km/h kw kwh w v a hz c f k j n pa usd eur gbp "
@@ -60,7 +60,8 @@ def leaks(
     n_words: words of the item that agree as templates, laid side by side; n_same: those that are the same word. A leak
     has n_words of at least ``least_words`` (or ``least_share`` of a shorter item) with consistent slots, or as many
     n_same. Items are indexed at all places, documents at every ``stride``-th, so each run of size + stride - 1 = 11
-    words meets; a window needs LEAST_LITERAL words that are no placeholder.
+    words meets; where the benchmark has shorter items, documents are indexed so closely that whole items still do. A
+    window needs LEAST_LITERAL words that are no placeholder.
 
     Documents are scanned once for the windows, which meet the index in the same stage while the benchmark is small
     enough to broadcast (its windows are counted first); only the documents found are laid beside the items. Null or
@@ -70,6 +71,9 @@ def leaks(
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
     items = items.select("item_id", words(F.col("t")).alias("item_words"), template(F.col("t")).alias("item_template")).distinct()
     items = written(items, "items")
+    sizes = F.when(F.size("item_template") >= size, F.size("item_template"))
+    shortest = items.agg(F.min(sizes).alias("n")).first()["n"] or size + stride
+    stride = min(stride, shortest - size + 1)
     index = items.select("item_id", "item_template", F.explode(windows(F.col("item_template"), size, 1)).alias("w"))
     index = index.filter(F.size(F.filter(F.slice("item_template", F.col("w.place") + 1, F.lit(size)), literal)) >= LEAST_LITERAL)
     index = written(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")), "index")
