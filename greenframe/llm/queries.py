@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import counting, exact, language, leaks, packing, records
+from . import counting, exact, language, leaks, packing, passages, records, substrings
 from .common import documents
 
 
@@ -32,13 +33,27 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    return df.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def word_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(passages.without_repeated_passages(documents(spark, sf_dir)))
+
+
+def byte_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(substrings.without_repeated_strings(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_language_id": languages,
+    "op4_suffix_automata": word_passages,
     "op5_minimum_bin_slack": packed,
     "op6_heap_token_counts": token_counts,
     "op7_exact_dedup": exact_copies,
     "op8_binary_records": binary_records,
     "op9_benchmark_leaks": benchmark_leaks,
+    "op10_radix_substrings": byte_strings,
 }
 
 ORACLES = {
