@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, exact, language, leaks, packing, passages, records, substrings
+from . import counting, exact, language, leaks, near, packing, passages, records, substrings
 from .common import documents
 
 
@@ -45,8 +45,13 @@ def byte_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(substrings.without_repeated_strings(documents(spark, sf_dir)))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": languages,
+    "op2_bagminhash": near_duplicates,
     "op4_suffix_automata": word_passages,
     "op5_minimum_bin_slack": packed,
     "op6_heap_token_counts": token_counts,

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import block_count
 
 Ranges = list[tuple[int, int]]
-#: (spans of one anchor, the smallest document of each) -> first and last window of each covered run, by span.
+#: (spans, the smallest document of each, window size) -> first and last window of each covered run, by span.
 Matcher = Callable[[list[bytes], list[int], int], list[Ranges]]
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,9 +143,11 @@ def slices(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def covered_texts(
     df: DataFrame, as_block: Callable[[pd.DataFrame], Block], matcher: Matcher, finish: Callable[[Block, np.ndarray], Iterator[tuple]], finish_schema: str,
-    threshold: int, gram: int, very_many: int,
+    threshold: int, gram: int, very_many: int, at_once: int = 1,
 ) -> DataFrame:
-    """One row per row of ``df`` (doc_id, text as binary): what ``finish`` makes of a block and the mask of covered symbols."""
+    """``matcher`` gets the spans of one anchor, or of several until there are ``at_once``.
+
+    One row per row of ``df`` (doc_id, text as binary): what ``finish`` makes of a block and the mask of covered symbols."""
     blocks = block_count(df)
     buckets = 2 * blocks
     dealt = df.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
@@ -239,14 +241,27 @@ def covered_texts(
             for tag, doc, size, end, place in zip(tags, docs, sizes, ends, places):
                 groups.setdefault(tag, {}).setdefault(x.texts[begin:end], []).append((doc, row, size, starts[held:place]))
                 begin, held = end, place
-        for group in groups.values():
-            least = [min(doc for doc, *_ in owners) for owners in group.values()]
-            windows = matcher(list(group), least, threshold) if len(group) > 1 else [[]]
-            for smallest, ranges, owners in zip(least, windows, group.values()):
+
+        def settle(batch: list[tuple[bytes, list]]) -> None:
+            least = [min(doc for doc, *_ in owners) for _, owners in batch]
+            windows = matcher([text for text, _ in batch], least, threshold) if len(batch) > 1 else [[]]
+            for smallest, ranges, (_, owners) in zip(least, windows, batch):
                 for doc, row, size, starts in owners:
                     for a, b in [(0, size - threshold)] if doc > smallest else ranges:
                         covers[row][0].append(starts + np.uint32(a))
                         covers[row][1].append(starts + np.uint32(b + threshold))
+
+        waiting: list[tuple[bytes, list]] = []
+        for group in groups.values():
+            if len(group) == 1:
+                settle(list(group.items()))
+            else:
+                waiting += group.items()
+                if len(waiting) >= at_once:
+                    settle(waiting)
+                    waiting = []
+        if waiting:
+            settle(waiting)
         rows = [(block, np.concatenate(a).astype(np.uint32).tobytes(), np.concatenate(b).astype(np.uint32).tobytes()) for block, (a, b) in zip(frame["block"], covers)]
         return pd.DataFrame(rows, columns=["block", "starts", "ends"])
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import id_and_text
 
-BYTES, GRAM, VERY_MANY = 50, 20, 5000
+BYTES, GRAM, VERY_MANY = 50, 26, 5000
+#: Spans sorted at once, about 30 windows each.
+AT_ONCE = 10_000
 DIGIT = 8
 
 
@@ -99,4 +101,4 @@ def without_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: st
     rows that share an id never remove from one another; an empty table gives no rows.
     """
     rows = id_and_text(df, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    return repeats.covered_texts(rows, byte_block, by_radix, kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", size, gram, very_many)
+    return repeats.covered_texts(rows, byte_block, by_radix, kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", size, gram, very_many, AT_ONCE)

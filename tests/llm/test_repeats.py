@@ -74,15 +74,15 @@ def test_given_documents(spark, folder):
     same(docs, words_expected(rows, 50), passages.without_repeated_passages, 50, 25, very_many=2)
     want = bytes_expected(rows, 50)
     assert any(r[2] for r in want)
-    same(docs, want, substrings.without_repeated_strings, 50, 20)
-    same(docs, want, substrings.without_repeated_strings, 50, 20, very_many=2)
+    same(docs, want, substrings.without_repeated_strings, 50, 26)
+    same(docs, want, substrings.without_repeated_strings, 50, 26, very_many=2)
 
 
 def test_long_text_of_one_word_and_empty_table(spark):
     rows = [(1, "x " * 30_000), (2, "y " * 3000 + "x " * 60), (3, "x " * 49)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     same(df, words_expected(rows, 50), passages.without_repeated_passages, 50, 25)
-    same(df, bytes_expected(rows, 50), substrings.without_repeated_strings, 50, 20)
+    same(df, bytes_expected(rows, 50), substrings.without_repeated_strings, 50, 26)
     assert passages.without_repeated_passages(df.filter("false")).count() == substrings.without_repeated_strings(df.filter("false")).count() == 0
 
 
