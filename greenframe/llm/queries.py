@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, exact, language, leaks, near, packing, passages, records, substrings
+from . import counting, exact, language, leaks, near, packing, passages, records, scoring, substrings
 from .common import documents
 
 
@@ -49,9 +49,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(documents(spark, sf_dir))
 
 
+def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": languages,
     "op2_bagminhash": near_duplicates,
+    "op3_ppm_scores": ppm_scores,
     "op4_suffix_automata": word_passages,
     "op5_minimum_bin_slack": packed,
     "op6_heap_token_counts": token_counts,
