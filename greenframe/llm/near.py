@@ -127,17 +127,16 @@ def signed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("binary")).mapInArrow(sign, "doc_id long, digest binary, size long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bags have a similarity of ``least`` or more."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their bags."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = [similarity(x.split(), y.split()) >= least for x, y in zip(frame["text_a"], frame["text_b"])]
-            yield frame.loc[np.array(good, bool), ["a", "b"]]
+            yield frame[["a", "b"]].assign(s=[similarity(x.split(), y.split()) for x, y in zip(frame["text_a"], frame["text_b"])])
 
-    return pairs.join(two, "b").join(one, "a").mapInPandas(check, "a long, b long")
+    return written(pairs.join(two, "b").join(one, "a").mapInPandas(compare, "a long, b long, s double"), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,10 +170,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, class_id (smallest id of its class), copy_of (smallest id with the same words), kept.
 
     Classes are the connected components of links of similarity ``least`` and more. Documents with the same words are
-    settled by a digest and stand for one. Of the others, each band bucket is first compared with its smallest member;
-    then only members of one bucket that are in different classes still are compared with each other, if the sizes of
-    their bags allow the similarity. So a large group of near copies costs one comparison each, and no link between
-    classes is passed over.
+    settled by a digest and stand for one. Of the others, the members of a band bucket are first compared with the
+    smallest, then, where classes still differ, with two members drawn by a hash: a large group of near copies mostly
+    becomes one class by a few comparisons each. What is in different classes even then is compared pair by pair, but
+    for pairs that cannot reach ``least``: by the sizes of their bags, or because 1 - similarity is a metric and their
+    distances to the bucket's smallest member differ by more than 1 - ``least``. So no link between classes is lost.
 
     Null and empty texts have no shingle and form one class; texts of one to four words are one shingle; repeated rows
     fall together; rows without an id have their own row with class_id and copy_of null; an empty table gives none.
@@ -193,21 +193,39 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = buckets.select("doc_id").distinct()
     texts = written(rows.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary")).dropDuplicates(["doc_id"]), "texts")
 
-    size_of = buckets.select("doc_id", "size").distinct()
     fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
-    stars = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("size").alias("size_b")).distinct()
-    stars = stars.join(size_of.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").filter(fits).select("a", "b")
-    links = written(verified(stars, texts, least), "linked")
-    roots = written(components(links), "roots")
-
-    placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "centre", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    open_ = written(placed.join(mixed_keys, "key"), "open")
-    side = lambda x: open_.select("key", F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("root").alias(f"root_{x}"), F.col("centre").alias(f"centre_{x}"))
-    # the centre itself has been compared with all
-    across = side("a").join(side("b").drop("centre_b"), "key").filter(F.expr("a < b AND root_a <> root_b AND a <> centre_a") & fits).select("a", "b").distinct()
-    more = written(verified(across, texts, least), "linked")
-    roots = written(components(links.unionByName(more)), "roots")
+
+    def classes(links: DataFrame) -> DataFrame:
+        """The buckets that still hold several classes, with the class of each member."""
+        nonlocal roots
+        roots = written(components(links), "roots")
+        placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "centre", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
+        several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+        return written(placed.join(several, "key"), "open")
+
+    roots: DataFrame
+    stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), texts)
+    links = stars.filter(F.col("s") >= least).select("a", "b")
+    still = classes(links)
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root")).alias(f"d{k}") for k in range(2)]
+    drawn = still.groupBy("key").agg(*drawn).select("key", F.explode(F.array("d0", "d1")).alias("d"))
+    drawn = drawn.select("key", F.col("d.doc_id").alias("a"), F.col("d.size").alias("size_a"), F.col("d.root").alias("root_a"))
+    others = still.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    again = others.join(drawn, "key").filter(F.expr("root_a <> root_b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    again = compared(again.join(stars, ["a", "b"], "left_anti"), texts)
+    links = links.unionByName(again.filter(F.col("s") >= least).select("a", "b"))
+
+    # pairs of different classes, by slots of the distance to the bucket's smallest member
+    reach = 1 - least + 1e-9
+    far = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("s")).alias("far"))
+    still = classes(links).join(far, ["centre", "doc_id"]).withColumn("slot", F.floor(F.col("far") / reach))
+    side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far")])
+    near_slots = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
+    across = side("a", near_slots).join(side("b", F.col("slot")), ["key", "slot"])
+    across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits)
+    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    more = compared(across.join(again, ["a", "b"], "left_anti"), texts)
+    roots = written(components(links.unionByName(more.filter(F.col("s") >= least).select("a", "b"))), "roots")
 
     out = members.join(roots, members["copy_of"] == roots["node"], "left")
     out = out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of").withColumn("kept", F.col("doc_id") == F.col("class_id"))
