@@ -27,7 +27,7 @@ END, START, BITS = 256, 257, 9
 SYMBOLS = 257  # bytes and the end
 #: A context stays in the model if it makes up one of so many parts of the training text; so there are at most as many
 #: contexts of each length, whatever the corpus.
-PARTS = 1 << 17
+PARTS = 1 << 16
 #: Cells of the table that goes to every task, 8 bytes each; the contexts are chosen so that it fits.
 MOST_CELLS = 1 << 24
 #: Words whose counts go to every task: the most frequent ones, of at most LONGEST bytes.
@@ -118,41 +118,40 @@ class Model:
         return np.add.reduceat(cost, begins)
 
 
-def model_of(levels: list[list[tuple[int, int, int]]], order: int = ORDER) -> Model:
-    """``levels[k]``: (context of k symbols, symbol, n). Each context's shorter ones must be there too."""
-    seen = sorted({s for level in levels for _, s, _ in level} | {c & (1 << BITS) - 1 for level in levels[1:] for c, _, _ in level})
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def model_of(levels: list[Level], order: int = ORDER) -> Model:
+    """``levels[k]``: contexts of k symbols, symbols, counts, side by side. Each context's shorter ones must be there too."""
+    low = (1 << BITS) - 1
+    seen = np.unique(np.concatenate([s for _, s, _ in levels] + [c & low for c, _, _ in levels[1:]])).astype(np.int64)
     classes = np.full(1 << BITS, len(seen) + 1)  # all symbols never seen are alike
     classes[seen] = np.arange(len(seen))
     classes[START] = classes[START] if START in seen else len(seen)
     width = len(seen) + 2
-    names, follows, logs = {0: 0}, [np.zeros((1, width), np.int32)], []
+    known, offset = np.zeros(1, np.int64), 0  # contexts of the level before, and its first node
+    follows, logs = [np.zeros((1, width), np.int32)], []
     before = after = None  # dense counts of the level before; chances after escaping from it
-    offset, unseen_left = 0, SYMBOLS
-    for k, level in enumerate(levels):
-        contexts = sorted({c for c, _, _ in level}) or ([0] if k == 0 else [])
-        here = {c: i for i, c in enumerate(contexts)}
+    for k, (context, symbol, n) in enumerate(levels):
+        contexts = np.unique(context) if len(context) or k else np.zeros(1, np.int64)
         counts = np.zeros((len(contexts), width))
-        for c, s, n in level:
-            counts[here[c], classes[s]] = n
+        counts[np.searchsorted(contexts, context), classes[symbol]] = n
         there = counts > 0
         total, kinds = counts.sum(1), there.sum(1)
         if k == 0:
-            unseen_left = max(1, SYMBOLS - int(kinds[0]))
-            escaped = np.full((1, width), 1.0 / unseen_left)
+            escaped = np.full((1, width), 1.0 / max(1, SYMBOLS - int(kinds[0])))
         else:
-            shorter = np.array([names[c & (1 << BITS * (k - 1)) - 1] for c in contexts], np.int64)
-            up = shorter - offset
-            n_up, there_up = before[up], before[up] > 0
+            up = np.searchsorted(known, contexts & (1 << BITS * (k - 1)) - 1)
+            n_up = before[up]
             left = (n_up * ~there).sum(1)
-            kinds_left = (there_up & ~there).sum(1)
+            kinds_left = ((n_up > 0) & ~there).sum(1)
             all_ = np.maximum(left + kinds_left, 1e-300)
             onward = np.where(left + kinds_left > 0, kinds_left / all_, 1.0)
-            escaped = np.where(there_up, n_up / all_[:, None], onward[:, None] * after[up])
-            follows.append(np.zeros((len(contexts), width), np.int32))
+            escaped = np.where(n_up > 0, n_up / all_[:, None], onward[:, None] * after[up])
             offset += len(before)
-            names = {c: offset + i for c, i in here.items()}
-            last = np.array([c >> BITS * (k - 1) for c in contexts], np.int64)
-            follows[k - 1][up, classes[last]] = offset + np.arange(len(contexts))
+            follows.append(np.zeros((len(contexts), width), np.int32))
+            follows[k - 1][up, classes[contexts >> BITS * (k - 1)]] = offset + np.arange(len(contexts))
+            known = contexts
         every = np.maximum(total + kinds, 1)
         escape = np.where(kinds > 0, kinds / every, 1.0)
         chance = np.where(there, counts / every[:, None], escape[:, None] * escaped)
@@ -177,9 +176,8 @@ def fit(df: DataFrame, order: int = ORDER, parts: int = PARTS) -> Model:
         if size["contexts"] * (size["symbols"] + 3) <= MOST_CELLS:
             break
         parts //= 2
-    found = table.toPandas()
-    by_level = [found[found["k"] == k] for k in range(order + 1)]
-    return model_of([list(zip(x["context"].tolist(), x["symbol"].tolist(), x["n"].tolist())) for x in by_level], order)
+    found = [table.filter(F.col("k") == k).select("context", "symbol", "n").toArrow() for k in range(order + 1)]
+    return model_of([tuple(x.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")) for x in found], order)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -224,8 +222,9 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = training.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = sums["n"] + texts, sums["v"] + (texts > 0)
-    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    shared = spark.sparkContext.broadcast((model, {bytes(r["word"]): r["n"] for r in top}))
+    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast((model, dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))))
+    del model, top
     end = math.log10(texts + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

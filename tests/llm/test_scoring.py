@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from greenframe.llm import scoring
 from greenframe.llm.common import documents
@@ -80,7 +81,8 @@ def test_against_plain_version(spark, monkeypatch):
 
 
 def test_chances_add_up_to_one():
-    model = scoring.model_of([[(0, 97, 3), (0, 98, 2), (0, 256, 1)], [(97, 98, 2), (98, 256, 1)], [(97 << 9 | 97, 98, 1)]], 2)
+    levels = [[(0, 97, 3), (0, 98, 2), (0, 256, 1)], [(97, 98, 2), (98, 256, 1)], [(97 << 9 | 97, 98, 1)]]
+    model = scoring.model_of([tuple(np.array(level).T) for level in levels], 2)
     for node in range(len(model.log10)):
         assert sum(10.0 ** model.log10[node, model.classes[s]] for s in range(scoring.SYMBOLS)) == pytest.approx(1, rel=1e-5)
 
