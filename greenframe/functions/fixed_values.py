@@ -108,3 +108,6 @@ MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+
+# Fixed value: how a fenced block in generated text is found.
+FENCED_BLOCK = r"(?is)```(?:\s*sql)?\s*\n(.*?)```"

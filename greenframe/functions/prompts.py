@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from greenframe.sources.tables import Tables, row_counts
 
 ADVICE = [
-    "name the needed columns instead of SELECT *",
-    "prefer INNER JOIN to subqueries",
-    "add LIMIT where the request allows it",
-    "keep functions away from indexed columns",
-    "filter rows before joining",
-    "leave out redundant DISTINCT, GROUP BY and ORDER BY",
+    "cut partitions away: compare partition columns with constants, not with expressions over them",
+    "aggregate to the join key first when a join would multiply rows",
+    "let one scan serve several aggregates with FILTER clauses or GROUPING SETS",
+    "mark a side for broadcast only when it is known to stay small",
+    "break up a join key that a large share of the rows has in common",
+    "read nested and wide columns last, once few rows are left",
+    "use semi and anti joins when only the existence of a match counts",
 ]
 
 

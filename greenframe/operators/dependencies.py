@@ -50,6 +50,17 @@ def candidate_keys(df: DataFrame, max_width: int = 2, columns: list[str] | None
     return spark.createDataFrame([(", ".join(k), len(k)) for k in keys], KEY_COLUMNS)
 
 
+def _one_form(kind_: Column, value: Column) -> Column:
+    """Equal values as equal texts, whatever their types: 3, 3.0, 3.00 and 3.0E0; a date and its midnight."""
+    double = value.try_cast("double")
+    whole = (double == F.floor(double)) & (F.abs(double) < 1e15)
+    number = F.when(value.rlike(r"^-?\d+(\.0*)?$"), F.regexp_replace(value, r"\.0*$", "")).when(
+        whole, double.cast("decimal(38,0)").cast("string")
+    ).otherwise(F.coalesce(double.cast("string"), value))
+    number = F.when(number == "-0", "0").otherwise(number)
+    return F.when(kind_ == "numeric", number).when(kind_ == "datetime", F.regexp_replace(value, r" 00:00:00(\.0+)?$", "")).otherwise(value)
+
+
 def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0) -> DataFrame:
     """(a_column, b_column, distinct_values, included, coverage_pct) for columns of the same kind.
 
@@ -64,8 +75,7 @@ def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0
         whole = value_counts(df, [f.name for f in usable]).select(
             F.col("column").alias(side), kinds.alias("kind"), "value"
         )
-        # 3.0 and 3 are the same number
-        return whole.withColumn("value", F.when(F.col("kind") == "numeric", F.regexp_replace("value", r"\.0$", "")).otherwise(F.col("value")))
+        return whole.withColumn("value", _one_form(F.col("kind"), F.col("value")))
 
     left, right = values(a, "a_column"), values(b, "b_column")
     sizes = left.groupBy("a_column").agg(F.count(F.lit(1)).alias("distinct_values"))
@@ -76,18 +86,32 @@ def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0
     ).filter(F.col("coverage_pct") >= min_coverage)
 
 
-def functional_dependencies(df: DataFrame, max_cols: int = 8, tolerance: float = 0.01,
-                            columns: list[str] | None = None) -> DataFrame:
+def functional_dependencies(df: DataFrame, tolerance: float = 0.01, columns: list[str] | None = None) -> DataFrame:
     """(determinant, dependent, violation_rate) of the pairs x -> y that at most ``tolerance`` of the rows break.
 
     A row breaks x -> y if its y is not the most frequent one of its x. Each
     unordered pair of columns is counted once and serves both directions.
+
+    All columns take part, but rows are counted only for pairs that their numbers of distinct values leave open: a
+    unique column determines every other, and where y has so many more values than x that the rows beyond one y for
+    each x are too many, x -> y cannot hold.
     """
-    names = (columns or [f.name for f in df.schema.fields if kind(f.dataType) != "other"])[:max_cols]
+    names = columns or [f.name for f in df.schema.fields if kind(f.dataType) != "other"]
     text = {c: quoted(c).cast("string") for c in names}
-    pairs = long_rows(
-        [[F.lit(x).alias("x"), F.lit(y).alias("y"), text[x].alias("vx"), text[y].alias("vy")] for x, y in combinations(names, 2)], df
+    texts = df.select(*[v.alias(c) for c, v in text.items()])
+    first = texts.agg(F.count(F.lit(1)).alias("rows"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    rows = first["rows"]
+    found = {r["column"]: r["values"] for r in value_counts(texts, names).groupBy("column").agg(F.count(F.lit(1)).alias("values")).collect()}
+    distinct = {c: found.get(c, 0) + (first[f"n{i}"] < rows) for i, c in enumerate(names)}
+    unique = {c for i, c in enumerate(names) if rows and distinct[c] == rows}
+    undecided = lambda x, y: x not in unique and (distinct[y] - distinct[x]) <= tolerance * rows
+    certain = df.sparkSession.createDataFrame(
+        [(x, y, 0.0) for x in names if x in unique for y in names if x != y and tolerance >= 0], "determinant string, dependent string, violation_rate double"
     )
+    left = [(x, y) for x, y in combinations(names, 2) if undecided(x, y) or undecided(y, x)] if rows else []
+    if not left:
+        return certain
+    pairs = long_rows([[F.lit(x).alias("x"), F.lit(y).alias("y"), text[x].alias("vx"), text[y].alias("vy")] for x, y in left], df)
     counted = pairs.groupBy("x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("n"))
     directed = counted.select(F.inline(F.array(
         F.struct(F.col("x").alias("determinant"), F.col("y").alias("dependent"), F.col("vx").alias("value"), F.col("n")),
@@ -97,4 +121,4 @@ def functional_dependencies(df: DataFrame, max_cols: int = 8, tolerance: float =
     rates = per_value.groupBy("determinant", "dependent").agg(
         ((F.sum("rows") - F.sum("kept")) / F.sum("rows")).alias("violation_rate")
     )
-    return rates.filter(F.col("violation_rate") <= tolerance)
+    return rates.filter((F.col("violation_rate") <= tolerance) & ~F.col("determinant").isin(sorted(unique))).unionByName(certain)

@@ -373,14 +373,17 @@ def example_rows(df: DataFrame, key: list[str], columns: list[str], n: int = 5,
     return result
 
 
-def apply_imputations(df: DataFrame, key: list[str], decisions: DataFrame) -> DataFrame:
+def apply_imputations(df: DataFrame, key: list[str], decisions: DataFrame, order: str | None = None) -> DataFrame:
     """Write the accepted values of ``decisions`` (key, column, imputed, accepted) into their cells.
 
-    A value that does not fit the type of its column is left out.
+    Of several accepted values for one cell the one with the largest ``order``, a column of ``decisions`` such as the
+    time of the decision, is written; without it, or where it is equal, the larger text. A value that does not fit the
+    type of its column is left out.
     """
     names = [c for c in df.columns if c not in key]
+    new, turn = F.trim("imputed"), F.col(order) if order else F.lit(0)
     written = decisions.filter("accepted").groupBy(*key).agg(*[
-        F.max(F.when(F.col("column") == c, F.trim("imputed"))).alias(f"_new_{c}") for c in names
+        F.max_by(new, F.when((F.col("column") == c) & new.isNotNull(), F.struct(turn, new))).alias(f"_new_{c}") for c in names
     ])
     joined = df.join(written, key, "left")
 

@@ -241,12 +241,7 @@ QUERIES = {
     "saved_tables": saved_tables,
 }
 
-_ADVICE = """1. name the needed columns instead of SELECT *
-2. prefer INNER JOIN to subqueries
-3. add LIMIT where the request allows it
-4. keep functions away from indexed columns
-5. filter rows before joining
-6. leave out redundant DISTINCT, GROUP BY and ORDER BY"""
+_ADVICE = "\n".join(f"{i}. {text}" for i, text in enumerate(prompts.ADVICE, 1))
 _NATION = "'Table nation: ' || (SELECT count(*) FROM nation) || ' rows, 3 columns\n  - n_nationkey (int)\n  - n_name (string)\n  - n_regionkey (int)'"
 _STATEMENT_SQL = "'SELECT text FROM conversations WHERE conv_id = ' || conv_id || ' AND turn = ' || turn"
 

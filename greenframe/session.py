@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folders: dict[str, str] = {}
+
 
 def local_session(app: str = "greenframe", cores: str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -26,17 +29,18 @@ def local_session(app: str = "greenframe", cores: str = "*", memory: str = "8g")
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a folder of its own.
+    Only where it names none and driver and executors are one process (tests on
+    one machine), a folder of the session's own takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="greenframe-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="greenframe-")
+    return _own_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -12,17 +12,23 @@ from greenframe.sources.naming import safe_table_name
 Tables = dict[str, DataFrame]
 
 
-def load_folder(spark: SparkSession, folder: str, names: list[str]) -> Tables:
-    """One Parquet table per name below ``folder``."""
+def load_folder(spark: SparkSession, folder: str, names: list[str] | None = None) -> Tables:
+    """The Parquet tables below ``folder``, or those of the given names. The store is listed by Spark's own reader of it."""
+    if names is None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = sorted(x.getPath().getName().removesuffix(".parquet") for x in listed if x.getPath().getName().endswith(".parquet"))
+        if not names:
+            raise ValueError("the folder holds no tables")
     return {name.lower(): spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
 def load_database(spark: SparkSession, database: str | None = None) -> Tables:
-    """Every table of a catalog database, by lower-case name."""
+    """Every table of a catalog database, by lower-case name. Temporary views, which belong to no database, are left out."""
     found = {
         entry.name.lower(): spark.table(f"`{database}`.`{entry.name}`" if database else f"`{entry.name}`")
         for entry in spark.catalog.listTables(database)
-        if not entry.name.startswith("sqlite_")
+        if not entry.isTemporary and not entry.name.startswith("sqlite_")
     }
     if not found:
         raise ValueError("the database holds no tables")

@@ -113,3 +113,10 @@ def test_review_queue(spark):
     every = impute.apply_imputations(df, ["id"], impute.review_all(decisions, True))
     assert every.filter("t = 'no'").count() == 1
     assert impute.apply_imputations(df, ["id"], impute.review_all(decisions, False)).filter("u = 'new'").count() == 0
+
+
+def test_the_later_decision_wins(spark):
+    df = spark.createDataFrame([(1, None)], "id int, n int")
+    decisions = spark.createDataFrame([(1, "n", "9", True, 1), (1, "n", "10", True, 2), (1, "n", "11", False, 3)], "id int, column string, imputed string, accepted boolean, at int")
+    assert impute.apply_imputations(df, ["id"], decisions, order="at").first()["n"] == 10
+    assert impute.apply_imputations(df, ["id"], decisions.drop("at")).first()["n"] == 9

@@ -178,3 +178,28 @@ def test_keys_and_dependencies(spark):
     other = spark.createDataFrame([(0.0,), (1.0,), (99.0,)], "v double")
     got = {r["a_column"]: r["coverage_pct"] for r in dep.inclusion_dependencies(df.select("bit", "half"), other).collect()}
     assert got == {"bit": 100.0, "half": 40.0}
+
+
+def test_functional_dependencies_of_many_columns(spark):
+    rows = [(i, i // 2, i // 4, i % 3, 7, str(i), i * 1.5, f"g{i // 4}", i % 2, None if i % 5 else i, (i // 2) % 7) for i in range(200)]
+    names = [f"c{i}" for i in range(11)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["int"] * 5 + ["string", "double", "string", "int", "int", "int"])))
+    got = {(r["determinant"], r["dependent"]): round(r["violation_rate"], 9) for r in dep.functional_dependencies(df, tolerance=0.05).collect()}
+    want = {}
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            groups = {}
+            for r in rows:
+                groups.setdefault(r[i], []).append(r[j])
+            broken = sum(len(g) - max(map(g.count, g)) for g in groups.values()) / len(rows)
+            if x != y and broken <= 0.05:
+                want[x, y] = round(broken, 9)
+    assert got == want and ("c7", "c2") in got and ("c0", "c10") in got
+    assert dep.functional_dependencies(df.filter("false")).count() == 0
+
+
+def test_inclusion_by_value(spark):
+    a = spark.sql("SELECT * FROM VALUES (1.0E7D, 1.50BD, DATE'2020-01-02', 0.25D), (2.5E7D, 3.00BD, DATE'2020-01-03', 1e20D), (3D, 4.00BD, DATE'2020-01-04', -0.0D) AS t(d, m, day, f)")
+    b = spark.sql("SELECT * FROM VALUES (10000000L, 1.5D, TIMESTAMP_NTZ'2020-01-02 00:00:00', 0), (25000000L, 3D, TIMESTAMP_NTZ'2020-01-03 00:00:00', 5), (3L, 4D, TIMESTAMP_NTZ'2020-01-04 10:00:00', 6) AS t(n, x, at, z)")
+    got = {(r["a_column"], r["b_column"]): r["included"] for r in dep.inclusion_dependencies(a, b).collect()}
+    assert got["d", "n"] == 3 and got["m", "x"] == 3 and got["day", "at"] == 2 and got["f", "z"] == 1

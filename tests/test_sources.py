@@ -126,3 +126,19 @@ def test_export(spark, folder, tmp_path):
     metrics = spark.read.json(f"{tmp_path}/supplier/metrics.json").first()
     assert metrics["rows"] == made["supplier"].count() and metrics["cols"] == 4
     assert spark.read.option("header", True).csv(f"{tmp_path}/nation/profiling/anomalies.csv").count() == 3
+
+
+def test_temporary_views_are_no_tables(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS holding")
+    spark.sql("DROP TABLE IF EXISTS holding.kept")
+    spark.range(3).write.saveAsTable("holding.kept")
+    spark.range(5).createOrReplaceTempView("kept")
+    found = tables.load_database(spark, "holding")
+    assert list(found) == ["kept"] and found["kept"].count() == 3
+    spark.catalog.dropTempView("kept")
+
+
+def test_a_folder_is_listed(spark, folder, tmp_path):
+    assert {"region", "lineitem", "documents"} <= set(tables.load_folder(spark, folder))
+    with pytest.raises(ValueError):
+        tables.load_folder(spark, str(tmp_path))
