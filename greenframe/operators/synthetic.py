@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -365,7 +366,26 @@ class ForeignKey:
 
 
 BLOCK = 100_000
-FAN_OUT_KNOTS = 1000
+
+
+def _children_wanted(fan: DataFrame, parents: int, seed: int) -> DataFrame:
+    """(id, _wanted): numbers of children for parents 0 to ``parents`` - 1, in the shares that ``fan`` (_c) has.
+
+    The histogram of children per parent is cut into as many equal parts as there are parents, so the largest families
+    are there too, and with as many parents as before each number occurs as often as before. Which parent gets which
+    number is a fixed shuffle of the ids.
+    """
+    histogram = fan.groupBy("_c").agg(F.count(F.lit(1)).alias("_parents"))
+    upto = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)  # one row per number of children
+    all_ = F.sum("_parents").over(Window.partitionBy())
+    cuts = histogram.withColumn("_to", F.floor(F.sum("_parents").over(upto) * F.lit(parents) / all_ + F.lit(1e-9)).cast("long"))
+    cuts = cuts.withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("_c")), F.lit(0))).filter("_to > _from")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_to") - F.col("_from") - 1) / BLOCK)))
+    pieces = cuts.select("_c", "_from", "_to", piece.alias("_piece")).repartition("_c", "_piece")
+    begin = F.col("_from") + F.col("_piece") * BLOCK
+    ranks = pieces.select("_c", F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col("_to")) - 1)).alias("_rank"))
+    step = next(k for k in range(int(parents * 0.618) + 1 + seed % 7, 2 * parents + 10) if math.gcd(k, parents) == 1)
+    return ranks.select(F.pmod(F.col("_rank").cast("decimal(38,0)") * step + seed, F.lit(parents)).cast("long").alias("id"), F.col("_c").cast("long").alias("_wanted"))
 
 
 def _numbered_children(parents: DataFrame, parent_id: str, children: str) -> tuple[DataFrame, int]:
@@ -394,9 +414,10 @@ def generate_relational(tables: dict[str, DataFrame], keys: dict[str, str], fore
     """Synthetic versions of related tables.
 
     ``rows`` is wanted for the first table; the others scale along. Primary keys
-    (``keys``) become dense numbers. A child table follows the observed number
-    of children per parent of its first foreign key; further foreign keys pick
-    a parent each. Every foreign key therefore finds its parent.
+    (``keys``) become dense numbers in the type of their column. A child table
+    follows the observed numbers of children per parent of its first foreign
+    key, the largest included; further foreign keys pick a parent each. Every
+    foreign key therefore finds its parent, or is missing as often as it was.
     """
     spark = next(iter(tables.values())).sparkSession
     sizes = {name: df.count() for name, df in tables.items()}
@@ -421,22 +442,23 @@ def generate_relational(tables: dict[str, DataFrame], keys: dict[str, str], fore
                 parents = tables[first.parent].select(F.col(first.parent_key).alias("_k"))
                 have = df.filter(F.col(first.column).isNotNull()).groupBy(F.col(first.column).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
                 fan = parents.join(have, "_k", "left").select(F.coalesce("_c", F.lit(0)).alias("_c"))
-                marks = F.array(*[F.lit((i + 0.5) / FAN_OUT_KNOTS) for i in range(FAN_OUT_KNOTS)])
-                steps = fan.agg(F.percentile_approx("_c", marks, FAN_OUT_KNOTS * 10)).first()[0]
-                draw = F.floor(hashed_uniform(F.col("id"), F.lit(f"children {name}"), F.lit(seed)) * len(steps)).cast("int")
-                wanted = spark.range(counts[first.parent]).withColumn(
-                    "_wanted", F.get(F.array(*[F.lit(int(s)) for s in steps]), draw).cast("long"))
-                base, counts[name] = _numbered_children(wanted, "id", "_wanted")
+                base, total = _numbered_children(_children_wanted(fan, counts[first.parent], seed), "id", "_wanted")
+                orphans = round(df.filter(F.col(first.column).isNull()).count() * counts[first.parent] / max(1, sizes[first.parent]))
+                base = base.unionByName(spark.range(total, total + orphans).select(F.lit(None).cast("long").alias("_parent"), F.col("id").alias("_id")))
+                counts[name] = total + orphans
                 linked = {first.column: F.col("_parent")}
-            for fk in owners[name]:
-                if fk is not first:
-                    size = counts.get(fk.parent, 1)
-                    linked[fk.column] = F.pmod(F.xxhash64(F.col("_id"), F.lit(fk.column), F.lit(seed)), F.lit(size))
+            others = [fk for fk in owners[name] if fk is not first]
+            if others:
+                missing = df.agg(*[F.avg(F.col(fk.column).isNull().cast("int")).alias(f"m{i}") for i, fk in enumerate(others)]).first()
+            for i, fk in enumerate(others):
+                size = counts.get(fk.parent, 1)
+                there = hashed_uniform(F.col("_id"), F.lit(f"missing {fk.column}"), F.lit(seed)) >= (missing[f"m{i}"] or 0.0)
+                linked[fk.column] = F.when(there, F.pmod(F.xxhash64(F.col("_id"), F.lit(fk.column), F.lit(seed)), F.lit(size)))
             plain = [c for c in df.columns if c != key and c not in linked]
             drawn = sample_copula(fit_copula(df, plain), base, "_id", seed) if plain else base
             cells = {key: F.col("_id"), **linked}
             made[name] = drawn.select(*[
-                cells[c].cast("long").alias(c) if c in cells else quoted(c) for c in df.columns
+                cells[c].cast("long").cast(df.schema[c].dataType).alias(c) if c in cells else quoted(c) for c in df.columns
             ])
     return made
 

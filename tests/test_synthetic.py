@@ -89,3 +89,14 @@ def test_a_parent_of_very_many_children_is_cut_in_pieces(spark, monkeypatch):
     got = sorted((r["_id"], r["_parent"]) for r in rows.collect())
     assert total == 106 and [i for i, _ in got] == list(range(106))
     assert [p for _, p in got] == [0] * 3 + [2] * 95 + [15] * 7 + [31]
+
+
+def test_the_largest_family_stays(spark):
+    parents = spark.range(1000).selectExpr("concat('p', id) AS pk", "id % 3 AS v")
+    kids = spark.range(3000).selectExpr("id AS ck", "CASE WHEN id < 2001 THEN 'p7' WHEN id % 10 = 0 THEN NULL ELSE concat('p', id % 1000) END AS p", "concat('p', id % 5) AS q", "id * 0.5 AS w")
+    made = sy.generate_relational({"parents": parents, "kids": kids}, {"parents": "pk", "kids": "ck"}, [sy.ForeignKey("kids", "p", "parents", "pk"), sy.ForeignKey("kids", "q", "parents", "pk")])
+    assert dict(made["kids"].dtypes)["p"] == "string" and dict(made["parents"].dtypes)["pk"] == "string"
+    families = lambda df: sorted(r["n"] for r in df.filter("p IS NOT NULL").groupBy("p").agg(F.count("*").alias("n")).collect())
+    assert families(made["kids"]) == families(kids) and max(families(kids)) > 2000
+    assert made["kids"].filter("p IS NULL").count() == kids.filter("p IS NULL").count()
+    assert made["kids"].select("ck").distinct().count() == 3000
