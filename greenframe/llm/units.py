@@ -41,7 +41,10 @@ def spaced_units(text: str) -> list[str] | None:
 
 def worded_units(text: str) -> list[str] | None:
     """Words, for tokenizers that drop white space; None where unusual white space occurs."""
-    return None if RARE_SPACE.search(text) else text.split()
+    if RARE_SPACE.search(text):
+        return None
+    # such a tokenizer ignores case; special strings, which it looks for first, do not
+    return (text.lower() if text.isascii() and "<|" not in text else text).split()
 
 
 def unit_text(unit: str) -> str:
@@ -61,6 +64,7 @@ class LibraryIds:
         if any(x.lstrip or x.rstrip or len(x.content.split()) != 1 for x in self.library.get_added_tokens_decoder().values()):
             self.units = lambda text: None  # special strings that reach over white space: no units
         self.known = Remembered(most)
+        self.points = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,8 +76,13 @@ class LibraryIds:
             return self._encode([text])[0]
         found = list(map(self.known.values.get, units))
         if None in found:
-            new = list({u for u, x in zip(units, found) if x is None})
-            got = dict(zip(new, self._encode([self.text_of(u) for u in new])))
+            new = {u for u, x in zip(units, found) if x is None}
+            # letters and a point or comma after them are always different tokens
+            ending = {u for u in new if u[-1:] in self.points and u[:-1].isalpha()}
+            stems = {u[:-1] for u in ending}
+            asked = list((new - ending) | {u for u in stems if u not in self.known.values})
+            got = dict(zip(asked, self._encode([self.text_of(u) for u in asked])))
+            got |= {u: (got.get(u[:-1]) or self.known.values[u[:-1]]) + self.points[u[-1]] for u in ending}
             found = [got[u] if x is None else x for u, x in zip(units, found)]
             self.known.add(list(got), list(got.values()))
         return b"".join(found)
