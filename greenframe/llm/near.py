@@ -139,16 +139,22 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(two, "b").join(one, "a").mapInPandas(compare, "a long, b long, s double"), "compared")
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether each node of the distinct edges (a > b) hangs on one other node, which itself hangs on none."""
+    ends = F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))
+    nodes = edges.select(F.inline(ends)).groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return nodes.filter("ups > 1 OR (ups = 1 AND least = 0)").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components; root is the smallest node.
 
-    Large and small stars by turns: each node hangs its neighbours on the smallest of them. The number of rounds grows
-    with the logarithm of the longest chain; each is written to the shared folder.
+    Large and small stars by turns: each node hangs its neighbours on the smallest of them, until all hang on a root.
+    The number of rounds grows with the logarithm of the longest chain; each is written to the shared folder.
     """
 
     def star(edges: DataFrame, small: bool) -> DataFrame:
-        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if not small else edges.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        near = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "n")
         hung = near.join(least, near["a"] == least["n"]).select("a", "b", "m")
         if small:
@@ -157,15 +163,18 @@ def components(links: DataFrame) -> DataFrame:
             out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.filter("a <> b").distinct()
 
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = written(links.select("a", "b").filter("a <> b").distinct(), "links")
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = written(edges.distinct(), "links")
+    while not settled(edges):
         edges = written(star(star(edges, False), True), "stars")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes of ``roots`` as (node, root) after further links."""
+    return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), copy_of (smallest id with the same words), kept.
 
@@ -195,37 +204,37 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
 
-    def classes(links: DataFrame) -> DataFrame:
+    def open_buckets(roots: DataFrame) -> DataFrame:
         """The buckets that still hold several classes, with the class of each member."""
-        nonlocal roots
-        roots = written(components(links), "roots")
         placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "centre", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
         several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
         return written(placed.join(several, "key"), "open")
 
-    roots: DataFrame
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(F.col("s") >= least).select("a", "b")
+
     stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), texts)
-    links = stars.filter(F.col("s") >= least).select("a", "b")
-    still = classes(links)
+    roots = written(components(links_of(stars)), "roots")
+    still = open_buckets(roots)
     drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root")).alias(f"d{k}") for k in range(2)]
     drawn = still.groupBy("key").agg(*drawn).select("key", F.explode(F.array("d0", "d1")).alias("d"))
     drawn = drawn.select("key", F.col("d.doc_id").alias("a"), F.col("d.size").alias("size_a"), F.col("d.root").alias("root_a"))
     others = still.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     again = others.join(drawn, "key").filter(F.expr("root_a <> root_b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = compared(again.join(stars, ["a", "b"], "left_anti"), texts)
-    links = links.unionByName(again.filter(F.col("s") >= least).select("a", "b"))
+    roots = joined(roots, links_of(again))
 
     # pairs of different classes, by slots of the distance to the bucket's smallest member
     reach = 1 - least + 1e-9
     far = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("s")).alias("far"))
-    still = classes(links).join(far, ["centre", "doc_id"]).withColumn("slot", F.floor(F.col("far") / reach))
+    still = open_buckets(roots).join(far, ["centre", "doc_id"]).withColumn("slot", F.floor(F.col("far") / reach))
     side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far")])
     near_slots = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
     across = side("a", near_slots).join(side("b", F.col("slot")), ["key", "slot"])
     across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits)
     across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = compared(across.join(again, ["a", "b"], "left_anti"), texts)
-    roots = written(components(links.unionByName(more.filter(F.col("s") >= least).select("a", "b"))), "roots")
+    roots = joined(roots, links_of(more))
 
     out = members.join(roots, members["copy_of"] == roots["node"], "left")
     out = out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of").withColumn("kept", F.col("doc_id") == F.col("class_id"))

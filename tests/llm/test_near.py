@@ -79,3 +79,21 @@ def test_chains_and_edge_cases(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in out if r["doc_id"] is not None)
     assert sorted(r["doc_id"] for r in near.without_near_copies(df).collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 6, 8, 8, 100]
     assert near.near_classes(df.filter("false")).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(0, 40)]
+    star = [(100, i) for i in range(101, 130)]
+    rest = [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
+    for links in (chain + star + rest, star, []):
+        root = {n: n for link in links for n in link}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        alone = {n for a, b in links if a == b for n in (a,)} - {n for a, b in links if a != b for n in (a, b)}
+        got = near.components(spark.createDataFrame(links, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == sorted((n, r) for n, r in root.items() if n not in alone)
+    roots = near.components(spark.createDataFrame(star, "a long, b long"))
+    more = near.joined(roots, spark.createDataFrame([(50, 120), (50, 51)], "a long, b long")).collect()
+    assert {r["root"] for r in more} == {50} and len(more) == 32
