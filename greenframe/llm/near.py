@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,12 +88,19 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def similarity(a: list[bytes], b: list[bytes]) -> float:
-    """Weighted Jaccard similarity of the shingle bags."""
-    (x, n), (y, k) = shingle_bag(a), shingle_bag(b)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], k[j]).sum())
-    return both / max(1, int(n.sum() + k.sum()) - both)
+def bag_members(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The bag as a sorted set: each further occurrence of a shingle is a member of its own."""
+    elements, weights = shingle_bag(words, size)
+    begins = np.repeat(np.cumsum(weights) - weights, weights)
+    nth = (np.arange(len(begins)) - begins).astype(np.uint64)
+    repeated = np.repeat(elements, weights)
+    return np.sort(np.where(nth > 0, mixed(repeated + nth * MIX), repeated))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags, given by their members."""
+    either = len(np.union1d(a, b))
+    return (len(a) + len(b) - either) / max(1, either)
 
 
 def signed(df: DataFrame) -> DataFrame:
@@ -127,16 +133,30 @@ def signed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("binary")).mapInArrow(sign, "doc_id long, digest binary, size long, keys array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the similarity of their bags."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def bags_of(rows: DataFrame) -> DataFrame:
+    """doc_id and the members of the bag, 8 bytes each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag_members(text.as_py().split()).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["doc_id", "bag"])
+
+    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(pack, "doc_id long, bag binary")
+
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[["a", "b"]].assign(s=[similarity(x.split(), y.split()) for x, y in zip(frame["text_a"], frame["text_b"])])
+def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their bags. The pairs are dealt anew, since few bytes may be much work."""
+    one = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
+    two = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in ("bag_a", "bag_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(list(map(similarity, x, y)), pa.float64())], ["a", "b", "s"])
 
-    return written(pairs.join(two, "b").join(one, "a").mapInPandas(compare, "a long, b long, s double"), "compared")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(tasks, "b")
+    return written(dealt.join(two, "b").join(one, "a").mapInArrow(compare, "a long, b long, s double"), "compared")
 
 
 def settled(edges: DataFrame) -> bool:
@@ -200,7 +220,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centres = buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
     buckets = written(buckets.join(centres, "key"), "buckets")
     wanted = buckets.select("doc_id").distinct()
-    texts = written(rows.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary")).dropDuplicates(["doc_id"]), "texts")
+    bags = written(bags_of(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags")
 
     fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
 
@@ -213,7 +233,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def links_of(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("s") >= least).select("a", "b")
 
-    stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), texts)
+    stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), bags)
     roots = written(components(links_of(stars)), "roots")
     still = open_buckets(roots)
     drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root")).alias(f"d{k}") for k in range(2)]
@@ -221,7 +241,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = drawn.select("key", F.col("d.doc_id").alias("a"), F.col("d.size").alias("size_a"), F.col("d.root").alias("root_a"))
     others = still.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     again = others.join(drawn, "key").filter(F.expr("root_a <> root_b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    again = compared(again.join(stars, ["a", "b"], "left_anti"), texts)
+    again = compared(again.join(stars, ["a", "b"], "left_anti"), bags)
     roots = joined(roots, links_of(again))
 
     # pairs of different classes, by slots of the distance to the bucket's smallest member
@@ -233,7 +253,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = side("a", near_slots).join(side("b", F.col("slot")), ["key", "slot"])
     across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits)
     across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    more = compared(across.join(again, ["a", "b"], "left_anti"), texts)
+    more = compared(across.join(again, ["a", "b"], "left_anti"), bags)
     roots = joined(roots, links_of(more))
 
     out = members.join(roots, members["copy_of"] == roots["node"], "left")
