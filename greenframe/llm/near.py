@@ -25,6 +25,8 @@ from .repeats import AGAIN, MIX, gram_hashes, mixed
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 40, 6  # a pair of similarity 0.8 is missed with a probability below 1e-5
 AT_ONCE = 200_000
+#: Longs of 64 parities each: members of a bag fall into as many cells.
+PARITIES = 8
 
 
 def shingle_bag(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return (len(a) + len(b) - either) / max(1, either)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether the number of members in each cell is odd. Two bags differ in at least as many members as cells."""
+    cells = 64 * PARITIES
+    return np.packbits(np.bincount((members % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).view(np.int64)
+
+
 def signed(df: DataFrame) -> DataFrame:
     """doc_id, digest of the words, shingles in the bag, band keys. One pass, no shuffle."""
 
@@ -134,14 +142,15 @@ def signed(df: DataFrame) -> DataFrame:
 
 
 def bags_of(rows: DataFrame) -> DataFrame:
-    """doc_id and the members of the bag, 8 bytes each."""
+    """doc_id, the members of the bag, 8 bytes each, and their parities."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [bag_members(text.as_py().split()).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["doc_id", "bag"])
+            bags = [bag_members(text.as_py().split()) for text in batch.column(1)]
+            sides = [pa.array([x.tobytes() for x in bags], pa.binary()), pa.array([parities(x) for x in bags], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides], ["doc_id", "bag", "parity"])
 
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(pack, "doc_id long, bag binary")
+    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(pack, "doc_id long, bag binary, parity array<long>")
 
 
 def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -202,7 +211,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     settled by a digest and stand for one. Of the others, the members of a band bucket are first compared with the
     smallest, then, where classes still differ, with two members drawn by a hash: a large group of near copies mostly
     becomes one class by a few comparisons each. What is in different classes even then is compared pair by pair, but
-    for pairs that cannot reach ``least``: by the sizes of their bags, or because 1 - similarity is a metric and their
+    for pairs that cannot reach ``least``: by the sizes of their bags, by the parities of
+    their members, fewer of which differ than members do, or because 1 - similarity is a metric and their
     distances to the bucket's smallest member differ by more than 1 - ``least``. So no link between classes is lost.
 
     Null and empty texts have no shingle and form one class; texts of one to four words are one shingle; repeated rows
@@ -222,13 +232,14 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = buckets.select("doc_id").distinct()
     bags = written(bags_of(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags")
 
-    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
+    differ = F.expr(" + ".join(f"bit_count(parity_a[{k}] ^ parity_b[{k}])" for k in range(PARITIES)))
+    fits = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")) & (differ <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-9)
 
     def open_buckets(roots: DataFrame) -> DataFrame:
         """The buckets that still hold several classes, with the class of each member."""
         placed = buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("key", "centre", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
         several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-        return written(placed.join(several, "key"), "open")
+        return written(placed.join(several, "key").join(bags.select("doc_id", "parity"), "doc_id"), "open")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("s") >= least).select("a", "b")
@@ -236,10 +247,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), bags)
     roots = written(components(links_of(stars)), "roots")
     still = open_buckets(roots)
-    drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root")).alias(f"d{k}") for k in range(2)]
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root", "parity")).alias(f"d{k}") for k in range(2)]
     drawn = still.groupBy("key").agg(*drawn).select("key", F.explode(F.array("d0", "d1")).alias("d"))
-    drawn = drawn.select("key", F.col("d.doc_id").alias("a"), F.col("d.size").alias("size_a"), F.col("d.root").alias("root_a"))
-    others = still.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    drawn = drawn.select("key", F.col("d.doc_id").alias("a"), F.col("d.size").alias("size_a"), F.col("d.root").alias("root_a"), F.col("d.parity").alias("parity_a"))
+    others = still.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"))
     again = others.join(drawn, "key").filter(F.expr("root_a <> root_b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = compared(again.join(stars, ["a", "b"], "left_anti"), bags)
     roots = joined(roots, links_of(again))
@@ -248,7 +259,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reach = 1 - least + 1e-9
     far = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("s")).alias("far"))
     still = open_buckets(roots).join(far, ["centre", "doc_id"]).withColumn("slot", F.floor(F.col("far") / reach))
-    side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far")])
+    side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far", "parity")])
     near_slots = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
     across = side("a", near_slots).join(side("b", F.col("slot")), ["key", "slot"])
     across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits)

@@ -56,6 +56,15 @@ def test_similarity():
         assert abs(near.similarity(near.bag_members(a.encode().split()), near.bag_members(b.encode().split())) - (jaccard(bag(a), bag(b)))) < 1e-12 or min(len(a.split()), len(b.split())) < 5
 
 
+def test_parities_never_differ_more_than_members():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: 4 * len(x) // 5], rng.integers(0, 1 << 63, n // 4).astype(np.uint64)]))
+        odd = sum(bin(int(a) & (1 << 64) - 1).count("1") for a in near.parities(x) ^ near.parities(y))
+        assert len(near.parities(x)) == near.PARITIES and odd <= len(np.setxor1d(x, y))
+
+
 def test_classes_of_given_documents(spark, folder):
     docs = documents(spark, folder)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
