@@ -3,8 +3,9 @@
 The model is a trie of byte contexts of up to ORDER bytes with the counts of what followed them. A symbol (a byte or
 the end of the text) that followed the longest known context gets its share there; the rest of the probability, by
 method C as many parts as there were different symbols, escapes to the context one byte shorter, in which all symbols
-of the longer one are excluded. What is excluded depends on the longer context alone, so the probability of each symbol
-in each context can be worked out once, as a table, and a text is scored by walking its contexts down the trie.
+of the longer one are excluded. What is excluded depends on the longer context alone, so the probability of a symbol
+in a context can be worked out once. The trie is a table per order, with every context of the training texts; chances
+of the grams that occur are worked out by joins of these tables and joined to the grams of each block of texts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, remainder, written
@@ -25,11 +26,8 @@ from .common import id_and_text, remainder, written
 ORDER = 5
 END, START, BITS = 256, 257, 9
 SYMBOLS = 257  # bytes and the end
-#: A context stays in the model if it makes up one of so many parts of the training text; so there are at most as many
-#: contexts of each length, whatever the corpus.
-PARTS = 1 << 16
-#: Cells of the table that goes to every task, 8 bytes each; the contexts are chosen so that it fits.
-MOST_CELLS = 1 << 24
+#: Bytes of text (and 8 a row) of a block, on average; a block's texts meet the chances of its grams in one task.
+BLOCK = 1 << 23
 #: Words whose counts go to every task: the most frequent ones, of at most LONGEST bytes.
 FREQUENT, LONGEST = 100_000, 64
 CHUNK = 1 << 20
@@ -64,36 +62,82 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
-def gram_counts(df: DataFrame, order: int = ORDER) -> DataFrame:
-    """(context, symbol, n) over all texts: ``order`` symbols before a symbol, packed, and the symbol. Added up per task first."""
+def codes_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each place of sequence() from ``order`` on, packed, and whether a symbol of a text is there."""
+    symbols = sequence(texts, order)
+    codes = reduce(lambda code, j: code << BITS | symbols[j : len(symbols) - order + j], range(1, order + 1), symbols[: len(symbols) - order])
+    return codes, symbols[order:] != START
+
+
+def block_grams(blocks: DataFrame, order: int) -> DataFrame:
+    """(block, code, n): each gram of a block's texts, ``order`` symbols and the one after them, and its count in those to learn from."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        held_out = table.column("held_out").to_numpy()
+        for held in (True, False):
+            for texts in chunks(x.as_py().lower() for x in table.column("text").filter(pa.array(held_out == held))):
+                codes, inner = codes_of(texts, order)
+                codes, n = np.unique(codes[inner], return_counts=True)
+                parts.append((codes, n * (not held)))
+                if sum(len(c) for c, _ in parts) > 4_000_000:
+                    parts = [merged(parts)]
+        codes, n = merged(parts)
+        return pa.table({"block": np.full(len(codes), table.column("block")[0].as_py(), np.int64), "code": codes, "n": n})
+
+    return blocks.groupBy("block").applyInArrow(counted, "block long, code long, n long")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for texts in chunks(x.as_py().lower() for batch in batches for x in batch.column(0)):
-            symbols = sequence(texts, order)
-            codes = reduce(lambda code, j: code << BITS | symbols[j : len(symbols) - order + j], range(1, order + 1), symbols[: len(symbols) - order])
-            codes = codes[symbols[order:] != START]
-            parts.append(np.unique(codes, return_counts=True))
-            held += len(parts[-1][0])
-            if held > 4_000_000:
-                parts = [merged(parts)]
-                held = len(parts[0][0])
-                if held > 3_000_000:  # a task never holds more
-                    yield batch_of(*parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield batch_of(*merged(parts))
-
-    def batch_of(codes, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes >> BITS), pa.array((codes & (1 << BITS) - 1).astype(np.int32)), pa.array(counts)], ["context", "symbol", "n"])
-
-    grams = df.select(F.col("text").cast("binary")).mapInArrow(counted, "context long, symbol int, n long")
-    return grams.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+
+def gram_chances(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, chance): log10 of the chance of each gram's last symbol after the others, from all counts ``n`` (0: unseen).
+
+    A table per order has each gram as (context, symbol), the context's total and kinds of symbols. A symbol unseen
+    after a known context has what is left there (escape) and its chance in the shorter context without the longer
+    one's symbols (onward). All joins are by gram or context and a key has at most one row per symbol, whatever the corpus.
+    """
+    low = lambda k: F.lit((1 << BITS * (k + 1)) - 1)
+    same = Window.partitionBy("context")
+    tables = {}
+    for k in range(order, -1, -1):
+        counts = (grams if k == order else tables[k + 1].select(F.col("code").bitwiseAND(low(k)).alias("code"), "n")).groupBy("code").agg(F.sum("n").alias("n"))
+        counts = counts.withColumn("context", F.shiftright("code", BITS))
+        seen = F.col("n") > 0
+        tables[k] = written(
+            counts.select(
+                "code", "context", "n", F.sum("n").over(same).alias("total"), F.sum(seen.cast("long")).over(same).alias("kinds"), F.min("n").over(same).alias("least")
+            ),
+            "grams",
+        )
+    unseen = F.col("n") == 0
+    escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))
+    direct = F.log10(F.col("n") / (F.col("total") + F.col("kinds")))
+    out = None
+    for k in range(order + 1):
+        if k == 0:
+            rest = tables[0].withColumn("onward", F.when(unseen, -F.log10(F.lit(SYMBOLS) - F.col("kinds"))))
+            out = rest.withColumn("chance", F.when(~unseen, direct).otherwise(F.when(F.col("total") > 0, escape).otherwise(0.0) + F.col("onward")))
+            continue
+        shorter = tables[k - 1].select(F.col("code").alias("up"), F.col("n").alias("up_seen"))
+        # what the shorter context counts of the symbols seen after the longer one
+        excluded = tables[k].filter("n > 0 AND least = 0").withColumn("up", F.col("code").bitwiseAND(low(k - 1))).join(shorter, "up")
+        excluded = excluded.groupBy("context").agg(F.sum("up_seen").alias("excluded"))
+        up = out.select(
+            F.col("code").alias("up"), F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"), F.col("onward").alias("up_onward"), F.col("chance").alias("up_chance")
+        )
+        rest = tables[k].filter(unseen).withColumn("up", F.col("code").bitwiseAND(low(k - 1))).join(up, "up").join(excluded, "context", "left")
+        kinds = F.col("up_kinds") - F.col("kinds")
+        parts = F.col("up_total") - F.col("excluded") + kinds
+        onward = F.when(F.col("up_n") > 0, F.log10(F.col("up_n") / parts)).otherwise(F.when(kinds > 0, F.log10(kinds / parts)).otherwise(0.0) + F.col("up_onward"))
+        rest = rest.withColumn("onward", F.when(F.col("total") > 0, onward))
+        rest = rest.select("code", "n", "total", "kinds", "onward", F.when(F.col("total") > 0, escape + F.col("onward")).otherwise(F.col("up_chance")).alias("chance"))
+        found = tables[k].filter(~unseen).select("code", "n", "total", "kinds", F.lit(None).cast("double").alias("onward"), direct.alias("chance"))
+        out = found.unionByName(rest)
+    return out.select("code", F.col("chance").cast("float").alias("chance"))
 
 
 @dataclass
 class Model:
-    """``follow[node, class]``: the longer context that a byte before ``node`` leads to, 0 if unknown. ``log10[node, class]``."""
+    """A small trie in memory, to compare with. ``follow[node, class]``: the longer context that a byte before ``node`` leads to, 0 if unknown. ``log10[node, class]``."""
 
     classes: np.ndarray  # class of each symbol
     follow: np.ndarray
@@ -160,26 +204,6 @@ def model_of(levels: list[Level], order: int = ORDER) -> Model:
     return Model(classes, np.concatenate(follows), np.concatenate(logs), order)
 
 
-def fit(df: DataFrame, order: int = ORDER, parts: int = PARTS) -> Model:
-    """The model of all texts of ``df``. Counts cover the whole corpus; to the driver come contexts of a bounded number."""
-    grams = written(gram_counts(df, order), "grams")
-    total = grams.agg(F.sum("n").alias("n")).first()["n"] or 0
-    levels = []
-    for k in range(order + 1):
-        level = grams.withColumn("context", F.col("context").bitwiseAND(F.lit((1 << BITS * k) - 1))).groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        kept = level.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total").cast("double") * parts >= total)
-        levels.append(level.join(kept, "context").select(F.lit(k).alias("k"), "context", "symbol", "n", "total"))
-    table = written(reduce(DataFrame.unionByName, levels), "contexts")
-    while True:
-        table = table.filter(F.col("total").cast("double") * parts >= total)
-        size = table.agg(F.count_distinct("k", "context").alias("contexts"), F.count_distinct("symbol").alias("symbols")).first()
-        if size["contexts"] * (size["symbols"] + 3) <= MOST_CELLS:
-            break
-        parts //= 2
-    found = [table.filter(F.col("k") == k).select("context", "symbol", "n").toArrow() for k in range(order + 1)]
-    return model_of([tuple(x.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")) for x in found], order)
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -203,7 +227,7 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select(F.col("text").cast("binary")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int = PARTS) -> DataFrame:
+def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both models learn from the texts whose crc32(id as text) mod 7 is not 2 (a null id has no remainder and is learned
@@ -211,51 +235,62 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words and one end of log10((c + 1) / (N + V + 1)). Counts of the FREQUENT words go to the tasks; other words meet
     their counts by a join, which has no word that is frequent.
 
+    Texts are dealt into blocks by hash. A block's distinct grams are counted in one task, and meet their chances, and
+    then its texts, by joins; every context that was counted is used (``parts`` once left rare ones out and does nothing).
+
     Null and empty texts are the end alone; repeated rows are scored each; with nothing to learn from all symbols are
     alike; an empty table gives no rows.
     """
     spark = df.sparkSession
     rows = id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False)))
     training = rows.filter(~F.col("held_out"))
-    model = fit(training, order, parts)
+    size = rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
+    blocks = rows.select(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK)))).alias("block"), "doc_id", "held_out", F.col("text").cast("binary").alias("text")
+    )
+    grams = written(block_grams(blocks, order), "blocks")
+    chances = grams.select("block", "code").join(gram_chances(grams.select("code", "n"), order), "code")
     counts = written(word_counts(training), "words")
     texts = training.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = sums["n"] + texts, sums["v"] + (texts > 0)
     top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    shared = spark.sparkContext.broadcast((model, dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))))
-    del model, top
+    shared = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())))
+    del top
     end = math.log10(texts + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, frequent = shared.value
-        logs = {w: math.log10(n + 1) for w, n in frequent.items()}
-        place = TaskContext.get().partitionId() << 40
+    def score(table: pa.Table, chances: pa.Table) -> pa.Table:
+        logs = {w: math.log10(n + 1) for w, n in shared.value.items()}
+        place = table.column("block")[0].as_py() << 32
+        codes, logs10 = chances.column("code").to_numpy(), chances.column("chance").to_numpy()
+        by_code = np.argsort(codes)
+        codes, logs10 = codes[by_code], logs10[by_code]
         columns = ("place", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "word", "n")
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-        for batch in batches:
-            rows = iter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for texts in chunks(x.as_py().lower() for x in batch.column(2)):
-                out: list[list] = [[] for _ in columns]
-                for text, ppm in zip(texts, model.scores(texts).tolist()):
-                    doc_id, held_out = next(rows)
-                    words = text.split()
-                    found = list(map(logs.get, words))
-                    rest = Counter(w for w, x in zip(words, found) if x is None) if None in found else {}
-                    total = sum(x for x in found if x is not None) if rest else sum(found)
-                    known = len(words) - sum(rest.values()) + (end > 0)
-                    for column, value in zip(out, (place, doc_id, held_out, len(words) + 1, known, total + end, ppm, None, None)):
+        rows = iter(zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()))
+        out: list[list] = [[] for _ in columns]
+        for texts in chunks(x.as_py().lower() for x in table.column("text")):
+            wanted, inner = codes_of(texts, order)
+            cost = np.zeros(len(wanted))
+            cost[inner] = logs10[np.searchsorted(codes, wanted[inner])]
+            begins = np.cumsum([0, *(len(t) + order + 1 for t in texts)])[:-1]
+            for text, ppm in zip(texts, np.add.reduceat(cost, begins).tolist()):
+                doc_id, held_out = next(rows)
+                words = text.split()
+                found = list(map(logs.get, words))
+                rest = Counter(w for w, x in zip(words, found) if x is None) if None in found else {}
+                total = sum(x for x in found if x is not None) if rest else sum(found)
+                known = len(words) - sum(rest.values()) + (end > 0)
+                for column, value in zip(out, (place, doc_id, held_out, len(words) + 1, known, total + end, ppm, None, None)):
+                    column.append(value)
+                for word, n in rest.items():
+                    for column, value in zip(out, (place, None, None, None, None, None, None, word, n)):
                         column.append(value)
-                    for word, n in rest.items():
-                        for column, value in zip(out, (place, None, None, None, None, None, None, word, n)):
-                            column.append(value)
-                    place += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], list(columns))
+                place += 1
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], list(columns))
 
     table = written(
-        rows.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(
+        blocks.groupBy("block").cogroup(chances.groupBy("block")).applyInArrow(
             score, "place long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, word binary, n long"
         ),
         "scored",

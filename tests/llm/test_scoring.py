@@ -94,3 +94,11 @@ def test_held_out_texts(spark, folder, monkeypatch):
     assert longer > 0.9 * shorter and longer > 0.7 * total(order=0)
     monkeypatch.setattr(scoring, "MOST_CELLS", 2000)  # fewer contexts fit
     assert longer > total()
+
+
+def test_contexts_stay_however_rare(spark):
+    # each context of order 3 makes up less than 2^-16 of the text
+    rows = [(i, f"{i * 7919 % 100_003:05d}") for i in range(15_000)]
+    score, _ = plain_ppm([t.encode() for i, t in rows if not is_held_out(i)], 4)
+    got = scoring.scored_documents(spark.createDataFrame(rows, "doc_id long, text string"), order=4).filter("doc_id < 300")
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx({i: score(t.encode()) for i, t in rows[:300]}, rel=1e-5)
