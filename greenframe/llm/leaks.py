@@ -20,7 +20,7 @@ UNITS = (
     "meter meters metre metres kilometer kilometers inch inches foot feet yard yards mile miles gram grams kilogram kilograms pound pounds ounce ounces "
     "liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees dollar dollars cent cents euro euros percent"
 ).split()
-WINDOW, STRIDE = 8, 4
+WINDOW = 8
 #: Words side by side that must agree, or the share of a shorter item.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 LEAST_LITERAL = 4
@@ -45,23 +45,22 @@ def literal(word: Column) -> Column:
     return ~word.rlike(f"[{SLOTS}]")
 
 
-def windows(tokens: Column, size: int, stride: int) -> Column:
-    """(place, hash) of each ``stride``-th window; none if there are fewer words than ``size``."""
-    places = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def windows(tokens: Column, size: int) -> Column:
+    """(place, hash) of each window; none if there are fewer words than ``size``."""
+    places = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(size)))).alias("hash")))
 
 
 def leaks(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = WINDOW, stride: int = STRIDE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
+    size: int = WINDOW, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_words, n_same, reparameterised.
 
     n_words: words of the item that agree as templates, laid side by side; n_same: those that are the same word. A leak
     has n_words of at least ``least_words`` (or ``least_share`` of a shorter item) with consistent slots, or as many
-    n_same. Items are indexed at all places, documents at every ``stride``-th, so each run of size + stride - 1 = 11
-    words meets; where the benchmark has shorter items, documents are indexed so closely that whole items still do. A
-    window needs LEAST_LITERAL words that are no placeholder.
+    n_same. Items and documents are indexed at all places, so each run of ``size`` words meets wherever it stands,
+    whatever other items the benchmark has. A window needs LEAST_LITERAL words that are no placeholder.
 
     Documents are scanned once for the windows, which meet the index in the same stage while the benchmark is small
     enough to broadcast (its windows are counted first); only the documents found are laid beside the items. Null or
@@ -71,16 +70,13 @@ def leaks(
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
     items = items.select("item_id", words(F.col("t")).alias("item_words"), template(F.col("t")).alias("item_template")).distinct()
     items = written(items, "items")
-    sizes = F.when(F.size("item_template") >= size, F.size("item_template"))
-    shortest = items.agg(F.min(sizes).alias("n")).first()["n"] or size + stride
-    stride = min(stride, shortest - size + 1)
-    index = items.select("item_id", "item_template", F.explode(windows(F.col("item_template"), size, 1)).alias("w"))
+    index = items.select("item_id", "item_template", F.explode(windows(F.col("item_template"), size)).alias("w"))
     index = index.filter(F.size(F.filter(F.slice("item_template", F.col("w.place") + 1, F.lit(size)), literal)) >= LEAST_LITERAL)
     index = written(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")), "index")
     small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna()
-    met = texts.select("doc_id", template(F.col("t")).alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"), size, stride)).alias("w"))
+    met = texts.select("doc_id", template(F.col("t")).alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"), size)).alias("w"))
     met = met.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(F.broadcast(index) if small else index, "hash")
     met = written(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met")
 

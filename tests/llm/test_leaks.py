@@ -69,3 +69,11 @@ def test_every_shared_run_is_found(spark, folder):
 def test_no_python_in_the_plan(spark, folder):
     plan = leaks.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_short_runs_at_every_alignment(spark):
+    # 9 words before the changed one, so a run has two windows; the other item keeps the old stride wide
+    item = "one red lantern hung above nine quiet river boats until morning came over all"
+    bench = spark.createDataFrame([(1, item), (2, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
+    df = spark.createDataFrame([(i, "x " * i + item.replace("until", "while")) for i in range(8)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in leaks.leaks(df, bench).collect()) == [*range(8)]
