@@ -23,6 +23,7 @@ UNITS = (
 WINDOW = 8
 #: Words side by side that must agree, or the share of a shorter item.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
+#: A window with fewer words that are no placeholder meets by its words themselves.
 LEAST_LITERAL = 4
 #: The index of the benchmark is broadcast up to so many windows (24 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 500_000
@@ -45,10 +46,28 @@ def literal(word: Column) -> Column:
     return ~word.rlike(f"[{SLOTS}]")
 
 
-def windows(tokens: Column, size: int) -> Column:
-    """(place, hash) of each window; none if there are fewer words than ``size``."""
-    places = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(size)))).alias("hash")))
+def places(tokens: Column, size: int) -> Column:
+    return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
+
+
+def exact_hash(tokens: Column, place: Column, size: int) -> Column:
+    return F.xxhash64(F.lit("words"), F.concat_ws(" ", F.slice(tokens, place + 1, F.lit(size))))
+
+
+def exact_windows(tokens: Column, size: int) -> Column:
+    """(place, hash) of each run of ``size`` words."""
+    return F.transform(places(tokens, size), lambda i: F.struct(i.alias("place"), exact_hash(tokens, i, size).alias("hash")))
+
+
+def windows(tokens: Column, plain: Column, size: int) -> Column:
+    """(place, hash) of each window of a template, or of the words at its place if it has too few that are no placeholder."""
+
+    def rich(window: Column) -> Column:
+        slots = F.length(window) - F.length(F.translate(window, NAME + NUMBER + UNIT, ""))  # at least as many as words that are placeholders
+        return (slots <= size - LEAST_LITERAL) | (F.size(F.filter(F.split(window, " "), literal)) >= LEAST_LITERAL)
+
+    joined = F.transform(places(tokens, size), lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(size))))
+    return F.transform(joined, lambda w, i: F.struct(i.alias("place"), F.when(rich(w), F.xxhash64(w)).otherwise(exact_hash(plain, i, size)).alias("hash")))
 
 
 def leaks(
@@ -60,23 +79,29 @@ def leaks(
     n_words: words of the item that agree as templates, laid side by side; n_same: those that are the same word. A leak
     has n_words of at least ``least_words`` (or ``least_share`` of a shorter item) with consistent slots, or as many
     n_same. Items and documents are indexed at all places, so each run of ``size`` words meets wherever it stands,
-    whatever other items the benchmark has. A window needs LEAST_LITERAL words that are no placeholder.
+    whatever other items the benchmark has. Windows with fewer than LEAST_LITERAL words that are no placeholder, and
+    items of fewer than ``size`` words as a whole, meet only by the words themselves. Words agree where the templates
+    do, or where they are the same (at the start of an item a capital says nothing).
 
     Documents are scanned once for the windows, which meet the index in the same stage while the benchmark is small
     enough to broadcast (its windows are counted first); only the documents found are laid beside the items. Null or
-    empty texts, and items of fewer than ``size`` words, match nothing; rows with a null id are left out; repeated rows
+    empty texts, and texts without a word, match nothing; rows with a null id are left out; repeated rows
     and repeated items give one row per pair of ids; empty tables give none.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
     items = items.select("item_id", words(F.col("t")).alias("item_words"), template(F.col("t")).alias("item_template")).distinct()
     items = written(items, "items")
-    index = items.select("item_id", "item_template", F.explode(windows(F.col("item_template"), size)).alias("w"))
-    index = index.filter(F.size(F.filter(F.slice("item_template", F.col("w.place") + 1, F.lit(size)), literal)) >= LEAST_LITERAL)
+    short = (F.size("item_template") < size) & (F.size("item_words") > 0)
+    lengths = sorted(r["n"] for r in items.filter(short).select(F.size("item_words").alias("n")).distinct().collect())
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.lit("words"), F.concat_ws(" ", "item_words")).alias("hash")))
+    index = items.select("item_id", F.explode(F.when(short, whole).otherwise(windows(F.col("item_template"), F.col("item_words"), size))).alias("w"))
     index = written(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")), "index")
     small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna()
-    met = texts.select("doc_id", template(F.col("t")).alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"), size)).alias("w"))
+    tokens = texts.select("doc_id", template(F.col("t")).alias("tokens"), words(F.col("t")).alias("plain"))
+    of_document = [windows(F.col("tokens"), F.col("plain"), size), *(exact_windows(F.col("plain"), n) for n in lengths)]
+    met = tokens.select("doc_id", F.explode(F.concat(*of_document)).alias("w"))
     met = met.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(F.broadcast(index) if small else index, "hash")
     met = written(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met")
 
@@ -92,9 +117,9 @@ def leaks(
             at(F.col("item_template"), i).alias("s"), at(F.col("doc_template"), i + F.col("shift")).alias("t"),
         ),
     )
-    agreeing = F.filter(beside, lambda p: p["s"] == p["t"])
+    agreeing = F.filter(beside, lambda p: (p["s"] == p["t"]) | (p["a"] == p["b"]))
     found = found.select("doc_id", "item_id", "shift", F.size("item_words").alias("item_size"), agreeing.alias("p"))
-    slots = F.array_distinct(F.transform(F.filter("p", lambda p: ~literal(p["s"])), lambda p: F.struct(p["s"].alias("s"), p["a"].alias("a"), p["b"].alias("b"))))
+    slots = F.array_distinct(F.transform(F.filter("p", lambda p: (p["s"] == p["t"]) & ~literal(p["s"])), lambda p: F.struct(p["s"].alias("s"), p["a"].alias("a"), p["b"].alias("b"))))
     found = found.select(
         "doc_id", "item_id", "item_size", F.size("p").alias("n_words"), F.size(F.filter("p", lambda p: p["a"] == p["b"])).alias("n_same"), slots.alias("slots")
     )

@@ -77,3 +77,17 @@ def test_short_runs_at_every_alignment(spark):
     bench = spark.createDataFrame([(1, item), (2, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
     df = spark.createDataFrame([(i, "x " * i + item.replace("until", "while")) for i in range(8)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in leaks.leaks(df, bench).collect()) == [*range(8)]
+
+
+def test_copies_of_items_poor_in_words(spark):
+    items = [
+        (1, "Compute 12 + 35 + 48 - 7 + 9 + 16 + 21 + 4 + 90 + 18 + 33 + 2 + 5"),
+        (2, "Which of London, Paris, Berlin, Madrid, Rome, Vienna, Prague, Warsaw, Lisbon, Dublin, Athens, Oslo or Bern is largest"),
+        (3, "Name the largest moon"), (4, "..."), (5, "Zebra"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"so we ask, {t}? and then go on") for i, t in items] + [(6, items[0][1].replace("35", "36").replace("90", "91").replace("16", "61").replace("4 ", "8 ")), (7, "the largest moon has a name")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = leaks.leaks(df, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (5, 5)]
+    assert not any(r["reparameterised"] for r in got)
