@@ -30,6 +30,11 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus).cast("long"))
 
 
+def row_key(id_col: Column, text: Column) -> Column:
+    """Id and digest of the text, so that rows without an id, or of one id and different texts, are told apart."""
+    return F.concat_ws(":", F.coalesce(id_col.cast("long").cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)

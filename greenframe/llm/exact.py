@@ -53,6 +53,14 @@ def exact_groups(
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text has no equal with a smaller id, with all their columns."""
-    dropped = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``df`` whose text has no equal with a smaller id, with all their columns.
+
+    Rows go by id and text, so of rows that share an id, or have none, only the copies go. Of equal rows without an id,
+    where no row with an id has their text, one stays.
+    """
+    dropped = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    text = one_space(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = df.withColumn("_sha256", F.sha2(text.cast("binary"), 256))
+    left = keyed.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.col("_sha256") == F.col("_gone_text")), "left_anti")
+    nameless = left.filter(F.col(id_col).cast("long").isNull()).dropDuplicates(["_sha256"])
+    return left.filter(F.col(id_col).cast("long").isNotNull()).unionByName(nameless).drop("_sha256")

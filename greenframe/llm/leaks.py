@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 #: Placeholders: one private character each.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
@@ -88,6 +88,15 @@ def leaks(
     empty texts, and texts without a word, match nothing; rows with a null id are left out; repeated rows
     and repeated items give one row per pair of ids; empty tables give none.
     """
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna()
+    return items_found(texts, benchmark, item_col, item_text_col, size, least_words, least_share)
+
+
+def items_found(
+    texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+    size: int = WINDOW, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
+) -> DataFrame:
+    """leaks() of a table (doc_id, t) without nulls; doc_id of any type."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
     items = items.select("item_id", words(F.col("t")).alias("item_words"), template(F.col("t")).alias("item_template")).distinct()
     items = written(items, "items")
@@ -98,7 +107,6 @@ def leaks(
     index = written(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")), "index")
     small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna()
     tokens = texts.select("doc_id", template(F.col("t")).alias("tokens"), words(F.col("t")).alias("plain"))
     of_document = [windows(F.col("tokens"), F.col("plain"), size), *(exact_windows(F.col("plain"), n) for n in lengths)]
     met = tokens.select("doc_id", F.explode(F.concat(*of_document)).alias("w"))
@@ -137,6 +145,7 @@ def leaks(
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` in which no benchmark item is found, with all their columns."""
-    gone = leaks(df, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``df`` in which no benchmark item is found, with all their columns. Rows go by id and text, with or without an id."""
+    key = row_key(F.col(id_col), F.col(text_col))
+    gone = items_found(df.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna(), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, key == F.col("_gone"), "left_anti")

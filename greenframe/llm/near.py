@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, row_key, written
 from .repeats import AGAIN, MIX, gram_hashes, mixed
 
 SHINGLE, LEAST = 5, 0.8
@@ -273,6 +273,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their class, with all their columns; texts without a word all stay."""
-    gone = near_classes(df.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``df`` that stand for their class, with all their columns; texts without a word all stay.
+
+    Rows are told apart by id and text: those without an id, and further texts of one id, are compared under numbers
+    above all ids, so the others stand for a class before them.
+    """
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = df.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    keys = written(rows.select("doc_id", "key").distinct(), "keys")
+    firsts = keys.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
+    top = keys.agg(F.max("doc_id").alias("n")).first()["n"] or 0
+    odd = keys.join(firsts, "key", "left_anti").select("key", (F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)).alias("number"))
+    odd = written(odd, "numbers")
+    rows = rows.join(odd, "key", "left").select(F.coalesce("number", "doc_id").alias("doc_id"), "text", "key")
+    gone = near_classes(rows.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
+    numbered = keys.join(odd, "key", "left").select("key", F.coalesce("number", "doc_id").alias("doc_id"))
+    gone = numbered.join(gone, "doc_id").select(F.col("key").alias("_gone"))
+    return df.join(gone, key == F.col("_gone"), "left_anti")

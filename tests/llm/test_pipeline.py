@@ -39,3 +39,18 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_rows_without_an_id_and_of_one_id(spark):
+    from greenframe.llm import exact, leaks, near
+
+    text = " ".join(f"word{i}" for i in range(60))
+    schema = "doc_id long, text string"
+    left = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    rows = [(1, "a"), (None, "a"), (None, "clean"), (2, "a"), (2, "other"), (None, "twice"), (None, "twice")]
+    assert left(exact.without_copies(spark.createDataFrame(rows, schema))) == [(0, "clean"), (0, "twice"), (1, "a"), (2, "other")]
+    rows = [(1, text), (None, text + " more"), (None, "clean"), (2, text + " end"), (2, "other"), (None, text + " again")]
+    assert left(near.without_near_copies(spark.createDataFrame(rows, schema))) == [(0, "clean"), (1, text), (2, "other")]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = [(None, text), (None, "clean"), (2, text), (2, "other"), (3, None)]
+    assert left(leaks.without_leaks(spark.createDataFrame(rows[:-1], schema), bench)) == [(0, "clean"), (2, "other")]
