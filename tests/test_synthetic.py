@@ -100,3 +100,12 @@ def test_the_largest_family_stays(spark):
     assert families(made["kids"]) == families(kids) and max(families(kids)) > 2000
     assert made["kids"].filter("p IS NULL").count() == kids.filter("p IS NULL").count()
     assert made["kids"].select("ck").distinct().count() == 3000
+
+
+def test_lines_compared_are_as_many_as_the_real_ones(spark, folder, monkeypatch):
+    from greenframe.plans.queries import synthesis
+
+    asked, generate = [], sy.generate_copula
+    monkeypatch.setattr(synthesis.synthetic, "generate_copula", lambda df, rows: asked.append((rows, df.count())) or generate(df, rows))
+    report = synthesis.synthetic_lines_compared(spark, folder)
+    assert asked and all(rows == real for rows, real in asked) and all(r["near"] for r in report.collect())
