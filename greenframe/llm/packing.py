@@ -28,8 +28,8 @@ def token_pieces(df: DataFrame, vocabulary: str, drops_space: bool, end_id: int,
         library = library_ids(tokenizer_path(vocabulary), drops_space)
         for batch in batches:
             out = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(library.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(batch.column(0).to_pylist(), library.each(batch.column(1).to_pylist())):
+                ids = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     for column, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):

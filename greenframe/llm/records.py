@@ -91,8 +91,8 @@ def write_records(df: DataFrame, folder: str, encode: str, drops_space: bool, en
         files.create_dir(path, recursive=True)
         with files.open_output_stream(f"{path}/{name}.rec") as out:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.append(library.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+                for doc_id, found in zip(batch.column(0).to_pylist(), library.each(batch.column(1).to_pylist())):
+                    ids = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4")
                     framed = frame(payload_of(doc_id, ids))
                     out.write(framed)
                     index.append(place)

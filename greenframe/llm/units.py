@@ -7,9 +7,13 @@ bounded memory of them saves most calls of the library, which is still what turn
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space other than blank and line feed; texts with it go to the library whole.
 RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -52,43 +56,102 @@ def unit_text(unit: str) -> str:
     return unit[1:] if unit[:1] == "\0" else unit if unit[:1] == "\n" else " " + unit
 
 
-class LibraryIds:
+def spaced_line(text: str) -> str | None:
+    """spaced_units() still joined by blanks."""
+    units = None if "\0" in text or "\1" in text else spaced_units(text)
+    return None if units is None else " ".join(units)
+
+
+def worded_line(text: str) -> str | None:
+    """Words as worded_units() gives them, still in one string with blanks or line feeds between them."""
+    if RARE_SPACE.search(text):
+        return None
+    return (text.lower() if text.isascii() and "<|" not in text else text).replace("\n", " ")
+
+
+class UnitIds:
+    """Ids of texts, put together from those of their units.
+
+    ``line`` gives a text's units joined by blanks, or None where the text has to go whole; ``encode`` turns new units
+    into packed ids of ``width`` and ``whole`` does so for one text. The units of many texts are split and told apart by
+    Arrow, so Python sees each different unit of a batch once; those known from earlier batches are not encoded again.
+    """
+
+    #: Characters of text whose units are held at a time.
+    CHUNK = 1 << 24
+
+    def __init__(self, line: Callable, encode: Callable, whole: Callable, width: str, most: int):
+        self.line, self.encode, self.whole, self.width, self.known = line, encode, whole, width, Remembered(most)
+
+    def each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        first = held = 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= self.CHUNK:
+                yield from self._chunk(texts[first : i + 1])
+                first, held = i + 1, 0
+        if first < len(texts):
+            yield from self._chunk(texts[first:])
+
+    def looked_up(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, from memory or encoded now."""
+        found = list(map(self.known.values.get, units))
+        new = list({u for u, x in zip(units, found) if x is None})
+        if new:
+            got = dict(zip(new, self.encode(new)))
+            found = [got[u] if x is None else x for u, x in zip(units, found)]
+            self.known.add(new, got.values())
+        return found
+
+    def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
+        lines = [self.line(x) for x in texts]
+        split = pc.split_pattern(pa.array([x for x in lines if x is not None], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = self.looked_up(units)
+        pool = np.frombuffer(b"".join(found), self.width)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.width).itemsize
+        start, sizes = np.cumsum(size) - size, size[codes]
+        ends = np.cumsum(sizes)
+        ids = pool[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        k = 0
+        for text, line in zip(texts, lines):
+            if line is None:
+                yield np.frombuffer(self.whole(text), self.width)
+            else:
+                yield ids[bounds[k] : bounds[k + 1]]
+                k += 1
+
+
+class LibraryIds(UnitIds):
     """ids(text) is encode(text, add_special_tokens=False).ids of the tokenizers library, as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 500_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.units, self.text_of = (worded_units, str) if drops_space else (spaced_units, unit_text)
+        line, self.text_of = (worded_line, str) if drops_space else (spaced_line, unit_text)
         if any(x.lstrip or x.rstrip or len(x.content.split()) != 1 for x in self.library.get_added_tokens_decoder().values()):
-            self.units = lambda text: None  # special strings that reach over white space: no units
-        self.known = Remembered(most)
+            line = lambda text: None  # noqa: E731  special strings that reach over white space: no units
+        super().__init__(line, lambda units: self._encode(list(map(self.text_of, units))), lambda text: self._encode([text])[0], "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4", most)
         self.points = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.width).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out, kind = [], "H" if self.width == "<u2" else "I"
+        for i in range(0, len(texts), 256):  # the library's results are large, so few are held
+            out += [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids as integers of ``width``."""
-        units = self.units(text) if "\0" not in text else None
-        if units is None:
-            return self._encode([text])[0]
-        found = list(map(self.known.values.get, units))
-        if None in found:
-            new = {u for u, x in zip(units, found) if x is None}
-            # letters and a point or comma after them are always different tokens
-            ending = {u for u in new if u[-1:] in self.points and u[:-1].isalpha()}
-            stems = {u[:-1] for u in ending}
-            asked = list((new - ending) | {u for u in stems if u not in self.known.values})
-            got = dict(zip(asked, self._encode([self.text_of(u) for u in asked])))
-            got |= {u: (got.get(u[:-1]) or self.known.values[u[:-1]]) + self.points[u[-1]] for u in ending}
-            found = [got[u] if x is None else x for u, x in zip(units, found)]
-            self.known.add(list(got), list(got.values()))
-        return b"".join(found)
+    def looked_up(self, units: list[str]) -> list[bytes]:
+        # letters and a point or comma after them are always different tokens, so only the letters are asked for
+        points = self.points
+        stems = [u[:-1] if u[-1:] in points and u[:-1].isalpha() else u for u in units]
+        return [x if s is u else x + points[u[-1]] for u, s, x in zip(units, stems, super().looked_up(stems))]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed(text), self.width).astype("<u4")
+        return next(self.each([text])).astype("<u4")
 
 
 @lru_cache(maxsize=4)
