@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, exact, language, leaks, near, packing, passages, records, scoring, substrings
+from . import counting, exact, language, leaks, near, packing, passages, prefixes, records, scoring, substrings
 from .common import documents
 
 
@@ -53,6 +53,11 @@ def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored_documents(documents(spark, sf_dir))
 
 
+def prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = prefixes.decoded(prefixes.encoded(documents(spark, sf_dir)))
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_language_id": languages,
     "op2_bagminhash": near_duplicates,
@@ -64,6 +69,7 @@ QUERIES = {
     "op8_binary_records": binary_records,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_radix_substrings": byte_strings,
+    "op11_prefix_bpe": prefix_tokens,
 }
 
 ORACLES = {

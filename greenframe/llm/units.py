@@ -82,6 +82,7 @@ class UnitIds:
 
     def __init__(self, line: Callable, encode: Callable, whole: Callable, width: str, most: int):
         self.line, self.encode, self.whole, self.width, self.known = line, encode, whole, width, Remembered(most)
+        self.points = {x: whole(x) for x in ".,"}
 
     def each(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -96,13 +97,16 @@ class UnitIds:
 
     def looked_up(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, from memory or encoded now."""
-        found = list(map(self.known.values.get, units))
-        new = list({u for u, x in zip(units, found) if x is None})
+        # letters and a point or comma after them are always different tokens, so only the letters are encoded
+        points = self.points
+        stems = [u[:-1] if u[-1:] in points and u[:-1].isalpha() else u for u in units]
+        found = list(map(self.known.values.get, stems))
+        new = list({s for s, x in zip(stems, found) if x is None})
         if new:
             got = dict(zip(new, self.encode(new)))
-            found = [got[u] if x is None else x for u, x in zip(units, found)]
+            found = [got[s] if x is None else x for s, x in zip(stems, found)]
             self.known.add(new, got.values())
-        return found
+        return [x if s is u else x + points[u[-1]] for u, s, x in zip(units, stems, found)]
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         lines = [self.line(x) for x in texts]
@@ -136,7 +140,6 @@ class LibraryIds(UnitIds):
         if any(x.lstrip or x.rstrip or len(x.content.split()) != 1 for x in self.library.get_added_tokens_decoder().values()):
             line = lambda text: None  # noqa: E731  special strings that reach over white space: no units
         super().__init__(line, lambda units: self._encode(list(map(self.text_of, units))), lambda text: self._encode([text])[0], "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4", most)
-        self.points = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out, kind = [], "H" if self.width == "<u2" else "I"
@@ -144,12 +147,6 @@ class LibraryIds(UnitIds):
             out += [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
-    def looked_up(self, units: list[str]) -> list[bytes]:
-        # letters and a point or comma after them are always different tokens, so only the letters are asked for
-        points = self.points
-        stems = [u[:-1] if u[-1:] in points and u[:-1].isalpha() else u for u in units]
-        return [x if s is u else x + points[u[-1]] for u, s, x in zip(units, stems, super().looked_up(stems))]
-
     def ids(self, text: str) -> np.ndarray:
         return next(self.each([text])).astype("<u4")
 
