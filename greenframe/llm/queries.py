@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, exact, language, leaks, near, packing, passages, prefixes, records, scoring, substrings
+from . import counting, exact, language, leaks, near, packing, passages, prefixes, records, scoring, substrings, variants
 from .common import documents
 
 
@@ -58,6 +58,10 @@ def prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def word_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": languages,
     "op2_bagminhash": near_duplicates,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_radix_substrings": byte_strings,
     "op11_prefix_bpe": prefix_tokens,
+    "op12_spelling_variants": word_variants,
 }
 
 ORACLES = {
