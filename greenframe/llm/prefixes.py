@@ -30,37 +30,45 @@ SHARED = 12
 class PrefixCoder:
     """Encoding of byte strings by ranks (token bytes -> rank; the rank is the id)."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 1_500_000):
-        self.whole, self.content = ranks, {rank: token for token, rank in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+        self.ranks, self.content = ranks, {rank: token for token, rank in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a vocabulary needs a token for each byte")
+        self.longest = max(map(len, ranks))
+        #: Sizes of the tokens that end in given three bytes, longest first.
+        self.sizes: dict[bytes, tuple[int, ...]] = {}
+        for size in sorted({len(token) for token in ranks if len(token) > 2}):
+            for ending in {token[-3:] for token in ranks if len(token) == size}:
+                self.sizes[ending] = (size, *self.sizes.get(ending, (2, 1)))
         self.most = most
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.side_by_side: dict[int, bool] = {}
         self.prefixes: dict[bytes, int] = {}
-        self.merged = {token: rank for token, rank in ranks.items() if len(token) == 1}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.reach: dict[bytes, int] = {}
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) > 1:
-                # by the entries of lower rank; what they do not bring down to two tokens is never merged into this one
-                parts = self.walk(self.last_tokens(token))
-                if len(parts) == 2:
-                    self.parts[rank], self.merged[token] = (parts[0], parts[1]), rank
-                    self.reach[token[-2:]] = max(self.reach.get(token[-2:], 0), len(token))
-                    # the new entry may end prefixes that were worked out without it
-                    self.prefixes.clear()
-        self.longest = max(map(len, self.merged))
-
-    def borders(self, a: int, b: int) -> bool:
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that are merged into this one, None for a single byte.
+
+        They are what the entries of lower rank make of its bytes; if that is not two tokens, no merge leads to this one.
+        """
+        if token not in self.parts:
+            data, found = self.content[token], None
+            if len(data) > 1:
+                found = self.walk(self.last_tokens(data, [0], below=token))
+                if len(found) != 2:
+                    found = (-1, -1)
+            self.parts[token] = found and (found[0], found[1])
+        return self.parts[token]
+
+    def borders(self, a: int, b: int, below: int = NEVER) -> bool:
         """Whether b may stand after a: the merges that made both are undone, latest first, and none across comes before."""
-        above_a = above_b = NEVER  # ranks of the merges that took in what is now left and right of the border
-        content, merged, parts = self.content, self.merged, self.parts
+        above_a = above_b = below  # ranks of the merges that took in what is now left and right of the border
+        content, merged = self.content, self.ranks
         while True:
             across = merged.get(content[a] + content[b])
             # of equal ranks the leftmost merge is first
             if across is not None and across < above_a and across <= above_b:
                 return False
-            of_a, of_b = parts.get(a), parts.get(b)
+            of_a, of_b = self.halves(a), self.halves(b)
             if of_a and (not of_b or a > b):
                 above_a, a = a, of_a[1]
             elif of_b:
@@ -68,11 +76,18 @@ class PrefixCoder:
             else:
                 return True
 
-    def last_tokens(self, data: bytes, last: list[int] | None = None, upto: int | None = None) -> list[int]:
-        """The last token of each prefix (0 for the empty one); ``last`` holds those of the first prefixes and is extended."""
+    def fits(self, before: int, token: int, below: int) -> bool:
+        """borders(), for tokens that merges lead to; ``before`` is -1 where nothing is before the token."""
+        return self.halves(token) != (-1, -1) and (before < 0 or self.borders(before, token, below))
+
+    def last_tokens(self, data: bytes, last: list[int] | None = None, upto: int | None = None, below: int = NEVER) -> list[int]:
+        """The last token of each prefix (0 for the empty one); ``last`` holds those of the first prefixes and is extended.
+
+        With ``below``, by the entries of lower rank alone.
+        """
         size, shared = len(data) if upto is None else upto, self.prefixes
         if last is None:
-            last, token = [0], 0
+            last = [0]
             for end in range(1, min(size, SHARED) + 1):
                 token = shared.get(data[:end])
                 if token is None:
@@ -80,30 +95,28 @@ class PrefixCoder:
                 last.append(token)
             if len(shared) > self.most:
                 shared.clear()
-        if len(self.side_by_side) > self.most:
-            self.side_by_side.clear()
-        merged, reach, known = self.merged, self.reach, self.side_by_side
+            if len(self.side_by_side) > self.most:
+                self.side_by_side.clear()
+        keep, known = (SHARED, self.side_by_side) if below == NEVER else (0, {})
+        merged, sizes = self.ranks, self.sizes
         for end in range(len(last), size + 1):
-            # reach: no token with these last two bytes is longer
-            start = max(0, end - reach.get(data[end - 2 : end], 1)) if end > 1 else 0
-            while True:
-                piece = data[start:end]
-                if piece in merged:
-                    token = merged[piece]
-                    if not start:
-                        break
-                    pair = last[start] << 32 | token
-                    fits = known.get(pair)
-                    if fits is None:
-                        fits = known[pair] = self.borders(last[start], token)
-                    if fits:
-                        break
-                start += 1
-                if start == end:
-                    raise ValueError("no token ends the prefix")
-            last.append(token)
-            if end <= SHARED:
-                shared[data[:end]] = token
+            for back in sizes.get(data[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
+                if back > end:
+                    continue
+                token = merged.get(data[end - back : end])
+                if token is None or token >= below:
+                    continue
+                pair = (last[end - back] if back < end else -1) << 32 | token
+                good = known.get(pair)
+                if good is None:
+                    good = known[pair] = self.fits(pair >> 32, token, below)
+                if good:
+                    last.append(token)
+                    if end <= keep:
+                        shared[data[:end]] = token
+                    break
+            else:
+                raise ValueError("no token ends the prefix")
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -115,7 +128,7 @@ class PrefixCoder:
         return tokens[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        token = self.whole.get(data)
+        token = self.ranks.get(data)
         return self.walk(self.last_tokens(data)) if token is None else [token]
 
 
@@ -145,34 +158,33 @@ class PrefixText:
         return size - start
 
     def tokens(self) -> list[int]:
-        token = self.coder.whole.get(self.data)
+        token = self.coder.ranks.get(self.data)
         return self.coder.walk(self.last) if token is None else [token]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
 class PrefixIds(UnitIds):
     """Ids of texts: each pre-token by itself, through the memory of their units."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         import regex
 
-        with open(path, "rb") as file:
-            self.coder = PrefixCoder({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)})
+        self.coder = PrefixCoder(read_ranks(path))
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.token_bytes = np.array([len(self.coder.content.get(i, b"")) for i in range(max(self.coder.content) + 1)])
         super().__init__(spaced_line, lambda units: [self.packed(unit_text(u)) for u in units], self.packed, "<u4", most)
 
     def packed(self, text: str) -> bytes:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return array("I", self.coder.encode(text.encode())).tobytes()
         encode, ids = self.coder.encode, array("I")
-        for piece in (text,) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.pre_token.findall(text):
+        for piece in self.pre_token.findall(text):
             ids.extend(encode(piece.encode("utf-8", "surrogatepass")))
         return ids.tobytes()
 
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        try:
-            return b"".join(map(self.coder.content.__getitem__, ids.tolist()))
-        except KeyError as error:
-            raise ValueError(f"{error.args[0]} is no token") from None
-
     def edited(self, text: str, ids: np.ndarray, start: int, stop: int, new: str) -> tuple[str, np.ndarray]:
         """Text and ids after ``new`` took the place of text[start:stop]; what is not near it keeps its ids."""
         start, stop = min(start, len(text)), min(max(start, stop), len(text))
@@ -182,9 +194,9 @@ class PrefixIds(UnitIds):
         while last < len(text) and not border(text, last):
             last += 1
         first, last = max(first, 0), min(last, len(text))
-        ends = np.cumsum(self.token_bytes[ids])
-        before = np.searchsorted(ends, len(text[:first].encode("utf-8", "surrogatepass")), "right")
-        after = len(ids) - np.searchsorted(np.cumsum(self.token_bytes[ids[::-1]]), len(text[last:].encode("utf-8", "surrogatepass")), "right")
+        size = np.array([len(self.coder.content[i]) for i in ids.tolist()], np.int64)
+        before = np.searchsorted(np.cumsum(size), len(text[:first].encode("utf-8", "surrogatepass")), "right")
+        after = len(ids) - np.searchsorted(np.cumsum(size[::-1]), len(text[last:].encode("utf-8", "surrogatepass")), "right")
         between = np.frombuffer(self.packed(text[first:start] + new + text[stop:last]), "<u4")
         return text[:start] + new + text[stop:], np.concatenate((ids[:before], between, ids[after:]))
 
@@ -200,6 +212,19 @@ def prefix_ids(path: str) -> PrefixIds:
     return PrefixIds(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """One per Python worker."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    try:
+        return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    except KeyError as error:
+        raise ValueError(f"{error.args[0]} is no token") from None
+
+
 def binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in values], pa.binary())
 
@@ -228,9 +253,9 @@ def decoded(df: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = prefix_ids(tokenizer_path(vocabulary))
+        tokens = token_bytes(tokenizer_path(vocabulary))
         for batch in batches:
-            found = [None if x is None else coder.bytes_of(np.frombuffer(x, "<u4")) for x in batch.column(place).to_pylist()]
+            found = [None if x is None else bytes_of(x, tokens) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, to])
 
     schema = df.select("*", F.lit(b"").alias(to)).schema

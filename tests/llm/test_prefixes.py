@@ -23,14 +23,14 @@ def coder():
 def library(coder):
     import public_tokenizers
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.coder.whole, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.coder.ranks, special_tokens={})
 
 
 def test_texts(coder, library, spark, folder):
     texts = [t or "" for t in TEXTS] + [r["text"] for r in documents(spark, folder).limit(60).collect()]
     for got, text in zip(coder.each(texts + texts), texts + texts):
         assert got.tolist() == library.encode_ordinary(text)
-        assert coder.bytes_of(got) == text.encode()
+        assert prefixes.bytes_of(got.tobytes(), coder.coder.content) == text.encode()
 
 
 def test_random_texts_and_edits(coder, library):
