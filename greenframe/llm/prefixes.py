@@ -25,12 +25,14 @@ from .units import UnitIds, spaced_line, tokenizer_path, unit_text
 NEVER = 1 << 60
 #: Last tokens of prefixes up to so many bytes are kept for all texts, since words share their beginnings.
 SHARED = 12
+#: Documents that a task works on at a time.
+ROWS = 500
 
 
 class PrefixCoder:
     """Encoding of byte strings by ranks (token bytes -> rank; the rank is the id)."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
         self.ranks, self.content = ranks, {rank: token for token, rank in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a vocabulary needs a token for each byte")
@@ -170,7 +172,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixIds(UnitIds):
     """Ids of texts: each pre-token by itself, through the memory of their units."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
 
         self.coder = PrefixCoder(read_ranks(path))
@@ -225,6 +227,10 @@ def bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
         raise ValueError(f"{error.args[0]} is no token") from None
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, ROWS) for batch in batches for i in range(0, len(batch), ROWS))
+
+
 def binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in values], pa.binary())
 
@@ -238,7 +244,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = prefix_ids(tokenizer_path(vocabulary))
-        for batch in batches:
+        for batch in sliced(batches):
             ids = list(coder.each(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), binary(ids)], ["doc_id", "n_tokens", "ids"])
 
@@ -254,7 +260,7 @@ def decoded(df: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(tokenizer_path(vocabulary))
-        for batch in batches:
+        for batch in sliced(batches):
             found = [None if x is None else bytes_of(x, tokens) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, to])
 
