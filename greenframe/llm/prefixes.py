@@ -23,10 +23,8 @@ from .counting import PRE_TOKEN
 from .units import UnitIds, spaced_line, tokenizer_path, unit_text
 
 NEVER = 1 << 60
-#: Last tokens of prefixes up to so many bytes are kept for all texts, since words share their beginnings.
-SHARED = 12
 #: Documents that a task works on at a time.
-ROWS = 500
+ROWS = 2000
 
 
 class PrefixCoder:
@@ -37,15 +35,24 @@ class PrefixCoder:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a vocabulary needs a token for each byte")
         self.longest = max(map(len, ranks))
-        #: Sizes of the tokens that end in given three bytes, longest first.
-        self.sizes: dict[bytes, tuple[int, ...]] = {}
-        for size in sorted({len(token) for token in ranks if len(token) > 2}):
-            for ending in {token[-3:] for token in ranks if len(token) == size}:
-                self.sizes[ending] = (size, *self.sizes.get(ending, (2, 1)))
+        #: Ending of four bytes, or of fewer where no longer token has it -> (size, token) of all tokens that end so,
+        #: longest first; the token is None where it has to be looked up.
+        self.endings: dict[bytes, tuple[tuple[int, int | None], ...]] = {}
+        for token in sorted(ranks, key=len):
+            ending = token[-4:]
+            if len(token) <= 4:
+                self.endings[ending] = ((len(token), ranks[token]), *self.shorter(ending))
+            else:
+                known = self.endings.get(ending) or self.shorter(ending)
+                if known[0][0] != len(token):
+                    self.endings[ending] = ((len(token), None), *known)
         self.most = most
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.side_by_side: dict[int, bool] = {}
-        self.prefixes: dict[bytes, int] = {}
+
+    def shorter(self, ending: bytes) -> tuple[tuple[int, int | None], ...]:
+        """What ends a text with this ending, of tokens shorter than it."""
+        return next((self.endings[ending[k:]] for k in range(1, len(ending)) if ending[k:] in self.endings), ())
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that are merged into this one, None for a single byte.
@@ -87,26 +94,19 @@ class PrefixCoder:
 
         With ``below``, by the entries of lower rank alone.
         """
-        size, shared = len(data) if upto is None else upto, self.prefixes
-        if last is None:
-            last = [0]
-            for end in range(1, min(size, SHARED) + 1):
-                token = shared.get(data[:end])
+        last = [0] if last is None else last
+        known = self.side_by_side if below == NEVER else {}
+        if len(known) > self.most:
+            known.clear()
+        merged, endings = self.ranks, self.endings
+        for end in range(len(last), (len(data) if upto is None else upto) + 1):
+            ending = data[end - 4 : end] if end > 4 else data[:end]
+            for back, token in endings.get(ending) or self.shorter(ending):
                 if token is None:
-                    break
-                last.append(token)
-            if len(shared) > self.most:
-                shared.clear()
-            if len(self.side_by_side) > self.most:
-                self.side_by_side.clear()
-        keep, known = (SHARED, self.side_by_side) if below == NEVER else (0, {})
-        merged, sizes = self.ranks, self.sizes
-        for end in range(len(last), size + 1):
-            for back in sizes.get(data[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
-                if back > end:
-                    continue
-                token = merged.get(data[end - back : end])
-                if token is None or token >= below:
+                    token = merged.get(data[end - back : end]) if back <= end else None
+                    if token is None:
+                        continue
+                if token >= below:
                     continue
                 pair = (last[end - back] if back < end else -1) << 32 | token
                 good = known.get(pair)
@@ -114,8 +114,6 @@ class PrefixCoder:
                     good = known[pair] = self.fits(pair >> 32, token, below)
                 if good:
                     last.append(token)
-                    if end <= keep:
-                        shared[data[:end]] = token
                     break
             else:
                 raise ValueError("no token ends the prefix")
@@ -133,6 +131,23 @@ class PrefixCoder:
         token = self.ranks.get(data)
         return self.walk(self.last_tokens(data)) if token is None else [token]
 
+    def encode_sorted(self, strings: list[bytes]) -> Iterator[list[int]]:
+        """Tokens of strings in ascending order: each keeps the last tokens of the beginning it shares with the one before."""
+        before, last = b"", [0]
+        for data in strings:
+            token = self.ranks.get(data)
+            if token is not None:
+                yield [token]
+                continue
+            shared = 0
+            for a, b in zip(before, data):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            before = data
+            yield self.walk(self.last_tokens(data, last))
+
 
 class PrefixText:
     """A byte string that grows and changes, with the last token of each of its prefixes."""
@@ -172,16 +187,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixIds(UnitIds):
     """Ids of texts: each pre-token by itself, through the memory of their units."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import regex
 
         self.coder = PrefixCoder(read_ranks(path))
         self.pre_token = regex.compile(PRE_TOKEN)
-        super().__init__(spaced_line, lambda units: [self.packed(unit_text(u)) for u in units], self.packed, "<u4", most)
+        super().__init__(spaced_line, self.packed_units, self.packed, "<u4", most)
+
+    def packed_units(self, units: list[str]) -> list[bytes]:
+        texts = list(map(unit_text, units))
+        words = sorted((text.encode(), i) for i, text in enumerate(texts) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()))
+        out: list = [None] * len(texts)
+        for (_, i), ids in zip(words, self.coder.encode_sorted([data for data, _ in words])):
+            out[i] = array("I", ids).tobytes()
+        return [self.packed(text) if ids is None else ids for text, ids in zip(texts, out)]
 
     def packed(self, text: str) -> bytes:
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return array("I", self.coder.encode(text.encode())).tobytes()
         encode, ids = self.coder.encode, array("I")
         for piece in self.pre_token.findall(text):
             ids.extend(encode(piece.encode("utf-8", "surrogatepass")))
