@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from greenframe.functions import energy
 from greenframe.functions import fixed_values as fixed
 from greenframe.operators.ordered import (
-    CHUNK,
-    ROWS_PER_CHUNK,
+    PART,
+    Cuts,
     OrderedRuns,
-    chunk_width,
     epoch_micros,
+    long_runs,
 )
 
 
@@ -24,46 +24,46 @@ def with_power(df: DataFrame, percent: str = "cpu_percent", tdp: float = fixed.C
     )
 
 
-def _add_dt(df: DataFrame, run: list[str], time: str, tie: list[str], width: int | None) -> DataFrame:
+def _add_dt(df: DataFrame, run: list[str], time: str, tie: list[str], cuts: Cuts | None) -> DataFrame:
     now = epoch_micros(df, time)
-    runs = OrderedRuns(df, run, time, tie, width)
+    runs = OrderedRuns(df, run, time, tie, cuts)
     seconds = (now - F.col("_previous")) / 1e6
     stepped = runs.with_previous(now, "_previous")
     return stepped.withColumn("dt_s", F.coalesce(seconds, F.lit(0.0))).drop("_previous")
 
 
 def sample_dt(df: DataFrame, run: list[str], time: str, tie: list[str],
-              rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+              parts: int | None = None) -> DataFrame:
     """Add ``dt_s``: seconds since the previous sample of the run, 0 for the first."""
-    return _add_dt(df, run, time, tie, chunk_width(df, run, time, rows_per_chunk))
+    return _add_dt(df, run, time, tie, long_runs(df, run, time, tie, parts))
 
 
 def integrate(df: DataFrame, run: list[str], time: str, tie: list[str], rates: dict[str, Column],
-              rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+              parts: int | None = None) -> DataFrame:
     """Per run: the sum of rate * dt for every rate, the seconds covered and the sample count.
 
-    Chunks of a long run are summed on their own; only the step from one chunk
-    to the next is added afterwards, on one row per chunk.
+    Parts of a long run are summed on their own; only the step from one part
+    to the next is added afterwards, on one row per part.
     """
-    return _integrate(df, run, time, tie, rates, chunk_width(df, run, time, rows_per_chunk))
+    return _integrate(df, run, time, tie, rates, long_runs(df, run, time, tie, parts))
 
 
 def _integrate(df: DataFrame, run: list[str], time: str, tie: list[str], rates: dict[str, Column],
-               width: int | None) -> DataFrame:
+               cuts: Cuts | None) -> DataFrame:
     now = epoch_micros(df, time)
-    runs = OrderedRuns(df, run, time, tie, width)
+    runs = OrderedRuns(df, run, time, tie, cuts)
     values = {name: F.coalesce(rate, F.lit(0.0)) for name, rate in rates.items()}
     steps = runs.df.withColumn("_t", now).withColumn(
         "_dt", F.coalesce((F.col("_t") - F.lag("_t").over(runs.within)) / 1e6, F.lit(0.0))
     )
     inner = [F.sum(value * F.col("_dt")).alias(name) for name, value in values.items()]
-    if not runs.chunked:
+    if not runs.cut:
         return steps.groupBy(*run).agg(
             *inner, F.sum("_dt").alias("seconds"), F.count(F.lit(1)).alias("samples")
         )
     first = F.struct("_t", *runs.order[1:])
     runs.df = steps
-    chunks = runs.per_chunk(
+    pieces = runs.per_part(
         *inner,
         *[F.min_by(value, first).alias(f"_f_{name}") for name, value in values.items()],
         F.min("_t").alias("_start"),
@@ -72,7 +72,7 @@ def _integrate(df: DataFrame, run: list[str], time: str, tie: list[str], rates:
         F.count(F.lit(1)).alias("samples"),
     )
     gap = F.coalesce((F.col("_start") - F.lag("_end").over(runs.across)) / 1e6, F.lit(0.0))
-    return chunks.withColumn("_gap", gap).groupBy(*run).agg(
+    return pieces.withColumn("_gap", gap).groupBy(*run).agg(
         *[(F.sum(name) + F.sum(F.col(f"_f_{name}") * F.col("_gap"))).alias(name) for name in rates],
         (F.sum("seconds") + F.sum("_gap")).alias("seconds"),
         F.sum("samples").alias("samples"),
@@ -89,12 +89,12 @@ def integrate_fixed_step(df: DataFrame, run: list[str], co2_gs: Column, power_w:
 
 
 def cumulative_co2(df: DataFrame, run: list[str], time: str, tie: list[str], co2_gs: str = "co2_gs",
-                   rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """Add ``cumulative_g``: CO2 of the run so far."""
-    width = chunk_width(df, run, time, rows_per_chunk)
-    stepped = _add_dt(df, run, time, tie, width)
+    cuts = long_runs(df, run, time, tie, parts)
+    stepped = _add_dt(df, run, time, tie, cuts)
     grams = F.coalesce(F.col(co2_gs), F.lit(0.0)) * F.col("dt_s")
-    runs = OrderedRuns(stepped, run, time, tie, width)
+    runs = OrderedRuns(stepped, run, time, tie, cuts)
     return runs.with_running_sums({"cumulative_g": grams})
 
 
@@ -145,19 +145,19 @@ def join_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], ti
 
 def slice_phase(samples: DataFrame, phases: DataFrame, run: list[str], phase: str, time: str, tie: list[str],
                 start: str = "t_start", end: str = "t_end",
-                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Samples of each (run, phase); ``dt_s`` starts anew at 0 in every slice."""
     inside = join_intervals(samples, phases, run, time, start, end)
     # a slice is never longer than the run it is cut from
-    return _add_dt(inside, [*run, phase], time, tie, chunk_width(samples, run, time, rows_per_chunk))
+    return _add_dt(inside, [*run, phase], time, tie, long_runs(samples, run, time, tie, parts))
 
 
 def phase_integrals(samples: DataFrame, phases: DataFrame, run: list[str], phase: str, time: str,
                     tie: list[str], rates: dict[str, Column], start: str = "t_start", end: str = "t_end",
-                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """CO2, energy or any other rate integrated per (run, phase)."""
     inside = join_intervals(samples, phases, run, time, start, end)
-    return _integrate(inside, [*run, phase], time, tie, rates, chunk_width(samples, run, time, rows_per_chunk))
+    return _integrate(inside, [*run, phase], time, tie, rates, long_runs(samples, run, time, tie, parts))
 
 
 def in_any_interval(samples: DataFrame, intervals: DataFrame, keys: list[str], time: str,
@@ -189,28 +189,29 @@ def metric_summary(samples: DataFrame, cpu: str, gpu: str, co2_gs: str,
 
 
 def smooth(df: DataFrame, run: list[str], time: str, tie: list[str], value: str, out: str = "smooth",
-           rows: int = fixed.SMOOTHING_ROWS, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+           rows: int = fixed.SMOOTHING_ROWS, parts: int | None = None) -> DataFrame:
     """Rolling mean over ``rows`` rows for runs longer than that; shorter runs stay as they are.
 
     The first ``rows - 1`` values of a smoothed run are null.
     """
-    runs = OrderedRuns(df, run, time, tie, chunk_width(df, run, time, rows_per_chunk))
-    numbered = runs.with_row_numbers("_rn")
-    if runs.chunked:
+    cuts = long_runs(df, run, time, tie, parts)
+    numbered = OrderedRuns(df, run, time, tie, cuts).with_row_numbers("_rn")
+    if cuts:
         # equal slices by row number, each preceded by the tail of the slice before
-        piece = F.floor((F.col("_rn") - 1) / rows_per_chunk)
-        tail = F.col("_rn") > (piece + 1) * rows_per_chunk - (rows - 1)
+        size = max(cuts.share, 4 * rows)
+        piece = F.floor((F.col("_rn") - 1) / size)
+        tail = F.col("_rn") > (piece + 1) * size - (rows - 1)
         pieces = F.when(tail, F.array(piece, piece + 1)).otherwise(F.array(piece))
-        framed = numbered.withColumn("_home", piece).withColumn(CHUNK, F.explode(pieces))
-        keys = [*run, CHUNK]
+        framed = numbered.withColumn("_home", piece).withColumn(PART, F.explode(pieces))
+        keys = [*run, PART]
     else:
         framed, keys = numbered, run
     frame = Window.partitionBy(*keys).orderBy("_rn").rowsBetween(-(rows - 1), 0)
     averaged = framed.withColumn("_mean", F.avg(value).over(frame)).withColumn("_n", F.count(value).over(frame))
-    if runs.chunked:
-        averaged = averaged.filter(F.col("_home") == F.col(CHUNK)).drop("_home", CHUNK)
-        lengths = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_len"))
-        averaged = averaged.join(lengths, run)
+    if cuts:
+        averaged = averaged.filter(F.col("_home") == F.col(PART)).drop("_home", PART)
+        lengths = df.groupBy(F.struct(*run).alias("_of")).agg(F.count(F.lit(1)).alias("_len"))
+        averaged = averaged.withColumn("_of", F.struct(*run)).join(lengths, "_of").drop("_of")
     else:
         averaged = averaged.withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy(*run)))
     rolled = F.when(F.col("_n") >= rows, F.col("_mean"))
@@ -251,10 +252,10 @@ def session_metrics(runs: DataFrame, co2_g: str = "co2_g", seconds: str = "secon
 
 
 def kpi_history(operations: DataFrame, time: str, tie: list[str], co2_g: str = "co2_g",
-                energy_wh: str = "energy_wh", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                energy_wh: str = "energy_wh", parts: int | None = None) -> DataFrame:
     """Operation log with the running totals of CO2 and energy."""
     logged = operations.withColumn("_all", F.lit(1))
-    runs = OrderedRuns(logged, ["_all"], time, tie, chunk_width(logged, ["_all"], time, rows_per_chunk))
+    runs = OrderedRuns(logged, ["_all"], time, tie, long_runs(logged, ["_all"], time, tie, parts))
     sums = {
         "total_co2_g": F.coalesce(F.col(co2_g), F.lit(0.0)),
         "total_energy_wh": F.coalesce(F.col(energy_wh), F.lit(0.0)),

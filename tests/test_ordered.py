@@ -1,4 +1,4 @@
-"""Cutting long runs into chunks must not change any result."""
+"""Cutting long runs into parts must not change any result."""
 
 import random
 from datetime import datetime, timedelta
@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from greenframe.operators import ordered as od
 from greenframe.operators import telemetry as tm
 
 RUN, TIE = ["run"], ["id"]
@@ -37,17 +38,17 @@ def rates():
     return {"co2_g": F.col("co2_gs"), "energy_j": F.col("power_w")}
 
 
-@pytest.mark.parametrize("rows", [40, 100])
-def test_chunked_equals_plain(samples, rows):
-    same(tm.sample_dt(samples, RUN, "ts", TIE), tm.sample_dt(samples, RUN, "ts", TIE, rows))
-    same(tm.integrate(samples, RUN, "ts", TIE, rates()), tm.integrate(samples, RUN, "ts", TIE, rates(), rows))
-    same(tm.cumulative_co2(samples, RUN, "ts", TIE), tm.cumulative_co2(samples, RUN, "ts", TIE, rows_per_chunk=rows))
-    same(tm.smooth(samples, RUN, "ts", TIE, "cpu_percent"), tm.smooth(samples, RUN, "ts", TIE, "cpu_percent", rows_per_chunk=rows))
+@pytest.mark.parametrize("parts", [24, 9])
+def test_cut_equals_plain(samples, parts):
+    same(tm.sample_dt(samples, RUN, "ts", TIE), tm.sample_dt(samples, RUN, "ts", TIE, parts))
+    same(tm.integrate(samples, RUN, "ts", TIE, rates()), tm.integrate(samples, RUN, "ts", TIE, rates(), parts))
+    same(tm.cumulative_co2(samples, RUN, "ts", TIE), tm.cumulative_co2(samples, RUN, "ts", TIE, parts=parts))
+    same(tm.smooth(samples, RUN, "ts", TIE, "cpu_percent"), tm.smooth(samples, RUN, "ts", TIE, "cpu_percent", parts=parts))
 
 
 def test_history_over_all_operations(samples):
     operations = samples.select("ts", "id", F.col("co2_gs").alias("co2_g"), F.col("power_w").alias("energy_wh"))
-    same(tm.kpi_history(operations, "ts", TIE), tm.kpi_history(operations, "ts", TIE, rows_per_chunk=50))
+    same(tm.kpi_history(operations, "ts", TIE), tm.kpi_history(operations, "ts", TIE, parts=20))
 
 
 def test_smoothing_starts_above_twenty_rows(samples):
@@ -74,8 +75,8 @@ def test_phase_boundaries_belong_to_both_phases(spark, samples):
         "run string, phase string, t_start timestamp, t_end timestamp")
     found = {r["phase"]: r for r in tm.phase_integrals(points, marks, RUN, "phase", "ts", TIE, {"j": F.col("w")}).collect()}
     assert {p: (r["samples"], r["j"]) for p, r in found.items()} == {"a": (3, 20.0), "b": (4, 30.0)}
-    chunked = tm.phase_integrals(points, marks, RUN, "phase", "ts", TIE, {"j": F.col("w")}, rows_per_chunk=2)
-    assert {r["phase"]: r["j"] for r in chunked.collect()} == {"a": 20.0, "b": 30.0}
+    cut = tm.phase_integrals(points, marks, RUN, "phase", "ts", TIE, {"j": F.col("w")}, parts=5)
+    assert {r["phase"]: r["j"] for r in cut.collect()} == {"a": 20.0, "b": 30.0}
 
 
 def test_a_sample_in_two_intervals_counts_once(spark, samples):
@@ -84,3 +85,28 @@ def test_a_sample_in_two_intervals_counts_once(spark, samples):
     calls = spark.createDataFrame([("r", t0, t0 + timedelta(seconds=5)), ("r", t0 + timedelta(seconds=3), t0 + timedelta(seconds=6))],
                                   "run string, t_start timestamp, t_end timestamp")
     assert tm.in_any_interval(points, calls, RUN, "ts", "t_start", "t_end").count() == 7
+
+
+def test_no_part_of_a_run_is_large(spark):
+    """A burst of equal times, a dense run beside a long sparse one, and many short ones."""
+    day = 86_400_000_000
+    burst = spark.range(6000).selectExpr("'burst' AS run", "CASE WHEN id < 5000 THEN 7 ELSE id * 1000 END AS us", "id")
+    dense = spark.range(5000).selectExpr("'dense' AS run", "id AS us", "id")
+    sparse = spark.range(5000).selectExpr("'sparse' AS run", f"id * {day} AS us", "id")
+    short = spark.range(4000).selectExpr("concat('s', id % 400) AS run", "id * 10 AS us", "id")
+    df = burst.unionByName(dense).unionByName(sparse).unionByName(short).selectExpr("run", "timestamp_micros(us) AS ts", "id", "1.0D AS v")
+    parts = 20
+    cuts = od.long_runs(df, RUN, "ts", TIE, parts)
+    sizes = od.OrderedRuns(df, RUN, "ts", TIE, cuts).df.groupBy(od.KEY).count().select(f"{od.KEY}.*", "count").collect()
+    assert cuts.share == 1000 and max(r["count"] for r in sizes) <= 1.7 * cuts.share
+    assert {r[od.PART] for r in sizes if r["run"].startswith("s") and r["run"] != "sparse"} == {-1}
+    same(tm.sample_dt(df, RUN, "ts", TIE, parts), tm.sample_dt(df, RUN, "ts", TIE, 1))
+    plain = tm.smooth(df, RUN, "ts", TIE, "v", parts=1)
+    same(tm.smooth(df, RUN, "ts", TIE, "v", parts=parts), plain)
+    assert od.long_runs(df, RUN, "ts", TIE, 1) is None and od.long_runs(df.filter("false"), RUN, "ts", TIE, 4) is None
+
+
+def test_a_run_without_a_name_is_cut_too(spark):
+    df = spark.range(500).selectExpr("CAST(NULL AS string) AS run", "timestamp_seconds(id) AS ts", "id", "1.0D AS co2_gs")
+    got = tm.cumulative_co2(df, RUN, "ts", TIE, parts=10).orderBy("id").collect()
+    assert [r["cumulative_g"] for r in got] == [float(i) for i in range(500)]

@@ -38,16 +38,16 @@ def test_intervals_join_on_equality(spark, folder):
 
 
 def test_a_long_run_is_shuffled_once(spark, folder):
-    """Beyond the shuffle of the samples there are only those of one row per chunk."""
+    """Beyond the shuffle of the samples there are only those of one row per part."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(tm.sample_dt(telemetry(spark, folder), ["user_id"], "ts", ["event_id"], rows_per_chunk=5))
+        text = plan(tm.sample_dt(telemetry(spark, folder), ["user_id"], "ts", ["event_id"], parts=400))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    # samples by chunk; chunk ends by chunk, by run, and back by chunk
-    assert len(exchanges) == 4 and sum("_run_chunk" in line for line in exchanges) == 3
-    assert "SortMergeJoin" in text
+    # samples by part; part ends by part and by run; the cuts and the carries are bounded by the shares and broadcast
+    assert len(exchanges) == 3 and sum("_run_part" in line for line in exchanges) == 2
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 2
 
 
 def test_rank_limits_come_before_the_shuffle(spark, folder):
