@@ -24,7 +24,7 @@ from .units import UnitIds, spaced_line, tokenizer_path, unit_text
 
 NEVER = 1 << 60
 #: Documents that a task works on at a time.
-ROWS = 2000
+ROWS = 800
 
 
 class PrefixCoder:
@@ -187,7 +187,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixIds(UnitIds):
     """Ids of texts: each pre-token by itself, through the memory of their units."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
 
         self.coder = PrefixCoder(read_ranks(path))
