@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from greenframe.functions import fixed_values as fixed
 from greenframe.functions import wordlists as words
 from greenframe.functions.numeric import (
-    bisect_right,
     hashed_uniform,
     literal_array,
     normal_cdf,
@@ -30,6 +29,7 @@ from greenframe.operators.profile import (
     present,
     quoted,
 )
+from greenframe.session import checkpointed
 
 # ---- providers --------------------------------------------------------------
 
@@ -179,8 +179,39 @@ def generate_fake(spark: SparkSession, rows: int, columns: list[tuple[str, str]]
 # ---- Gaussian copula --------------------------------------------------------
 
 KNOTS = 400
-MOST_CATEGORIES = 500
 MOST_DIGITS = 6
+#: Parts of the values that are equally frequent, so that numbering them is not one task's.
+VALUE_PARTS = 64
+
+
+@dataclass
+class Shares:
+    """The categories of a column as a table (value, from, n): each takes the ranks from ``from`` to before ``from + n``."""
+
+    table: DataFrame
+    values: int
+    total: int
+
+    @property
+    def width(self) -> int:
+        """Ranks of a slot: there are about as many slots as categories, so a rank meets two or three on average."""
+        return max(1, self.total // self.values)
+
+    def rank(self, u: Column) -> Column:
+        return F.least(F.floor(u * F.lit(float(self.total))).cast("long"), F.lit(self.total - 1))
+
+    def at(self, rows: DataFrame, rank: str, name: str) -> DataFrame:
+        """Add ``name``: the category whose share holds ``rank``. An equality join on the slot; every rank has one category."""
+        slots = self.table.select(
+            F.col("value").alias(name), F.col("from").alias("_from"), F.col("n").alias("_n"),
+            F.explode(F.sequence(F.expr(f"`from` div {self.width}L"), F.expr(f"(`from` + n - 1) div {self.width}L"))).alias("_slot_of"),
+        )
+        inside = (F.col("_slot") == F.col("_slot_of")) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_from") + F.col("_n"))
+        return rows.withColumn("_slot", F.expr(f"{rank} div {self.width}L")).join(slots, inside).drop("_slot", "_slot_of", "_from", "_n", rank)
+
+    def middles(self) -> DataFrame:
+        """(value, middle): the middle of each category's share."""
+        return self.table.select("value", ((F.col("from") + F.col("n") / 2) / self.total).alias("middle"))
 
 
 @dataclass
@@ -192,17 +223,16 @@ class Margin:
     missing: float
     knots: list[float] = field(default_factory=list)
     digits: int | None = None
-    categories: list = field(default_factory=list)
-    upto: list[float] = field(default_factory=list)
+    shares: Shares | None = None
 
     @property
     def linked(self) -> bool:
-        return bool(self.knots or self.categories)
+        return bool(self.knots or self.shares)
 
 
 @dataclass
 class Copula:
-    """Margins and the Cholesky factor of the normal scores' correlation; its size depends on the columns only."""
+    """Margins and the Cholesky factor of the normal scores' correlation; only the tables of categories grow with the data."""
 
     margins: list[Margin]
     factor: list[list[float]]
@@ -223,6 +253,36 @@ def _decimals(value: Column) -> Column:
     return F.when(value.isNotNull(), found.otherwise(MOST_DIGITS + 1))
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    return F.hex(quoted(name)) if isinstance(df.schema[name].dataType, T.BinaryType) else quoted(name).cast("string")
+
+
+def _shares(df: DataFrame, columns: list[str]) -> dict[str, Shares]:
+    """The shares of all values of all ``columns`` but those in which no value repeats: these have identifiers, not categories.
+
+    All columns are counted in one scan. The commonest value comes first; values of one frequency are numbered within
+    parts, and the sums before each (frequency, part) are all that passes from one to the next.
+    """
+    if not columns:
+        return {}
+    texts = df.select(*[_as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    cells = texts.unpivot([], texts.columns, "c", "value").filter(F.col("value").isNotNull())
+    counts = checkpointed(cells.groupBy("c", "value").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")).collect()}
+    parts = counts.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(VALUE_PARTS)))
+    sums = parts.groupBy("c", "n", "part").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("c").orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("c", "n", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("c", "n", "part").orderBy("value")) - 1
+    placed = parts.withColumn("nth", nth).join(sums, ["c", "n", "part"])
+    placed = checkpointed(placed.select("c", "value", (F.col("before") + F.col("nth") * F.col("n")).alias("from"), "n"))
+    return {
+        c: Shares(placed.filter(F.col("c") == f"c{i}").drop("c"), sizes[f"c{i}"]["values"], sizes[f"c{i}"]["total"])
+        for i, c in enumerate(columns)
+        if f"c{i}" in sizes and (sizes[f"c{i}"]["values"] < sizes[f"c{i}"]["total"] or sizes[f"c{i}"]["total"] == 1)
+    }
+
+
 def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
     numeric = [c for c in columns if kind(df.schema[c].dataType) in ("numeric", "datetime")]
     listed = [c for c in columns if c not in numeric]
@@ -234,24 +294,16 @@ def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
         *[F.percentile_approx(_number(df, c), grid, KNOTS * 25).alias(f"grid_{c}") for c in numeric],
         *[F.struct(F.min(_number(df, c)), F.max(_number(df, c))).alias(f"ends_{c}") for c in numeric],
         *[F.max(_decimals(_number(df, c))).alias(f"digits_{c}") for c in fractions],
-        *[F.approx_count_distinct(quoted(c), 0.02).alias(f"values_{c}") for c in listed],
     ).first()
-    rows = stats["rows"]
+    rows, shares = stats["rows"], _shares(df, listed)
     margins = []
     for c in columns:
-        margin = Margin(c, df.schema[c].dataType, stats[f"missing_{c}"] / rows if rows else 0.0)
+        margin = Margin(c, df.schema[c].dataType, stats[f"missing_{c}"] / rows if rows else 0.0, shares=shares.get(c))
         if c in numeric and stats[f"grid_{c}"]:
             low, high = stats[f"ends_{c}"]
             margin.knots = [low, *stats[f"grid_{c}"][1:-1], high]
             if c in fractions:
                 margin.digits = stats[f"digits_{c}"] if stats[f"digits_{c}"] <= MOST_DIGITS else None
-        elif c in listed and 0 < stats[f"values_{c}"] <= MOST_CATEGORIES:
-            shares = df.filter(quoted(c).isNotNull()).groupBy(quoted(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").collect()
-            total, so_far = sum(s["n"] for s in shares), 0
-            for share in shares:
-                so_far += share["n"]
-                margin.categories.append(share["v"])
-                margin.upto.append(so_far / total)
         margins.append(margin)
     return margins, rows
 
@@ -261,12 +313,11 @@ def _scores(df: DataFrame, linked: list[Margin]) -> DataFrame:
 
     Built in steps, so that no expression is computed more than once per cell.
     """
-    def share(margin: Margin) -> Column:
-        starts = [0.0, *margin.upto[:-1]]
-        middle = F.create_map(*[F.lit(x) for v, a, b in zip(margin.categories, starts, margin.upto) for x in (v, (a + b) / 2)])
-        return F.try_element_at(middle, quoted(margin.name))
-
-    values = df.select(*[(_number(df, m.name) if m.knots else share(m)).alias(f"x{i}") for i, m in enumerate(linked)])
+    values = df.select(*[(_number(df, m.name) if m.knots else _as_text(df, m.name)).alias(f"x{i}") for i, m in enumerate(linked)])
+    for i, m in enumerate(linked):
+        if m.shares:
+            middles = m.shares.middles().select(F.col("value").alias("_value"), F.col("middle").alias("_middle"))
+            values = values.join(middles, F.col(f"x{i}") == F.col("_value"), "left").withColumn(f"x{i}", F.col("_middle")).drop("_value", "_middle")
     grids = {f"x{i}": np.array(m.knots) for i, m in enumerate(linked) if m.knots}
 
     def place(batches):
@@ -317,10 +368,7 @@ def _drawn(margin: Margin, u: Column, row: Column, seed: int) -> Column:
         if isinstance(margin.data_type, INTEGRAL):
             return F.round(value).cast(margin.data_type)
         return (F.round(value, margin.digits) if margin.digits is not None else value).cast(margin.data_type)
-    if margin.categories:
-        at = F.least(bisect_right(literal_array(margin.upto), u, len(margin.upto)), F.lit(len(margin.categories) - 1))
-        return F.get(F.array(*[F.lit(c) for c in margin.categories]), at).cast(margin.data_type)
-    # too many different texts to be categories: identifiers or free text, replaced by a surrogate
+    # no text comes twice: identifiers or free text, replaced by a surrogate
     mark = F.lower(F.hex(F.xxhash64(row, F.lit(margin.name), F.lit(seed))))
     return F.concat(F.lit(f"{margin.name}-"), mark).try_cast(margin.data_type)
 
@@ -336,11 +384,20 @@ def sample_copula(model: Copula, ids: DataFrame, row_id: str, seed: int = 42) ->
         for i, weights in enumerate(model.factor)
     })
     made = mixed.withColumns({f"_u{i}": normal_cdf(F.col(f"_z{i}")) for i in range(len(linked))})
+    ranks = {i: m.shares.rank(F.col(f"_u{i}")).alias(f"_r{i}") for i, m in enumerate(linked) if m.shares}
+    if ranks:
+        # a generator, through which no condition of the joins is copied into the expressions below it
+        made = made.select("*", F.inline(F.array(F.struct(*ranks.values()))))
+        for i in ranks:
+            made = linked[i].shares.at(made, f"_r{i}", f"_v{i}")
     position = {m.name: i for i, m in enumerate(linked)}
     cells = []
     for m in model.margins:
-        u = F.col(f"_u{position[m.name]}") if m.linked else F.lit(0.5)
-        value = _drawn(m, u, row, seed)
+        at = position.get(m.name)
+        if m.shares:
+            value = F.unhex(f"_v{at}") if isinstance(m.data_type, T.BinaryType) else F.col(f"_v{at}").cast(m.data_type)
+        else:
+            value = _drawn(m, F.col(f"_u{at}") if m.linked else F.lit(0.5), row, seed)
         gone = hashed_uniform(row, F.lit(f"missing {m.name}"), F.lit(seed)) < m.missing
         cells.append((F.when(~gone, value) if m.missing else value).alias(m.name))
     return made.select(*ids.columns, *cells)

@@ -61,6 +61,30 @@ def synthetic_lines_compared(spark, folder):
     return moments.unionAll(links)
 
 
+def synthetic_categories_compared(spark, folder):
+    """A text column of thousands of values, one of which has a third of the rows: are values, shares and links kept?"""
+    rare = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
+    real = table(spark, folder, "lineitem", spread=True).select(
+        F.when(F.col("l_partkey") % 3 == 0, F.lit("common")).otherwise(rare).alias("label"), "l_quantity",
+        F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity") + 60).otherwise(F.col("l_quantity")).alias("moved"),
+    )
+    rows = real.count()
+    made = synthetic.generate_copula(real, rows)
+    counts = real.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    both = counts.join(made.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label", "full").fillna(0)
+    seen = F.sum((F.col("m") > 0).cast("double"))
+    expected = F.sum(1 - F.exp(-F.col("n")))  # of the values, those that so many independent draws hit
+    result = both.agg(
+        F.count_if(F.col("n") > 0).alias("label_values"), F.sum("n").alias("all_rows"), F.sum("m").alias("made_rows"), F.count_if(F.col("n") == 0).alias("unknown_values"),
+        (F.abs(F.max(F.when(F.col("label") == "common", F.col("m") - F.col("n")))) < 0.02 * F.sum("n")).alias("common_share_kept"),
+        (F.abs(seen - expected) < 0.03 * expected).alias("rare_shares_kept"),
+    )
+    shift = lambda df, name: df.agg((F.avg(F.when(F.col("label") == "common", F.col("moved"))) - F.avg("moved")).alias(name))
+    # the common label goes with large numbers, as it did
+    linked = shift(real, "real_shift").crossJoin(F.broadcast(shift(made, "made_shift")))
+    return result.crossJoin(F.broadcast(linked.select((F.col("made_shift") > 0.5 * F.col("real_shift")).alias("link_kept"))))
+
+
 def _related(spark, folder):
     tables = {"customer": table(spark, folder, "customer"), "orders": table(spark, folder, "orders")}
     return synthetic.generate_relational(
@@ -90,7 +114,7 @@ def synthetic_orders_checked(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        made_up_customers, made_up_customers_checked, synthetic_lines, synthetic_lines_compared, synthetic_orders,
+        made_up_customers, made_up_customers_checked, synthetic_lines, synthetic_lines_compared, synthetic_categories_compared, synthetic_orders,
         synthetic_orders_checked,
     )
 }
@@ -105,6 +129,9 @@ UNION ALL SELECT column_name, 'missing_pct', true FROM information_schema.column
 UNION ALL SELECT 'l_cost', 'missing_pct', true UNION ALL SELECT 'l_returnflag', 'unique', true
 UNION ALL SELECT a.c || '~' || b.c, 'corr', true FROM numbers a JOIN numbers b
   ON list_position(['l_quantity', 'l_extendedprice', 'l_cost', 'l_tax'], a.c) < list_position(['l_quantity', 'l_extendedprice', 'l_cost', 'l_tax'], b.c)""",
+    "synthetic_categories_compared": """WITH labels AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 'common' ELSE 'order ' || l_orderkey END AS label FROM lineitem)
+SELECT count(DISTINCT label) AS label_values, count(*) AS all_rows, count(*) AS made_rows, 0::BIGINT AS unknown_values, true AS common_share_kept, true AS rare_shares_kept,
+  true AS link_kept FROM labels""",
     "synthetic_orders_checked": """SELECT 'customers' AS what, 2 * count(*) AS rows FROM customer
 UNION ALL SELECT 'customer keys', 2 * count(*) FROM customer
 UNION ALL SELECT 'orphans', 0 UNION ALL SELECT 'repeated order keys', 0""",

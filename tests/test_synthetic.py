@@ -109,3 +109,28 @@ def test_lines_compared_are_as_many_as_the_real_ones(spark, folder, monkeypatch)
     monkeypatch.setattr(synthesis.synthetic, "generate_copula", lambda df, rows: asked.append((rows, df.count())) or generate(df, rows))
     report = synthesis.synthetic_lines_compared(spark, folder)
     assert asked and all(rows == real for rows, real in asked) and all(r["near"] for r in report.collect())
+
+
+@pytest.mark.parametrize("values", [480, 520, 5000])
+def test_any_number_of_categories(spark, values):
+    real = spark.range(20_000).select(F.concat(F.lit("v"), F.least(F.col("id") % (2 * values), F.lit(values - 1)).cast("string")).alias("c"), F.when(F.col("id") % 2 == 0, b"\xff").otherwise(b"\x00").alias("b"))
+    model = sy.fit_copula(real)
+    shares = model.margins[0].shares
+    assert shares.values == values and shares.total == 20_000
+    # ranges lie side by side from 0 to the number of rows, the commonest first
+    rows = sorted((r["from"], r["n"]) for r in shares.table.collect())
+    assert [f for f, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and rows[0][1] == max(n for _, n in rows)
+    made = sy.generate_copula(real, 20_000, seed=3)
+    assert dict(made.dtypes) == dict(real.dtypes) and made.count() == 20_000
+    known = {r["c"]: r["count"] for r in real.groupBy("c").count().collect()}
+    got = {r["c"]: r["count"] for r in made.groupBy("c").count().collect()}
+    assert set(got) <= set(known) and abs(got[f"v{values - 1}"] - known[f"v{values - 1}"]) < 500
+    assert {bytes(r["b"]) for r in made.select("b").distinct().collect()} == {b"\xff", b"\x00"}
+
+
+def test_every_rank_has_one_category(spark):
+    table = spark.createDataFrame([("a", 0, 7), ("b", 7, 2), ("c", 9, 1), ("d", 10, 1)], "value string, from long, n long")
+    shares = sy.Shares(table, 4, 11)
+    ranks = spark.range(11).select("id", shares.rank((F.col("id") + 0.5) / 11).alias("r"))
+    got = [r["v"] for r in shares.at(ranks, "r", "v").orderBy("id").collect()]
+    assert got == ["a"] * 7 + ["b"] * 2 + ["c", "d"]
