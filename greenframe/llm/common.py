@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(id_col.cast("long").cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
+def fresh(label: str) -> str:
+    """A column name that no table has."""
+    return f"_{label}_{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)

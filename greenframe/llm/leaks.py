@@ -7,16 +7,19 @@ for one value) is the item itself or the same question with other parameters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import fresh, row_key, written
 
-#: Placeholders: one private character each.
-NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
-SLOTS = f"{NAME}-{UNIT}"
+#: Marks, one private character each: before a name, and for a point or comma inside a number.
+NAME, POINT = "\ue001", "\ue002"
+#: What stands for a name, a number, a number with its unit in one word, and a unit after a number.
+NAMES, NUMBER, MEASURE, UNIT = 1, 2, 3, 4
 UNITS = (
-    "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs mph kmh km/h kw kwh w v a hz c f k j n pa usd eur gbp "
+    "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs mph kmh kw kwh w v a hz c f k j n pa usd eur gbp "
     "meter meters metre metres kilometer kilometers inch inches foot feet yard yards mile miles gram grams kilogram kilograms pound pounds ounce ounces "
     "liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees dollar dollars cent cents euro euros percent"
 ).split()
@@ -29,45 +32,57 @@ LEAST_LITERAL = 4
 MOST_BROADCAST = 500_000
 
 
-def words(text: Column) -> Column:
-    """Words in lower case: letters and digits; a point or comma between digits belongs to the number."""
-    spaced = F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\d.,{SLOTS}]|[.,](?!\d)|(?<!\d)[.,])+", " ")
-    return F.filter(F.split(F.trim(spaced), " "), lambda w: w != "")
+def tokens(text: Column) -> Column:
+    """Words in lower case: letters and digits; a point or comma between digits belongs to the number.
 
+    A word that is a name (it begins with a capital, inside a sentence) is marked. Everything else about the words of a
+    text is worked out from these tokens, one for one.
+    """
+    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\d,;] .)(?=[\p{L}\d])", f"{NAME}$0")
+    pointed = F.regexp_replace(F.lower(marked), r"[.,](?<=\d.)(?=\d)", POINT)
+    parts = F.split(pointed, rf"[^\p{{L}}\d{NAME}{POINT}]+")
+    # a text may begin or end with what is no word
+    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+    last = F.when((F.element_at(parts, -1) == "") & (F.size(parts) > 1), 1).otherwise(0)
+    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
 
-def template(text: Column) -> Column:
-    """words() of the text with placeholders, one for one: capitalised words inside a sentence, numbers, units after numbers."""
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\d,;] .)[\p{L}\d]+", NAME)
-    text = F.regexp_replace(text, rf"\d+(?:[.,]\d+)*( ?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\d])", f"{NUMBER}$1{UNIT}")
-    return words(F.regexp_replace(text, r"\d+(?:[.,]\d+)*", NUMBER))
 
+def words(tokens: Column) -> Column:
+    """A number for each word, the same for equal words."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.ltrim(t, F.lit(NAME))))
 
-def literal(word: Column) -> Column:
-    return ~word.rlike(f"[{SLOTS}]")
 
+def without_digits(token: Column) -> Column:
+    return F.translate(token, f"0123456789{POINT}", "")
 
-def places(tokens: Column, size: int) -> Column:
-    return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
 
+def template(tokens: Column) -> Column:
+    """words() with one of the placeholders 1 to 4 for names, numbers and units."""
 
-def exact_hash(tokens: Column, place: Column, size: int) -> Column:
-    return F.xxhash64(F.lit("words"), F.concat_ws(" ", F.slice(tokens, place + 1, F.lit(size))))
+    def of(token: Column, i: Column) -> Column:
+        rest, before = without_digits(token), F.get(tokens, i - 1)
+        number = F.when(rest == "", NUMBER).when(rest.isin(UNITS), MEASURE)
+        begins = (token >= "0") & (token < ":")
+        unit = token.isin(UNITS) & (before >= "0") & (before < ":") & (without_digits(before) == "")
+        placeholder = F.when(token >= NAME, F.when(F.startswith(token, F.lit(NAME)), NAMES)).when(begins, number).when(unit, UNIT)
+        return F.coalesce(placeholder.cast("long"), F.xxhash64(token))
 
+    return F.transform(tokens, of)
 
-def exact_windows(tokens: Column, size: int) -> Column:
-    """(place, hash) of each run of ``size`` words."""
-    return F.transform(places(tokens, size), lambda i: F.struct(i.alias("place"), exact_hash(tokens, i, size).alias("hash")))
+
+def literal(word: Column) -> Column:
+    return ~word.between(NAMES, UNIT)
 
 
-def windows(tokens: Column, plain: Column, size: int) -> Column:
-    """(place, hash) of each window of a template, or of the words at its place if it has too few that are no placeholder."""
+def windows(numbers: Column, size: int, kind: int) -> Column:
+    """(place, hash) of each run of ``size`` numbers; ``kind`` keeps the hashes of words and of templates apart."""
+    places = F.when(F.size(numbers) >= size, F.sequence(F.lit(0), F.size(numbers) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(kind), *[F.get(numbers, i + k) for k in range(size)]).alias("hash")))
 
-    def rich(window: Column) -> Column:
-        slots = F.length(window) - F.length(F.translate(window, NAME + NUMBER + UNIT, ""))  # at least as many as words that are placeholders
-        return (slots <= size - LEAST_LITERAL) | (F.size(F.filter(F.split(window, " "), literal)) >= LEAST_LITERAL)
 
-    joined = F.transform(places(tokens, size), lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(size))))
-    return F.transform(joined, lambda w, i: F.struct(i.alias("place"), F.when(rich(w), F.xxhash64(w)).otherwise(exact_hash(plain, i, size)).alias("hash")))
+def windows_of(numbers: Callable[[Column], Column], tokens: Column, size: int, kind: int) -> Column:
+    """windows() of words() or template(), which are worked out once."""
+    return F.transform(F.array(numbers(tokens)), lambda x: windows(x, size, kind))[0]
 
 
 def leaks(
@@ -76,17 +91,18 @@ def leaks(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_words, n_same, reparameterised.
 
-    n_words: words of the item that agree as templates, laid side by side; n_same: those that are the same word. A leak
-    has n_words of at least ``least_words`` (or ``least_share`` of a shorter item) with consistent slots, or as many
-    n_same. Items and documents are indexed at all places, so each run of ``size`` words meets wherever it stands,
-    whatever other items the benchmark has. Windows with fewer than LEAST_LITERAL words that are no placeholder, and
-    items of fewer than ``size`` words as a whole, meet only by the words themselves. Words agree where the templates
-    do, or where they are the same (at the start of an item a capital says nothing).
+    n_same: words of the item that are the same, laid side by side; n_words: those that agree as templates, where the
+    slots are consistent (one value for one value), else n_same. A leak has n_words of at least ``least_words``, or
+    ``least_share`` of a shorter item; it is reparameterised where n_words is more than n_same. Items and documents are
+    indexed at all places, so each run of ``size`` words meets wherever it stands, whatever other items the benchmark
+    has. Windows with fewer than LEAST_LITERAL words that are no placeholder, and items of fewer than ``size`` words as
+    a whole, meet only by the words themselves. Words agree where the templates do, or where they are the same (at the
+    start of an item a capital says nothing).
 
     Documents are scanned once for the windows, which meet the index in the same stage while the benchmark is small
-    enough to broadcast (its windows are counted first); only the documents found are laid beside the items. Null or
-    empty texts, and texts without a word, match nothing; rows with a null id are left out; repeated rows
-    and repeated items give one row per pair of ids; empty tables give none.
+    enough to broadcast (its windows are counted first); only the documents found are laid beside the items. Words are
+    compared by 64-bit hashes. Null or empty texts, and texts without a word, match nothing; rows with a null id are
+    left out; repeated rows and repeated items give one row per pair of ids; empty tables give none.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna()
     return items_found(texts, benchmark, item_col, item_text_col, size, least_words, least_share)
@@ -97,45 +113,52 @@ def items_found(
     size: int = WINDOW, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """leaks() of a table (doc_id, t) without nulls; doc_id of any type."""
+    def read(text: Column) -> Column:
+        return F.transform(F.array(tokens(text)), lambda t: F.struct(words(t).alias("words"), template(t).alias("template")))[0]
+
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
-    items = items.select("item_id", words(F.col("t")).alias("item_words"), template(F.col("t")).alias("item_template")).distinct()
-    items = written(items, "items")
-    short = (F.size("item_template") < size) & (F.size("item_words") > 0)
-    lengths = sorted(r["n"] for r in items.filter(short).select(F.size("item_words").alias("n")).distinct().collect())
-    whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.lit("words"), F.concat_ws(" ", "item_words")).alias("hash")))
-    index = items.select("item_id", F.explode(F.when(short, whole).otherwise(windows(F.col("item_template"), F.col("item_words"), size))).alias("w"))
+    items = written(items.select("item_id", read(F.col("t")).alias("r")).select("item_id", "r.*").filter(F.size("words") > 0).distinct(), "items")
+    short = F.size("words") < size
+    lengths = {r["n"] for r in items.filter(short).select(F.size("words").alias("n")).distinct().collect()}
+    by_template = F.explode(windows(F.col("template"), size, 0)).alias("w")
+    rich = F.size(F.filter(F.slice("template", F.col("w.place") + 1, F.lit(size)), literal)) >= LEAST_LITERAL
+    by_template = items.select("item_id", "template", by_template).filter(rich)
+    poor = items.select("item_id", "template", F.explode(windows(F.col("words"), size, size)).alias("w")).filter(~rich)
+    whole = [items.filter(F.size("words") == n).select("item_id", "template", F.explode(windows(F.col("words"), n, n)).alias("w")) for n in lengths]
+    index = by_template.unionByName(poor)
+    for more in whole:
+        index = index.unionByName(more)
     index = written(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")), "index")
     small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-
-    tokens = texts.select("doc_id", template(F.col("t")).alias("tokens"), words(F.col("t")).alias("plain"))
-    of_document = [windows(F.col("tokens"), F.col("plain"), size), *(exact_windows(F.col("plain"), n) for n in lengths)]
-    met = tokens.select("doc_id", F.explode(F.concat(*of_document)).alias("w"))
+    if not poor.isEmpty():
+        lengths = lengths | {size}
+
+    # words of documents are needed here only where items meet by their words
+    read_texts = texts.select("doc_id", F.transform(F.array(tokens(F.col("t"))), lambda t: F.concat(
+        windows_of(template, t, size, 0), *[windows_of(words, t, n, n) for n in sorted(lengths)]
+    ))[0].alias("w"))
+    met = read_texts.select("doc_id", F.explode("w").alias("w"))
     met = met.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(F.broadcast(index) if small else index, "hash")
     met = written(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met")
 
-    found = texts.join(met, "doc_id").select("doc_id", "item_id", "shift", words(F.col("t")).alias("doc_words"), template(F.col("t")).alias("doc_template"))
-    found = found.join(items, "item_id")
+    # each document found is read once more, however many items it meets
+    found = texts.join(met.select("doc_id").distinct(), "doc_id").select("doc_id", read(F.col("t")).alias("d"))
+    found = written(found.select("doc_id", F.col("d.words").alias("b"), F.col("d.template").alias("t")), "found")
+    found = found.join(met, "doc_id").join(items.select("item_id", F.col("words").alias("a"), F.col("template").alias("s")), "item_id")
     first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("item_words"), F.size("doc_words") - F.col("shift"), F.size("item_template"), F.size("doc_template") - F.col("shift")) - 1
-    at = lambda column, i: F.element_at(column, i + 1)
-    beside = F.transform(
-        F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            at(F.col("item_words"), i).alias("a"), at(F.col("doc_words"), i + F.col("shift")).alias("b"),
-            at(F.col("item_template"), i).alias("s"), at(F.col("doc_template"), i + F.col("shift")).alias("t"),
-        ),
-    )
+    many = F.least(F.size("a"), F.size("b") - F.col("shift")) - first
+    side = lambda c, at: F.slice(c, at + 1, F.greatest(many, F.lit(0))).alias(c)
+    beside = F.arrays_zip(side("a", first), side("s", first), side("b", first + F.col("shift")), side("t", first + F.col("shift")))
     agreeing = F.filter(beside, lambda p: (p["s"] == p["t"]) | (p["a"] == p["b"]))
-    found = found.select("doc_id", "item_id", "shift", F.size("item_words").alias("item_size"), agreeing.alias("p"))
+    found = found.select("doc_id", "item_id", F.size("a").alias("item_size"), agreeing.alias("p"))
     slots = F.array_distinct(F.transform(F.filter("p", lambda p: (p["s"] == p["t"]) & ~literal(p["s"])), lambda p: F.struct(p["s"].alias("s"), p["a"].alias("a"), p["b"].alias("b"))))
-    found = found.select(
-        "doc_id", "item_id", "item_size", F.size("p").alias("n_words"), F.size(F.filter("p", lambda p: p["a"] == p["b"])).alias("n_same"), slots.alias("slots")
-    )
+    same = F.size(F.filter("p", lambda p: p["a"] == p["b"]))
+    found = found.select("doc_id", "item_id", "item_size", F.size("p").alias("n_agreeing"), same.alias("n_same"), slots.alias("slots"))
     one_for_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["s"], p["a"]))))) & (
         F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["s"], p["b"]))))
     )
-    least = F.least(F.lit(least_words).cast("double"), F.col("item_size") * least_share)
-    found = found.withColumn("consistent", one_for_one).filter((F.col("n_same") >= least) | (F.col("consistent") & (F.col("n_words") >= least)))
+    found = found.withColumn("n_words", F.when(one_for_one, F.col("n_agreeing")).otherwise(F.col("n_same")))
+    found = found.filter(F.col("n_words") >= F.least(F.lit(least_words).cast("double"), F.col("item_size") * least_share))
     # the place where most words agree
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_same")).alias("m"))
     return best.select(
@@ -146,6 +169,6 @@ def items_found(
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` in which no benchmark item is found, with all their columns. Rows go by id and text, with or without an id."""
-    key = row_key(F.col(id_col), F.col(text_col))
-    gone = items_found(df.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna(), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, key == F.col("_gone"), "left_anti")
+    key, name = row_key(F.col(id_col), F.col(text_col)), fresh("gone")
+    gone = items_found(df.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("t")).dropna(), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, key == F.col(name), "left_anti")
