@@ -50,15 +50,22 @@ def candidate_keys(df: DataFrame, max_width: int = 2, columns: list[str] | None
     return spark.createDataFrame([(", ".join(k), len(k)) for k in keys], KEY_COLUMNS)
 
 
+NUMBER = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+
+
+def _one_number(value: Column) -> Column:
+    """A written number as its digits without zeros at either end and the power of ten of the first one, so without rounding."""
+    part = lambda k: F.regexp_extract(value, NUMBER, k)
+    digits = F.concat(part(2), part(3))
+    kept = F.ltrim(digits, F.lit("0"))
+    power = F.length(part(2)) - 1 - (F.length(digits) - F.length(kept)) + F.coalesce(part(4).try_cast("int"), F.lit(0))
+    signed = F.concat(F.when(part(1) == "-", "-").otherwise(""), F.rtrim(kept, F.lit("0")), F.lit("e"), power.cast("string"))
+    return F.when(~value.rlike(NUMBER) | (digits == ""), value).when(kept == "", "0").otherwise(signed)
+
+
 def _one_form(kind_: Column, value: Column) -> Column:
     """Equal values as equal texts, whatever their types: 3, 3.0, 3.00 and 3.0E0; a date and its midnight."""
-    double = value.try_cast("double")
-    whole = (double == F.floor(double)) & (F.abs(double) < 1e15)
-    number = F.when(value.rlike(r"^-?\d+(\.0*)?$"), F.regexp_replace(value, r"\.0*$", "")).when(
-        whole, double.cast("decimal(38,0)").cast("string")
-    ).otherwise(F.coalesce(double.cast("string"), value))
-    number = F.when(number == "-0", "0").otherwise(number)
-    return F.when(kind_ == "numeric", number).when(kind_ == "datetime", F.regexp_replace(value, r" 00:00:00(\.0+)?$", "")).otherwise(value)
+    return F.when(kind_ == "numeric", _one_number(value)).when(kind_ == "datetime", F.regexp_replace(value, r" 00:00:00(\.0+)?$", "")).otherwise(value)
 
 
 def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0) -> DataFrame:
@@ -66,6 +73,9 @@ def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0
 
     Both tables are reduced to distinct (column, value) rows and joined once on
     the value; a value meets at most one row per column, whatever its frequency.
+    Numbers of different types are equal when they are written alike without
+    exponent and idle zeros: decimals keep all digits, a double is what its
+    shortest text says.
     """
     def values(df: DataFrame, side: str) -> DataFrame:
         kinds = F.lit("")
@@ -75,7 +85,7 @@ def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0
         whole = value_counts(df, [f.name for f in usable]).select(
             F.col("column").alias(side), kinds.alias("kind"), "value"
         )
-        return whole.withColumn("value", _one_form(F.col("kind"), F.col("value")))
+        return whole.withColumn("value", _one_form(F.col("kind"), F.col("value"))).distinct()
 
     left, right = values(a, "a_column"), values(b, "b_column")
     sizes = left.groupBy("a_column").agg(F.count(F.lit(1)).alias("distinct_values"))

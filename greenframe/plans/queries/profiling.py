@@ -273,6 +273,20 @@ def foreign_keys(spark, folder):
     return dep.inclusion_dependencies(a, b).select("a_column", "b_column", *_big("distinct_values", "included"), *_r(6, "coverage_pct"))
 
 
+def exact_inclusions(spark, folder):
+    """Decimals of 20 places, doubles from 1e15 on against longs, dates against timestamps."""
+    exact = lambda key, last: F.concat(F.col(key).cast("string"), F.lit(f".{'0' * 19}"), last).cast("decimal(38,20)")
+    a = table(spark, folder, "lineitem", spread=True).select(
+        exact("l_orderkey", F.col("l_linenumber").cast("string")).alias("l_exact"),
+        (F.col("l_orderkey") * 1e12).alias("l_large"), F.to_date("l_shipdate").alias("l_day"),
+    )
+    b = table(spark, folder, "orders").select(
+        exact("o_orderkey", F.lit("1")).alias("o_exact"),
+        (F.col("o_orderkey") * 1_000_000_000_000).alias("o_large"), F.date_trunc("day", "o_orderdate").alias("o_day"),
+    )
+    return dep.inclusion_dependencies(a, b).select("a_column", "b_column", *_big("distinct_values", "included"), *_r(6, "coverage_pct"))
+
+
 def functional_dependencies(spark, folder):
     joined = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -287,7 +301,7 @@ QUERIES = {
         document_text_description, correlations, strongest_correlations, constant_columns, suggested_types, missing_counts,
         missing_columns, missing_flags, missing_flags_sample, value_kinds, outlier_rates, shapes, date_anomalies, anomalies,
         semantic_patterns, semantic_patterns_of_texts, semantic_patterns_sample, pii_columns, semantic_summary,
-        sensitive_columns, entity_sensitivity, unique_keys, part_keys, foreign_keys, functional_dependencies,
+        sensitive_columns, entity_sensitivity, unique_keys, part_keys, foreign_keys, exact_inclusions, functional_dependencies,
     )
 }
 
@@ -515,5 +529,13 @@ SELECT table_name, n AS column, CAST({_POINTS} AS BIGINT) AS score, ({_POINTS})
     "unique_keys": _key_sql("conversations", ["conv_id", "turn", "role"]),
     "part_keys": _key_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
     "foreign_keys": _inclusion_sql(),
+    "exact_inclusions": """WITH exact AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem),
+large AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem),
+found AS (
+  SELECT 'l_exact' AS a_column, 'o_exact' AS b_column, count(*) AS distinct_values, count(*) FILTER (WHERE n = 1 AND k IN (SELECT o_orderkey FROM orders)) AS included FROM exact
+  UNION ALL SELECT 'l_large', 'o_large', count(*), count(*) FILTER (WHERE k IN (SELECT o_orderkey FROM orders)) FROM large
+  UNION ALL SELECT 'l_large', 'o_exact', count(*), 0 FROM large
+  UNION ALL SELECT 'l_day', 'o_day', count(*), count(*) FILTER (WHERE d IN (SELECT CAST(o_orderdate AS DATE) FROM orders)) FROM days)
+SELECT a_column, b_column, distinct_values, included, round(included / distinct_values * 100.0, 6) AS coverage_pct FROM found WHERE included > 0""",
     "functional_dependencies": _fd_sql(),
 }

@@ -203,3 +203,12 @@ def test_inclusion_by_value(spark):
     b = spark.sql("SELECT * FROM VALUES (10000000L, 1.5D, TIMESTAMP_NTZ'2020-01-02 00:00:00', 0), (25000000L, 3D, TIMESTAMP_NTZ'2020-01-03 00:00:00', 5), (3L, 4D, TIMESTAMP_NTZ'2020-01-04 10:00:00', 6) AS t(n, x, at, z)")
     got = {(r["a_column"], r["b_column"]): r["included"] for r in dep.inclusion_dependencies(a, b).collect()}
     assert got["d", "n"] == 3 and got["m", "x"] == 3 and got["day", "at"] == 2 and got["f", "z"] == 1
+
+
+def test_inclusion_is_exact(spark):
+    from decimal import Decimal
+
+    a = spark.createDataFrame([(Decimal("1.00000000000000000001"), 2e16, 0.1), (Decimal("1.00000000000000000002"), 1.5e300, -0.0), (Decimal("0E-20"), 12345.678, 1e-7), (None, float("nan"), 100.0)], "d decimal(38,20), x double, f double")
+    b = spark.createDataFrame([(Decimal("1.00000000000000000001"), 20_000_000_000_000_000, "n"), (Decimal("0.1"), 0, "m"), (Decimal("100"), 12345, None)], "e decimal(38,20), n long, t string")
+    got = {(r["a_column"], r["b_column"]): (r["distinct_values"], r["included"]) for r in dep.inclusion_dependencies(a, b).collect()}
+    assert got == {("d", "e"): (3, 1), ("d", "n"): (3, 1), ("x", "n"): (3, 1), ("f", "e"): (4, 2), ("f", "n"): (4, 1)}
