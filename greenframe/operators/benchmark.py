@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from greenframe.functions import fixed_values as fixed
 from greenframe.functions.sqltext import canonical_sql
-from greenframe.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from greenframe.operators.quantiles import exact_quantiles
 from greenframe.plans.compare import results_equivalent
 
 MEASURES = ["co2_g", "energy_j", "time_s"]
@@ -52,10 +52,10 @@ def generation_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def latency_distribution(results: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def latency_distribution(results: DataFrame) -> DataFrame:
     """(dbms, min, q25, q50, q75, max) of the latency, exact."""
     ends = results.groupBy("dbms").agg(F.min("latency_s").alias("min"), F.max("latency_s").alias("max"))
-    quartiles = exact_quantiles(results, ["dbms"], "latency_s", [0.25, 0.5, 0.75], direct_rows)
+    quartiles = exact_quantiles(results, ["dbms"], "latency_s", [0.25, 0.5, 0.75])
     named = quartiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
     return ends.join(named, "dbms").select("dbms", "min", "q25", "q50", "q75", "max")
 

@@ -19,7 +19,7 @@ from greenframe.operators.profile import (
     present,
     quoted,
 )
-from greenframe.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from greenframe.operators.quantiles import exact_quantiles
 from greenframe.session import checkpointed
 
 
@@ -51,11 +51,11 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return _filled(df, means.asDict(), as_double=True)
 
 
-def impute_median(df: DataFrame, columns: list[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median; the midpoint for an even number of values."""
     _numeric_only(df, columns)
     long = long_rows([[F.lit(c).alias("column"), present(df, c).cast("double").alias("value")] for c in columns], df)
-    medians = {r["column"]: r["q0"] for r in exact_quantiles(long, ["column"], "value", [0.5], direct_rows).collect()}
+    medians = {r["column"]: r["q0"] for r in exact_quantiles(long, ["column"], "value", [0.5]).collect()}
     return _filled(df, {c: medians.get(c) for c in columns}, as_double=True)
 
 

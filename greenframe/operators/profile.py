@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from greenframe.functions import fixed_values as fixed
 from greenframe.operators.moments import pair_moments
 from greenframe.operators.privacy import name_reasons, name_score
-from greenframe.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from greenframe.operators.quantiles import exact_quantiles
 
 FRACTIONAL = (T.FloatType, T.DoubleType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -228,7 +228,7 @@ def schema_insights(df: DataFrame, key: list[str], exact: bool = True) -> DataFr
     ).orderBy("column")
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: count, mean, std, min, quartiles (interpolated, exact), max."""
     names = columns or columns_of(df, "numeric")
     quartiles = [0.25, 0.5, 0.75]
@@ -242,7 +242,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, direct_row
     ])
     base = stats.unpivot([], [quoted(c) for c in names], "column", "s").select("column", "s.*")
     long = long_rows([[F.lit(c).alias("column"), present(df, c).cast("double").alias("value")] for c in names], df)
-    quantiles = exact_quantiles(long, ["column"], "value", quartiles, direct_rows)
+    quantiles = exact_quantiles(long, ["column"], "value", quartiles)
     named = quantiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
     return base.join(named, "column", "left")
 

@@ -1,95 +1,87 @@
-"""Exact quantiles (linear interpolation) without gathering a long group in one task."""
+"""Exact quantiles (linear interpolation) by radix selection.
+
+Doubles become 64-bit keys of the same order. Each scan counts, per group, the next digit of the keys that begin with
+what is known of a wanted rank; the digit whose counts reach the rank is known then. After a fixed number of scans the
+keys are known as a whole. Counts are added up per task, so no row is shuffled and no group is gathered.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
-ACCURACY = 100_000
+from greenframe.session import checkpointed
 
+#: Bits of a digit: four scans, and at most 65,536 counts per wanted value in each.
+BITS = 16
+#: What is known of the wanted ranks goes to all tasks while there are at most so many; beyond, it is joined by a shuffle.
+MOST_SENT = 200_000
 
-def _selected(df: DataFrame, group: list[str], value: str, probs: list[float], accuracy: int) -> DataFrame:
-    """Quantiles by bracketing.
 
-    A sketch per group gives an interval around every wanted rank. A second
-    scan counts the values below each interval and keeps, as (value, count), only
-    those inside; a running count over these finds the exact order statistics.
-    """
-    reach = 4.0 / accuracy
-    asked = [q for p in probs for q in (max(p - reach, 0.0), min(p + reach, 1.0))]
-    sketch = df.groupBy(*group).agg(
-        F.percentile_approx(value, F.array(*[F.lit(q) for q in asked]), accuracy).alias("_q"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(value).alias("_n"),
-    )
-    brackets = sketch.select(
-        *group, "_n",
-        *[(F.col("_min") if p - reach <= 0 else F.col("_q")[2 * i]).alias(f"_lo{i}") for i, p in enumerate(probs)],
-        *[(F.col("_max") if p + reach >= 1 else F.col("_q")[2 * i + 1]).alias(f"_hi{i}") for i, p in enumerate(probs)],
-    )
-    located = df.join(brackets, group)
-    below = located.groupBy(*group).agg(
-        F.max("_n").alias("_n"),
-        *[F.count_if(F.col(value) < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(probs))],
-    )
-    wanted = below.select(*group, F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("_i"),
-            (F.floor(F.lit(p) * (F.col("_n") - 1)) - F.col(f"_b{i}")).alias("_low_rank"),
-            (F.ceil(F.lit(p) * (F.col("_n") - 1)) - F.col(f"_b{i}")).alias("_high_rank"),
-            (F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))).alias("_part"),
-        )
-        for i, p in enumerate(probs)
-    ])))
-    hits = F.array_compact(F.array(*[
-        F.when(F.col(value).between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(len(probs))
-    ]))
-    inside = located.select(*group, value, F.explode(hits).alias("_i")).groupBy(*group, "_i", value).agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    order = Window.partitionBy(*group, "_i").orderBy(value)
-    ranked = inside.withColumn("_upto", F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def ordered_key(value: Column) -> Column:
+    """A long for each double, in the same order: the bits of its exponent and mantissa, turned for negative numbers; NaN is last."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    # the logarithm is rounded near powers of two; 2^-1074 to 2^-1022 have no exponent of their own
+    exponent = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size >= F.lit(2.0) * F.pow(F.lit(2.0), guess), guess + 1).otherwise(guess)
+    small = (size / F.lit(2.0**-1074)).cast("long")
+    mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0**52)).cast("long")
+    bits = F.when(size < F.lit(2.0**-1022), small).when(size == F.lit(float("inf")), F.lit(0x7FF << 52)).otherwise(F.shiftleft((exponent + 1023).cast("long"), 52) + mantissa)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits - 1).otherwise(bits)
 
-    def at(rank: str) -> Column:
-        here = (F.col(rank) < F.col("_upto")) & (F.col(rank) >= F.col("_upto") - F.col("_copies"))
-        return F.max(F.when(here, F.col(value)))
 
-    found = ranked.join(wanted, [*group, "_i"]).groupBy(*group, "_i").agg(
-        at("_low_rank").alias("_low"), at("_high_rank").alias("_high"), F.max("_part").alias("_part")
-    )
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
-    exact = F.when(F.col("_low").isNull() | F.col("_high").isNull(), missed.cast("double")).otherwise(
-        F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    )
-    return found.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_i") == i, exact)).alias(f"q{i}") for i in range(len(probs))]
+def of_key(key: Column) -> Column:
+    """The double of an ordered_key()."""
+    bits = F.when(key < 0, -key - 1).otherwise(key)
+    exponent, mantissa = F.shiftright(bits, 52), bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    size = F.when(exponent == 0, mantissa * F.lit(2.0**-1074)).when(bits == F.lit(0x7FF << 52), F.lit(float("inf"))).otherwise(
+        (1 + mantissa / F.lit(2.0**52)) * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
     )
+    return F.when(key == F.lit((1 << 63) - 1), F.lit(float("nan"))).when(key < 0, -size).otherwise(size)
+
 
+def digit_counts(rows: DataFrame, begins: DataFrame, known: int, sent: bool) -> DataFrame:
+    """(_g, _p, _d, _c): how many keys (_g, _k) whose first ``known`` bits are in ``begins`` have which next digit."""
+    begun = rows.withColumn("_p", F.shiftright("_k", 64 - known)).join(F.broadcast(begins) if sent else begins, ["_g", "_p"])
+    digit = F.shiftright("_k", 64 - known - BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+    return begun.select("_g", "_p", digit.alias("_d")).groupBy("_g", "_p", "_d").agg(F.count(F.lit(1)).alias("_c"))
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-                    direct_rows: int = DIRECT_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -> DataFrame:
     """Per group one column ``q0, q1, ...`` per entry of ``probs``; nulls are left out.
 
-    Groups of up to ``direct_rows`` values are aggregated directly, longer ones
-    by bracketing.
+    What is between two scans, a row per group and wanted rank, is kept with a checkpoint. Without ``group``, one row.
     """
-    values = df.select(*group, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-
-    def direct(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy(*group).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        return found.select(*group, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-
-    long_groups = values.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(
-        F.col("_rows") > direct_rows
-    ).drop("_rows")
-    if long_groups.isEmpty():
-        return direct(values)
-    if not group:
-        keyed = values.withColumn("_all", F.lit(1))
-        return _selected(keyed, ["_all"], value, probs, accuracy).drop("_all")
-    # null group keys never equal each other in a join, so they go by a key that does
-    keyed = values.withColumn("_key", F.struct(*group)).select("_key", value)
-    long_keys = long_groups.select(F.struct(*group).alias("_key"))
-    exact = _selected(keyed.join(long_keys, "_key", "left_semi"), ["_key"], value, probs, accuracy)
-    short = direct(keyed.join(long_keys, "_key", "left_anti").select("_key.*", value))
-    return short.unionByName(exact.select("_key.*", *[f"q{i}" for i in range(len(probs))]))
+    of = F.struct(*group) if group else F.struct(F.lit(1).alias("all"))
+    # -0.0 and 0.0 are one value
+    rows = df.select(of.alias("_g"), ordered_key(F.col(value).cast("double") + F.lit(0.0)).alias("_k")).filter(F.col("_k").isNotNull())
+    position = lambda p: F.lit(p) * (F.col("_n") - 1)
+
+    def reached(counts: DataFrame, key: list[str], wanted: DataFrame | None) -> DataFrame:
+        """The digit that each wanted rank falls into, and the rank among the values with it."""
+        upto = F.sum("_c").over(Window.partitionBy(*key).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
+        steps = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+        if wanted is None:
+            steps = steps.withColumn("_n", F.sum("_c").over(Window.partitionBy(*key)))
+            ranks = [f(position(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]
+            steps = steps.withColumn("_rank", F.explode(F.array_distinct(F.array(*ranks)))).withColumn("_left", F.col("_rank"))
+            steps = steps.withColumn("_p", F.lit(0).cast("long"))
+        else:
+            steps = steps.join(wanted, key)
+        hit = steps.filter((F.col("_left") >= F.col("_from")) & (F.col("_left") < F.col("_to")))
+        known = F.shiftleft("_p", BITS) + F.col("_d")
+        return checkpointed(hit.select("_g", "_n", "_rank", known.alias("_p"), (F.col("_left") - F.col("_from")).alias("_left")))
+
+    first = rows.select("_g", F.shiftright("_k", 64 - BITS).alias("_d")).groupBy("_g", "_d").agg(F.count(F.lit(1)).alias("_c"))
+    wanted = reached(first, ["_g"], None)
+    sent = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
+    for known in range(BITS, 64, BITS):
+        begins = wanted.select("_g", "_p").distinct()
+        wanted = reached(digit_counts(rows, begins, known, sent), ["_g", "_p"], wanted)
+    found = wanted.select("_g", "_n", "_rank", of_key(F.col("_p")).alias("_v"))
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+    sides = [(F.floor(position(p)), F.ceil(position(p)), position(p) - F.floor(position(p))) for p in probs]
+    ends = [x for i, (low, high, part) in enumerate(sides) for x in (at(low).alias(f"_l{i}"), at(high).alias(f"_h{i}"), F.max(part).alias(f"_s{i}"))]
+    ends = found.groupBy("_g").agg(*ends) if group else found.agg(*ends)
+    between = [F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_s{i}")) for i in range(len(probs))]
+    return ends.select(*([f"_g.{c}" for c in group] if group else []), *[x.alias(f"q{i}") for i, x in enumerate(between)])

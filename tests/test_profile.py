@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenframe.operators import dependencies as dep
-from greenframe.operators import privacy, profile, quality
+from greenframe.operators import privacy, profile, quality, quantiles
 from greenframe.operators.moments import pair_moments
 from greenframe.operators.quantiles import exact_quantiles
 
@@ -62,19 +62,46 @@ def test_insights(spark):
     assert long_first == "x" * 77 + "…"
 
 
-@pytest.mark.parametrize("accuracy", [50, 1000])
-def test_quantiles_by_bracketing(spark, accuracy):
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_quantiles_by_radix(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "MOST_SENT", most)
     rng = random.Random(5)
     rows = [("hot", rng.gauss(0, 1)) for _ in range(4000)] + [("ties", float(i % 3)) for i in range(2000)] + [("few", 1.0), ("few", 2.0)]
-    rows += [(None, float(i)) for i in range(3000)] + [("hot", None)]
+    rows += [(None, float(i)) for i in range(3000)] + [("hot", None)] + [("zeros", x) for x in (-0.0, 0.0, -1e-320, 5e-324, 2.0**-1022)]
+    rows += [("wide", x) for x in (-1.7e308, 1.7e308, 2.0**60, 2.0**60 + 512, -(2.0**-300), 0.1, 1 / 3, 3.0, 1e15)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: [r[f"q{i}"] for i in range(5)] for r in exact_quantiles(df, ["g"], "v", probs, 1000, accuracy).collect()}
-    for g in ("hot", "ties", "few", None):
+    got = {r["g"]: [r[f"q{i}"] for i in range(5)] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    for g in ("hot", "ties", "few", None, "zeros", "wide"):
         values = [v for k, v in rows if k == g and v is not None]
-        assert np.allclose(got[g], np.quantile(values, probs), rtol=1e-12, atol=1e-12)
-    whole = exact_quantiles(df, [], "v", probs, 1000, accuracy).first()
-    assert np.allclose([whole[f"q{i}"] for i in range(5)], np.quantile([v for _, v in rows if v is not None], probs))
+        assert np.allclose(got[g], np.quantile(values, probs), rtol=1e-12, atol=0)
+    whole = exact_quantiles(df, [], "v", probs).first()
+    assert np.allclose([whole[f"q{i}"] for i in range(5)], np.quantile([v for _, v in rows if v is not None], probs), rtol=1e-12, atol=0)
+    assert exact_quantiles(df.filter("false"), ["g"], "v", probs).count() == 0
+    assert exact_quantiles(df.filter("false"), [], "v", probs).first()["q1"] is None
+
+
+def test_keys_of_doubles_keep_order_and_bits(spark):
+    rng = random.Random(8)
+    values = [s * m * 2.0**e for s in (1, -1) for e in range(-1074, 1024, 37) for m in (1.0, 1.9999999999999998, rng.uniform(1, 2)) if m * 2.0**e < float("inf")]
+    values += [0.0, 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308, float("inf"), float("-inf")] + [float(2**k) for k in range(63)] + [2.0**k * (1 - 2.0**-53) for k in range(-50, 50)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.ordered_key(F.col("v")).alias("k")).select("v", "k", quantiles.of_key(F.col("k")).alias("w")).collect()
+    assert all(r["v"] == r["w"] for r in rows)
+    by_key = sorted(rows, key=lambda r: r["k"])
+    assert [r["v"] for r in by_key] == sorted(values) and len({r["k"] for r in rows}) == len(set(values))
+
+
+def test_quantiles_shuffle_counts_only(spark):
+    rows = spark.range(1000).selectExpr("struct(id % 3 AS g) AS _g", "id AS _k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = quantiles.digit_counts(rows, rows.selectExpr("_g", "0L AS _p").distinct(), 16, True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    main = text.split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in main and main.count("Exchange hashpartitioning") == 1
+    # the only exchange of the rows' side has counts that are added up already
+    assert main.index("partial_count") > main.index("Exchange hashpartitioning")
 
 
 def test_correlation_edges(spark):
