@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from greenframe.functions import energy
+from greenframe.operators.ordered import OrderedRuns, long_runs
 from greenframe.operators.telemetry import join_intervals
 
 
@@ -56,6 +57,66 @@ def run_sessions(stream: DataFrame, run: list[str], time: str, gap: str, power:
     return found.select(*run, "start", "end", "samples", "max_power_w")
 
 
+# ---- sessions that are still running ----------------------------------------
+
+OPEN = "starts array<long>, lasts array<long>, counts array<long>, peaks array<double>"
+
+
+def _merged(starts, lasts, counts, peaks, gap_us: int):
+    """Stretches (sorted here) that lie closer together than ``gap_us`` become one."""
+    order = np.lexsort((lasts, starts))
+    starts, lasts, counts, peaks = (x[order] for x in (starts, lasts, counts, peaks))
+    reach = np.maximum.accumulate(lasts)
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] - reach[:-1] >= gap_us]))
+    return starts[first], np.maximum.reduceat(lasts, first), np.add.reduceat(counts, first), np.fmax.reduceat(peaks, first)
+
+
+def live_sessions(stream: DataFrame, run: list[str], time: str, gap_seconds: int, power: str = "power_w",
+                  bucket_seconds: int = 86_400) -> DataFrame:
+    """Update stream of (run, bucket) with the sessions inside the bucket so far, those still running included.
+
+    The state of a bucket is its sessions only; new samples are merged into them, whatever their order, and it goes
+    when the watermark has passed the bucket. :func:`finish_sessions` joins sessions across buckets.
+    """
+    gap, width = gap_seconds * 1_000_000, bucket_seconds * 1_000_000
+    micros = F.unix_micros(time)
+    rows = stream.select(*run, F.col(time), micros.alias("_t"), F.col(power).cast("double").alias("_w"), F.floor(micros / width).cast("long").alias("bucket"))
+
+    def update(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kinds = ("int64", "int64", "int64", "float64")
+        held = [np.array(x, dtype=k) for x, k in zip(state.get, kinds)] if state.exists else [np.zeros(0, k) for k in kinds]
+        parts = [held]
+        for frame in frames:
+            times = frame["_t"].to_numpy("int64")
+            parts.append([times, times, np.ones(len(times), "int64"), frame["_w"].to_numpy("float64")])
+        merged = _merged(*(np.concatenate(x) for x in zip(*parts)), gap)
+        state.update(tuple(x.tolist() for x in merged))
+        state.setTimeoutTimestamp(max((int(key[-1]) + 1) * width // 1000, int(state.getCurrentWatermarkMs()) + 1))
+        yield pd.DataFrame([[*key, *(x.tolist() for x in merged)]], columns=[*run, "bucket", "starts", "lasts", "counts", "peaks"])
+
+    types = dict(stream.dtypes)
+    schema = ", ".join([*[f"{r} {types[r]}" for r in run], "bucket long", OPEN])
+    return rows.groupBy(*run, "bucket").applyInPandasWithState(update, schema, OPEN, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def finish_sessions(buckets: DataFrame, run: list[str], gap_seconds: int) -> DataFrame:
+    """(run, start, end, samples, max_power_w): sessions of buckets, joined where they go on in the next one."""
+    each = buckets.select(*run, F.explode(F.arrays_zip("starts", "lasts", "counts", "peaks")).alias("s"))
+    each = each.select(*run, F.timestamp_micros("s.starts").alias("start"), F.col("s.starts").alias("_t"), F.col("s.lasts").alias("_last"), F.col("s.counts").alias("_c"), F.col("s.peaks").alias("_p"))
+    cuts = long_runs(each, run, "start", ["_last"])
+    before = OrderedRuns(each, run, "start", ["_last"], cuts).with_previous(F.col("_last"), "_before")
+    fresh = F.coalesce(F.col("_t") - F.col("_before") >= gap_seconds * 1_000_000, F.lit(True)).cast("long")
+    numbered = OrderedRuns(before, run, "start", ["_last"], cuts).with_running_sums({"_session": fresh})
+    found = numbered.groupBy(*run, "_session").agg(
+        F.min("start").alias("start"), (F.timestamp_micros(F.max("_last")) + F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("end"),
+        F.sum("_c").alias("samples"), F.max("_p").alias("max_power_w"),
+    )
+    return found.drop("_session")
+
+
 def phase_tags(stream: DataFrame, phases: DataFrame, run: list[str], time: str, start: str = "t_start",
                end: str = "t_end") -> DataFrame:
     """The stream joined with a static table of phases."""
@@ -156,13 +217,24 @@ def finish_integrals(buckets: DataFrame, run: list[str], names: list[str]) -> Da
 # ---- running a stream over what is there ------------------------------------
 
 
-def drain(stream: DataFrame, target: str) -> DataFrame:
-    """Process all files there are, appending final rows to Parquet below ``target``."""
+def late_rows(query) -> int:
+    """Rows that came behind the watermark and were left out by the first operator that keeps state."""
+    operators = [p.stateOperators for p in query.recentProgress]
+    return sum(x[-1].numRowsDroppedByWatermark for x in operators if x)
+
+
+def drain(stream: DataFrame, target: str, late: list[int] | None = None) -> DataFrame:
+    """Process all files there are, appending final rows to Parquet below ``target``; ``late`` takes the number of late rows.
+
+    Called again for the same target with a stream over more files, it goes on where it stopped.
+    """
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{target}/data")
         .option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if late is not None:
+        late.append(late_rows(query))
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/data")
 
 

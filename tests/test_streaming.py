@@ -1,6 +1,7 @@
 """Streams over several files, with late-looking order inside the watermark, against the batch result."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 from random import Random
 
 import pytest
@@ -82,3 +83,32 @@ def test_phase_tags_and_alarms(spark, feed, tmp_path):
     assert rows(live.drain(make(opened(spark, feed)), str(tmp_path / "p"))) == rows(make(feed[1]))
     loud = lambda df: live.alarms(df, max_w=65.0).select("id")
     assert rows(live.drain(loud(opened(spark, feed)), str(tmp_path / "a"))) == rows(loud(feed[1]))
+
+
+@pytest.mark.parametrize("bucket", [300, 10**7])
+def test_running_sessions(spark, feed, tmp_path, bucket):
+    updates = live.live_sessions(opened(spark, feed), ["run"], "ts", 120, bucket_seconds=bucket)
+    got = live.finish_sessions(live.drain_updates(updates, str(tmp_path), ["run", "bucket"]), ["run"], 120)
+    assert rows(got) == rows(live.run_sessions(feed[1], ["run"], "ts", "2 minutes"))
+
+
+def test_a_stopped_stream_goes_on(spark, feed, tmp_path):
+    """Half of the files, a stop, and the rest from the checkpoint: as one batch, late rows counted."""
+    import glob
+    import shutil
+
+    folder, batch = feed
+    files = sorted(glob.glob(f"{folder}/*.parquet"), key=lambda f: (Path(f).stat().st_mtime_ns, f))
+    arrived, target, late = tmp_path / "arrived", str(tmp_path / "out"), []
+    arrived.mkdir()
+    schema = batch.select("run", "ts", "id", "cpu_percent").schema
+    for half in (files[:2], files[2:]):
+        for f in half:
+            shutil.copy2(f, arrived)
+        stream = live.telemetry_stream(spark, str(arrived), schema, key="id", delay="2 hours", files_per_batch=1)
+        got = live.drain(stream.select("id"), target, late)
+    assert sorted(r["id"] for r in got.collect()) == list(range(600)) and late == [0, 0]
+    old = spark.createDataFrame([("r0", datetime(2023, 12, 1), 10_000, 5.0), ("r0", datetime(2023, 12, 2), 10_001, 5.0)], schema)
+    old.coalesce(1).write.mode("append").parquet(str(arrived))
+    got = live.drain(stream.select("id"), target, late)
+    assert got.count() == 600 and late == [0, 0, 2]
