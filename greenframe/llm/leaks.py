@@ -7,8 +7,6 @@ for one value) is the item itself or the same question with other parameters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +30,24 @@ LEAST_LITERAL = 4
 MOST_BROADCAST = 500_000
 
 
-def tokens(text: Column) -> Column:
-    """Words in lower case: letters and digits; a point or comma between digits belongs to the number.
+def split_text(text: Column) -> Column:
+    """The words of a text in lower case, names marked; empty texts may stand at either end."""
+    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\d,;] .)(?=[\p{L}\d])", f"{NAME}$0")
+    pointed = F.regexp_replace(F.lower(marked), r"[.,](?<=\d.)(?=\d)", POINT)
+    return F.split(pointed, rf"[^\p{{L}}\d{NAME}{POINT}]+")
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """(doc_id, t) to (doc_id, tokens): words in lower case, of letters and digits; a point or comma between digits belongs to the number.
 
     A word that is a name (it begins with a capital, inside a sentence) is marked. Everything else about the words of a
-    text is worked out from these tokens, one for one.
+    text is worked out from these tokens, one for one. Each step is a projection of its own, so that nothing is worked
+    out more than once per text.
     """
-    marked = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\d,;] .)(?=[\p{L}\d])", f"{NAME}$0")
-    pointed = F.regexp_replace(F.lower(marked), r"[.,](?<=\d.)(?=\d)", POINT)
-    parts = F.split(pointed, rf"[^\p{{L}}\d{NAME}{POINT}]+")
-    # a text may begin or end with what is no word
-    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
-    last = F.when((F.element_at(parts, -1) == "") & (F.size(parts) > 1), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+    parts = texts.select("doc_id", split_text(F.col("t")).alias("parts"))
+    first = F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0)
+    last = F.when((F.element_at("parts", -1) == "") & (F.size("parts") > 1), 1).otherwise(0)
+    return parts.select("doc_id", F.slice("parts", first + 1, F.greatest(F.size("parts") - first - last, F.lit(0))).alias("tokens"))
 
 
 def words(tokens: Column) -> Column:
@@ -80,11 +83,6 @@ def windows(numbers: Column, size: int, kind: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(kind), *[F.get(numbers, i + k) for k in range(size)]).alias("hash")))
 
 
-def windows_of(numbers: Callable[[Column], Column], tokens: Column, size: int, kind: int) -> Column:
-    """windows() of words() or template(), which are worked out once."""
-    return F.transform(F.array(numbers(tokens)), lambda x: windows(x, size, kind))[0]
-
-
 def leaks(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     size: int = WINDOW, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
@@ -113,11 +111,11 @@ def items_found(
     size: int = WINDOW, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """leaks() of a table (doc_id, t) without nulls; doc_id of any type."""
-    def read(text: Column) -> Column:
-        return F.transform(F.array(tokens(text)), lambda t: F.struct(words(t).alias("words"), template(t).alias("template")))[0]
+    def read(rows: DataFrame) -> DataFrame:
+        return with_tokens(rows).select("doc_id", words(F.col("tokens")).alias("words"), template(F.col("tokens")).alias("template"))
 
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
-    items = written(items.select("item_id", read(F.col("t")).alias("r")).select("item_id", "r.*").filter(F.size("words") > 0).distinct(), "items")
+    items = benchmark.select(F.col(item_col).alias("doc_id"), F.col(item_text_col).cast("string").alias("t")).dropna()
+    items = written(read(items).withColumnRenamed("doc_id", "item_id").filter(F.size("words") > 0).distinct(), "items")
     short = F.size("words") < size
     lengths = {r["n"] for r in items.filter(short).select(F.size("words").alias("n")).distinct().collect()}
     by_template = F.explode(windows(F.col("template"), size, 0)).alias("w")
@@ -133,17 +131,17 @@ def items_found(
     if not poor.isEmpty():
         lengths = lengths | {size}
 
-    # words of documents are needed here only where items meet by their words
-    read_texts = texts.select("doc_id", F.transform(F.array(tokens(F.col("t"))), lambda t: F.concat(
-        windows_of(template, t, size, 0), *[windows_of(words, t, n, n) for n in sorted(lengths)]
-    ))[0].alias("w"))
-    met = read_texts.select("doc_id", F.explode("w").alias("w"))
+    # words of documents are needed here only where items meet by their words; an outer explode has no filter that would
+    # work all windows out a second time
+    numbers = with_tokens(texts).select("doc_id", template(F.col("tokens")).alias("template"), *([words(F.col("tokens")).alias("words")] if lengths else []))
+    of_document = [windows(F.col("template"), size, 0), *(windows(F.col("words"), n, n) for n in sorted(lengths))]
+    met = numbers.select("doc_id", (F.concat(*of_document) if lengths else of_document[0]).alias("w")).select("doc_id", F.explode_outer("w").alias("w"))
     met = met.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(F.broadcast(index) if small else index, "hash")
     met = written(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met")
 
     # each document found is read once more, however many items it meets
-    found = texts.join(met.select("doc_id").distinct(), "doc_id").select("doc_id", read(F.col("t")).alias("d"))
-    found = written(found.select("doc_id", F.col("d.words").alias("b"), F.col("d.template").alias("t")), "found")
+    found = read(texts.join(met.select("doc_id").distinct(), "doc_id"))
+    found = written(found.select("doc_id", F.col("words").alias("b"), F.col("template").alias("t")), "found")
     found = found.join(met, "doc_id").join(items.select("item_id", F.col("words").alias("a"), F.col("template").alias("s")), "item_id")
     first = F.greatest(F.lit(0), -F.col("shift"))
     many = F.least(F.size("a"), F.size("b") - F.col("shift")) - first
