@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, one_space, written
+from .common import fresh, id_and_text, one_space, written
 
 
 def content_hash(text: Column) -> Column:
@@ -58,9 +58,10 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows go by id and text, so of rows that share an id, or have none, only the copies go. Of equal rows without an id,
     where no row with an id has their text, one stays.
     """
-    dropped = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    gone, gone_text, sha256 = fresh("gone"), fresh("text"), fresh("sha256")
+    dropped = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(gone_text)).distinct()
     text = one_space(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = df.withColumn("_sha256", F.sha2(text.cast("binary"), 256))
-    left = keyed.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.col("_sha256") == F.col("_gone_text")), "left_anti")
-    nameless = left.filter(F.col(id_col).cast("long").isNull()).dropDuplicates(["_sha256"])
-    return left.filter(F.col(id_col).cast("long").isNotNull()).unionByName(nameless).drop("_sha256")
+    keyed = df.withColumn(sha256, F.sha2(text.cast("binary"), 256))
+    left = keyed.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.col(sha256) == F.col(gone_text)), "left_anti")
+    nameless = left.filter(F.col(id_col).cast("long").isNull()).dropDuplicates([sha256])
+    return left.filter(F.col(id_col).cast("long").isNotNull()).unionByName(nameless).drop(sha256)

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, row_key, written
+from .common import fresh, row_key, written
 from .repeats import AGAIN, MIX, gram_hashes, mixed
 
 SHINGLE, LEAST = 5, 0.8
@@ -27,6 +27,8 @@ BANDS, ROWS = 40, 6  # a pair of similarity 0.8 is missed with a probability bel
 AT_ONCE = 200_000
 #: Longs of 64 parities each: members of a bag fall into as many cells.
 PARITIES = 8
+#: Bytes of the bags of a cell's pairs.
+CELL = 1 << 24
 
 
 def shingle_bag(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -153,19 +155,30 @@ def bags_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(pack, "doc_id long, bag binary, parity array<long>")
 
 
-def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the similarity of their bags. The pairs are dealt anew, since few bytes may be much work."""
-    one = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
-    two = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in ("bag_a", "bag_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(list(map(similarity, x, y)), pa.float64())], ["a", "b", "s"])
+def compared(pairs: DataFrame, bags: DataFrame, around: bool = False) -> DataFrame:
+    """The pairs (a, b) with the similarity of their bags.
 
+    Pairs are dealt into cells and each bag is sent once to each cell that needs it, however many pairs it is in there:
+    by both documents, or, where many pairs lie ``around`` few documents a, by b alone. Cells are bounded by the bytes
+    of their pairs' bags, on average.
+    """
+    pairs = written(pairs, "pairs")
+    n = pairs.count()
+    mean = bags.agg(F.avg(F.octet_length("bag"))).first()[0] or 0
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(tasks, "b")
-    return written(dealt.join(two, "b").join(one, "a").mapInArrow(compare, "a long, b long, s double"), "compared")
+    side = math.isqrt(max(tasks, int(n * (mean + 8) / CELL))) + 1
+    by_b = F.pmod(F.xxhash64("b"), F.lit(side * side if around else side))
+    cell = by_b if around else F.pmod(F.xxhash64("a", F.lit(1)), F.lit(side)) * side + by_b
+    dealt = pairs.withColumn("cell", cell)
+    needed = dealt.select(F.col("cell").alias("to"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = needed.join(bags.select("doc_id", "bag"), "doc_id").select("to", "doc_id", "bag")
+
+    def compare(pairs: pa.Table, bags: pa.Table) -> pa.Table:
+        members = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(bags["doc_id"].to_pylist(), bags["bag"])}
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        return pa.table({"a": pairs["a"], "b": pairs["b"], "s": pa.array([similarity(members[x], members[y]) for x, y in zip(a, b)], pa.float64())})
+
+    return written(dealt.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(compare, "a long, b long, s double"), "compared")
 
 
 def settled(edges: DataFrame) -> bool:
@@ -207,21 +220,40 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), copy_of (smallest id with the same words), kept.
 
-    Classes are the connected components of links of similarity ``least`` and more. Documents with the same words are
-    settled by a digest and stand for one. Of the others, the members of a band bucket are first compared with the
-    smallest, then, where classes still differ, with two members drawn by a hash: a large group of near copies mostly
-    becomes one class by a few comparisons each. What is in different classes even then is compared pair by pair, but
-    for pairs that cannot reach ``least``: by the sizes of their bags, by the parities of
-    their members, fewer of which differ than members do, or because 1 - similarity is a metric and their
-    distances to the bucket's smallest member differ by more than 1 - ``least``. So no link between classes is lost.
-
-    Null and empty texts have no shingle and form one class; texts of one to four words are one shingle; repeated rows
-    fall together; rows without an id have their own row with class_id and copy_of null; an empty table gives none.
+    Classes are the connected components of links of similarity ``least`` and more; the row of the smallest id is kept.
+    Null and empty texts have no shingle and form one class; texts of one to four words are one shingle. Rows that
+    repeat both id and text are one document with a row each. Rows of one id with different texts are documents of their
+    own, and so are rows without an id: they come after all others in a class, and their class_id and copy_of are null
+    where no row with an id is in it. An empty table gives no rows.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    keys = written(rows.select("doc_id", "key").distinct(), "keys")
+    firsts = keys.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
+    odd = keys.join(firsts, "key", "left_anti")
+    if odd.isEmpty():
+        return classes_of(rows.drop("key"), least)
+    # further texts of an id, and rows without one, go by numbers above all ids
+    top = max(0, keys.agg(F.max("doc_id")).first()[0] or 0)
+    odd = written(odd.select("key", (F.monotonically_increasing_id() + F.lit(top + 1)).alias("number")), "numbers")
+    rows = rows.join(odd, "key", "left").withColumn("number", F.coalesce("number", "doc_id"))
+    found = written(classes_of(rows.select(F.col("number").alias("doc_id"), "text"), least).distinct(), "classes")
+    named = rows.select("doc_id", "number").join(found.withColumnRenamed("doc_id", "number"), "number")
+    in_class = named.groupBy("class_id").agg(F.min("doc_id").alias("least_id"))
+    same = named.groupBy("copy_of").agg(F.min("doc_id").alias("same_id"))
+    return named.join(in_class, "class_id").join(same, "copy_of").select("doc_id", F.col("least_id").alias("class_id"), F.col("same_id").alias("copy_of"), "kept")
+
+
+def classes_of(rows: DataFrame, least: float) -> DataFrame:
+    """near_classes() of (doc_id, text) without nulls, in which rows of one id have one text.
+
+    Documents with the same words are settled by a digest and stand for one. Of the others, the members of a band bucket
+    are first compared with the smallest, then, where classes still differ, with two members drawn by a hash: a large
+    group of near copies mostly becomes one class by a few comparisons each. What is in different classes even then is
+    compared pair by pair, each pair in the first of its common buckets, but for pairs that cannot reach ``least``: by
+    the sizes of their bags, by the parities of their members, fewer of which differ than members do, or because
+    1 - similarity is a metric and their distances to the bucket's smallest member differ by more than 1 - ``least``.
+    So no link between classes is lost.
     """
-    spark: SparkSession = df.sparkSession
-    rows = id_and_text(df, id_col, text_col)
-    nameless = rows.filter("doc_id is null").selectExpr("doc_id", "doc_id AS class_id", "doc_id AS copy_of", "true AS kept")
-    rows = rows.filter("doc_id is not null")
     table = written(signed(rows), "signed")
     first = table.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
     members = written(table.select("doc_id", "digest").join(first, "digest").select("doc_id", "copy_of"), "members")
@@ -244,7 +276,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def links_of(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("s") >= least).select("a", "b")
 
-    stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), bags)
+    stars = compared(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), bags, around=True)
     roots = written(components(links_of(stars)), "roots")
     still = open_buckets(roots)
     drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "size", "root", "parity")).alias(f"d{k}") for k in range(2)]
@@ -258,18 +290,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # pairs of different classes, by slots of the distance to the bucket's smallest member
     reach = 1 - least + 1e-9
     far = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("s")).alias("far"))
-    still = open_buckets(roots).join(far, ["centre", "doc_id"]).withColumn("slot", F.floor(F.col("far") / reach))
-    side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far", "parity")])
+    still = open_buckets(roots)
+    open_keys = still.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    still = still.join(far, ["centre", "doc_id"]).join(open_keys, "doc_id").withColumn("slot", F.floor(F.col("far") / reach))
+    side = lambda x, slot: still.select("key", slot.alias("slot"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "root", "far", "parity", "keys")])
     near_slots = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
     across = side("a", near_slots).join(side("b", F.col("slot")), ["key", "slot"])
-    across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits)
-    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    in_first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    across = across.filter(F.expr(f"doc_id_a < doc_id_b AND root_a <> root_b AND abs(far_a - far_b) <= {reach}") & fits & in_first)
+    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
     more = compared(across.join(again, ["a", "b"], "left_anti"), bags)
     roots = joined(roots, links_of(more))
 
     out = members.join(roots, members["copy_of"] == roots["node"], "left")
-    out = out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of").withColumn("kept", F.col("doc_id") == F.col("class_id"))
-    return out.unionByName(nameless)
+    return out.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of").withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,15 +312,15 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are told apart by id and text: those without an id, and further texts of one id, are compared under numbers
     above all ids, so the others stand for a class before them.
     """
-    key = row_key(F.col(id_col), F.col(text_col))
-    rows = df.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    key, name = row_key(F.col(id_col), F.col(text_col)), fresh("gone")
+    rows = df.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     keys = written(rows.select("doc_id", "key").distinct(), "keys")
     firsts = keys.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
     top = keys.agg(F.max("doc_id").alias("n")).first()["n"] or 0
     odd = keys.join(firsts, "key", "left_anti").select("key", (F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)).alias("number"))
     odd = written(odd, "numbers")
-    rows = rows.join(odd, "key", "left").select(F.coalesce("number", "doc_id").alias("doc_id"), "text", "key")
-    gone = near_classes(rows.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
+    rows = rows.join(odd, "key", "left").select(F.coalesce("number", "doc_id").alias("doc_id"), "text")
+    gone = classes_of(rows, LEAST).filter(~F.col("kept")).select("doc_id").distinct()
     numbered = keys.join(odd, "key", "left").select("key", F.coalesce("number", "doc_id").alias("doc_id"))
-    gone = numbered.join(gone, "doc_id").select(F.col("key").alias("_gone"))
-    return df.join(gone, key == F.col("_gone"), "left_anti")
+    gone = numbered.join(gone, "doc_id").select(F.col("key").alias(name))
+    return df.join(gone, key == F.col(name), "left_anti")

@@ -86,6 +86,27 @@ def test_chains_and_edge_cases(spark):
     assert got.pop(None) is None
     assert got == classes(rows)
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in out if r["doc_id"] is not None)
+    assert len(out) == len(rows) + 1
+
+
+def test_rows_that_share_an_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, one), (2, two), (5, one + " more"), (5, two + " more"), (None, two + " end"), (None, "alone"), (7, one), (7, one)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, _gone int, number int")
+    got = sorted(((r["doc_id"] or 0, r["class_id"] or 0, r["copy_of"] or 0, r["kept"]) for r in near.near_classes(df).collect()))
+    assert got == [(0, 0, 0, True), (0, 2, 0, False), (1, 1, 1, True), (2, 2, 2, True), (5, 1, 5, False), (5, 2, 5, False), (7, 1, 1, False), (7, 1, 1, False)]
+    kept = near.without_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == sorted([one, two, "alone"])
+
+
+def test_kept_rows_of_chains(spark):
+    rng = random.Random(2)
+    chain, rows = [f"w{i}" for i in range(120)], []
+    for i in range(40):
+        rows.append((100 + (i * 17) % 40, " ".join(chain)))
+        chain[rng.randrange(120)] = f"new{i}"
+    rows += [(1, None), (2, ""), (3, " \n"), (4, "only three words"), (5, "only three  words"), (6, "x " * 30_000), (7, "x " * 29_000), (8, "x " * 10_000), (8, "x " * 10_000)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows] + [(None, "no id", "k")], "doc_id long, text string, key string")
     assert sorted(r["doc_id"] for r in near.without_near_copies(df).collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 6, 8, 8, 100]
     assert near.near_classes(df.filter("false")).count() == 0
 
