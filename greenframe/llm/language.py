@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import fresh, remainder
 
 DIMENSIONS = 1024
+#: Letters below U+0180 have slots below this, others their code point above it.
 SLOTS = 192
+SMALL, BITS = SLOTS**3, 21
 UNDETERMINED = "und"
 #: More different labels than this are taken for a mistake: the profiles go to every task.
 MOST_LANGUAGES = 2000
@@ -27,27 +29,27 @@ MOST_LANGUAGES = 2000
 
 @lru_cache(maxsize=1)
 def letter_slots() -> np.ndarray:
-    """Slot of each code point: 0 if no letter, else the lower-case letter's own slot (Latin) or a shared one."""
+    """Slot of each code point: 0 if no letter, else a slot of its lower-case letter's own; Latin letters have the first ones."""
     latin = {}
-    slots = np.zeros(0x110000, np.uint8)
+    slots = np.zeros(0x110000, np.int64)
     for code in range(0x110000):
         letter = chr(code)
         if letter.isalpha():
             low = ord(letter.lower()[0])
-            if low < 0x180:
-                slots[code] = latin.setdefault(low, len(latin) + 1)
-            else:
-                slots[code] = 135 + low % (SLOTS - 135)
-    assert len(latin) < 135
+            slots[code] = latin.setdefault(low, len(latin) + 1) if low < 0x180 else SLOTS + low
+    assert len(latin) < SLOTS
     return slots
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Codes of the letter trigrams of all words, the ends of a word included."""
+    """Codes of the letter trigrams of all words, the ends of a word included. Trigrams of the first slots have small codes."""
     slots = letter_slots()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    slots = np.concatenate(([0], slots, [0])).astype(np.int32)
+    slots = np.concatenate(([0], slots, [0]))
     slots = slots[np.append((slots[1:] != 0) | (slots[:-1] != 0), True)]
     codes = (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
+    if slots.max() >= SLOTS:
+        wide = np.maximum(np.maximum(slots[:-2], slots[1:-1]), slots[2:]) >= SLOTS
+        codes = np.where(wide, SMALL + (slots[:-2] << 2 * BITS | slots[1:-1] << BITS | slots[2:]), codes)
     return codes[slots[1:-1] != 0]
 
 
@@ -60,22 +62,50 @@ class Vectors:
         self.clear()
 
     def clear(self) -> None:
-        self.row_of = np.full(SLOTS**3, -1, np.int32)
+        self.row_of = np.full(SMALL, -1, np.int32)
+        self.wide: dict[int, int] = {}
+        self.others: dict[int, np.ndarray] = {}
         self.rows = np.empty((1024, self.letters.shape[1]), np.int8)
         self.used = 0
 
+    def letter(self, slot: int) -> np.ndarray:
+        """The vector of one letter; beyond the first slots, drawn from the letter itself."""
+        if slot < SLOTS:
+            return self.letters[slot]
+        if slot not in self.others:
+            self.others[slot] = np.random.default_rng((7, slot)).integers(0, 2, self.letters.shape[1], np.int8) * 2 - 1
+        return self.others[slot]
+
+    def add(self, new: np.ndarray) -> np.ndarray:
+        """Rows for new trigrams: the letters' vectors turned by two, one and no places, and multiplied."""
+        while self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+        small = new[new < SMALL]
+        first, second, third = small // SLOTS**2, small // SLOTS % SLOTS, small % SLOTS
+        made = [np.roll(self.letters[first], 2, 1) * np.roll(self.letters[second], 1, 1) * self.letters[third]]
+        for code in (new[new >= SMALL] - SMALL).tolist():
+            first, second, third = (self.letter(code >> k * BITS & (1 << BITS) - 1) for k in (2, 1, 0))
+            made.append((np.roll(first, 2) * np.roll(second, 1) * third)[None])
+        places = np.arange(self.used, self.used + len(new))
+        self.rows[places] = np.concatenate(made)
+        self.used += len(new)
+        return places
+
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Row of each trigram."""
+        wide = codes >= SMALL
+        if wide.any():
+            unique, at = np.unique(codes[wide], return_inverse=True)
+            new = np.array([c for c in unique.tolist() if c not in self.wide], np.int64)
+            self.wide.update(zip(new.tolist(), self.add(new).tolist()))
+            places = np.empty(len(codes), np.int64)
+            places[wide] = np.array([self.wide[c] for c in unique.tolist()])[at]
+            places[~wide] = self.places(codes[~wide])
+            return places
         places = self.row_of[codes]
         if (places < 0).any():
             new = np.unique(codes[places < 0])
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-            first, second, third = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
-            made = np.roll(self.letters[first], 2, 1) * np.roll(self.letters[second], 1, 1) * self.letters[third]
-            self.rows[self.used : self.used + len(new)] = made
-            self.row_of[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
+            self.row_of[new] = self.add(new)
             places = self.row_of[codes]
         return places
 
@@ -165,8 +195,13 @@ def held_out_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def with_language(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` whose text has a language: `und` goes, and so does junk, where hardly any character is a letter."""
+    """The rows of ``df`` whose text has a language, with all their columns.
+
+    Null and empty texts, and texts without any letter, are `und` and go. Where no row has a label, nothing can be told
+    of a language, and all texts with a letter stay. Repeated rows stay as they are; an empty table gives no rows.
+    """
     profiles = fit(df, text_col, label_col)
-    letters = F.length(F.regexp_replace(F.col(text_col), r"[^\p{L}]+", ""))
-    rows = predict(df, profiles, text_col, "_language", "_likeness")
-    return rows.filter((F.col("_language") != UNDETERMINED) & (letters * 5 >= F.length(text_col))).drop("_language", "_likeness")
+    found, likeness = fresh("language"), fresh("likeness")
+    rows = predict(df, profiles, text_col, found, likeness)
+    known = F.col(found) != UNDETERMINED if profiles.languages else F.col(text_col).rlike(r"\p{L}")
+    return rows.filter(known).drop(found, likeness)

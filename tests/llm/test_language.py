@@ -44,3 +44,50 @@ def test_cache_that_starts_anew():
     small, large = language.Vectors(64, most=3), language.Vectors(64)
     for text in ("some words", "other words", "some words"):
         assert small.bundle(language.trigrams(text)).tolist() == large.bundle(language.trigrams(text)).tolist()
+
+
+def plain_bundle(text, dimensions):
+    """Bind, turn and bundle, one trigram after the other."""
+    known, total = language.Vectors(dimensions), np.zeros(dimensions)
+    slot = lambda c: language.letter_slots()[ord(c)] if c.isalpha() else 0
+    word = [0]
+    for c in [*text, " "]:
+        if c.isalpha():
+            word.append(int(slot(c)))
+            continue
+        word.append(0)
+        for a, b, d in zip(word, word[1:], word[2:]):
+            total += np.roll(known.letter(a).astype(int), 2) * np.roll(known.letter(b).astype(int), 1) * known.letter(d)
+        word = [0]
+    return total
+
+
+def test_against_plain_formula(spark, folder):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{folder}/documents.parquet").limit(60).collect()]
+    docs += [(900 + i, t, l) for i, (t, l) in enumerate([("Это просто текст на русском языке", "ru"), ("Αυτό είναι ένα κείμενο", "el"), ("语言 识别 文本", "zh"), ("Ещё один текст", None), ("naïve текст mixed", None)])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.held_out_languages(df).collect()}
+    sums = {}
+    for i, text, label in docs:
+        own = plain_bundle(text, language.DIMENSIONS)
+        if label and not got[i]["held_out"] and own.any():
+            sums[label] = sums.get(label, 0) + own / sum(len(w) for w in "".join(c if c.isalpha() else " " for c in text).split())
+    for i, text, _ in docs:
+        own = plain_bundle(text, language.DIMENSIONS)
+        cosines = {k: v @ own / np.linalg.norm(v) / max(np.linalg.norm(own), 1e-9) for k, v in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i]["lang_pred"] == (best if own.any() else "und")
+        assert abs(got[i]["score"] - (max(0.0, cosines[best]) if own.any() else 0.0)) < 1e-4
+
+
+def test_letters_have_vectors_of_their_own():
+    slots = language.letter_slots()
+    alphabets = [ord(c) for c in "abcdefghijklmnopqrstuvwxyzàéñßабвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψωابتثجحخ語言文本"]
+    assert len({int(slots[c]) for c in alphabets}) == len(alphabets)
+
+
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(1, "some text", 1), (2, "123", 2), (3, None, 3), (4, "текст", 4)], "doc_id long, text string, _language int").withColumn("lang", F.lit(None).cast("string"))
+    kept = language.with_language(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+    assert language.with_language(df.filter("false")).count() == 0
