@@ -9,6 +9,7 @@ from greenframe.functions import fixed_values as fixed
 from greenframe.functions.sqltext import canonical_sql
 from greenframe.operators.quantiles import exact_quantiles
 from greenframe.plans.compare import results_equivalent
+from greenframe.plans.execute import side_by_side
 
 MEASURES = ["co2_g", "energy_j", "time_s"]
 
@@ -91,21 +92,23 @@ def match_quality(details: DataFrame) -> DataFrame:
     return rates.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), zero))
 
 
-def execution_match_quality(pairs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(query_id, status): run both statements and compare their results.
+def execution_match_quality(pairs: DataFrame, spark: SparkSession, at_once: int = 4, limit_s: float | None = None) -> DataFrame:
+    """(query_id, status): run both statements and compare their results, ``at_once`` pairs at a time.
 
     ``pairs`` has query_id, generated_sql and ground_truth_sql; the statements
-    come to the driver, the compared rows do not.
+    come to the driver, the compared rows and the results do not. A pair that
+    takes longer than ``limit_s`` seconds is stopped and counts as wrong.
     """
-    checked = []
-    for row in pairs.select("query_id", "generated_sql", "ground_truth_sql").toLocalIterator():
+    def work(row, stopped) -> tuple:
         try:
             same = results_equivalent(spark.sql(row["generated_sql"]), spark.sql(row["ground_truth_sql"]))
-            status = "Correct" if same else "Wrong"
-        except Exception:  # noqa: BLE001 - a statement that does not run is not correct
-            status = "Wrong"
-        checked.append((row["query_id"], status))
-    return spark.createDataFrame(checked, pairs.select("query_id").schema.add("status", "string"))
+        except Exception:  # noqa: BLE001 - a statement that does not run, or not to its end, is not correct
+            same = False
+        return row["query_id"], "Correct" if same else "Wrong"
+
+    kind = dict(pairs.dtypes)["query_id"]
+    rows = pairs.select("query_id", "generated_sql", "ground_truth_sql").toLocalIterator()
+    return side_by_side(rows, work, spark, f"query_id {kind}, status string", at_once, limit_s)
 
 
 def workload_queries(workload: DataFrame, question: str, query_id: str = "query_id") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from greenframe.functions import fixed_values as fixed
+from greenframe.session import scratch_path
 from greenframe.sources.tables import Tables
 
 
@@ -59,22 +63,80 @@ def _executed(spark: SparkSession, sql: str) -> tuple[int, str | None]:
         return 0, str(error)
 
 
+POOL = "greenframe-workload"
+
+
+def side_by_side(rows: Iterable, work: Callable, spark: SparkSession, schema: str, at_once: int = 4, limit_s: float | None = None) -> DataFrame:
+    """``work(row, stopped)`` of every row, ``at_once`` at a time; a result row is written as soon as it is there.
+
+    The Spark jobs of a row run in one pool (where the scheduler is fair) under a tag of their own. Jobs that still run
+    after ``limit_s`` seconds are cancelled by the tag, as often as the row starts new ones; ``stopped()`` tells ``work``
+    of it. Neither rows nor results pile up on the driver: it holds those that are being worked on.
+    """
+    context, folder = spark.sparkContext, scratch_path(spark, "side-by-side")
+    free, failed = threading.Semaphore(at_once), []
+
+    def one(row, number: int) -> None:
+        tag, done, over = f"greenframe-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+        def watch() -> None:
+            if not done.wait(limit_s):
+                over.set()
+                while not done.wait(0.2):
+                    context.cancelJobsWithTag(tag)
+
+        context.setLocalProperty("spark.scheduler.pool", POOL)
+        context.addJobTag(tag)
+        watcher = threading.Thread(target=watch, daemon=True) if limit_s else None
+        try:
+            if watcher:
+                watcher.start()
+            try:
+                result = work(row, over.is_set)
+            finally:
+                done.set()
+                if watcher:
+                    watcher.join()
+                context.removeJobTag(tag)
+            # a folder for each, since two writers must not share one
+            spark.createDataFrame([result], schema).coalesce(1).write.parquet(f"{folder}/number={number}")
+        except Exception as error:  # noqa: BLE001 - raised again by the caller's thread
+            failed.append(error)
+        finally:
+            free.release()
+
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/number=-1")
+    with ThreadPoolExecutor(at_once) as pool:
+        for number, row in enumerate(rows):
+            free.acquire()
+            if failed:
+                break
+            pool.submit(one, row, number)
+    if failed:
+        raise failed[0]
+    return spark.read.schema(f"{schema}, number int").parquet(folder).drop("number")
+
+
 def run_workload(queries: DataFrame | Iterable[tuple], spark: SparkSession, cpu_percent: float = 100.0,
-                 tdp: float = fixed.CPU_TDP_W,
-                 emission_factor: float = fixed.EMISSION_FACTOR_G_PER_KWH) -> DataFrame:
-    """Execute (query_id, query, dbms) rows one after the other and report what each took.
+                 tdp: float = fixed.CPU_TDP_W, emission_factor: float = fixed.EMISSION_FACTOR_G_PER_KWH,
+                 at_once: int = 1, limit_s: float | None = None) -> DataFrame:
+    """Execute (query_id, query, dbms) rows and report what each took.
 
-    CO2 is estimated from the elapsed time at ``cpu_percent`` of ``tdp``. The
-    query texts come to the driver one partition at a time; the data they query
-    does not.
+    CO2 is estimated from the elapsed time at ``cpu_percent`` of ``tdp``; only with one query ``at_once`` is a query's
+    time its own. A query that runs longer than ``limit_s`` seconds is stopped and reported as an error. The query texts
+    come to the driver one partition at a time; the data they query does not, nor do the results.
     """
     if isinstance(queries, DataFrame):
         queries = queries.select("query_id", "query", "dbms").toLocalIterator()
-    results = []
     grams_per_second = cpu_percent / 100.0 * tdp / 3_600_000.0 * emission_factor
-    for query_id, sql, dbms in queries:
+
+    def work(row, stopped) -> tuple:
+        query_id, sql, dbms = row
         began = time.perf_counter()
         rows, error = _executed(spark, sql)
         elapsed = time.perf_counter() - began
-        results.append((str(query_id), sql, dbms, elapsed, elapsed * grams_per_second, rows, error))
-    return spark.createDataFrame(results, RESULT_SCHEMA)
+        if error is not None and stopped():
+            error = f"stopped after {limit_s} s"
+        return str(query_id), sql, dbms, elapsed, elapsed * grams_per_second, rows, error
+
+    return side_by_side(queries, work, spark, RESULT_SCHEMA, at_once, limit_s)

@@ -89,6 +89,19 @@ def workload_run(spark, folder):
     return results.select("query_id", "dbms", "rows", timed.alias("timed"), F.col("error").isNotNull().alias("failed"))
 
 
+def workload_side_by_side(spark, folder):
+    """A query per nation and segment, eight at a time, and one that would never end."""
+    customer = table(spark, folder, "customer")
+    execute.register({"customer": customer})
+    groups = customer.select("c_nationkey", "c_mktsegment").distinct()
+    name = F.format_string("%s in %d", "c_mktsegment", "c_nationkey")
+    text = F.format_string("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = '%s' AND c_nationkey = %d", "c_mktsegment", "c_nationkey")
+    many = groups.select(name.alias("query_id"), text.alias("query"), F.lit("spark").alias("dbms"))
+    endless = groups.limit(1).select(F.lit("endless").alias("query_id"), F.lit("SELECT sum(id % 7) AS s FROM range(1000000000000000000)").alias("query"), F.lit("spark").alias("dbms"))
+    results = execute.run_workload(endless.unionAll(many), spark, at_once=8, limit_s=20.0)
+    return results.select("query_id", "rows", (F.col("error") == "stopped after 20.0 s").alias("stopped"))
+
+
 def _statement():
     return F.format_string("SELECT text FROM conversations WHERE conv_id = %d AND turn = %d", "conv_id", "turn")
 
@@ -224,7 +237,7 @@ def saved_tables(spark, folder):
 QUERIES = {
     **{name: _sql(sql, *names) for name, (sql, names) in PLAIN_SQL.items()},
     "quoted_identifiers": quoted_identifiers,
-    "workload_run": workload_run,
+    "workload_run": workload_run, "workload_side_by_side": workload_side_by_side,
     "sql_from_answers": sql_from_answers,
     "candidate_statements": candidate_statements,
     "table_contexts": table_contexts,
@@ -255,6 +268,8 @@ FROM orders GROUP BY o_orderstatus, o_orderpriority""",
     "join_through_sql": f"""SELECT n_name, COUNT(*) AS orders, {rounded('SUM(o_totalprice)', 2)} AS total FROM orders
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
     "quoted_identifiers": 'SELECT c_custkey AS "cust-key", c_acctbal AS "acct-bal" FROM customer WHERE c_acctbal > 5000',
+    "workload_side_by_side": """SELECT c_mktsegment || ' in ' || c_nationkey AS query_id, count(*) AS rows, NULL::BOOLEAN AS stopped FROM customer GROUP BY 1
+UNION ALL SELECT 'endless', 0, true""",
     "workload_run": """SELECT c_mktsegment AS query_id, 'MySQL' AS dbms, count(*) AS rows, true AS timed, false AS failed
 FROM customer GROUP BY c_mktsegment
 UNION ALL SELECT 'broken', 'MySQL', 0, true, true""",
