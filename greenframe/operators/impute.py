@@ -224,14 +224,18 @@ class _Neighbours:
         return self.units.join(chosen, "uid").select("vk", "f", "value")
 
 
-def impute_knn(df: DataFrame, key: str, columns: list[str], k: int = 5, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def impute_knn(df: DataFrame, key: str, columns: list[str], k: int = 5, rows_per_cell: int = ROWS_PER_CELL,
+               row_limit: int | None = None) -> DataFrame:
     """Each missing cell becomes the mean of the k nearest rows that have the column.
 
+    With ``row_limit`` on (and from) the first rows by ``key`` only.
+
     Distance is Euclidean over the coordinates both rows have, scaled up by
     total / shared; ties go to the smaller ``key``. A cell without any such row
     takes the column mean.
     """
     _numeric_only(df, columns)
+    df = first_rows(df, [key], row_limit)
     cells = [present(df, c).cast("double") + F.lit(0.0) for c in columns]
     vector = F.array(*cells)
     mask = F.concat(*[F.when(c.isNotNull(), "1").otherwise("0") for c in cells])
@@ -288,15 +292,19 @@ def _regression(moments: PairMoments, target: int) -> tuple[float, np.ndarray]:
     return float(means[target] - coef @ means[others]), coef
 
 
-def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tolerance: float = 1e-3) -> DataFrame:
+def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tolerance: float = 1e-3,
+                     row_limit: int | None = None, key: list[str] | None = None) -> DataFrame:
     """Missing cells predicted from the other columns, round after round, from a mean start.
 
+    With ``row_limit`` on (and from) the first rows by ``key`` only.
+
     Columns go by ascending number of missing cells. The rounds end when no row
     changed by more than ``tolerance`` times the largest observed magnitude.
     Rows without gaps never change: they are summed up once, and the rounds
     read and keep only the rows with gaps.
     """
     _numeric_only(df, columns)
+    df = first_rows(df, key or [], row_limit)
     numbers = {c: present(df, c).cast("double") for c in columns}
     stats = df.agg(
         *[F.avg(numbers[c]).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -358,19 +366,40 @@ def missing_cells(df: DataFrame, key: list[str], columns: list[str] | None = Non
     return df.select(*key, F.explode(cells).alias("_c")).filter(F.col("_c").isNotNull()).select(*key, "_c.*")
 
 
+def _drawn_rows(df: DataFrame, key: list[str], columns: list[str], n: int, seed: int) -> DataFrame:
+    """(column, key, _nth): the first ``n`` keys of each column by their digest. Tasks send on their own first ones only."""
+    has = F.array_compact(F.array(*[F.when(present(df, c).isNotNull(), F.lit(c)) for c in columns]))
+    digest = F.md5(F.concat_ws("|", *key, F.lit(seed)))
+    order = Window.partitionBy("column").orderBy(digest, *key)
+    return df.select(*key, F.explode(has).alias("column")).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= n)
+
+
 def example_rows(df: DataFrame, key: list[str], columns: list[str], n: int = 5, seed: int = 42) -> DataFrame:
-    """(column, key, row_data): up to ``n`` rows per column that have it, picked by a hash of ``key``."""
-    order = F.xxhash64(*key, F.lit(seed))
+    """(column, key, row_data): up to ``n`` rows per column that have it, picked by the digest of ``key`` and ``seed``.
+
+    One scan picks the keys for all columns, a second one reads the few rows picked. ``key`` is never null.
+    """
     whole = F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})
-    parts = [
-        df.filter(present(df, c).isNotNull()).orderBy(order, *key).limit(n).select(
-            F.lit(c).alias("column"), *key, whole.alias("row_data"))
-        for c in columns
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    picked = _drawn_rows(df, key, columns, n, seed)
+    return df.select(*key, whole.alias("row_data")).join(F.broadcast(picked), key).select("column", *key, "row_data")
+
+
+def imputation_prompts(df: DataFrame, key: list[str], columns: list[str] | None = None, n: int = 5, seed: int = 42) -> DataFrame:
+    """(key, column, prompt) per missing text cell: what is asked, up to ``n`` rows that have the column, and the row itself.
+
+    The examples of a column, at most ``n`` rows, are put together once and sent to all its missing cells.
+    """
+    names = columns or columns_of(df, "text")
+    drawn = _drawn_rows(df, key, names, n, seed)
+    whole = F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = df.select(*key, whole.alias("_row")).join(F.broadcast(drawn), key)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_nth", "_row"))), lambda x: x["_row"])
+    examples = rows.groupBy("column").agg(F.array_join(listed, "\n").alias("_examples"))
+    prompt = F.concat(
+        F.lit("Give the value that is marked MISSING, and nothing else. Column: "), "column", F.lit("\nRows that have it:\n"),
+        F.coalesce("_examples", F.lit("none")), F.lit("\nRow:\n"), "row_data",
+    )
+    return missing_cells(df, key, names).join(F.broadcast(examples), "column", "left").select(*key, "column", prompt.alias("prompt"))
 
 
 def apply_imputations(df: DataFrame, key: list[str], decisions: DataFrame, order: str | None = None) -> DataFrame:

@@ -176,6 +176,21 @@ def generate_fake(spark: SparkSession, rows: int, columns: list[tuple[str, str]]
     )
 
 
+def replace_personal(df: DataFrame, key: str, columns: dict[str, str], locale: str = "en_US", seed: int = 42) -> DataFrame:
+    """``df`` with made-up values in ``columns`` (name -> provider); other columns and missing cells stay.
+
+    A value depends on ``key``, the column and ``seed`` only, so rows of one key, in any table, get the same one.
+    """
+    unknown = sorted({p for p in columns.values() if p not in PROVIDERS} | {c for c in columns if c not in df.columns})
+    if unknown:
+        raise ValueError(f"unknown providers or columns: {unknown}")
+    if locale not in fixed.LOCALES:
+        raise ValueError(f"unknown locale {locale!r}")
+    row = F.xxhash64(quoted(key))
+    made = {c: _Fake(row, c, locale, seed).value(p).cast(df.schema[c].dataType) for c, p in columns.items()}
+    return df.select(*[F.when(quoted(c).isNotNull(), made[c]).alias(c) if c in made else quoted(c) for c in df.columns])
+
+
 # ---- Gaussian copula --------------------------------------------------------
 
 KNOTS = 400

@@ -72,10 +72,10 @@ def co2_by_dbms(spark, folder):
 
 
 def _generated(spark, folder):
-    """A statement per label: right ones differ in case and ``;`` only, toxic ones are missing."""
-    labels = table(spark, folder, "labels")
-    truth = F.concat(F.lit("SELECT text FROM documents WHERE doc_id = "), F.col("doc_id").cast("string"))
-    right = F.concat(F.lit("  "), F.upper(truth), F.lit(";"))
+    """A statement about each labelled text: right ones differ in case and ``;`` only, toxic ones are missing."""
+    labels = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "left")
+    truth = F.concat(F.lit("SELECT doc_id FROM documents WHERE text = '"), F.replace(F.coalesce("text", F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
+    right = F.concat(F.lit("  "), F.lower(truth), F.lit(";"))
     generated = F.when(F.col("toxic") == 1, F.lit(None)).when(F.col("quality") == 1, right).otherwise(F.concat(truth, F.lit(" LIMIT 1")))
     return (
         labels.select(F.col("doc_id").alias("query_id"), generated.alias("generated_sql")),
@@ -109,7 +109,7 @@ def workload_queries(spark, folder):
     documents = table(spark, folder, "documents")
     statement = F.concat(F.lit("SELECT "), F.col("doc_id").cast("string"))
     workload = documents.select(
-        F.col("doc_id").alias("query_id"), F.col("source").alias("question"), statement.alias("MySQL"),
+        F.col("doc_id").alias("query_id"), F.col("text").alias("question"), statement.alias("MySQL"),
         F.concat(statement, F.lit(";")).alias("SQL Server"), F.col("lang").alias("Oracle"))
     return benchmark.workload_queries(workload, "question")
 
@@ -158,6 +158,6 @@ SELECT tp, fp, fn, {rounded('accuracy', 6)} AS accuracy, {rounded('precision', 6
   {rounded('2 * precision * recall / (precision + recall)', 6)} AS f1 FROM r""",
     "execution_match": """SELECT DISTINCT c_mktsegment AS query_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Wrong' ELSE 'Correct' END AS status
 FROM customer""",
-    "workload_queries": """SELECT doc_id AS query_id, source AS question, 'MySQL' AS dbms, 'SELECT ' || doc_id AS query FROM documents
-UNION ALL SELECT doc_id, source, 'SQL Server', 'SELECT ' || doc_id || ';' FROM documents""",
+    "workload_queries": """SELECT doc_id AS query_id, text AS question, 'MySQL' AS dbms, 'SELECT ' || doc_id AS query FROM documents
+UNION ALL SELECT doc_id, text, 'SQL Server', 'SELECT ' || doc_id || ';' FROM documents""",
 }

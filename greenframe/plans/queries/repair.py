@@ -73,6 +73,40 @@ def imputed_iteratively(spark, folder):
     return _shown(filled, F.round("l_extendedprice", 2).alias("l_extendedprice"))
 
 
+def imputed_neighbours_of_first_rows(spark, folder):
+    filled = impute.impute_knn(_parts(spark, folder), "p_partkey", ["a", "b", "c"], k=5, rows_per_cell=100, row_limit=150)
+    return filled.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("a", "b", "c")])
+
+
+def _dependent(spark, folder):
+    """Lines with amounts that follow from each other, and gaps whose values are known."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), (F.col("l_quantity") * 3 + F.col("l_discount") * 500 + 10).alias("true_b"),
+        (F.col("l_discount") * 100).alias("d"),
+    )
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    return rows.withColumn("b", F.when(key % 5 != 0, F.col("true_b"))).withColumn("c", F.when(key % 7 != 0, F.col("a") - F.col("d")))
+
+
+def _recovered(filled):
+    """How many values of both columns come close to what they were."""
+    near = lambda c, true: F.count_if(F.abs(F.col(c) - true) < 0.05 + 0.01 * F.abs(true))
+    return filled.agg(F.count(F.lit(1)).alias("lines"), near("b", F.col("true_b")).alias("near_b"), near("c", F.col("a") - F.col("d")).alias("near_c"))
+
+
+def imputed_known_gaps(spark, folder):
+    return _recovered(impute.impute_iterative(_dependent(spark, folder), ["a", "b", "c", "d"], tolerance=1e-6))
+
+
+def imputed_known_gaps_of_first_rows(spark, folder):
+    order = ["l_orderkey", "l_linenumber"]
+    return _recovered(impute.impute_iterative(_dependent(spark, folder), ["a", "b", "c", "d"], tolerance=1e-6, row_limit=500, key=order))
+
+
+def missing_cell_prompts(spark, folder):
+    return impute.imputation_prompts(_orders(spark, folder), ["o_orderkey"], ["o_orderstatus"])
+
+
 def missing_cell_queue(spark, folder):
     queue = impute.missing_cells(_orders(spark, folder), ["o_orderkey"])
     return queue.select(
@@ -100,7 +134,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         imputed_mean, imputed_median, imputed_mode, imputed_constant, imputed_first_rows, imputed_neighbours,
-        imputed_iteratively, missing_cell_queue, missing_cell_examples, reviewed_values,
+        imputed_neighbours_of_first_rows, imputed_iteratively, imputed_known_gaps, imputed_known_gaps_of_first_rows,
+        missing_cell_queue, missing_cell_examples, missing_cell_prompts, reviewed_values,
     )
 }
 
@@ -114,7 +149,7 @@ def _mode(c: str) -> str:
     return f"(SELECT {c} FROM lines WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
 
 
-def _knn_sql() -> str:
+def _knn_sql(source: str = "part") -> str:
     total = "coalesce((q.a - d.a) ** 2, 0.0) + coalesce((q.b - d.b) ** 2, 0.0) + coalesce((q.c - d.c) ** 2, 0.0)"
     shared = " + ".join(f"CASE WHEN q.{x} IS NOT NULL AND d.{x} IS NOT NULL THEN 1 ELSE 0 END" for x in "abc")
     near = ", ".join(
@@ -125,13 +160,24 @@ def _knn_sql() -> str:
     )
     return f"""WITH parts AS (
   SELECT p_partkey AS id, CAST(p_partkey % 83 AS DOUBLE) AS a, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS b,
-    CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice % 97 END AS c FROM part),
+    CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice % 97 END AS c FROM {source}),
 {near}
 SELECT p.id AS p_partkey, {rounded('p.a', 6)} AS a,
   {rounded('coalesce(p.b, nb.v, (SELECT avg(b) FROM parts))', 6)} AS b, {rounded('coalesce(p.c, nc.v, (SELECT avg(c) FROM parts))', 6)} AS c
 FROM parts p LEFT JOIN nb ON nb.id = p.id LEFT JOIN nc ON nc.id = p.id"""
 
 
+def _row_json(status: str) -> str:
+    return f"""'{{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":' || coalesce('"' || {status} || '"', 'null')
+  || ',"o_totalprice":' || coalesce(o_totalprice::VARCHAR, 'null') || '}}'"""
+
+
+_EXAMPLES_SQL = f"""examples AS (
+  SELECT name, o_orderkey, {_row_json('o_orderstatus')} AS row_data,
+    row_number() OVER (PARTITION BY name ORDER BY md5(o_orderkey || '|42'), o_orderkey) AS nth
+  FROM gaps, (VALUES ('o_orderstatus'), ('o_totalprice')) AS n(name)
+  WHERE CASE name WHEN 'o_orderstatus' THEN o_orderstatus IS NOT NULL ELSE o_totalprice IS NOT NULL END)"""
+
 ORACLES = {
     "imputed_mean": _fill_sql({c: f"(SELECT avg({c}) FROM lines)" for c in NUMBERS}),
     "imputed_median": _fill_sql({c: f"(SELECT quantile_cont({c}, 0.5) FROM lines)" for c in NUMBERS}),
@@ -140,6 +186,17 @@ ORACLES = {
     "imputed_first_rows": f"""WITH {_ORDERS_SQL}, head AS (SELECT * FROM gaps ORDER BY o_orderkey LIMIT 100)
 SELECT o_orderkey, {rounded('coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM head))', 4)} AS o_totalprice FROM head""",
     "imputed_neighbours": _knn_sql(),
+    "imputed_neighbours_of_first_rows": _knn_sql("(SELECT * FROM part ORDER BY p_partkey LIMIT 150)"),
+    "imputed_known_gaps": "SELECT count(*) AS lines, count(*) AS near_b, count(*) AS near_c FROM lineitem",
+    "imputed_known_gaps_of_first_rows": "SELECT least(500, count(*)) AS lines, least(500, count(*)) AS near_b, least(500, count(*)) AS near_c FROM lineitem",
+    "missing_cell_examples": f"""WITH {_ORDERS_SQL}, {_EXAMPLES_SQL}
+SELECT name AS "column", o_orderkey, row_data FROM examples WHERE nth <= 5""",
+    "missing_cell_prompts": f"""WITH {_ORDERS_SQL}, {_EXAMPLES_SQL}
+SELECT g.o_orderkey, 'o_orderstatus' AS "column", 'Give the value that is marked MISSING, and nothing else. Column: o_orderstatus
+Rows that have it:
+' || (SELECT string_agg(row_data, chr(10) ORDER BY nth) FROM examples WHERE nth <= 5 AND name = 'o_orderstatus') || '
+Row:
+' || {_row_json("'MISSING'")} AS prompt FROM gaps g WHERE o_orderstatus IS NULL""",
     "missing_cell_queue": f"""WITH {_ORDERS_SQL} SELECT o_orderkey, 'o_orderstatus' AS "column", 'MISSING' AS marked, o_orderpriority AS priority
 FROM gaps WHERE o_orderstatus IS NULL""",
     "reviewed_values": f"""WITH {_ORDERS_SQL} SELECT o_orderkey, o_orderpriority,

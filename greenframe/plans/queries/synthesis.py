@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenframe.operators import synthetic
@@ -36,6 +39,17 @@ def made_up_customers_checked(spark, folder):
     return made.agg(F.count(F.lit(1)).alias("n"), F.count_if(filled).alias("filled"), *[F.count_if(r).alias(k) for k, r in rules.items()])
 
 
+def customers_without_names(spark, folder):
+    """Customers under made-up names, their other columns as they are; one name for a customer wherever it comes."""
+    real = table(spark, folder, "customer")
+    made = synthetic.replace_personal(real, "c_custkey", {"c_name": "name"}, "de_DE", 7)
+    again = synthetic.replace_personal(real.select("c_custkey", "c_name"), "c_custkey", {"c_name": "name"}, "de_DE", 7)
+    names = real.select("c_custkey", F.col("c_name").alias("real")).join(again.withColumnRenamed("c_name", "again"), "c_custkey")
+    both = made.join(names, "c_custkey")
+    changed = (F.col("c_name") != F.col("real")) & F.col("c_name").rlike(r"^\p{L}+[ .\p{L}'-]+$")
+    return both.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", changed.alias("changed"), (F.col("c_name") == F.col("again")).alias("repeated"))
+
+
 def _lines(spark, folder):
     """Lines with a discount that follows the quantity, so that there is a correlation to keep."""
     return table(spark, folder, "lineitem", spread=True).select(
@@ -108,13 +122,19 @@ def synthetic_orders_checked(spark, folder):
         orphans.select(F.lit("orphans").alias("what"), "rows"),
         orders.agg((F.count(F.lit(1)) - F.count_distinct("o_orderkey")).alias("rows")).select(F.lit("repeated order keys").alias("what"), "rows"),
     ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    families = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    parts += [
+        orders.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("orders").alias("what"), "rows"),
+        families.agg(F.max("n").alias("rows")).select(F.lit("largest family").alias("what"), "rows"),
+        families.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("customers with orders").alias("what"), "rows"),
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        made_up_customers, made_up_customers_checked, synthetic_lines, synthetic_lines_compared, synthetic_categories_compared, synthetic_orders,
+        made_up_customers, made_up_customers_checked, customers_without_names, synthetic_lines, synthetic_lines_compared, synthetic_categories_compared, synthetic_orders,
         synthetic_orders_checked,
     )
 }
@@ -122,6 +142,7 @@ QUERIES = {
 ORACLES = {
     "made_up_customers_checked": """SELECT count(*) AS n, count(*) AS filled, count(*) AS mails, count(*) AS cards, count(*) AS ibans,
   count(*) AS addresses, count(*) AS dates FROM orders""",
+    "customers_without_names": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, true AS changed, true AS repeated FROM customer",
     "synthetic_lines_compared": """WITH numbers AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_cost', 'l_tax']) AS c)
 SELECT c AS "column", unnest(['mean', 'std', 'q50']) AS measure, true AS near FROM numbers
 UNION ALL SELECT column_name, 'missing_pct', true FROM information_schema.columns
@@ -134,5 +155,8 @@ SELECT count(DISTINCT label) AS label_values, count(*) AS all_rows, count(*) AS
   true AS link_kept FROM labels""",
     "synthetic_orders_checked": """SELECT 'customers' AS what, 2 * count(*) AS rows FROM customer
 UNION ALL SELECT 'customer keys', 2 * count(*) FROM customer
+UNION ALL SELECT 'orders', 2 * count(*) FROM orders
+UNION ALL SELECT 'largest family', (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))
+UNION ALL SELECT 'customers with orders', (SELECT 2 * count(DISTINCT o_custkey) FROM orders)
 UNION ALL SELECT 'orphans', 0 UNION ALL SELECT 'repeated order keys', 0""",
 }

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenframe.functions import prompts, sqltext
 from greenframe.plans import compare, execute
+from greenframe.plans.export import export_profile
 from greenframe.plans.queries.support import rounded, table
 from greenframe.session import scratch_path
 from greenframe.sources import files, tables as tbl
@@ -121,10 +126,8 @@ def sql_from_answers(spark, folder):
 
 
 def candidate_statements(spark, folder):
-    """Each turn answers with as many statements as its number modulo 8, in a fenced block."""
-    one = F.format_string("SELECT %d AS c, ", F.col("conv_id"))
-    many = F.transform(F.sequence(F.lit(0), (F.col("turn") % 8).cast("int")), lambda i: F.concat(one, i.cast("string")))
-    answer = F.concat(F.lit("```sql\n"), F.array_join(many, " ;\n ;"), F.lit(";\n```"))
+    """Each turn's text is an answer in a fenced block, its sentences the statements."""
+    answer = F.concat(F.lit("```sql\n"), F.replace("text", F.lit(". "), F.lit(";\n")), F.lit("\n```"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", answer.alias("answer"))
     return sqltext.candidate_rows(rows, "answer").withColumn("position", F.col("position").cast("bigint"))
 
@@ -148,7 +151,7 @@ def rewrite_prompts(spark, folder):
         "co2", F.when(F.col("turn") % 2 == 0, F.col("conv_id") / 8)
     )
     context = prompts.context_text({"nation": table(spark, folder, "nation")})
-    return prompts.prompt_rows(turns, "role", context, "SQLite", "sql", "co2").select("conv_id", "turn", "prompt")
+    return prompts.prompt_rows(turns, "text", context, "SQLite", "sql", "co2").select("conv_id", "turn", "prompt")
 
 
 def best_rewrites(spark, folder):
@@ -224,6 +227,32 @@ def csv_round_trip(spark, folder):
     return back.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("text_chars"), F.md5("text").alias("digest"))
 
 
+def sniffed_delimiters(spark, folder):
+    """Nations written with each delimiter; what the first lines tell of it."""
+    nations, found = table(spark, folder, "nation"), []
+    for sep in (";", ",", "|", "\t"):
+        path = scratch_path(spark, "nation-csv")
+        files.write_dataset(nations, path, "csv", sep)
+        back = files.read_delimited(spark, path, files.sniff_delimiter(spark, path))
+        found.append(back.select(F.lit(sep).alias("delimiter"), F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def exported_profile(spark, folder):
+    """The profile bundle of two tables, written and read back."""
+    path = scratch_path(spark, "profile")
+    tables = {name: table(spark, folder, name) for name in ("customer", "orders")}
+    export_profile(spark, tables, path, datetime(2024, 6, 1))
+    parts = []
+    for name in tables:
+        metrics = spark.read.schema("rows long, cols long, missing_values_total long, duplicate_rows long").json(f"{path}/{name}/metrics.json")
+        insights = spark.read.schema("column string").json(f"{path}/{name}/schema_insights.json").agg(F.count("column").alias("insights"))
+        numbers = spark.read.option("header", True).schema("column string, count long").csv(f"{path}/{name}/descriptive_stats_numeric.csv").agg(F.sum("count").alias("numbers"))
+        one = metrics.join(F.broadcast(insights), F.lit(True)).join(F.broadcast(numbers), F.lit(True))
+        parts.append(one.select(F.lit(name).alias("table_name"), *one.columns))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def saved_tables(spark, folder):
     """Tables saved under cleaned names and loaded again."""
     target = scratch_path(spark, "saved")
@@ -252,6 +281,8 @@ QUERIES = {
     "first_rows": first_rows,
     "csv_round_trip": csv_round_trip,
     "saved_tables": saved_tables,
+    "sniffed_delimiters": sniffed_delimiters,
+    "exported_profile": exported_profile,
 }
 
 _ADVICE = "\n".join(f"{i}. {text}" for i, text in enumerate(prompts.ADVICE, 1))
@@ -287,8 +318,10 @@ statements AS (SELECT conv_id, turn, a, regexp_replace(CASE WHEN contains(tail,
     WHEN marked <> '' THEN marked WHEN single <> '' THEN single ELSE tail END, '\A\s+|\s+\z', '', 'g') AS s FROM cuts)
 SELECT conv_id, turn, CASE WHEN contains(a, '```sql') THEN {_STATEMENT_SQL} WHEN s = '' THEN NULL
   WHEN s LIKE '%;' THEN s ELSE s || ';' END AS sql FROM statements""",
-    "candidate_statements": """SELECT conv_id, turn, i + 1 AS position, 'SELECT ' || conv_id || ' AS c, ' || i AS sql
-FROM conversations, range(0, 5) AS r(i) WHERE i <= turn % 8""",
+    "candidate_statements": r"""WITH parts AS (SELECT conv_id, turn,
+  list_filter(list_transform(string_split(regexp_replace('```sql' || chr(10) || replace(text, '. ', ';' || chr(10)) || chr(10) || '```', '```sql|```', '', 'g'), ';'),
+    lambda x: regexp_replace(x, '\A\s+|\s+\z', '', 'g')), lambda x: x <> '')[1:5] AS found FROM conversations)
+SELECT conv_id, turn, unnest(range(1, len(found) + 1)) AS position, unnest(found) AS sql FROM parts""",
     "table_contexts": f"""SELECT 'nation' AS table_name, {_NATION} AS context
 UNION ALL SELECT 'customer', 'Table customer: ' || (SELECT count(*) FROM customer) || ' rows, 5 columns
   - c_custkey (bigint)
@@ -313,7 +346,7 @@ SQL:' AS prompt FROM benchmark""",
 The original emitted ' || printf('%.4f', conv_id / 8.0::DOUBLE) || ' g of CO2.' ELSE '' END || '
 Schema:
 ' || {_NATION} || '
-Question: ' || role || '
+Question: ' || text || '
 Original:
 ' || {_STATEMENT_SQL} || '
 SQL:' AS prompt FROM conversations""",
@@ -348,6 +381,10 @@ UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'lineitem',
 UNION ALL SELECT 'pages', count(*) FROM pages""",
     "first_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
     "csv_round_trip": """SELECT doc_id, lang, source, n_chars, length(text) AS text_chars, md5(text) AS digest FROM documents""",
+    "sniffed_delimiters": """SELECT delimiter, n_nationkey, n_name FROM nation, (VALUES (';'), (','), ('|'), (chr(9))) AS d(delimiter)""",
+    "exported_profile": """SELECT 'customer' AS table_name, count(*) AS rows, 5 AS cols, 0 AS missing_values_total, 0 AS duplicate_rows, 5 AS insights,
+  count(c_custkey) + count(c_nationkey) + count(c_acctbal) AS numbers FROM customer
+UNION ALL SELECT 'orders', count(*), 6, 0, 0, 6, count(o_orderkey) + count(o_custkey) + count(o_totalprice) FROM orders""",
     "saved_tables": """SELECT 'order_list' AS table_name, count(*) AS row_count FROM orders
 UNION ALL SELECT 'supplier', count(*) FROM supplier""",
 }

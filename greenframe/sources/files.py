@@ -60,20 +60,24 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8",
-                   schema: T.StructType | None = None, normalize: bool = True, multi_line: bool = True,
+                   schema: T.StructType | None = None, normalize: bool = True, multi_line: bool | None = None,
                    fallback_encoding: str | None = "ISO-8859-1") -> DataFrame:
     """A CSV or text file with a header row.
 
     Without ``schema`` one pass over the file finds the column types. Rows with
     a wrong number of fields fail the read, and so does a file without rows.
     Bytes that are not valid in ``encoding`` make the whole file be read in
-    ``fallback_encoding``; None leaves that check out. ``multi_line=False`` lets
-    Spark split large files, for data without line breaks inside quotes.
+    ``fallback_encoding``; None leaves that check out. Files are split over
+    tasks unless a line ends inside quotes, which one pass over the lines finds
+    (``multi_line`` says so beforehand): then a file is one task's.
     """
+    lines = spark.read.text(path)
     if fallback_encoding and encoding.upper() in ("UTF-8", "UTF8"):
-        lines = spark.read.text(path)
         if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
             encoding = fallback_encoding
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not lines.filter(quotes % 2 == 1).isEmpty()
     reader = spark.read.options(
         header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST",
         enforceSchema=schema is None,

@@ -120,3 +120,21 @@ def test_the_later_decision_wins(spark):
     decisions = spark.createDataFrame([(1, "n", "9", True, 1), (1, "n", "10", True, 2), (1, "n", "11", False, 3)], "id int, column string, imputed string, accepted boolean, at int")
     assert impute.apply_imputations(df, ["id"], decisions, order="at").first()["n"] == 10
     assert impute.apply_imputations(df, ["id"], decisions.drop("at")).first()["n"] == 9
+
+
+def test_row_limit_of_every_strategy(spark):
+    rows = [(i, float(i % 7), None if i % 4 == 0 else 2.0 * (i % 7), 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    head = df.filter("id < 20")
+    by_id = lambda x: [tuple(round(v, 9) for v in r) for r in x.orderBy("id").collect()]
+    assert by_id(impute.impute_knn(df, "id", ["a", "b"], row_limit=20)) == by_id(impute.impute_knn(head, "id", ["a", "b"]))
+    assert by_id(impute.impute_iterative(df, ["a", "b"], row_limit=20, key=["id"])) == by_id(impute.impute_iterative(head, ["a", "b"]))
+
+
+def test_prompts_hold_examples_and_the_row(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"n{i}", None) for i in range(12)], "id long, name string, empty string")
+    got = {(r["id"], r["column"]): r["prompt"] for r in impute.imputation_prompts(df, ["id"], n=3).collect()}
+    assert len(got) == 4 + 12
+    text = got[3, "name"]
+    assert text.count('"name":"n') == 3 and '"id":3,"name":"MISSING"' in text and "none" in got[5, "empty"]
+    assert impute.imputation_prompts(df.filter("false"), ["id"]).count() == 0

@@ -142,3 +142,19 @@ def test_a_folder_is_listed(spark, folder, tmp_path):
     assert {"region", "lineitem", "documents"} <= set(tables.load_folder(spark, folder))
     with pytest.raises(ValueError):
         tables.load_folder(spark, str(tmp_path))
+
+
+def test_files_are_split_unless_a_line_ends_inside_quotes(spark, tmp_path, monkeypatch):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text("a;b\n" + "".join(f'{i};"x;""y{i}"\n' for i in range(5000)))
+    broken.write_text("a;b\n" + "".join(f'{i};"x\ny{i}"\n' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        split, whole = files.read_delimited(spark, str(plain)), files.read_delimited(spark, str(broken))
+        assert split.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 5000
+        assert {r["b"] for r in split.filter("a = 7").collect()} == {'x;"y7'} and {r["b"] for r in whole.filter("a = 7").collect()} == {"x\ny7"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
