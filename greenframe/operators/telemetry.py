@@ -98,47 +98,62 @@ def cumulative_co2(df: DataFrame, run: list[str], time: str, tie: list[str], co2
     return runs.with_running_sums({"cumulative_g": grams})
 
 
-MOST_SLOTS = 100_000
+#: Slots of one level are so many times (as a power of two) as wide as those of the level below.
+LEVEL_BITS = 3
 
 
-def _slot_width(intervals: DataFrame, start: str, end: str) -> int:
-    """Slot width in microseconds: a few slots per interval on average and a bounded number for the longest."""
-    length = epoch_micros(intervals, end) - epoch_micros(intervals, start)
-    mean, longest = intervals.agg(F.avg(length), F.max(length)).first()
-    if not mean or mean <= 0:
-        return 1_000_000
-    return max(1, int(mean / 2), int(longest / MOST_SLOTS))
+def _level(length: Column) -> Column:
+    """The lowest level whose slots are at least as wide as an interval, so that it lies in two of them at most."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double")) / LEVEL_BITS).cast("int")
+
+
+def _slot(micros: Column, level: Column) -> Column:
+    return F.floor(micros / F.pow(F.lit(2.0), level * LEVEL_BITS)).cast("long")
+
+
+def _disjoint(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """The time that the intervals of each key cover, as intervals that do not touch."""
+    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    marked = intervals.select(*keys, start, end).withColumn("_reach", F.max(end).over(before))
+    apart = F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("int")
+    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.withColumn("_number", F.sum(apart).over(upto))
+    return numbered.groupBy(*keys, "_number").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_number")
 
 
 def join_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], time: str,
                    start: str, end: str, how: str = "inner") -> DataFrame:
     """Samples with the intervals of the same ``keys`` that contain them, both ends included.
 
-    Both sides carry the time slot they fall in, so that this is an equality join
-    on (keys, slot): a long run with many intervals is spread over its slots
-    instead of comparing all its samples with all its intervals.
+    Each interval is filed at the level whose time slots are as wide as itself, so it takes two slots at most, however
+    short the others are; a sample looks into one slot of each level there is (one for lengths that differ by less than
+    eight times, a dozen from milliseconds to months). So this is an equality join on (keys, level, slot), and a long
+    run with many intervals is spread over its slots. ``left_semi`` gives each sample of any interval once.
     """
-    width = _slot_width(intervals, start, end)
-    slot = F.floor(epoch_micros(samples, time) / width)
-    first = F.floor(epoch_micros(intervals, start) / width)
-    last = F.floor(epoch_micros(intervals, end) / width)
-    left = samples.withColumn("_slot", slot)
-    bounds = intervals.filter(F.col(start) <= F.col(end)).select(
+    intervals = intervals.filter(F.col(start) <= F.col(end))
+    semi, columns = how == "left_semi", samples.columns
+    if semi:
+        intervals = _disjoint(intervals, keys, start, end)
+    first, last = epoch_micros(intervals, start), epoch_micros(intervals, end)
+    levels = [r["l"] for r in intervals.select(_level(last - first).alias("l")).distinct().collect()]
+    filed = intervals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(start).alias("_start"),
         F.col(end).alias("_end"),
         *[F.col(c) for c in intervals.columns if c not in (*keys, start, end)],
-        F.explode(F.sequence(first, last)).alias("_slot_at"),
-    )
-    condition = (F.col("_slot") == F.col("_slot_at")) & (F.col(time) >= F.col("_start")) & (
-        F.col(time) <= F.col("_end")
+        _level(last - first).alias("_level_at"), first.alias("_first"), last.alias("_last"),
     )
+    filed = filed.withColumn("_slot_at", F.explode(F.sequence(_slot(F.col("_first"), F.col("_level_at")), _slot(F.col("_last"), F.col("_level_at")))))
+    probes = F.array(*[F.struct(F.lit(x).alias("l"), _slot(epoch_micros(samples, time), F.lit(x)).alias("s")) for x in sorted(levels) or [0]])
+    left = samples.withColumn("_probe", F.explode(probes))
+    condition = (F.col("_probe.l") == F.col("_level_at")) & (F.col("_probe.s") == F.col("_slot_at")) & (
+        F.col(time) >= F.col("_start")) & (F.col(time) <= F.col("_end"))
     for key in keys:
         condition = condition & (F.col(key) == F.col(f"_k_{key}"))
-    joined = left.join(bounds, condition, how)
-    if how == "left_semi":
-        return joined.drop("_slot")
-    return joined.drop("_slot", "_slot_at", *[f"_k_{k}" for k in keys]).withColumnsRenamed(
+    joined = left.join(filed, condition)
+    if semi:
+        return joined.select(*columns)
+    return joined.drop("_probe", "_level_at", "_slot_at", "_first", "_last", *[f"_k_{k}" for k in keys]).withColumnsRenamed(
         {"_start": start, "_end": end}
     )
 

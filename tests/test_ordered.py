@@ -110,3 +110,22 @@ def test_a_run_without_a_name_is_cut_too(spark):
     df = spark.range(500).selectExpr("CAST(NULL AS string) AS run", "timestamp_seconds(id) AS ts", "id", "1.0D AS co2_gs")
     got = tm.cumulative_co2(df, RUN, "ts", TIE, parts=10).orderBy("id").collect()
     assert [r["cumulative_g"] for r in got] == [float(i) for i in range(500)]
+
+
+def test_intervals_of_mixed_lengths(spark):
+    """One week-long interval among second-long ones, and single moments: what is joined stays in proportion."""
+    t0 = datetime(2024, 1, 1)
+    rng = random.Random(4)
+    points = [("r", t0 + timedelta(milliseconds=rng.randrange(7 * 86_400_000)), i) for i in range(3000)]
+    marks = [("r", t0, t0 + timedelta(days=7), -1)] + [("r", t0 + timedelta(seconds=300 * i), t0 + timedelta(seconds=300 * i + rng.choice([0, 1, 1, 60])), i) for i in range(2000)]
+    marks += [("r", p, p, 5000 + i) for _, p, i in points[:50]] + [("r", t0 + timedelta(days=2), t0, 9999), ("x", t0, t0 + timedelta(days=9), 9998)]
+    samples = spark.createDataFrame(points, "run string, ts timestamp, id long")
+    intervals = spark.createDataFrame(marks, "run string, t_start timestamp, t_end timestamp, mark long")
+    got = sorted((r["id"], r["mark"]) for r in tm.join_intervals(samples, intervals, RUN, "ts", "t_start", "t_end").collect())
+    assert got == sorted((i, m) for _, p, i in points for run, a, b, m in marks if run == "r" and a <= p <= b)
+    short = intervals.filter("mark >= 0 AND mark <> 9998")
+    once = [r["id"] for r in tm.in_any_interval(samples.unionAll(samples), short, RUN, "ts", "t_start", "t_end").collect()]
+    assert sorted(once) == sorted(2 * [i for _, p, i in points if any(a <= p <= b for run, a, b, m in marks if run == "r" and m >= 0)])
+    # no interval lies in more than two slots
+    lengths = spark.createDataFrame([(2**k + d,) for k in range(0, 50) for d in (-1, 0, 1)], "n long")
+    assert lengths.filter(F.pow(F.lit(2.0), tm._level(F.col("n")) * tm.LEVEL_BITS) < F.col("n")).count() == 0
