@@ -3,19 +3,19 @@
 A record is: payload length (8 bytes), masked checksum of these 8 bytes (4), payload, masked checksum of the payload
 (4), all little-endian. The checksum is CRC-32 turned right by 15 bits plus 0xa282ead8, so that a checksum stored in
 data is not taken for its own. The payload holds the document's id (8 bytes), whether it has one (1), the width of a
-token id (1: 2 or 4 bytes) and the token ids. The index file holds the 8-byte offset of each record, so a reader can
-visit the records in any order.
+token id (1: 2 or 4 bytes) and the token ids. The index file holds for each record its offset and the number of token
+ids before it in the file (8 bytes each), so a reader can visit the records in any order.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,7 +95,7 @@ def write_records(df: DataFrame, folder: str, encode: str, drops_space: bool, en
                     ids = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4")
                     framed = frame(payload_of(doc_id, ids))
                     out.write(framed)
-                    index.append(place)
+                    index.append((place, tokens))
                     place, records, tokens = place + len(framed), records + 1, tokens + len(ids)
         with files.open_output_stream(f"{path}/{name}.idx") as out:
             out.write(np.array(index, "<u8").tobytes())
@@ -107,34 +107,62 @@ def write_records(df: DataFrame, folder: str, encode: str, drops_space: bool, en
     return spark.read.parquet(f"{folder}/files")
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: doc_id, start (ids of all records before it), n_tokens, ids_crc32, ids."""
+def visited(source, path: str, name: str, records: int, size: int, seed: int | None) -> Iterator[tuple[int, bytes]]:
+    """(ids before it in the file, payload) of each record, in the file's order or, with ``seed``, in one drawn from it.
+
+    Records are found by the index. ValueError where it does not fit the file: each record must begin at its offset and
+    end at the next one, and its ids before must be those of the records before it.
+    """
+    index = np.frombuffer(source.open_input_file(f"{path}/{name}.idx").read(), "<u8").reshape(-1, 2).astype(np.int64)
+    if len(index) != records:
+        raise ValueError(f"{name}: {len(index)} of {records} records in the index")
+    ends = np.append(index[1:, 0], size)
+    order = np.arange(records) if seed is None else np.random.default_rng([seed, zlib.crc32(name.encode())]).permutation(records)
+    with source.open_input_file(f"{path}/{name}.rec") as file:
+        held, begin = b"", 0
+        for k in order.tolist():
+            first, last = int(index[k, 0]), int(ends[k])
+            if not 0 <= first < last <= size:
+                raise ValueError(f"{name}: offset {first} of record {k} is wrong")
+            if not begin <= first <= last <= begin + len(held):
+                # in order, many records are read at once
+                file.seek(first)
+                held, begin = file.read(max(last - first, 1 << 20 if seed is None else 0)), first
+            record = io.BytesIO(held[first - begin : last - begin])
+            payload = read_record(record)
+            if record.read(1):
+                raise ValueError(f"{name}: record {k} does not end at the next offset")
+            before = int(index[k + 1, 1]) if k + 1 < records else None
+            if before is not None and before - int(index[k, 1]) != len(content_of(payload)[1]):
+                raise ValueError(f"{name}: ids before record {k + 1} are wrong")
+            yield int(index[k, 1]), payload
+
+
+def read_records(spark: SparkSession, folder: str, seed: int | None = None) -> DataFrame:
+    """One row per record: doc_id, start (ids of all records before it), n_tokens, ids_crc32, ids.
+
+    With ``seed``, each file's records come in an order drawn from it, found by the index; their rows are the same.
+    """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = spark.read.parquet(f"{folder}/files").filter("records > 0").withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     files = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, path = store(folder)
         for batch in frames:
-            for name, start, records in zip(*(batch.column(x).to_pylist() for x in ("name", "before", "records"))):
-                index = np.frombuffer(source.open_input_file(f"{path}/{name}.idx").read(), "<u8")
-                if len(index) != records:
-                    raise ValueError(f"{name}: {len(index)} of {records} offsets")
-                with source.open_input_stream(f"{path}/{name}.rec", buffer_size=1 << 20) as file:
-                    rows, held = [], 0
-                    while (payload := read_record(file)) is not None:
-                        doc_id, ids = content_of(payload)
-                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "ids": ids})
-                        start, held, records = start + len(ids), held + len(ids), records - 1
-                        if held > 1 << 20:
-                            yield record_batch(rows)
-                            rows, held = [], 0
-                    if records:
-                        raise ValueError(f"{name}: {records} records are missing")
-                    if rows:
+            for name, start, records, size in zip(*(batch.column(x).to_pylist() for x in ("name", "before", "records", "bytes"))):
+                rows, held = [], 0
+                for place, payload in visited(source, path, name, records, size, seed):
+                    doc_id, ids = content_of(payload)
+                    rows.append({"doc_id": doc_id, "start": start + place, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "ids": ids})
+                    held += len(ids)
+                    if held > 1 << 20:
                         yield record_batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield record_batch(rows)
 
-    return files.select("name", "before", "records").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return files.select("name", "before", "records", "bytes").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def record_batch(rows: list[dict]) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ import pytest
 from greenframe.llm import counting, packing, records
 from greenframe.llm.common import documents
 from greenframe.llm.units import LibraryIds, tokenizer_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 TEXTS = [
@@ -123,3 +124,30 @@ def test_damage_is_found():
     for i in range(len(whole)):
         with pytest.raises(ValueError):
             records.read_record(io.BytesIO(whole[:i] + bytes([whole[i] ^ 1]) + whole[i + 1 :]))
+
+
+def test_records_by_their_index(spark, table, tmp_path):
+    folder = str(tmp_path / "records")
+    rows = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    records.write_records(rows, folder, "word_bpe_49k.json", True, 1, partitions=2)
+    in_order = records.read_records(spark, folder).collect()
+    drawn = {seed: records.read_records(spark, folder, seed).collect() for seed in (1, 2)}
+    key = lambda r: (r["start"], r["doc_id"] or 0, tuple(r["ids"]))
+    for seed, got in drawn.items():
+        assert sorted(map(key, got)) == sorted(map(key, in_order))
+        assert [key(r) for r in got] == [key(r) for r in records.read_records(spark, folder, seed).collect()]
+    assert [key(r) for r in drawn[1]] != [key(r) for r in drawn[2]] != [key(r) for r in in_order]
+    for index in sorted((tmp_path / "records").glob("*.idx")):
+        good = index.read_bytes()
+        numbers = np.frombuffer(good, "<u8").reshape(-1, 2)
+        for row, column in ((1, 0), (0, 0), (len(numbers) - 1, 0), (1, 1)):
+            bad = numbers.copy()
+            bad[row, column] += 3
+            index.write_bytes(bad.tobytes())
+            for seed in (None, 5):
+                with pytest.raises(Exception, match="wrong|damaged|does not end"):
+                    records.read_records(spark, folder, seed).collect()
+        index.write_bytes(good[:-16])
+        with pytest.raises(Exception, match="in the index"):
+            records.read_records(spark, folder).collect()
+        index.write_bytes(good)
