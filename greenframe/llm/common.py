@@ -42,11 +42,23 @@ def fresh(label: str) -> str:
     return f"_{label}_{uuid.uuid4().hex}"
 
 
+#: Spark removes an execution's shuffle files at its end where this is set.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    What was shuffled for it is of no use afterwards, so its files go when the write has ended.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def block_count(df: DataFrame) -> int:

@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -135,75 +134,6 @@ def gram_chances(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return out.select("code", F.col("chance").cast("float").alias("chance"))
 
 
-@dataclass
-class Model:
-    """A small trie in memory, to compare with. ``follow[node, class]``: the longer context that a byte before ``node`` leads to, 0 if unknown. ``log10[node, class]``."""
-
-    classes: np.ndarray  # class of each symbol
-    follow: np.ndarray
-    log10: np.ndarray
-    order: int
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        symbols = sequence(texts, self.order)
-        classes = self.classes[symbols]
-        width = self.log10.shape[1]
-        inner = np.arange(self.order, len(symbols))
-        node, alive = np.zeros(len(inner), np.int64), np.ones(len(inner), bool)
-        follow = self.follow.ravel()
-        for j in range(1, self.order + 1):
-            longer = follow[node * width + classes[self.order - j : len(symbols) - j]]
-            alive &= longer > 0
-            node = np.where(alive, longer, node)
-        cost = self.log10.ravel()[node * width + classes[self.order :]].astype(np.float64)
-        cost[symbols[self.order :] == START] = 0.0
-        begins = np.cumsum([0, *(len(t) + self.order + 1 for t in texts)])[:-1]
-        return np.add.reduceat(cost, begins)
-
-
-Level = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def model_of(levels: list[Level], order: int = ORDER) -> Model:
-    """``levels[k]``: contexts of k symbols, symbols, counts, side by side. Each context's shorter ones must be there too."""
-    low = (1 << BITS) - 1
-    seen = np.unique(np.concatenate([s for _, s, _ in levels] + [c & low for c, _, _ in levels[1:]])).astype(np.int64)
-    classes = np.full(1 << BITS, len(seen) + 1)  # all symbols never seen are alike
-    classes[seen] = np.arange(len(seen))
-    classes[START] = classes[START] if START in seen else len(seen)
-    width = len(seen) + 2
-    known, offset = np.zeros(1, np.int64), 0  # contexts of the level before, and its first node
-    follows, logs = [np.zeros((1, width), np.int32)], []
-    before = after = None  # dense counts of the level before; chances after escaping from it
-    for k, (context, symbol, n) in enumerate(levels):
-        contexts = np.unique(context) if len(context) or k else np.zeros(1, np.int64)
-        counts = np.zeros((len(contexts), width))
-        counts[np.searchsorted(contexts, context), classes[symbol]] = n
-        there = counts > 0
-        total, kinds = counts.sum(1), there.sum(1)
-        if k == 0:
-            escaped = np.full((1, width), 1.0 / max(1, SYMBOLS - int(kinds[0])))
-        else:
-            up = np.searchsorted(known, contexts & (1 << BITS * (k - 1)) - 1)
-            n_up = before[up]
-            left = (n_up * ~there).sum(1)
-            kinds_left = ((n_up > 0) & ~there).sum(1)
-            all_ = np.maximum(left + kinds_left, 1e-300)
-            onward = np.where(left + kinds_left > 0, kinds_left / all_, 1.0)
-            escaped = np.where(n_up > 0, n_up / all_[:, None], onward[:, None] * after[up])
-            offset += len(before)
-            follows.append(np.zeros((len(contexts), width), np.int32))
-            follows[k - 1][up, classes[contexts >> BITS * (k - 1)]] = offset + np.arange(len(contexts))
-            known = contexts
-        every = np.maximum(total + kinds, 1)
-        escape = np.where(kinds > 0, kinds / every, 1.0)
-        chance = np.where(there, counts / every[:, None], escape[:, None] * escaped)
-        logs.append(np.log10(np.maximum(chance, 1e-300)).astype(np.float32))
-        before, after = counts, escaped
-    return Model(classes, np.concatenate(follows), np.concatenate(logs), order)
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -227,7 +157,7 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select(F.col("text").cast("binary")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int | None = None) -> DataFrame:
+def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both models learn from the texts whose crc32(id as text) mod 7 is not 2 (a null id has no remainder and is learned
@@ -236,7 +166,7 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their counts by a join, which has no word that is frequent.
 
     Texts are dealt into blocks by hash. A block's distinct grams are counted in one task, and meet their chances, and
-    then its texts, by joins; every context that was counted is used (``parts`` once left rare ones out and does nothing).
+    then its texts, by joins; every context that was counted is used.
 
     Null and empty texts are the end alone; repeated rows are scored each; with nothing to learn from all symbols are
     alike; an empty table gives no rows.
