@@ -170,7 +170,8 @@ def compared(pairs: DataFrame, bags: DataFrame, around: bool = False) -> DataFra
     by_b = F.pmod(F.xxhash64("b"), F.lit(side * side if around else side))
     cell = by_b if around else F.pmod(F.xxhash64("a", F.lit(1)), F.lit(side)) * side + by_b
     dealt = pairs.withColumn("cell", cell)
-    needed = dealt.select(F.col("cell").alias("to"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sides = [dealt.select(F.col("cell").alias("to"), F.col(x).alias("doc_id")).distinct() for x in ("a", "b")]
+    needed = sides[0].unionByName(sides[1])
     sent = needed.join(bags.select("doc_id", "bag"), "doc_id").select("to", "doc_id", "bag")
 
     def compare(pairs: pa.Table, bags: pa.Table) -> pa.Table:
