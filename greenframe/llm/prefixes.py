@@ -187,6 +187,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixIds(UnitIds):
     """Ids of texts: each pre-token by itself, through the memory of their units."""
 
+    CHUNK = 1 << 22
+
     def __init__(self, path: str, most: int = 400_000):
         import regex
 

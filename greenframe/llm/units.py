@@ -78,7 +78,7 @@ class UnitIds:
     """
 
     #: Characters of text whose units are held at a time.
-    CHUNK = 1 << 22
+    CHUNK = 1 << 24
 
     def __init__(self, line: Callable, encode: Callable, whole: Callable, width: str, most: int):
         self.line, self.encode, self.whole, self.width, self.known = line, encode, whole, width, Remembered(most)
