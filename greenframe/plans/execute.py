@@ -69,9 +69,10 @@ POOL = "greenframe-workload"
 def side_by_side(rows: Iterable, work: Callable, spark: SparkSession, schema: str, at_once: int = 4, limit_s: float | None = None) -> DataFrame:
     """``work(row, stopped)`` of every row, ``at_once`` at a time; a result row is written as soon as it is there.
 
-    The Spark jobs of a row run in one pool (where the scheduler is fair) under a tag of their own. Jobs that still run
-    after ``limit_s`` seconds are cancelled by the tag, as often as the row starts new ones; ``stopped()`` tells ``work``
-    of it. Neither rows nor results pile up on the driver: it holds those that are being worked on.
+    The Spark jobs of a row run under a tag of their own and in one of ``at_once`` pools, so that with a fair scheduler
+    (``spark.scheduler.mode=FAIR``) they share the executors; with a plain one, a row that fills them all holds up the
+    others. Jobs that still run after ``limit_s`` seconds are cancelled by the tag, as often as the row starts new ones;
+    ``stopped()`` tells ``work`` of it. Neither rows nor results pile up on the driver: it holds those being worked on.
     """
     context, folder = spark.sparkContext, scratch_path(spark, "side-by-side")
     free, failed = threading.Semaphore(at_once), []
@@ -85,7 +86,7 @@ def side_by_side(rows: Iterable, work: Callable, spark: SparkSession, schema: st
                 while not done.wait(0.2):
                     context.cancelJobsWithTag(tag)
 
-        context.setLocalProperty("spark.scheduler.pool", POOL)
+        context.setLocalProperty("spark.scheduler.pool", f"{POOL}-{number % at_once}")
         context.addJobTag(tag)
         watcher = threading.Thread(target=watch, daemon=True) if limit_s else None
         try:

@@ -102,9 +102,9 @@ def workload_side_by_side(spark, folder):
     name = F.format_string("%s in %d", "c_mktsegment", "c_nationkey")
     text = F.format_string("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = '%s' AND c_nationkey = %d", "c_mktsegment", "c_nationkey")
     many = groups.select(name.alias("query_id"), text.alias("query"), F.lit("spark").alias("dbms"))
-    endless = groups.limit(1).select(F.lit("endless").alias("query_id"), F.lit("SELECT sum(id % 7) AS s FROM range(1000000000000000000)").alias("query"), F.lit("spark").alias("dbms"))
-    results = execute.run_workload(endless.unionAll(many), spark, at_once=8, limit_s=20.0)
-    return results.select("query_id", "rows", (F.col("error") == "stopped after 20.0 s").alias("stopped"))
+    endless = groups.limit(1).select(F.lit("endless").alias("query_id"), F.lit("SELECT sum(id % 7) AS s FROM range(0, 1000000000000000000, 1, 2)").alias("query"), F.lit("spark").alias("dbms"))
+    results = execute.run_workload(endless.unionAll(many), spark, at_once=8, limit_s=30.0)
+    return results.select("query_id", "rows", (F.col("error") == "stopped after 30.0 s").alias("stopped"))
 
 
 def _statement():

@@ -22,6 +22,7 @@ def local_session(app: str = "greenframe", cores: str = "*", memory: str = "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )
 

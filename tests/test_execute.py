@@ -7,15 +7,15 @@ import pytest
 from greenframe.operators import benchmark
 from greenframe.plans import execute
 
-ENDLESS = "SELECT sum(id % 7) AS s FROM range(1000000000000000000)"
+ENDLESS = "SELECT sum(id % 7) AS s FROM range(0, 1000000000000000000, 1, 2)"
 
 
 def test_two_hundred_statements_and_one_without_end(spark):
     statements = [(i, f"SELECT {i} AS a UNION ALL SELECT 0", "x") for i in range(200)]
     statements.insert(3, (999, ENDLESS, "x"))
     statements.insert(5, (998, "SELECT no_such_column", "x"))
-    got = {r["query_id"]: r for r in execute.run_workload(statements, spark, at_once=8, limit_s=15.0).collect()}
-    assert len(got) == 202 and got["999"]["error"] == "stopped after 15.0 s" and "no_such_column" in got["998"]["error"]
+    got = {r["query_id"]: r for r in execute.run_workload(statements, spark, at_once=8, limit_s=30.0).collect()}
+    assert len(got) == 202 and got["999"]["error"] == "stopped after 30.0 s" and "no_such_column" in got["998"]["error"]
     assert all(got[str(i)]["rows"] == 2 and got[str(i)]["error"] is None for i in range(200))
 
 
@@ -47,5 +47,5 @@ def test_a_fault_of_the_work_is_raised(spark):
 def test_pairs_that_do_not_end_are_wrong(spark):
     rows = [(1, "SELECT 1 AS a", "SELECT 1 AS a"), (2, "SELECT 1 AS a", "SELECT 2 AS a"), (3, ENDLESS, "SELECT 1 AS s"), (4, "SELECT", "SELECT 1")]
     pairs = spark.createDataFrame(rows, "query_id int, generated_sql string, ground_truth_sql string")
-    got = dict(map(tuple, benchmark.execution_match_quality(pairs, spark, limit_s=15.0).collect()))
+    got = dict(map(tuple, benchmark.execution_match_quality(pairs, spark, limit_s=30.0).collect()))
     assert got == {1: "Correct", 2: "Wrong", 3: "Wrong", 4: "Wrong"}
