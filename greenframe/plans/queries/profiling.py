@@ -98,8 +98,7 @@ def column_categories(spark, folder):
 
 def schema_insights(spark, folder):
     return profile.schema_insights(clients(spark, folder), ["c_custkey"]).select(
-        "column", "category", *_r(6, "unique_pct", "missing_pct"), "sensitive", "reasons",
-        F.when(F.col("column") != "c_acctbal", F.col("example")).alias("example"),
+        "column", "category", *_r(6, "unique_pct", "missing_pct"), "sensitive", "reasons", "example",
     )
 
 
@@ -323,7 +322,7 @@ def _category_sql(name: str, kind: str) -> str:
 
 def _insight_sql(name: str, kind: str) -> str:
     example = f"(SELECT CAST({name} AS VARCHAR) FROM clients WHERE {name} IS NOT NULL ORDER BY c_custkey LIMIT 1)"
-    shown = "NULL" if name == "c_acctbal" else f"CASE WHEN length({example}) > 80 THEN left({example}, 77) || '…' ELSE {example} END"
+    shown = f"CASE WHEN length({example}) > 80 THEN left({example}, 77) || '…' ELSE {example} END"
     return f"""SELECT '{name}' AS column, {_category_sql(name, kind)} AS category,
   {rounded(f'count(DISTINCT {name}) / count({name}) * 100.0', 6)} AS unique_pct,
   {rounded(f'(count(*) - count({name})) / count(*) * 100.0', 6)} AS missing_pct,
