@@ -28,7 +28,7 @@ AT_ONCE = 200_000
 #: Longs of 64 parities each: members of a bag fall into as many cells.
 PARITIES = 8
 #: Bytes of the bags of a cell's pairs.
-CELL = 1 << 24
+CELL = 1 << 22
 
 
 def shingle_bag(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
