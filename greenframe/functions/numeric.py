@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +63,20 @@ def normal_cdf(z: Column) -> Column:
     t = 1.0 / (1.0 + _CDF_SCALE * distance)
     upper = F.exp(-distance * distance / 2.0) * 0.3989422804014327 * _polynomial(t, _CDF)
     return F.when(z >= 0, 1.0 - upper).otherwise(upper)
+
+
+def normal_quantiles(u: np.ndarray) -> np.ndarray:
+    """As :func:`normal_quantile`, for arrays inside a task."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low, high, middle = np.sqrt(-2.0 * np.log(u)), np.sqrt(-2.0 * np.log(1.0 - u)), u - 0.5
+        square = middle * middle
+        center = middle * np.polyval(_MID_TOP, square) / np.polyval(_MID_BOTTOM, square)
+        tail = lambda x: np.polyval(_TAIL_TOP, x) / np.polyval(_TAIL_BOTTOM, x)
+        return np.where(u < _TAIL, tail(low), np.where(u > 1 - _TAIL, -tail(high), center))
+
+
+def normal_cdfs(z: np.ndarray) -> np.ndarray:
+    """As :func:`normal_cdf`, for arrays inside a task."""
+    distance = np.abs(z)
+    upper = np.exp(-distance * distance / 2.0) * 0.3989422804014327 * np.polyval(_CDF, 1.0 / (1.0 + _CDF_SCALE * distance))
+    return np.where(z >= 0, 1.0 - upper, upper)

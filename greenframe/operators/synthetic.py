@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,8 @@ from greenframe.functions import wordlists as words
 from greenframe.functions.numeric import (
     hashed_uniform,
     literal_array,
-    normal_cdf,
-    normal_quantile,
+    normal_cdfs,
+    normal_quantiles,
 )
 from greenframe.operators.moments import pair_moments
 from greenframe.operators.ordered import epoch_micros
@@ -197,6 +199,8 @@ KNOTS = 400
 MOST_DIGITS = 6
 #: Parts of the values that are equally frequent, so that numbering them is not one task's.
 VALUE_PARTS = 64
+#: Categories, and characters of all of them, that go to all tasks; beyond either, rows meet them by a shuffle.
+MOST_SENT, MOST_CHARS = 10_000, 2_000_000
 
 
 @dataclass
@@ -206,6 +210,12 @@ class Shares:
     table: DataFrame
     values: int
     total: int
+    chars: int = 0
+
+    def sent(self, table: DataFrame) -> DataFrame:
+        """How ``table``, a few rows per category, is joined. Never by sending the rows: how many there are is not in Spark's estimates."""
+        small = self.values <= MOST_SENT and self.chars <= MOST_CHARS
+        return F.broadcast(table) if small else table.hint("merge")
 
     @property
     def width(self) -> int:
@@ -222,11 +232,11 @@ class Shares:
             F.explode(F.sequence(F.expr(f"`from` div {self.width}L"), F.expr(f"(`from` + n - 1) div {self.width}L"))).alias("_slot_of"),
         )
         inside = (F.col("_slot") == F.col("_slot_of")) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_from") + F.col("_n"))
-        return rows.withColumn("_slot", F.expr(f"{rank} div {self.width}L")).join(slots, inside).drop("_slot", "_slot_of", "_from", "_n", rank)
+        return rows.withColumn("_slot", F.expr(f"{rank} div {self.width}L")).join(self.sent(slots), inside).drop("_slot", "_slot_of", "_from", "_n", rank)
 
     def middles(self) -> DataFrame:
         """(value, middle): the middle of each category's share."""
-        return self.table.select("value", ((F.col("from") + F.col("n") / 2) / self.total).alias("middle"))
+        return self.sent(self.table.select("value", ((F.col("from") + F.col("n") / 2) / self.total).alias("middle")))
 
 
 @dataclass
@@ -283,7 +293,7 @@ def _shares(df: DataFrame, columns: list[str]) -> dict[str, Shares]:
     texts = df.select(*[_as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     cells = texts.unpivot([], texts.columns, "c", "value").filter(F.col("value").isNotNull())
     counts = checkpointed(cells.groupBy("c", "value").agg(F.count(F.lit(1)).alias("n")))
-    sizes = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")).collect()}
+    sizes = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"), F.sum(F.length("value")).alias("chars")).collect()}
     parts = counts.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(VALUE_PARTS)))
     sums = parts.groupBy("c", "n", "part").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("c").orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -292,7 +302,7 @@ def _shares(df: DataFrame, columns: list[str]) -> dict[str, Shares]:
     placed = parts.withColumn("nth", nth).join(sums, ["c", "n", "part"])
     placed = checkpointed(placed.select("c", "value", (F.col("before") + F.col("nth") * F.col("n")).alias("from"), "n"))
     return {
-        c: Shares(placed.filter(F.col("c") == f"c{i}").drop("c"), sizes[f"c{i}"]["values"], sizes[f"c{i}"]["total"])
+        c: Shares(placed.filter(F.col("c") == f"c{i}").drop("c"), *(sizes[f"c{i}"][k] for k in ("values", "total", "chars")))
         for i, c in enumerate(columns)
         if f"c{i}" in sizes and (sizes[f"c{i}"]["values"] < sizes[f"c{i}"]["total"] or sizes[f"c{i}"]["total"] == 1)
     }
@@ -324,10 +334,7 @@ def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
 
 
 def _scores(df: DataFrame, linked: list[Margin]) -> DataFrame:
-    """Normal score ``z<i>`` of every cell under its margin; the middle of a value's share where it repeats.
-
-    Built in steps, so that no expression is computed more than once per cell.
-    """
+    """Normal score ``z<i>`` of every cell under its margin, NaN where it is missing; the middle of a value's share where it repeats."""
     values = df.select(*[(_number(df, m.name) if m.knots else _as_text(df, m.name)).alias(f"x{i}") for i, m in enumerate(linked)])
     for i, m in enumerate(linked):
         if m.shares:
@@ -335,8 +342,10 @@ def _scores(df: DataFrame, linked: list[Margin]) -> DataFrame:
             values = values.join(middles, F.col(f"x{i}") == F.col("_value"), "left").withColumn(f"x{i}", F.col("_middle")).drop("_value", "_middle")
     grids = {f"x{i}": np.array(m.knots) for i, m in enumerate(linked) if m.knots}
 
+    names = [f"z{i}" for i in range(len(linked))]
+
     def place(batches):
-        """Position of numbers on their grid, from 0 to 1; a number that equals knots takes their middle."""
+        """Normal score of the position on the grid, from 0 to 1; a number that equals knots takes their middle."""
         for batch in batches:
             for name, knots in grids.items():
                 value = batch[name].to_numpy(dtype=float)
@@ -345,14 +354,9 @@ def _scores(df: DataFrame, linked: list[Margin]) -> DataFrame:
                 between = np.interp(value, knots, np.arange(len(knots)))
                 at = np.where(left == right, between, middle) / max(1, len(knots) - 1)
                 batch[name] = np.where(np.isnan(value), np.nan, at)
-            yield batch
+            yield pd.DataFrame(dict(zip(names, normal_quantiles(np.clip(batch.to_numpy(dtype=float), 1e-6, 1 - 1e-6)).T)))
 
-    placed = values.mapInPandas(place, values.schema)
-    uniforms = placed.select(*[
-        F.when(F.col(c).isNotNull() & ~F.isnan(c), F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))).alias(c)
-        for c in values.columns
-    ])
-    return uniforms.select(*[F.when(F.col(c).isNotNull(), normal_quantile(F.col(c))).alias(f"z{i}") for i, c in enumerate(uniforms.columns)])
+    return values.mapInPandas(place, ", ".join(f"{z} double" for z in names))
 
 
 def fit_copula(df: DataFrame, columns: list[str] | None = None) -> Copula:
@@ -392,13 +396,18 @@ def sample_copula(model: Copula, ids: DataFrame, row_id: str, seed: int = 42) ->
     """Draw the model's columns for every row of ``ids``, from hashes of ``row_id``; other columns stay."""
     row = F.col(row_id)
     linked = [m for m in model.margins if m.linked]
-    noise = ids.withColumns({f"_h{i}": hashed_uniform(row, F.lit(f"normal {i}"), F.lit(seed)) for i in range(len(linked))})
-    normal = noise.withColumns({f"_e{i}": normal_quantile(F.col(f"_h{i}")) for i in range(len(linked))})
-    mixed = normal.withColumns({
-        f"_z{i}": sum((F.lit(float(weights[j])) * F.col(f"_e{j}") for j in range(i + 1)), F.lit(0.0))
-        for i, weights in enumerate(model.factor)
-    })
-    made = mixed.withColumns({f"_u{i}": normal_cdf(F.col(f"_z{i}")) for i in range(len(linked))})
+    made = ids.withColumns({f"_u{i}": hashed_uniform(row, F.lit(f"normal {i}"), F.lit(seed)) for i in range(len(linked))})
+    width, factor = len(ids.columns), np.array(model.factor)
+
+    def mixed(batches):
+        """Correlated uniforms in the place of independent ones, the last columns; as column expressions, too long to be compiled."""
+        for batch in batches:
+            kept, drawn = batch.columns[:width], batch.columns[width:]
+            z = factor @ normal_quantiles(np.vstack([c.to_numpy() for c in drawn]))
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(u) for u in normal_cdfs(z))], schema=batch.schema)
+
+    if linked:
+        made = made.mapInArrow(mixed, made.schema)
     ranks = {i: m.shares.rank(F.col(f"_u{i}")).alias(f"_r{i}") for i, m in enumerate(linked) if m.shares}
     if ranks:
         # a generator, through which no condition of the joins is copied into the expressions below it
@@ -440,6 +449,11 @@ class ForeignKey:
 BLOCK = 100_000
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for rows that are few but become many, which Spark, told no number, would put into one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _children_wanted(fan: DataFrame, parents: int, seed: int) -> DataFrame:
     """(id, _wanted): numbers of children for parents 0 to ``parents`` - 1, in the shares that ``fan`` (_c) has.
 
@@ -453,11 +467,13 @@ def _children_wanted(fan: DataFrame, parents: int, seed: int) -> DataFrame:
     cuts = histogram.withColumn("_to", F.floor(F.sum("_parents").over(upto) * F.lit(parents) / all_ + F.lit(1e-9)).cast("long"))
     cuts = cuts.withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("_c")), F.lit(0))).filter("_to > _from")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_to") - F.col("_from") - 1) / BLOCK)))
-    pieces = cuts.select("_c", "_from", "_to", piece.alias("_piece")).repartition("_c", "_piece")
+    pieces = cuts.select("_c", "_from", "_to", piece.alias("_piece")).repartition(_tasks(fan), "_c", "_piece")
     begin = F.col("_from") + F.col("_piece") * BLOCK
     ranks = pieces.select("_c", F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col("_to")) - 1)).alias("_rank"))
     step = next(k for k in range(int(parents * 0.618) + 1 + seed % 7, 2 * parents + 10) if math.gcd(k, parents) == 1)
-    return ranks.select(F.pmod(F.col("_rank").cast("decimal(38,0)") * step + seed, F.lit(parents)).cast("long").alias("id"), F.col("_c").cast("long").alias("_wanted"))
+    # a long has room for the product of most numbers of parents, and is quicker by far
+    rank = F.col("_rank") if parents * step + abs(seed) < 2**63 else F.col("_rank").cast("decimal(38,0)")
+    return ranks.select(F.pmod(rank * step + seed, F.lit(parents)).cast("long").alias("id"), F.col("_c").cast("long").alias("_wanted"))
 
 
 def _numbered_children(parents: DataFrame, parent_id: str, children: str) -> tuple[DataFrame, int]:
@@ -470,11 +486,11 @@ def _numbered_children(parents: DataFrame, parent_id: str, children: str) -> tup
     across = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_block", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
     total = sums.agg(F.sum("_n")).first()[0] or 0
-    placed = started.join(offsets, "_block").filter(F.col(children) > 0).select(
+    placed = started.join(F.broadcast(offsets), "_block").filter(F.col(children) > 0).select(
         parent_id, (F.col("_before") + F.col("_offset")).alias("_first"), F.col(children).alias("_n")
     )
     pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK))))
-    spread = pieces.repartition(parent_id, "_piece")
+    spread = pieces.repartition(_tasks(parents), parent_id, "_piece")
     within = F.sequence(F.col("_piece") * BLOCK, F.least((F.col("_piece") + 1) * BLOCK, F.col("_n")) - 1)
     return spread.select(F.col(parent_id).alias("_parent"), "_first", F.explode(within).alias("_i")).select(
         "_parent", (F.col("_first") + F.col("_i")).alias("_id")

@@ -134,3 +134,37 @@ def test_every_rank_has_one_category(spark):
     ranks = spark.range(11).select("id", shares.rank((F.col("id") + 0.5) / 11).alias("r"))
     got = [r["v"] for r in shares.at(ranks, "r", "v").orderBy("id").collect()]
     assert got == ["a"] * 7 + ["b"] * 2 + ["c", "d"]
+
+
+@pytest.mark.parametrize("most, join", [(10, "BuildRight"), (2, "SortMergeJoin")])
+def test_made_rows_are_never_sent_to_all_tasks(spark, monkeypatch, most, join):
+    """Spark takes rows made from a few by explode() for a few."""
+    monkeypatch.setattr(sy, "MOST_SENT", most)
+    table = sy.checkpointed(spark.createDataFrame([("a", 0, 7), ("b", 7, 2), ("c", 9, 1), ("d", 10, 1)], "value string, from long, n long"))
+    shares = sy.Shares(table, 4, 11)
+    rows = spark.range(2).repartition(2).select("id", F.explode(F.sequence(F.lit(0), F.lit(4999))).alias("i")).select((F.col("i") % 11).alias("r"))
+    joined = shares.at(rows, "r", "v")
+    assert joined.count() == 10_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "BuildLeft" not in plan
+
+
+def test_ids_made_from_few_pieces_come_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sy, "BLOCK", 10)
+    wanted = sy._children_wanted(spark.range(1000).select((F.col("id") % 3).alias("_c")), 1000, 42)
+    assert wanted.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r["id"] for r in wanted.collect()) == list(range(1000))
+    rows, total = sy._numbered_children(wanted, "id", "_wanted")
+    assert total == 999 and rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_normal_functions_of_arrays_are_those_of_columns(spark):
+    import numpy as np
+
+    from greenframe.functions.numeric import normal_cdfs, normal_quantiles
+
+    u = np.array([1e-6, 0.001, 0.02, 0.3, 0.5, 0.9, 0.98, 0.9999])
+    rows = spark.createDataFrame([(float(x),) for x in u], "u double").select(normal_quantile(F.col("u")).alias("z"), normal_cdf(normal_quantile(F.col("u"))).alias("v")).collect()
+    z = normal_quantiles(u)
+    assert np.allclose(z, [r["z"] for r in rows], rtol=1e-12) and np.allclose(normal_cdfs(z), [r["v"] for r in rows], rtol=1e-12)
+    assert np.isnan(normal_quantiles(np.array([np.nan])))[0]
