@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from greenframe.operators import synthetic
 from greenframe.operators.profile import correlation_matrix
 from greenframe.plans.queries.support import table
+from greenframe.session import checkpointed
 
 
 def made_up_customers(spark, folder):
@@ -114,7 +115,7 @@ def synthetic_orders(spark, folder):
 def synthetic_orders_checked(spark, folder):
     """Rows, orphans and repeated keys of twice as many customers and their orders."""
     made = _related(spark, folder)
-    customers, orders = made["customer"], made["orders"]
+    customers, orders = checkpointed(made["customer"]), checkpointed(made["orders"])
     orphans = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("rows"))
     parts = [
         customers.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("customers").alias("what"), "rows"),
