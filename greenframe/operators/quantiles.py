@@ -7,8 +7,11 @@ keys are known as a whole. Counts are added up per task, so no row is shuffled a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from greenframe.session import checkpointed
 
@@ -18,16 +21,19 @@ BITS = 16
 MOST_SENT = 200_000
 
 
+@F.pandas_udf(T.LongType())
+def _turned_bits(value: pd.Series) -> pd.Series:
+    bits = value.to_numpy("float64").view("int64")
+    keys = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+    return pd.Series(np.where(np.isnan(value), np.int64((1 << 63) - 1), keys))
+
+
 def ordered_key(value: Column) -> Column:
-    """A long for each double, in the same order: the bits of its exponent and mantissa, turned for negative numbers; NaN is last."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("int")
-    # the logarithm is rounded near powers of two; 2^-1074 to 2^-1022 have no exponent of their own
-    exponent = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size >= F.lit(2.0) * F.pow(F.lit(2.0), guess), guess + 1).otherwise(guess)
-    small = (size / F.lit(2.0**-1074)).cast("long")
-    mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0**52)).cast("long")
-    bits = F.when(size < F.lit(2.0**-1022), small).when(size == F.lit(float("inf")), F.lit(0x7FF << 52)).otherwise(F.shiftleft((exponent + 1023).cast("long"), 52) + mantissa)
-    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits - 1).otherwise(bits)
+    """A long for each double, in the same order: its bits, turned for negative numbers; NaN is last.
+
+    Read from memory, not worked out: as an expression of logarithms and powers it was most of the time of a scan.
+    """
+    return F.when(value.isNotNull(), _turned_bits(value + F.lit(0.0)))
 
 
 def of_key(key: Column) -> Column:
@@ -53,8 +59,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     What is between two scans, a row per group and wanted rank, is kept with a checkpoint. Without ``group``, one row.
     """
     of = F.struct(*group) if group else F.struct(F.lit(1).alias("all"))
-    # -0.0 and 0.0 are one value
-    rows = df.select(of.alias("_g"), ordered_key(F.col(value).cast("double") + F.lit(0.0)).alias("_k")).filter(F.col("_k").isNotNull())
+    there = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = there.select(of.alias("_g"), ordered_key(F.col("_v")).alias("_k"))
     position = lambda p: F.lit(p) * (F.col("_n") - 1)
 
     def reached(counts: DataFrame, key: list[str], wanted: DataFrame | None) -> DataFrame:

@@ -239,3 +239,10 @@ def test_inclusion_is_exact(spark):
     b = spark.createDataFrame([(Decimal("1.00000000000000000001"), 20_000_000_000_000_000, "n"), (Decimal("0.1"), 0, "m"), (Decimal("100"), 12345, None)], "e decimal(38,20), n long, t string")
     got = {(r["a_column"], r["b_column"]): (r["distinct_values"], r["included"]) for r in dep.inclusion_dependencies(a, b).collect()}
     assert got == {("d", "e"): (3, 1), ("d", "n"): (3, 1), ("x", "n"): (3, 1), ("f", "e"): (4, 2), ("f", "n"): (4, 1)}
+
+
+def test_keys_of_doubles_are_read_not_worked_out(spark):
+    rows = spark.createDataFrame([(1.5,), (None,), (float("nan"),), (-0.0,)], "v double").select(quantiles.ordered_key(F.col("v")).alias("k"))
+    plan = rows._jdf.queryExecution().executedPlan().toString().lower()
+    assert "arrowevalpython" in plan and "log2" not in plan and "pow" not in plan
+    assert [r["k"] for r in rows.collect()] == [0x3FF8 << 48, None, (1 << 63) - 1, 0]
