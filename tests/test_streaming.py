@@ -112,3 +112,25 @@ def test_a_stopped_stream_goes_on(spark, feed, tmp_path):
     old.coalesce(1).write.mode("append").parquet(str(arrived))
     got = live.drain(stream.select("id"), target, late)
     assert got.count() == 600 and late == [0, 0, 2]
+
+
+def test_runs_of_a_bucket_share_states(spark, tmp_path):
+    """Hundreds of runs in four states, a null and numbers beyond 2**53 among them; the results are those of the whole."""
+    folder = str(tmp_path / "feed")
+    batch = spark.range(3000).select(
+        F.when(F.col("id") % 300 != 5, F.lit(2**60) + F.col("id") % 300).alias("run"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7 % 20_000).alias("ts"),
+        "id", (F.col("id") % 101).cast("double").alias("cpu_percent"))
+    batch.repartition(3).write.parquet(folder)
+    stream = lambda: tm.with_power(live.telemetry_stream(spark, folder, batch.schema, key="id", files_per_batch=1, delay="2 days"))
+    rates = {"co2_g": F.col("co2_gs"), "energy_j": F.col("power_w")}
+    for name, updates, keys in (
+        ("s", live.live_sessions(stream(), ["run"], "ts", 120, bucket_seconds=10**9, slices=4), ["run", "bucket"]),
+        ("i", live.live_integrals(stream(), ["run"], "ts", "id", rates, 10**9, slices=4), ["run", "bucket"]),
+    ):
+        found = live.drain_updates(updates, str(tmp_path / name), keys)
+        states = spark.read.format("statestore").option("operatorId", 0).load(str(tmp_path / name / "progress")).count()
+        assert states <= 4 and found.count() == 300
+        if name == "s":
+            assert rows(live.finish_sessions(found, ["run"], 120)) == rows(live.run_sessions(tm.with_power(batch), ["run"], "ts", "2 minutes"))
+        else:
+            assert rows(live.finish_integrals(found, ["run"], list(rates)).filter("run IS NOT NULL")) == rows(tm.integrate(tm.with_power(batch), ["run"], "ts", ["id"], rates).drop("seconds").filter("run IS NOT NULL"))
