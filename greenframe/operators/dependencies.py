@@ -50,22 +50,23 @@ def candidate_keys(df: DataFrame, max_width: int = 2, columns: list[str] | None
     return spark.createDataFrame([(", ".join(k), len(k)) for k in keys], KEY_COLUMNS)
 
 
-NUMBER = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+def _in_one_form(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, value, ..) with equal values as equal texts, whatever their types: 3, 3.0, 3.00 and 3.0E0; a date and its midnight.
 
-
-def _one_number(value: Column) -> Column:
-    """A written number as its digits without zeros at either end and the power of ten of the first one, so without rounding."""
-    part = lambda k: F.regexp_extract(value, NUMBER, k)
-    digits = F.concat(part(2), part(3))
-    kept = F.ltrim(digits, F.lit("0"))
-    power = F.length(part(2)) - 1 - (F.length(digits) - F.length(kept)) + F.coalesce(part(4).try_cast("int"), F.lit(0))
-    signed = F.concat(F.when(part(1) == "-", "-").otherwise(""), F.rtrim(kept, F.lit("0")), F.lit("e"), power.cast("string"))
-    return F.when(~value.rlike(NUMBER) | (digits == ""), value).when(kept == "", "0").otherwise(signed)
-
-
-def _one_form(kind_: Column, value: Column) -> Column:
-    """Equal values as equal texts, whatever their types: 3, 3.0, 3.00 and 3.0E0; a date and its midnight."""
-    return F.when(kind_ == "numeric", _one_number(value)).when(kind_ == "datetime", F.regexp_replace(value, r" 00:00:00(\.0+)?$", "")).otherwise(value)
+    A number, as Spark writes it, becomes its digits without zeros at either end and the power of ten of the first one,
+    so without rounding. In steps, so that each part of a value is worked out once.
+    """
+    value, mark = F.col("value"), F.instr("value", "E")
+    parts = rows.withColumns({"_m": F.substring_index("value", "E", 1), "_e": F.when(mark > 0, F.substr("value", mark + 1).try_cast("int")).otherwise(0)})
+    parts = parts.withColumns({
+        "_i": F.ltrim(F.substring_index("_m", ".", 1), F.lit("+-")), "_f": F.when(F.instr("_m", ".") > 0, F.substring_index("_m", ".", -1)).otherwise(""),
+    })
+    parts = parts.withColumn("_d", F.concat("_i", "_f")).withColumn("_k", F.ltrim("_d", F.lit("0")))
+    power = F.length("_i") - 1 - (F.length("_d") - F.length("_k")) + F.col("_e")
+    signed = F.concat(F.when(value.startswith("-"), "-").otherwise(""), F.rtrim("_k", F.lit("0")), F.lit("e"), power.cast("string"))
+    number = F.when(value.endswith("Infinity"), value).when(F.col("_k") == "", "0").otherwise(signed)
+    form = F.when(F.col("kind") == "numeric", number).when(F.col("kind") == "datetime", F.regexp_replace(value, r" 00:00:00(\.0+)?$", "")).otherwise(value)
+    return parts.withColumn("value", form).drop("_m", "_e", "_i", "_f", "_d", "_k")
 
 
 def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0) -> DataFrame:
@@ -85,7 +86,8 @@ def inclusion_dependencies(a: DataFrame, b: DataFrame, min_coverage: float = 0.0
         whole = value_counts(df, [f.name for f in usable]).select(
             F.col("column").alias(side), kinds.alias("kind"), "value"
         )
-        return whole.withColumn("value", _one_form(F.col("kind"), F.col("value"))).distinct()
+        # values of one column and type that differ still differ in their one form
+        return _in_one_form(whole)
 
     left, right = values(a, "a_column"), values(b, "b_column")
     sizes = left.groupBy("a_column").agg(F.count(F.lit(1)).alias("distinct_values"))

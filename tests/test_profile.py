@@ -246,3 +246,13 @@ def test_keys_of_doubles_are_read_not_worked_out(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString().lower()
     assert "arrowevalpython" in plan and "log2" not in plan and "pow" not in plan
     assert [r["k"] for r in rows.collect()] == [0x3FF8 << 48, None, (1 << 63) - 1, 0]
+
+
+def test_values_in_one_form_by_parts_worked_out_once(spark):
+    written = ["3", "3.00", "3.0E0", "-3", "0.00", "0E-20", "-0.0", "1.0E15", "1000000000000000", "12.50", "1.25E-5", "0.0000125", "Infinity", "-Infinity", "9007199254740993"]
+    rows = spark.createDataFrame([("numeric", v) for v in written] + [("datetime", "2024-01-02 00:00:00"), ("text", "03.0E1")], "kind string, value string")
+    found = dep._in_one_form(rows)
+    assert [r["value"] for r in found.collect()] == [
+        "3e0", "3e0", "3e0", "-3e0", "0", "0", "0", "1e15", "1e15", "125e1", "125e-5", "125e-5", "Infinity", "-Infinity", "9007199254740993e15", "2024-01-02", "03.0E1"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("substring_index(value") == 1
