@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from greenframe.functions import fixed_values as fixed
 from greenframe.operators.moments import pair_moments
 from greenframe.operators.privacy import name_reasons, name_score
-from greenframe.operators.quantiles import exact_quantiles
+from greenframe.operators.quantiles import column_quantiles
 
 FRACTIONAL = (T.FloatType, T.DoubleType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -241,8 +241,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
         for v in [present(df, c).cast("double")]
     ])
     base = stats.unpivot([], [quoted(c) for c in names], "column", "s").select("column", "s.*")
-    long = long_rows([[F.lit(c).alias("column"), present(df, c).cast("double").alias("value")] for c in names], df)
-    quantiles = exact_quantiles(long, ["column"], "value", quartiles)
+    quantiles = column_quantiles(df.select(*[present(df, c).cast("double").alias(c) for c in names]), quartiles)
     named = quantiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
     return base.join(named, "column", "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from greenframe.operators import synthetic
 from greenframe.operators.profile import correlation_matrix
 from greenframe.plans.queries.support import table
-from greenframe.session import checkpointed
+from greenframe.session import checkpointed, stored
 
 
 def made_up_customers(spark, folder):
@@ -67,7 +67,7 @@ def synthetic_lines(spark, folder):
 def synthetic_lines_compared(spark, folder):
     """Is each statistic of the synthetic lines near that of the real ones?"""
     real = _lines(spark, folder)
-    made = synthetic.generate_copula(real, real.count())
+    made = stored(synthetic.generate_copula(real, real.count()), "made")
     report = synthetic.synthetic_report(real, made).filter(F.col("measure").isin("mean", "std", "q50", "missing_pct", "unique"))
     scale = F.greatest(F.abs("real"), F.lit(0.01))
     moments = report.select("column", "measure", (F.abs(F.col("real") - F.col("synthetic")) < 0.1 * scale + F.when(F.col("measure") == "missing_pct", 1.5).otherwise(0.0)).alias("near"))

@@ -81,6 +81,24 @@ def test_quantiles_by_radix(spark, monkeypatch, most):
     assert exact_quantiles(df.filter("false"), [], "v", probs).first()["q1"] is None
 
 
+def test_quantiles_of_columns_are_counted_by_arrays(spark, monkeypatch):
+    """No row is unfolded into a row per cell, and any number of columns is taken, some at a time."""
+    monkeypatch.setattr(quantiles, "MOST_COLUMNS", 2)
+    rng = random.Random(6)
+    rows = [(rng.gauss(-3, 1e6), float(i % 3) - 1, None, rng.choice([-0.0, 0.0, 5e-324, None]), 2.0**60 + 512 * i) for i in range(3001)]
+    df = spark.createDataFrame(rows, "`a.b` double, ties double, none double, zeros double, wide double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r["column"]: [r[f"q{i}"] for i in range(5)] for r in quantiles.column_quantiles(df, probs).collect()}
+    assert set(got) == {"a.b", "ties", "zeros", "wide"}
+    for i, c in ((0, "a.b"), (1, "ties"), (3, "zeros"), (4, "wide")):
+        assert np.allclose(got[c], np.quantile([r[i] for r in rows if r[i] is not None], probs), rtol=1e-12, atol=0)
+    plan = quantiles.column_digit_counts(df.select("ties"), None, 0)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    last = quantiles.column_quantiles(spark.createDataFrame([(1.0,), (float("nan"),)], "v double"), [0.0, 1.0]).first()
+    assert last["q0"] == 1.0 and np.isnan(last["q1"])
+    assert quantiles.column_quantiles(df.filter("false"), probs).count() == 0
+
+
 def test_keys_of_doubles_keep_order_and_bits(spark):
     rng = random.Random(8)
     values = [s * m * 2.0**e for s in (1, -1) for e in range(-1074, 1024, 37) for m in (1.0, 1.9999999999999998, rng.uniform(1, 2)) if m * 2.0**e < float("inf")]
