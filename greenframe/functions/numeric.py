@@ -66,13 +66,16 @@ def normal_cdf(z: Column) -> Column:
 
 
 def normal_quantiles(u: np.ndarray) -> np.ndarray:
-    """As :func:`normal_quantile`, for arrays inside a task."""
+    """As :func:`normal_quantile`, for arrays inside a task. Logarithms are taken of the few numbers in the tails only."""
+    tail = lambda x: np.polyval(_TAIL_TOP, x) / np.polyval(_TAIL_BOTTOM, x)
+    middle = u - 0.5
+    square = middle * middle
+    z = middle * np.polyval(_MID_TOP, square) / np.polyval(_MID_BOTTOM, square)
+    low, high = u < _TAIL, u > 1 - _TAIL
     with np.errstate(divide="ignore", invalid="ignore"):
-        low, high, middle = np.sqrt(-2.0 * np.log(u)), np.sqrt(-2.0 * np.log(1.0 - u)), u - 0.5
-        square = middle * middle
-        center = middle * np.polyval(_MID_TOP, square) / np.polyval(_MID_BOTTOM, square)
-        tail = lambda x: np.polyval(_TAIL_TOP, x) / np.polyval(_TAIL_BOTTOM, x)
-        return np.where(u < _TAIL, tail(low), np.where(u > 1 - _TAIL, -tail(high), center))
+        z[low] = tail(np.sqrt(-2.0 * np.log(u[low])))
+        z[high] = -tail(np.sqrt(-2.0 * np.log(1.0 - u[high])))
+    return z
 
 
 def normal_cdfs(z: np.ndarray) -> np.ndarray:

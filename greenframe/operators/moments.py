@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,11 @@ def column_means(df: DataFrame) -> list[float]:
     return [means[f"m{i}"] or 0.0 for i in range(len(df.columns))]
 
 
-def pair_sums(df: DataFrame, centers: list[float]) -> np.ndarray:
+def pair_sums(df: DataFrame, centers: list[float], change: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Sums over all pairs of columns (doubles, null where missing), relative to ``centers``.
 
+    ``change`` makes other numbers (NaN where missing) of an array of rows before they are added up.
+
     Every task adds up its rows by matrix products and sends d x d sums, so one
     scan serves any number of pairs; only the summed matrices come to the driver.
     Sums of disjoint sets of rows may be added.
@@ -44,20 +48,19 @@ def pair_sums(df: DataFrame, centers: list[float]) -> np.ndarray:
     d, offsets = len(df.columns), np.array(centers)
 
     def partial(batches):
-        import pandas as pd
-
         sums = np.zeros((len(SUMS), d, d))
         for batch in batches:
-            raw = batch.to_numpy(dtype=float)
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in batch.columns])
+            raw = change(raw) if change else raw
             here = (~np.isnan(raw)).astype(float)
             x = np.where(here > 0, raw - offsets, 0.0)
             squares = x * x
             sums += [here.T @ here, x.T @ here, here.T @ x, squares.T @ here, here.T @ squares, x.T @ x]
         flat = sums.reshape(len(SUMS), d * d)
-        yield pd.DataFrame({"at": np.arange(d * d), **{name: flat[i] for i, name in enumerate(SUMS)}})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d, dtype=np.int32)), *map(pa.array, flat)], ["at", *SUMS])
 
     schema = "at int, " + ", ".join(f"{name} double" for name in SUMS)
-    rows = df.mapInPandas(partial, schema).groupBy("at").agg(*[F.sum(name).alias(name) for name in SUMS]).collect()
+    rows = df.mapInArrow(partial, schema).groupBy("at").agg(*[F.sum(name).alias(name) for name in SUMS]).collect()
     total = np.zeros((len(SUMS), d * d))
     for row in rows:
         total[:, row["at"]] = [row[name] for name in SUMS]
@@ -76,7 +79,7 @@ def moments_of(sums: np.ndarray, centers: list[float]) -> PairMoments:
     return PairMoments(n, mean_x + offsets[:, None], mean_y + offsets[None, :], var_x, var_y, cov)
 
 
-def pair_moments(df: DataFrame, centers: list[float] | None = None) -> PairMoments:
+def pair_moments(df: DataFrame, centers: list[float] | None = None, change: Callable[[np.ndarray], np.ndarray] | None = None) -> PairMoments:
     """Moments of the columns of ``df``; sums are taken relative to the column means to keep the digits."""
     centers = column_means(df) if centers is None else centers
-    return moments_of(pair_sums(df, centers), centers)
+    return moments_of(pair_sums(df, centers, change), centers)

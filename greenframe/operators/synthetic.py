@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -333,30 +334,39 @@ def _margins(df: DataFrame, columns: list[str]) -> tuple[list[Margin], int]:
     return margins, rows
 
 
-def _scores(df: DataFrame, linked: list[Margin]) -> DataFrame:
-    """Normal score ``z<i>`` of every cell under its margin, NaN where it is missing; the middle of a value's share where it repeats."""
+def _places(df: DataFrame, linked: list[Margin]) -> DataFrame:
+    """Per cell ``x<i>`` the number, or the middle of a value's share where it repeats; null where it is missing."""
     values = df.select(*[(_number(df, m.name) if m.knots else _as_text(df, m.name)).alias(f"x{i}") for i, m in enumerate(linked)])
     for i, m in enumerate(linked):
         if m.shares:
             middles = m.shares.middles().select(F.col("value").alias("_value"), F.col("middle").alias("_middle"))
             values = values.join(middles, F.col(f"x{i}") == F.col("_value"), "left").withColumn(f"x{i}", F.col("_middle")).drop("_value", "_middle")
-    grids = {f"x{i}": np.array(m.knots) for i, m in enumerate(linked) if m.knots}
+    return values.select(*[f"x{i}" for i in range(len(linked))])
 
-    names = [f"z{i}" for i in range(len(linked))]
 
-    def place(batches):
-        """Normal score of the position on the grid, from 0 to 1; a number that equals knots takes their middle."""
-        for batch in batches:
-            for name, knots in grids.items():
-                value = batch[name].to_numpy(dtype=float)
-                left, right = np.searchsorted(knots, value, "left"), np.searchsorted(knots, value, "right")
-                middle = (left + right - 1) / 2.0
-                between = np.interp(value, knots, np.arange(len(knots)))
-                at = np.where(left == right, between, middle) / max(1, len(knots) - 1)
-                batch[name] = np.where(np.isnan(value), np.nan, at)
-            yield pd.DataFrame(dict(zip(names, normal_quantiles(np.clip(batch.to_numpy(dtype=float), 1e-6, 1 - 1e-6)).T)))
+def _on_grid(value: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """The position of each number on the grid, from 0 to 1; one that equals knots takes their middle."""
+    last = len(knots) - 1
+    left = np.searchsorted(knots, value, "left")
+    after = np.minimum(left, last)
+    equal = knots[after] == value
+    before = np.maximum(left - 1, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = before + (value - knots[before]) / (knots[after] - knots[before])
+    at = np.where(left == 0, 0.0, np.where(left > last, last, at))
+    at[equal] = (left[equal] + np.searchsorted(knots, value[equal], "right") - 1) / 2.0
+    return np.where(np.isnan(value), np.nan, at / max(1, last))
+
+
+def _scoring(linked: list[Margin]) -> Callable[[np.ndarray], np.ndarray]:
+    """Normal scores of rows of _places() under their margins, NaN where a cell is missing."""
+    grids = [np.array(m.knots) if m.knots else None for m in linked]
 
-    return values.mapInPandas(place, ", ".join(f"{z} double" for z in names))
+    def scores(rows: np.ndarray) -> np.ndarray:
+        placed = [rows[:, i] if knots is None else _on_grid(rows[:, i], knots) for i, knots in enumerate(grids)]
+        return normal_quantiles(np.clip(np.column_stack(placed), 1e-6, 1 - 1e-6))
+
+    return scores
 
 
 def fit_copula(df: DataFrame, columns: list[str] | None = None) -> Copula:
@@ -366,7 +376,7 @@ def fit_copula(df: DataFrame, columns: list[str] | None = None) -> Copula:
     d = len(linked)
     matrix = np.eye(d)
     if d > 1 and rows:
-        found = pair_moments(_scores(df, linked), [0.0] * d).correlation()
+        found = pair_moments(_places(df, linked), [0.0] * d, _scoring(linked)).correlation()
         matrix = np.where(np.isnan(found), np.eye(d), found)
         values, vectors = np.linalg.eigh(matrix)
         matrix = vectors @ np.diag(np.clip(values, 1e-8, None)) @ vectors.T
@@ -375,6 +385,12 @@ def fit_copula(df: DataFrame, columns: list[str] | None = None) -> Copula:
     return Copula(margins, np.linalg.cholesky(matrix).tolist() if d else [], rows)
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """The nearest double of so many decimal places. F.round() goes through decimal numbers, which took most of the time of a made row."""
+    scaled = value * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(2.0**52), F.rint(scaled) / F.lit(10.0**digits)).otherwise(value)
+
+
 def _drawn(margin: Margin, u: Column, row: Column, seed: int) -> Column:
     if margin.knots:
         grid, last = literal_array(margin.knots), len(margin.knots) - 1
@@ -386,7 +402,7 @@ def _drawn(margin: Margin, u: Column, row: Column, seed: int) -> Column:
             return F.timestamp_micros(value.cast("long")).cast(margin.data_type)
         if isinstance(margin.data_type, INTEGRAL):
             return F.round(value).cast(margin.data_type)
-        return (F.round(value, margin.digits) if margin.digits is not None else value).cast(margin.data_type)
+        return (_rounded(value, margin.digits) if margin.digits is not None else value).cast(margin.data_type)
     # no text comes twice: identifiers or free text, replaced by a surrogate
     mark = F.lower(F.hex(F.xxhash64(row, F.lit(margin.name), F.lit(seed))))
     return F.concat(F.lit(f"{margin.name}-"), mark).try_cast(margin.data_type)

@@ -168,3 +168,46 @@ def test_normal_functions_of_arrays_are_those_of_columns(spark):
     z = normal_quantiles(u)
     assert np.allclose(z, [r["z"] for r in rows], rtol=1e-12) and np.allclose(normal_cdfs(z), [r["v"] for r in rows], rtol=1e-12)
     assert np.isnan(normal_quantiles(np.array([np.nan])))[0]
+
+
+@pytest.mark.parametrize("query", ["synthetic_lines_compared", "synthetic_categories_compared"])
+def test_compared_rows_are_made_once(spark, folder, monkeypatch, query):
+    from greenframe.plans.queries import synthesis
+
+    made, whole = spark.sparkContext.accumulator(0), synthesis.synthetic.generate_copula
+
+    def counted(real, rows):
+        df = whole(real, rows)
+
+        def passed(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(passed, df.schema)
+
+    monkeypatch.setattr(synthesis.synthetic, "generate_copula", counted)
+    synthesis.QUERIES[query](spark, folder).collect()
+    assert made.value == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_places_on_a_grid():
+    import numpy as np
+
+    """As by interpolation between knots, and the middle of knots that are equal."""
+    for knots in (np.array([0.0, 1, 1, 1, 2, 5, 5]), np.array([3.0]), np.array([3.0, 3.0]), np.sort(np.random.default_rng(3).normal(size=401))):
+        value = np.concatenate([knots, np.random.default_rng(4).uniform(-6, 6, 500), [np.nan, -1e308, 1e308]])
+        left, right = np.searchsorted(knots, value, "left"), np.searchsorted(knots, value, "right")
+        at = np.where(left == right, np.interp(value, knots, np.arange(len(knots))), (left + right - 1) / 2.0) / max(1, len(knots) - 1)
+        assert np.allclose(sy._on_grid(value, knots), np.where(np.isnan(value), np.nan, at), rtol=1e-12, atol=1e-15, equal_nan=True)
+
+
+def test_made_numbers_have_their_decimals(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    values = [float(x) for x in rng.normal(0, 1e5, 2000)] + [0.0, -0.0, 1e300, -1e300, 2.0**52 + 1, 123456789012.34567, float("nan")]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (0, 2, 6):
+        for r in df.select(F.round("x", digits).alias("a"), sy._rounded(F.col("x"), digits).alias("b")).collect():
+            assert r["a"] == r["b"] or np.isnan(r["a"]) and np.isnan(r["b"])
