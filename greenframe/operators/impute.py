@@ -19,7 +19,7 @@ from greenframe.operators.profile import (
     present,
     quoted,
 )
-from greenframe.operators.quantiles import exact_quantiles
+from greenframe.operators.quantiles import column_quantiles
 from greenframe.session import checkpointed
 
 
@@ -54,8 +54,8 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median; the midpoint for an even number of values."""
     _numeric_only(df, columns)
-    long = long_rows([[F.lit(c).alias("column"), present(df, c).cast("double").alias("value")] for c in columns], df)
-    medians = {r["column"]: r["q0"] for r in exact_quantiles(long, ["column"], "value", [0.5]).collect()}
+    values = df.select(*[present(df, c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    medians = {r["column"]: r["q0"] for r in column_quantiles(values, [0.5]).collect()} if columns else {}
     return _filled(df, {c: medians.get(c) for c in columns}, as_double=True)
 
 
