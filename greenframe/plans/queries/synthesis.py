@@ -84,7 +84,7 @@ def synthetic_categories_compared(spark, folder):
         F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity") + 60).otherwise(F.col("l_quantity")).alias("moved"),
     )
     rows = real.count()
-    made = synthetic.generate_copula(real, rows)
+    made = stored(synthetic.generate_copula(real, rows), "made")
     counts = real.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     both = counts.join(made.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label", "full").fillna(0)
     seen = F.sum((F.col("m") > 0).cast("double"))
