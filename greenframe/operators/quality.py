@@ -189,9 +189,15 @@ def semantic_profile(df: DataFrame, columns: list[str] | None = None, sample_row
         for part in parts[1:]:
             long = long.unionAll(part)
     patterns = fixed.SEMANTIC_PATTERNS
-    matched = long.filter(F.col("value").isNotNull()).groupBy("column", "form").agg(
+
+    def matches(label: str) -> Column:
+        least, most = fixed.SEMANTIC_LENGTHS[label]
+        there = F.col("length") >= least if most is None else F.col("length").between(least, most)
+        return there & F.col("value").rlike(rf"\A(?:{patterns[label]})\z")
+
+    matched = long.withColumn("length", F.length("value")).filter(F.col("value").isNotNull()).groupBy("column", "form").agg(
         F.bool_and("midnight").alias("midnight"),
-        *[F.avg(F.when(F.col("value").rlike(rf"\A(?:{p})\z"), 1.0).otherwise(0.0)).alias(label) for label, p in patterns.items()],
+        *[F.avg(F.when(matches(label), 1.0).otherwise(0.0)).alias(label) for label in patterns],
     )
     chosen = matched.filter(
         "form = '' OR (form = 'date' AND midnight) OR (form = 'time' AND NOT midnight)"

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from greenframe.functions import fixed_values as fixed
 from greenframe.operators import dependencies as dep
 from greenframe.operators import privacy, profile, quality, quantiles
 from greenframe.operators.moments import pair_moments
@@ -188,6 +189,23 @@ def test_semantics(spark):
     assert flags["mail"] and flags["code"]
 
 
+def test_lengths_of_patterns_leave_no_match_out(spark):
+    """The shortest and longest texts of each pattern, by length within the bounds and no further."""
+    ends = {
+        "email": ("a@b.cd", "a" * 60 + "@example.org"), "phone_international": ("1234567", "+123456789012345"), "italian_tax_code": ("RSSMRA85T10A562S",) * 2,
+        "iban": ("IT60X054281110", "IT60" + "X" * 30), "postal_code_generic": ("a-1", "a b-c d-e9"), "ssn_usa": ("123456789", "123-45-6789"), "nin_uk": ("AB123456C",) * 2,
+        "sin_canada": ("123456789", "123 456 789"), "tfn_australia": ("12345678", "123456789"), "passport_generic": ("a23456", "a23456789"), "passport_uk": ("123456789",) * 2,
+        "passport_usa": ("123456789",) * 2, "aadhaar_india": ("123412341234", "1234 1234 1234"), "credit_card": ("4123456789012", "4123456789012345"),
+        "ipv4": ("1.2.3.4", "255.255.255.255"), "ipv6": ("1:2:3:4:5:6:7:8", ":".join(["abcd"] * 8)), "mac_address": ("00:11:22:33:44:55",) * 2,
+    }
+    assert set(ends) == set(fixed.SEMANTIC_PATTERNS) == set(fixed.SEMANTIC_LENGTHS)
+    for label, (short, long) in ends.items():
+        least, most = fixed.SEMANTIC_LENGTHS[label]
+        assert len(short) == least and (most is None or len(long) == most)
+        df = spark.createDataFrame([(short, long)], "s string, l string")
+        assert {r["column"] for r in quality.semantic_profile(df).filter(F.col("pattern") == label).collect()} == {"s", "l"}
+
+
 def test_sensitive_names(spark):
     names = ["città", "ETÀ", "userEmail", "e-mail", "codice_fiscale", "value", "telemetry", "hotel", "Birth day", "regional", "name"]
     df = spark.createDataFrame([(n,) for n in names], "column string")
