@@ -46,16 +46,17 @@ def fresh(label: str) -> str:
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    What was shuffled for it is of no use afterwards, so its files go when the write has ended.
+    What was shuffled for it is of no use afterwards, so its files go when the write has ended. ``codec`` packs the
+    files in another way than the session's.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     before = spark.conf.get(CLEANED, "false")
     spark.conf.set(CLEANED, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)

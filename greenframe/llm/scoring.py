@@ -68,6 +68,40 @@ def codes_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, symbols[order:] != START
 
 
+class Places:
+    """The place of each of some distinct codes (none negative), by open addressing in arrays.
+
+    A text's grams come in no order, so that a binary search in the codes of a block waits for memory at each step.
+    """
+
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: np.ndarray):
+        bits = max(4, (2 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.keys = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1)
+        at, left = self._first(codes), np.arange(len(codes))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.slots[at[free]] = codes[left[free]], left[free]
+            lost = self.keys[at] != codes[left]
+            at, left = at[lost] + 1 & self.mask, left[lost]
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * self.SPREAD >> self.shift).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        at = self._first(wanted)
+        missed = np.flatnonzero(self.keys[at] != wanted)
+        while len(missed):
+            at[missed] = at[missed] + 1 & self.mask
+            again = self.keys[at[missed]]
+            if (again < 0).any():
+                raise KeyError("a gram without a chance")
+            missed = missed[again != wanted[missed]]
+        return self.slots[at]
+
+
 def block_grams(blocks: DataFrame, order: int) -> DataFrame:
     """(block, code, n): each gram of a block's texts, ``order`` symbols and the one after them, and its count in those to learn from."""
 
@@ -103,10 +137,11 @@ def gram_chances(grams: DataFrame, order: int = ORDER) -> DataFrame:
         seen = F.col("n") > 0
         tables[k] = written(
             counts.select(
-                "code", "context", "n", F.sum("n").over(same).alias("total"), F.sum(seen.cast("long")).over(same).alias("kinds"), F.min("n").over(same).alias("least")
+                "code", "n", F.sum("n").over(same).alias("total"), F.sum(seen.cast("long")).over(same).alias("kinds"), F.min("n").over(same).alias("least")
             ),
             "grams",
-        )
+            "zstd",  # a window sorted them by context, so that neighbours have most bytes in common
+        ).withColumn("context", F.shiftright("code", BITS))
     unseen = F.col("n") == 0
     escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))
     direct = F.log10(F.col("n") / (F.col("total") + F.col("kinds")))
@@ -178,7 +213,7 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = rows.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK)))).alias("block"), "doc_id", "held_out", F.col("text").cast("binary").alias("text")
     )
-    grams = written(block_grams(blocks, order), "blocks")
+    grams = written(block_grams(blocks, order), "blocks", "zstd")
     chances = grams.select("block", "code").join(gram_chances(grams.select("code", "n"), order), "code")
     counts = written(word_counts(training), "words")
     texts = training.count()
@@ -192,17 +227,16 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def score(table: pa.Table, chances: pa.Table) -> pa.Table:
         logs = {w: math.log10(n + 1) for w, n in shared.value.items()}
         place = table.column("block")[0].as_py() << 32
-        codes, logs10 = chances.column("code").to_numpy(), chances.column("chance").to_numpy()
-        by_code = np.argsort(codes)
-        codes, logs10 = codes[by_code], logs10[by_code]
-        columns = ("place", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "word", "n")
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
+        places, logs10 = Places(chances.column("code").to_numpy()), chances.column("chance").to_numpy()
+        columns = ("place", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score")
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         rows = iter(zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()))
         out: list[list] = [[] for _ in columns]
+        rare_words, times, ends = [], [], [0]
         for texts in chunks(x.as_py().lower() for x in table.column("text")):
             wanted, inner = codes_of(texts, order)
             cost = np.zeros(len(wanted))
-            cost[inner] = logs10[np.searchsorted(codes, wanted[inner])]
+            cost[inner] = logs10[places.of(wanted[inner])]
             begins = np.cumsum([0, *(len(t) + order + 1 for t in texts)])[:-1]
             for text, ppm in zip(texts, np.add.reduceat(cost, begins).tolist()):
                 doc_id, held_out = next(rows)
@@ -211,23 +245,24 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest = Counter(w for w, x in zip(words, found) if x is None) if None in found else {}
                 total = sum(x for x in found if x is not None) if rest else sum(found)
                 known = len(words) - sum(rest.values()) + (end > 0)
-                for column, value in zip(out, (place, doc_id, held_out, len(words) + 1, known, total + end, ppm, None, None)):
+                for column, value in zip(out, (place, doc_id, held_out, len(words) + 1, known, total + end, ppm)):
                     column.append(value)
-                for word, n in rest.items():
-                    for column, value in zip(out, (place, None, None, None, None, None, None, word, n)):
-                        column.append(value)
+                rare_words.extend(rest.keys())
+                times.extend(rest.values())
+                ends.append(len(times))
                 place += 1
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], list(columns))
+        lists = [pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), x).cast(pa.list_(x.type)) for x in (pa.array(rare_words, pa.binary()), pa.array(times, pa.int64()))]
+        return pa.table([*(pa.array(x, t) for x, t in zip(out, kinds)), *lists], [*columns, "words", "times"])
 
     table = written(
         blocks.groupBy("block").cogroup(chances.groupBy("block")).applyInArrow(
-            score, "place long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, word binary, n long"
+            score, "place long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, words array<binary>, times array<long>"
         ),
         "scored",
     )
-    rare = table.filter("word is not null").select("place", "word", F.col("n").alias("times"))
+    rare = table.select("place", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("times"))))
     rare = rare.join(counts, "word").groupBy("place").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
-    whole = table.filter("word is null").drop("word", "n").join(rare, "place", "left")
+    whole = table.drop("words", "times").join(rare, "place", "left")
     none = F.lit(0)
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", none)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

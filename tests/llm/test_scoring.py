@@ -170,3 +170,13 @@ def test_contexts_stay_however_rare(spark):
     score, _ = plain_ppm([t.encode() for i, t in rows if not is_held_out(i)], 4)
     got = scoring.scored_documents(spark.createDataFrame(rows, "doc_id long, text string"), order=4).filter("doc_id < 300")
     assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx({i: score(t.encode()) for i, t in rows[:300]}, rel=1e-5)
+
+
+def test_places_of_codes():
+    rng = np.random.default_rng(4)
+    for codes in (np.zeros(0, np.int64), np.array([0]), np.arange(20_000) << scoring.BITS, rng.permutation(np.unique(rng.integers(0, 1 << 54, 50_000)))):
+        places = scoring.Places(codes)
+        wanted = rng.integers(0, len(codes), 100_000) if len(codes) else np.zeros(0, np.int64)
+        assert (places.of(codes[wanted]) == wanted).all()
+        with pytest.raises(KeyError):
+            places.of(np.array([(1 << 54) + 1]))
