@@ -214,7 +214,8 @@ def scored_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK)))).alias("block"), "doc_id", "held_out", F.col("text").cast("binary").alias("text")
     )
     grams = written(block_grams(blocks, order), "blocks", "zstd")
-    chances = grams.select("block", "code").join(gram_chances(grams.select("code", "n"), order), "code")
+    # written by itself, so that what was shuffled for the chances is gone before the grams of the blocks are
+    chances = grams.select("block", "code").join(written(gram_chances(grams.select("code", "n"), order), "chances", "zstd"), "code")
     counts = written(word_counts(training), "words")
     texts = training.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
