@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +45,48 @@ def fresh(label: str) -> str:
     return f"_{label}_{uuid.uuid4().hex}"
 
 
+#: What this Python worker keeps from task to task, by what it is for: of one operator at a time.
+_kept: dict[tuple, Any] = {}
+
+
+def kept_by_worker(what: tuple, make: Callable[[], Any] = lambda: None) -> Any:
+    """What ``make`` gave when this Python worker was first asked for ``what``.
+
+    Workers live on from stage to stage and from query to query. When another operator's work begins, what the last one
+    kept is let go, and the memory that Arrow holds in reserve is given back: else each worker would hold the memories
+    of all operators it ever ran for.
+    """
+    if what not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[what] = make()
+    return _kept[what]
+
+
 #: Spark removes an execution's shuffle files at its end where this is set.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the rows that go to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: So many, for operators whose workers make several times as much of a text.
+SMALL_BATCH = 1 << 22
 
 
-def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None, batch: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors.
 
     What was shuffled for it is of no use afterwards, so its files go when the write has ended. ``codec`` packs the
-    files in another way than the session's.
+    files in another way than the session's; ``batch`` bounds the bytes that a Python worker gets at once.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANED, "false")
+    before = {CLEANED: spark.conf.get(CLEANED, "false")} | ({BATCH: spark.conf.get(BATCH)} if batch else {})
     spark.conf.set(CLEANED, "true")
+    if batch:
+        spark.conf.set(BATCH, str(batch))
     try:
         df.write.parquet(path, compression=codec)
     finally:
-        spark.conf.set(CLEANED, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

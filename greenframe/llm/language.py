@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, remainder
+from .common import fresh, kept_by_worker, remainder
 
 DIMENSIONS = 1024
 #: Letters below U+0180 have slots below this, others their code point above it.
@@ -118,10 +118,9 @@ class Vectors:
         return counts[there].astype(np.float32) @ self.rows[there].astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def vectors(dimensions: int) -> Vectors:
     """One per Python worker."""
-    return Vectors(dimensions)
+    return kept_by_worker(("vectors", dimensions), lambda: Vectors(dimensions))
 
 
 @dataclass

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key, written
+from .common import SMALL_BATCH, fresh, kept_by_worker, row_key, written
 from .repeats import AGAIN, MIX, gram_hashes, mixed
 
 SHINGLE, LEAST = 5, 0.8
@@ -126,6 +126,7 @@ def signed(df: DataFrame) -> DataFrame:
             sizes = [int(b[1].sum()) for b in bags]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "keys"])
 
+        kept_by_worker(("near",))
         ids, digests, bags, held = [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -147,6 +148,7 @@ def bags_of(rows: DataFrame) -> DataFrame:
     """doc_id, the members of the bag, 8 bytes each, and their parities."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(("near",))
         for batch in batches:
             bags = [bag_members(text.as_py().split()) for text in batch.column(1)]
             sides = [pa.array([x.tobytes() for x in bags], pa.binary()), pa.array([parities(x) for x in bags], pa.list_(pa.int64()))]
@@ -175,6 +177,7 @@ def compared(pairs: DataFrame, bags: DataFrame, around: bool = False) -> DataFra
     sent = needed.join(bags.select("doc_id", "bag"), "doc_id").select("to", "doc_id", "bag")
 
     def compare(pairs: pa.Table, bags: pa.Table) -> pa.Table:
+        kept_by_worker(("near",))
         members = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(bags["doc_id"].to_pylist(), bags["bag"])}
         a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
         return pa.table({"a": pairs["a"], "b": pairs["b"], "s": pa.array([similarity(members[x], members[y]) for x, y in zip(a, b)], pa.float64())})
@@ -255,7 +258,7 @@ def classes_of(rows: DataFrame, least: float) -> DataFrame:
     1 - similarity is a metric and their distances to the bucket's smallest member differ by more than 1 - ``least``.
     So no link between classes is lost.
     """
-    table = written(signed(rows), "signed")
+    table = written(signed(rows), "signed", batch=SMALL_BATCH)
     first = table.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
     members = written(table.select("doc_id", "digest").join(first, "digest").select("doc_id", "copy_of"), "members")
     distinct = table.join(first, (table["digest"] == first["digest"]) & (table["doc_id"] == first["copy_of"]), "left_semi")
@@ -263,7 +266,7 @@ def classes_of(rows: DataFrame, least: float) -> DataFrame:
     centres = buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
     buckets = written(buckets.join(centres, "key"), "buckets")
     wanted = buckets.select("doc_id").distinct()
-    bags = written(bags_of(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags")
+    bags = written(bags_of(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "bags", batch=SMALL_BATCH)
 
     differ = F.expr(" + ".join(f"bit_count(parity_a[{k}] ^ parity_b[{k}])" for k in range(PARITIES)))
     fits = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")) & (differ <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-9)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import SMALL_BATCH, id_and_text, written
 from .units import library_ids, tokenizer_path
 
 
@@ -144,5 +144,5 @@ def packed_documents(
     id. Repeated rows are packed each. An empty table gives no rows. ``doc_id`` may be null. To the driver come the
     counts per length only (at most ``capacity`` numbers), and the slots sent back are bounded by them.
     """
-    pieces = written(token_pieces(df, vocabulary, drops_space, end_id, capacity, id_col, text_col), "pieces")
+    pieces = written(token_pieces(df, vocabulary, drops_space, end_id, capacity, id_col, text_col), "pieces", batch=SMALL_BATCH)
     return pack(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"])

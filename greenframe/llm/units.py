@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept_by_worker
+
 #: White space other than blank and line feed; texts with it go to the library whole.
 RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -151,13 +152,12 @@ class LibraryIds(UnitIds):
         return next(self.each([text])).astype("<u4")
 
 
-@lru_cache(maxsize=4)
 def library_ids(path: str, drops_space: bool) -> LibraryIds:
     """One per Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return LibraryIds(path, drops_space)
+    return kept_by_worker(("library", path, drops_space), lambda: LibraryIds(path, drops_space))
 
 
 def tokenizer_path(name: str) -> str:
