@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,21 @@ class Remembered:
         self.values.update(zip(units, values))
 
 
+def even(text: str) -> bool:
+    """Whether each blank and line feed stands alone between other characters, and no other white space occurs."""
+    if not text:
+        return True
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        return False
+    return not RARE_SPACE.search(text)
+
+
 def spaced_units(text: str) -> list[str] | None:
     """Cut before each blank or line feed that stands alone between other characters; None where others occur.
 
     A byte-level pre-token never has white space after other characters, so such a place always separates two tokens.
     """
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or RARE_SPACE.search(text):
+    if not even(text):
         return None
     first, *rest = text.replace("\n", " \n").split(" ")
     # a unit that begins with a line feed has no blank before it; the first unit has neither
@@ -59,8 +69,9 @@ def unit_text(unit: str) -> str:
 
 def spaced_line(text: str) -> str | None:
     """spaced_units() still joined by blanks."""
-    units = None if "\0" in text or "\1" in text else spaced_units(text)
-    return None if units is None else " ".join(units)
+    if "\0" in text or "\1" in text or not even(text):
+        return None
+    return "\0" + text.replace("\n", " \n")
 
 
 def worded_line(text: str) -> str | None:
@@ -70,19 +81,57 @@ def worded_line(text: str) -> str | None:
     return (text.lower() if text.isascii() and "<|" not in text else text).replace("\n", " ")
 
 
+class UnitMemory:
+    """Units and their packed ids, one after the other in an array; a unit's code is its place among the units."""
+
+    def __init__(self, width: str):
+        self.codes: dict[str, int] = {}
+        self.pool, self.starts = np.empty(1 << 12, width), np.zeros(1 << 10, np.int64)
+
+    def add(self, units: list[str], packed: list[bytes]) -> None:
+        """Remember new units."""
+        ids = np.frombuffer(b"".join(packed), self.pool.dtype)
+        self.put(units, ids, np.fromiter(map(len, packed), np.int64, len(packed)) // self.pool.itemsize)
+
+    def put(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.codes), self.starts[len(self.codes)]
+        if n + len(units) >= len(self.starts):
+            self.starts = np.resize(self.starts, max(2 * len(self.starts), n + len(units) + 1))
+        if used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, max(2 * len(self.pool), used + len(ids)))
+        self.pool[used : used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(units)] = used + np.cumsum(sizes)
+        self.codes.update(zip(units, range(n, n + len(units))))
+
+    def sizes(self, codes: np.ndarray) -> np.ndarray:
+        return self.starts[codes + 1] - self.starts[codes]
+
+    def ids(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of the units, one after the other."""
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def packed(self, code: int) -> bytes:
+        return self.pool[self.starts[code] : self.starts[code + 1]].tobytes()
+
+
 class UnitIds:
     """Ids of texts, put together from those of their units.
 
     ``line`` gives a text's units joined by blanks, or None where the text has to go whole; ``encode`` turns new units
     into packed ids of ``width`` and ``whole`` does so for one text. The units of many texts are split and told apart by
     Arrow, so Python sees each different unit of a batch once; those known from earlier batches are not encoded again.
+    Of ``most`` known units, those of the present batch stay when there is no room for its new ones.
     """
 
     #: Characters of text whose units are held at a time.
     CHUNK = 1 << 24
+    #: Units whose ids are put together at a time.
+    GATHER = 1 << 17
 
     def __init__(self, line: Callable, encode: Callable, whole: Callable, width: str, most: int):
-        self.line, self.encode, self.whole, self.width, self.known = line, encode, whole, width, Remembered(most)
+        self.line, self.encode, self.whole, self.width, self.most = line, encode, whole, width, most
+        self.known = UnitMemory(width)
         self.points = {x: whole(x) for x in ".,"}
 
     def each(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -96,38 +145,49 @@ class UnitIds:
         if first < len(texts):
             yield from self._chunk(texts[first:])
 
-    def looked_up(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, from memory or encoded now."""
+    def looked_up(self, units: list[str]) -> np.ndarray:
+        """The codes of different units, from memory or encoded now."""
+        codes = np.fromiter(map(self.known.codes.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
+            return codes
+        if len(self.known.codes) + len(new) > self.most:
+            old, there = self.known, np.flatnonzero(codes >= 0)
+            sizes = old.sizes(codes[there])
+            self.known = UnitMemory(self.width)
+            self.known.put([units[i] for i in there.tolist()], old.ids(codes[there], sizes), sizes)
+            codes[there] = np.arange(len(there))
+        known, fresh = self.known, [units[i] for i in new.tolist()]
         # letters and a point or comma after them are always different tokens, so only the letters are encoded
         points = self.points
-        stems = [u[:-1] if u[-1:] in points and u[:-1].isalpha() else u for u in units]
-        found = list(map(self.known.values.get, stems))
-        new = list({s for s, x in zip(stems, found) if x is None})
-        if new:
-            got = dict(zip(new, self.encode(new)))
-            found = [got[s] if x is None else x for s, x in zip(stems, found)]
-            self.known.add(new, got.values())
-        return [x if s is u else x + points[u[-1]] for u, s, x in zip(units, stems, found)]
+        stems = [u[:-1] if u[-1:] in points and u[:-1].isalpha() else u for u in fresh]
+        packed = {s: known.packed(known.codes[s]) if s in known.codes else None for s in stems}
+        unknown = [s for s, x in packed.items() if x is None]
+        packed.update(zip(unknown, self.encode(unknown)))
+        codes[new] = np.arange(len(known.codes), len(known.codes) + len(new))
+        known.add(fresh, [packed[s] if s is u else packed[s] + points[u[-1]] for u, s in zip(fresh, stems)])
+        return codes
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         lines = [self.line(x) for x in texts]
         split = pc.split_pattern(pa.array([x for x in lines if x is not None], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = self.looked_up(units)
-        pool = np.frombuffer(b"".join(found), self.width)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.width).itemsize
-        start, sizes = np.cumsum(size) - size, size[codes]
-        ends = np.cumsum(sizes)
-        ids = pool[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.append(0, ends)[split.offsets.to_numpy()]
-        k = 0
+        codes = self.looked_up(coded.dictionary.to_pylist())
+        bounds, units, known = split.offsets.to_numpy(), coded.indices.to_numpy(), self.known
+        last = first = k = 0
+        ids = ends = None
         for text, line in zip(texts, lines):
             if line is None:
                 yield np.frombuffer(self.whole(text), self.width)
-            else:
-                yield ids[bounds[k] : bounds[k + 1]]
-                k += 1
+                continue
+            if ids is None or bounds[k + 1] > last:
+                first = bounds[k]
+                last = max(bounds[k + 1], bounds[np.searchsorted(bounds, first + self.GATHER, "right") - 1])
+                of = codes[units[first:last]]
+                sizes = known.sizes(of)
+                ids, ends = known.ids(of, sizes), np.append(0, np.cumsum(sizes))
+            yield ids[ends[bounds[k] - first] : ends[bounds[k + 1] - first]]
+            k += 1
 
 
 class LibraryIds(UnitIds):
@@ -137,10 +197,13 @@ class LibraryIds(UnitIds):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        line, self.text_of = (worded_line, str) if drops_space else (spaced_line, unit_text)
-        if any(x.lstrip or x.rstrip or len(x.content.split()) != 1 for x in self.library.get_added_tokens_decoder().values()):
+        added = self.library.get_added_tokens_decoder().values()
+        self.specials = [x.content for x in added]
+        line, encode = (worded_line, self._encode) if drops_space else (spaced_line, self._encode_spaced)
+        if any(x.lstrip or x.rstrip or len(x.content.split()) != 1 for x in added):
             line = lambda text: None  # noqa: E731  special strings that reach over white space: no units
-        super().__init__(line, lambda units: self._encode(list(map(self.text_of, units))), lambda text: self._encode([text])[0], "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4", most)
+        super().__init__(line, encode, lambda text: self._encode([text])[0], "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4", most)
+        self.feed = np.frombuffer(self.whole("\n"), self.width)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out, kind = [], "H" if self.width == "<u2" else "I"
@@ -148,6 +211,26 @@ class LibraryIds(UnitIds):
             out += [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
+    def _encode_spaced(self, units: list[str]) -> list[bytes]:
+        """_encode() of the units' texts, many in one call: each behind a line feed, which is a token by itself there."""
+        out = [b""] * len(units)
+        held = " ".join(units)
+        specials = [x for x in self.specials if x in held]
+        alone = [i for i, u in enumerate(units) if u[0] == "\0" or (specials and any(x in u for x in specials))]
+        for i, packed in zip(alone, self._encode([unit_text(units[i]) for i in alone])):
+            out[i] = packed
+        alone = set(alone)
+        joined = [i for i in range(len(units)) if i not in alone] if alone else range(len(units))
+        size = self.feed.itemsize
+        for k in range(0, len(joined), 256):
+            some = joined[k : k + 256]
+            packed = self._encode(["".join([u if u[0] == "\n" else "\n " + u for u in map(units.__getitem__, some)])])[0]
+            ids = np.frombuffer(packed, self.width)
+            starts = np.flatnonzero(ids == self.feed)
+            for i, a, b in zip(some, (starts * size).tolist(), (np.append(starts[1:], len(ids)) * size).tolist(), strict=True):
+                out[i] = packed[a if units[i][0] == "\n" else a + size : b]
+        return out
+
     def ids(self, text: str) -> np.ndarray:
         return next(self.each([text])).astype("<u4")
 

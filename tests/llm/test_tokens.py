@@ -151,3 +151,21 @@ def test_records_by_their_index(spark, table, tmp_path):
         with pytest.raises(Exception, match="in the index"):
             records.read_records(spark, folder).collect()
         index.write_bytes(good)
+
+
+def test_new_units_go_to_the_library_together_and_frequent_ones_stay(monkeypatch):
+    ours = LibraryIds(tokenizer_path("byte_bpe_50k.json"), False, most=300)
+    calls, one = [], ours._encode
+    monkeypatch.setattr(ours, "_encode", lambda texts: calls.extend(texts) or one(texts))
+    odd = ["<|endoftext|>", "\nx<|endoftext|>y", "'s", "\n'll", "½é́", "\nß,", "12.", "日本.", "a<|b", "\n<|endoftext|>", "z."]
+    texts = ["start" + "".join(x if x[0] == "\n" else f" {x}" for n in range(k, k + 200) for x in (f"w{n}q", f"\nv{n}", odd[n % len(odd)])) for k in range(0, 1000, 100)]
+    for i, text in enumerate([*texts, texts[0]]):
+        assert ours.ids(text).tolist() == library("byte_bpe_50k.json", text).tolist()
+        assert len(ours.known.codes) <= 700  # ``most`` or one batch
+        if not i:
+            assert len(calls) < 40  # about 400 new units
+    calls.clear()
+    for n in range(40):  # a frequent word is not forgotten when new ones fill the memory
+        text = "start " + " ".join(f"often w{n}x{k}" for k in range(20))
+        assert ours.ids(text).tolist() == library("byte_bpe_50k.json", text).tolist()
+    assert sum("often" in x for x in calls) == 1
