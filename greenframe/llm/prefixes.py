@@ -12,6 +12,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ class PrefixCoder:
                 known = self.endings.get(ending) or self.shorter(ending)
                 if known[0][0] != len(token):
                     self.endings[ending] = ((len(token), None), *known)
+        #: What shorter() found for other endings.
+        self.others: dict[bytes, tuple[tuple[int, int | None], ...]] = {}
         self.most = most
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.side_by_side: dict[int, bool] = {}
@@ -54,6 +57,13 @@ class PrefixCoder:
         """What ends a text with this ending, of tokens shorter than it."""
         return next((self.endings[ending[k:]] for k in range(1, len(ending)) if ending[k:] in self.endings), ())
 
+    def other(self, ending: bytes) -> tuple[tuple[int, int | None], ...]:
+        """shorter(), remembered."""
+        if len(self.others) >= self.most // 4:
+            self.others.clear()
+        found = self.others[ending] = self.shorter(ending)
+        return found
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that are merged into this one, None for a single byte.
 
@@ -71,13 +81,14 @@ class PrefixCoder:
     def borders(self, a: int, b: int, below: int = NEVER) -> bool:
         """Whether b may stand after a: the merges that made both are undone, latest first, and none across comes before."""
         above_a = above_b = below  # ranks of the merges that took in what is now left and right of the border
-        content, merged = self.content, self.ranks
+        content, merged, parts = self.content, self.ranks, self.parts
         while True:
             across = merged.get(content[a] + content[b])
             # of equal ranks the leftmost merge is first
             if across is not None and across < above_a and across <= above_b:
                 return False
-            of_a, of_b = self.halves(a), self.halves(b)
+            of_a = parts[a] if a in parts else self.halves(a)
+            of_b = parts[b] if b in parts else self.halves(b)
             if of_a and (not of_b or a > b):
                 above_a, a = a, of_a[1]
             elif of_b:
@@ -98,10 +109,10 @@ class PrefixCoder:
         known = self.side_by_side if below == NEVER else {}
         if len(known) > self.most:
             known.clear()
-        merged, endings = self.ranks, self.endings
+        merged, endings, others = self.ranks, self.endings, self.others
         for end in range(len(last), (len(data) if upto is None else upto) + 1):
             ending = data[end - 4 : end] if end > 4 else data[:end]
-            for back, token in endings.get(ending) or self.shorter(ending):
+            for back, token in endings.get(ending) or others.get(ending) or self.other(ending):
                 if token is None:
                     token = merged.get(data[end - back : end]) if back <= end else None
                     if token is None:
@@ -197,12 +208,13 @@ class PrefixIds(UnitIds):
         super().__init__(spaced_line, self.packed_units, self.packed, "<u4", most)
 
     def packed_units(self, units: list[str]) -> list[bytes]:
+        """Ids of the units' texts; each different pre-token is encoded once, beside those that begin alike."""
         texts = list(map(unit_text, units))
-        words = sorted((text.encode(), i) for i, text in enumerate(texts) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()))
-        out: list = [None] * len(texts)
-        for (_, i), ids in zip(words, self.coder.encode_sorted([data for data, _ in words])):
-            out[i] = array("I", ids).tobytes()
-        return [self.packed(text) if ids is None else ids for text, ids in zip(texts, out)]
+        cut = {t: self.pre_token.findall(t) for t in texts if not (t[1:].isalpha() and (t[0] == " " or t[0].isalpha()))}
+        data = sorted(set(chain((t for t in texts if t not in cut), *cut.values())))  # the order of their bytes, too
+        ids = self.coder.encode_sorted([x.encode("utf-8", "surrogatepass") for x in data])
+        packed = {x: array("I", found).tobytes() for x, found in zip(data, ids)}
+        return [b"".join(map(packed.__getitem__, cut[t])) if t in cut else packed[t] for t in texts]
 
     def packed(self, text: str) -> bytes:
         encode, ids = self.coder.encode, array("I")
@@ -250,6 +262,30 @@ def bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
         raise ValueError(f"{error.args[0]} is no token") from None
 
 
+@lru_cache(maxsize=2)
+def token_array(path: str) -> pa.Array:
+    """The bytes of each rank; one per Python worker."""
+    tokens = token_bytes(path)
+    return pa.array(list(map(tokens.get, range(max(tokens) + 1))), pa.large_binary())
+
+
+def bytes_of_each(column: pa.Array, path: str) -> pa.Array:
+    """bytes_of() of a column, null where it is null; the tokens' bytes are copied by Arrow."""
+    values, known, found = [x or b"" for x in column.to_pylist()], token_array(path), None
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    if not sizes.any() or any(len(x) % 4 for x in values):
+        return pa.array([None if x is None else bytes_of(x, token_bytes(path)) for x in column.to_pylist()], pa.binary())
+    ids = np.frombuffer(b"".join(values), "<u4")
+    if ids.max() < len(known):
+        found = known.take(pa.array(ids))
+    if found is None or found.null_count:
+        for x in values:
+            bytes_of(x, token_bytes(path))  # tells which id is no token
+    _, offsets, data = found.buffers()
+    places = np.frombuffer(offsets, np.int64)[np.append(0, np.cumsum(sizes))]
+    return pa.Array.from_buffers(pa.large_binary(), len(values), [column.is_valid().buffers()[1], pa.py_buffer(places), data]).cast(pa.binary())
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, ROWS) for batch in batches for i in range(0, len(batch), ROWS))
 
@@ -282,10 +318,9 @@ def decoded(df: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_bytes(tokenizer_path(vocabulary))
+        path = tokenizer_path(vocabulary)
         for batch in sliced(batches):
-            found = [None if x is None else bytes_of(x, tokens) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, bytes_of_each(batch.column(place), path)], [*batch.schema.names, to])
 
     schema = df.select("*", F.lit(b"").alias(to)).schema
     return df.mapInArrow(run, schema)

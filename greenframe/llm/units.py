@@ -87,6 +87,7 @@ class UnitMemory:
     def __init__(self, width: str):
         self.codes: dict[str, int] = {}
         self.pool, self.starts = np.empty(1 << 12, width), np.zeros(1 << 10, np.int64)
+        self.batches, self.seen = 0, np.zeros(1 << 10, np.int64)  # looked up so far, and the last one that had the unit
 
     def add(self, units: list[str], packed: list[bytes]) -> None:
         """Remember new units."""
@@ -96,13 +97,23 @@ class UnitMemory:
     def put(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.codes), self.starts[len(self.codes)]
         if n + len(units) >= len(self.starts):
-            self.starts = np.resize(self.starts, max(2 * len(self.starts), n + len(units) + 1))
+            more = max(2 * len(self.starts), n + len(units) + 1)
+            self.starts, self.seen = np.resize(self.starts, more), np.resize(self.seen, more)
         if used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, max(2 * len(self.pool), used + len(ids)))
         self.pool[used : used + len(ids)] = ids
         self.starts[n + 1 : n + 1 + len(units)] = used + np.cumsum(sizes)
+        self.seen[n : n + len(units)] = self.batches
         self.codes.update(zip(units, range(n, n + len(units))))
 
+    def latest(self, n: int) -> UnitMemory:
+        """The ``n`` units seen last."""
+        some = np.sort(np.argsort(self.seen[: len(self.codes)], kind="stable")[-n:]) if n else np.empty(0, np.int64)
+        new, units, sizes = UnitMemory(self.pool.dtype), list(self.codes), self.sizes(some)
+        new.put([units[i] for i in some.tolist()], self.ids(some, sizes), sizes)
+        new.batches, new.seen[: len(some)] = self.batches, self.seen[some]
+        return new
+
     def sizes(self, codes: np.ndarray) -> np.ndarray:
         return self.starts[codes + 1] - self.starts[codes]
 
@@ -121,7 +132,7 @@ class UnitIds:
     ``line`` gives a text's units joined by blanks, or None where the text has to go whole; ``encode`` turns new units
     into packed ids of ``width`` and ``whole`` does so for one text. The units of many texts are split and told apart by
     Arrow, so Python sees each different unit of a batch once; those known from earlier batches are not encoded again.
-    Of ``most`` known units, those of the present batch stay when there is no room for its new ones.
+    When there is no room for a batch's new ones among ``most`` known units, the half seen last stays.
     """
 
     #: Characters of text whose units are held at a time.
@@ -145,18 +156,23 @@ class UnitIds:
         if first < len(texts):
             yield from self._chunk(texts[first:])
 
+    def known_codes(self, units: list[str]) -> np.ndarray:
+        """The codes of different units, -1 for those that are new."""
+        known, codes = self.known, np.fromiter(map(self.known.codes.get, units, repeat(-1)), np.int64, len(units))
+        known.batches += 1
+        known.seen[codes[codes >= 0]] = known.batches
+        return codes
+
     def looked_up(self, units: list[str]) -> np.ndarray:
         """The codes of different units, from memory or encoded now."""
-        codes = np.fromiter(map(self.known.codes.get, units, repeat(-1)), np.int64, len(units))
+        codes = self.known_codes(units)
         new = np.flatnonzero(codes < 0)
         if not len(new):
             return codes
         if len(self.known.codes) + len(new) > self.most:
-            old, there = self.known, np.flatnonzero(codes >= 0)
-            sizes = old.sizes(codes[there])
-            self.known = UnitMemory(self.width)
-            self.known.put([units[i] for i in there.tolist()], old.ids(codes[there], sizes), sizes)
-            codes[there] = np.arange(len(there))
+            self.known = self.known.latest(min(len(self.known.codes), max(self.most // 2, len(units) - len(new))))
+            codes = self.known_codes(units)
+            new = np.flatnonzero(codes < 0)
         known, fresh = self.known, [units[i] for i in new.tolist()]
         # letters and a point or comma after them are always different tokens, so only the letters are encoded
         points = self.points

@@ -99,3 +99,36 @@ def test_query(spark, folder, library):
         mine = got[r["doc_id"]]
         assert mine["n_tokens"] == len(ids) and mine["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert mine["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_a_pre_token_is_encoded_once_and_frequent_ones_stay(monkeypatch):
+    ids, encoded = prefixes.PrefixIds(tokenizer_path("byte_bpe_50k.tiktoken"), most=300), []
+    one = ids.coder.encode_sorted
+    monkeypatch.setattr(ids.coder, "encode_sorted", lambda strings: one(encoded.extend(strings) or strings))
+    monkeypatch.setattr(ids.coder, "encode", None)  # no text of units goes another way
+    units = ["\nzqxworth", "\0zqxworth", "zqxworth$$$", "\nzqxworth$$$", "zqxworth***", "é́zqxworth"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in ids.packed_units(units)]
+    monkeypatch.undo()
+    assert got == [np.frombuffer(ids.packed(prefixes.unit_text(u)), "<u4").tolist() for u in units]
+    assert sorted(encoded) == sorted({b"\n", b"zqxworth", b" zqxworth", b"$$$", b"***", " é".encode(), "́".encode()}) and len(encoded) == 7
+    encoded.clear()
+    monkeypatch.setattr(ids.coder, "encode_sorted", lambda strings: one(encoded.extend(strings) or strings))
+    for n in range(60):
+        list(ids.each(["begin " + " ".join(f"often wq{chr(97 + n % 26)}{chr(97 + k)}{chr(97 + n // 26)}z" for k in range(20))]))
+    assert encoded.count(b" often") == 1 and len(ids.known.codes) <= 300
+
+
+def test_decoding_of_nulls_empties_and_wrong_ids(library):
+    import pyarrow as pa
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    texts = ["", None, "one 日本 two", "", "x" * 900, None, "\n\nend"]
+    packed = [None if t is None else np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for some in (slice(None), slice(1, 6), slice(0, 2), slice(3, 4), slice(0, 0)):
+        column = pa.array(packed, pa.binary())[some]
+        got = prefixes.bytes_of_each(column, path)
+        assert got.type == pa.binary() and got.to_pylist() == [None if t is None else t.encode() for t in texts[some]]
+        got.validate(full=True)
+    for bad in (np.array([5, 60_000], "<u4").tobytes(), np.array([1 << 31], "<u4").tobytes(), b"\0\0\0"):
+        with pytest.raises(ValueError):
+            prefixes.bytes_of_each(pa.array([packed[2], bad], pa.binary()), path)
